@@ -126,10 +126,10 @@ def scorecard(outcomes: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) ->
 
 
 def latest_artifact(inventory: DataFrame, min_bytes: int = MIN_DIGEST_BYTES,
-                    group_cols: Sequence[str] = (), name_like: str = "digest_%.md") -> DataFrame:
-    """Most recently modified digest file and its size gate (AGG-5)."""
+                    group_cols: Sequence[str] = (), prefix: str = "digest_", suffix: str = ".md") -> DataFrame:
+    """Most recently modified ``digest_*.md`` file and its size gate (AGG-5)."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = inventory.where(name.like(name_like))
+    files = inventory.where(name.startswith(prefix) & name.endswith(suffix))
     agg = files.groupBy(*group_cols).agg(
         F.max_by(F.struct("path", "length"), F.struct("modificationTime", "path")).alias("_l"))
     return agg.select(*group_cols, F.col("_l.path").alias("path"), F.col("_l.length").alias("length"),
