@@ -53,30 +53,43 @@ def _parsed(df: DataFrame) -> DataFrame:
     return df if PARSED in df.columns else parse_payloads(df)
 
 
-def _atom_article(e: Column) -> Column:
+# Inside the per-entry lambdas (interpreted, like every higher-order function)
+# only raw fields are picked; all normalisation runs after the explode, in a
+# code-generated projection where common subexpressions are computed once.
+
+def _atom_raw(e: Column) -> Column:
     link = first_match(e["link"], lambda l: l["_rel"].isNull() | (l["_rel"] == "alternate"))
-    published = _text_or(first(e["published"]), first(e["updated"]))
     names = F.transform(e["author"], lambda a: first(a["name"]))
     return F.struct(
-        _title(first(e["title"])).alias("title"),
+        first(e["title"]).alias("title_raw"),
         F.when(link.isNull(), F.lit("")).otherwise(F.coalesce(link["_href"], F.lit(""))).alias("link"),
-        F.coalesce(strip(_text_or(first(e["summary"]), first(e["content"]))), F.lit("")).alias("summary"),
-        F.when(published.isNull(), F.lit("")).otherwise(norm_date(published)).alias("published"),
+        _text_or(first(e["summary"]), first(e["content"])).alias("summary_raw"),
+        _text_or(first(e["published"]), first(e["updated"])).alias("published_raw"),
         F.coalesce(F.filter(names, _present), F.array().cast("array<string>")).alias("authors"),
     )
 
 
-def _rss_article(i: Column) -> Column:
-    published = _text_or(first(i["pubDate"]), first(i["atom:updated"]))
+def _rss_raw(i: Column) -> Column:
     return F.struct(
-        _title(first(i["title"])).alias("title"),
+        first(i["title"]).alias("title_raw"),
         F.coalesce(first(i["link"]), F.lit("")).alias("link"),
-        F.coalesce(strip(_text_or(first(i["description"]))), F.lit("")).alias("summary"),
-        F.when(published.isNull(), F.lit("")).otherwise(norm_date(published)).alias("published"),
+        _text_or(first(i["description"])).alias("summary_raw"),
+        _text_or(first(i["pubDate"]), first(i["atom:updated"])).alias("published_raw"),
         F.array().cast("array<string>").alias("authors"),
     )
 
 
+def _article_fields() -> list[Column]:
+    pub = F.col("published_raw")
+    return [
+        _title(F.col("title_raw")).alias("title"),
+        F.col("link"),
+        F.coalesce(strip(F.col("summary_raw")), F.lit("")).alias("summary"),
+        F.when(pub.isNull(), F.lit("")).otherwise(norm_date(pub)).alias("published"),
+        F.col("authors"),
+    ]
+
+
 def _empty(elem_type) -> Column:
     """Typed empty array (``elem_type``: a DataType or a simple type name)."""
     if isinstance(elem_type, str):
@@ -101,8 +114,8 @@ _ART_T = "struct<title:string,link:string,summary:string,published:string,author
 
 def _article_array(df: DataFrame, fmt: str) -> Column:
     doc = F.col(PARSED)
-    atom = F.transform(_atom_entries(doc, F.col("_has_atom")), _atom_article)
-    rss = F.transform(_rss_items(doc), _rss_article)
+    atom = F.transform(_atom_entries(doc, F.col("_has_atom")), _atom_raw)
+    rss = F.transform(_rss_items(doc), _rss_raw)
     if fmt == "atom":
         return atom
     if fmt == "rss":
@@ -116,9 +129,9 @@ def _article_array(df: DataFrame, fmt: str) -> Column:
 
 def _explode_articles(df: DataFrame, arr: Column, feed_name: Column) -> DataFrame:
     keep = [c for c in PAYLOAD_KEEP if c in df.columns]
-    return (df.select(*keep, feed_name.alias("feed_name"), F.posexplode(arr).alias("pos", "a"))
-              .select(*keep, "pos", "feed_name", "a.*")
-              .withColumn("pos", F.col("pos").cast("int")))
+    raw = (df.select(*keep, feed_name.alias("feed_name"), F.posexplode(arr).alias("pos", "a"))
+             .select(*keep, F.col("pos").cast("int").alias("pos"), "feed_name", "a.*"))
+    return raw.select(*keep, "pos", "feed_name", *_article_fields())
 
 
 def _feed_name(df: DataFrame) -> Column:
@@ -167,33 +180,48 @@ def rejects(payloads: DataFrame) -> DataFrame:
               .select("payload_id", F.lit("malformed XML").alias("reason")))
 
 
-def _paper(e: Column) -> Column:
-    aid = after_abs(F.coalesce(first(e["id"]), F.lit("")))
-    comment = first(e["arxiv:comment"])
+def _paper_raw(e: Column) -> Column:
     names = F.transform(F.filter(e["author"], lambda a: F.size(F.coalesce(a["name"], F.array())) > 0),
                         lambda a: first(a["name"]))
     return F.struct(
-        aid.alias("arxiv_id"),
-        _title(first(e["title"]), missing=None).alias("title"),
-        strip(F.coalesce(first(e["summary"]), F.lit(""))).alias("summary"),
+        first(e["id"]).alias("id_raw"),
+        first(e["title"]).alias("title_raw"),
+        first(e["summary"]).alias("summary_raw"),
         F.coalesce(names, _empty("string")).alias("authors"),
-        left_n(F.coalesce(first(e["published"]), F.lit("")), 10).alias("published"),
-        left_n(F.coalesce(first(e["updated"]), F.lit("")), 10).alias("updated"),
-        F.coalesce(first(e["arxiv:primary_category"])["_term"], F.lit("")).alias("primary_category"),
+        first(e["published"]).alias("published_raw"),
+        first(e["updated"]).alias("updated_raw"),
+        first(e["arxiv:primary_category"])["_term"].alias("primary_raw"),
         F.coalesce(F.transform(e["category"], lambda c: F.coalesce(c["_term"], F.lit(""))),
                    _empty("string")).alias("categories"),
+        first(e["arxiv:comment"]).alias("comment_raw"),
+    )
+
+
+def _paper_fields() -> list[Column]:
+    aid = after_abs(F.coalesce(F.col("id_raw"), F.lit("")))
+    comment = F.col("comment_raw")
+    return [
+        aid.alias("arxiv_id"),
+        _title(F.col("title_raw"), missing=None).alias("title"),
+        strip(F.coalesce(F.col("summary_raw"), F.lit(""))).alias("summary"),
+        F.col("authors"),
+        left_n(F.coalesce(F.col("published_raw"), F.lit("")), 10).alias("published"),
+        left_n(F.coalesce(F.col("updated_raw"), F.lit("")), 10).alias("updated"),
+        F.coalesce(F.col("primary_raw"), F.lit("")).alias("primary_category"),
+        F.col("categories"),
         F.concat(F.lit("https://arxiv.org/pdf/"), aid, F.lit(".pdf")).alias("pdf_url"),
         F.when(_present(comment), strip(comment)).otherwise(F.lit("")).alias("comment"),
-    )
+    ]
 
 
 def extract_papers(payloads: DataFrame) -> DataFrame:
     """arXiv API responses -> papers (EXT-4)."""
     df = _parsed(payloads)
-    arr = F.transform(_atom_entries(F.col(PARSED), F.col("_has_atom")), _paper)
+    arr = F.transform(_atom_entries(F.col(PARSED), F.col("_has_atom")), _paper_raw)
     keep = [c for c in PAYLOAD_KEEP if c in df.columns]
-    return (df.select(*keep, F.posexplode(arr).alias("pos", "p"))
-              .select(*keep, F.col("pos").cast("int").alias("pos"), "p.*"))
+    raw = (df.select(*keep, F.posexplode(arr).alias("pos", "p"))
+             .select(*keep, F.col("pos").cast("int").alias("pos"), "p.*"))
+    return raw.select(*keep, "pos", *_paper_fields())
 
 
 # Fixed value: the result-block pattern of the HTML search page.

@@ -153,13 +153,19 @@ def feed_payloads(spark: SparkSession, sf_dir: str, with_rejects: bool = True) -
     cols = ["payload_id", "url", "kind", "fetched_at", "body"]
     if not with_rejects:
         return good.select(*cols)
-    truncated = good.where(F.col("_r") == 0).select(
-        F.concat("payload_id", F.lit("-bad")).alias("payload_id"), "url", "kind", "fetched_at",
-        F.expr("substring(body, 1, length(body) - 10)").alias("body"))
-    text = good.where(F.col("_r") == 1).select(
-        F.concat("payload_id", F.lit("-txt")).alias("payload_id"), "url", "kind", "fetched_at",
-        F.concat(F.lit("HTTP 503 Service Unavailable for "), F.col("url")).alias("body"))
-    return good.select(*cols).unionByName(truncated).unionByName(text)
+    # Copies come from the same aggregate (no union re-running it): variant 1
+    # is the payload cut short (unclosed XML), variant 2 a non-XML error page.
+    v = F.col("_v")
+    copies = good.select("*", F.explode(
+        F.when(F.col("_r") == 0, F.array(F.lit(0), F.lit(1)))
+         .when(F.col("_r") == 1, F.array(F.lit(0), F.lit(2)))
+         .otherwise(F.array(F.lit(0)))).alias("_v"))
+    return copies.select(
+        F.when(v == 0, F.col("payload_id")).when(v == 1, F.concat("payload_id", F.lit("-bad")))
+         .otherwise(F.concat("payload_id", F.lit("-txt"))).alias("payload_id"),
+        "url", "kind", "fetched_at",
+        F.when(v == 0, F.col("body")).when(v == 1, F.expr("substring(body, 1, length(body) - 10)"))
+         .otherwise(F.concat(F.lit("HTTP 503 Service Unavailable for "), F.col("url"))).alias("body"))
 
 
 PRIMARY_BY_LANG = {"en": "cs.CL", "fr": "cs.AI", "de": "cs.LG"}

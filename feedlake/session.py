@@ -23,8 +23,14 @@ DEFAULT_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "feedlake") -> SparkSession:
-    """A local session for tests and the bench."""
+                  app: str = "feedlake", coalesce: bool = True) -> SparkSession:
+    """A local session for tests and the bench.
+
+    ``coalesce=False`` keeps every shuffle at ``shuffle_partitions`` tasks. AQE
+    coalesces by bytes, which on a single machine squeezes the CPU-bound XML
+    parsing after a small shuffle into a few tasks; on a cluster the byte-based
+    target (``advisoryPartitionSizeInBytes``) is the right one and stays on.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,6 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", str(coalesce).lower())
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
