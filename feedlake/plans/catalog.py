@@ -5,6 +5,8 @@ Outputs are compact and comparison-friendly: long texts are returned as
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from feedlake.operators import retention as rt
 from feedlake.operators import search as se
 from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
+from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, completions_from_json, select_sources
+from feedlake.streaming.ingest import land_payloads, run_ingest_once
+from feedlake.streaming.scorecard import stream_scorecard
 
 AS_OF = "2024-02-15 00:00:00"
 KEEP_DAYS = 30
@@ -309,3 +314,43 @@ def q_release_gate(spark, sf):
     g = qa.release_gate(release_gates(spark, sf), ["cycle"])
     return g.select("cycle", "ok", _bigint("n_gates").alias("n_gates"), _bigint("n_failed").alias("n_failed"),
                     "action")
+
+
+# ---- streaming -------------------------------------------------------------------
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-{what}-{uuid.uuid4().hex}"
+
+
+def q_stream_ingest(spark, sf):
+    """STR-1: feed payload files land in a folder; the stream extracts and appends articles."""
+    landing, out = _scratch(spark, "landing"), _scratch(spark, "articles")
+    land_payloads(fx.feed_payloads(spark, sf), landing)
+    source = F.regexp_extract(F.col("payload_id"), r"^feed-(.+?)-\d+(?:-bad|-txt)?$", 1)
+    arts = run_ingest_once(spark, landing, out, kind="feed", registry=fx.feed_registry(spark, sf),
+                           url_from_payload=lambda pid: F.concat(F.lit("http://feeds.test/"), source))
+    return _article_out(arts).join(arts.select("payload_id", _bigint("pos").alias("pos"), "feed_name"),
+                                   ["payload_id", "pos"])
+
+
+def ntz_as_instant(c) -> "F.Column":
+    """TIMESTAMP_NTZ wall clock -> the TIMESTAMP instant with that UTC wall clock."""
+    tz = F.current_timezone()
+    return F.from_utc_timestamp(F.col(c).cast("timestamp"), tz)
+
+
+def q_stream_scorecard(spark, sf):
+    """STR-2: daily scorecard over a stream of probe results, 1 hour watermark, append mode."""
+    events = (spark.readStream.schema(fx.table(spark, sf, "events").schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    checks = fx.check_rows(events).withColumn("ts", ntz_as_instant("ts"))
+    out, ckpt = _scratch(spark, "scores"), _scratch(spark, "scores-ckpt")
+    q = (stream_scorecard(checks, "1 day", "1 hour")
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    s = spark.read.parquet(out)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
+    return s.select(F.date_format(day, "yyyy-MM-dd").alias("cycle"), _bigint("n_checks").alias("n_checks"),
+                    _bigint("n_passed").alias("n_passed"), "grade", "passed")

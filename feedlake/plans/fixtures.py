@@ -146,7 +146,7 @@ def feed_payloads(spark: SparkSession, sf_dir: str, with_rejects: bool = True) -
         F.concat(F.lit("feed-"), F.col("source"), F.lit("-"), F.col("chunk").cast("string")).alias("payload_id"),
         F.concat(F.lit("http://feeds.test/"), F.col("source")).alias("url"),
         F.lit("feed").alias("kind"),
-        (F.col("fetch_day").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("fetched_at"),
+        (F.col("fetch_day").cast("timestamp_ntz") + F.expr("INTERVAL 6 HOURS")).alias("fetched_at"),
         F.concat("_head", "_entries", "_tail").alias("body"),
         ((F.ascii(F.substring("source", -1, 1)) + F.col("chunk")) % 5).alias("_r"),
     )
@@ -219,7 +219,7 @@ def arxiv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("arxiv-"), F.col("primary"), F.lit("-"), F.col("chunk").cast("string")).alias("payload_id"),
         F.concat(F.lit("http://export.arxiv.org/api/query?search_query=cat:"), F.col("primary")).alias("url"),
         F.lit("arxiv").alias("kind"),
-        (F.col("fetch_day").cast("timestamp") + F.expr("INTERVAL 7 HOURS")).alias("fetched_at"),
+        (F.col("fetch_day").cast("timestamp_ntz") + F.expr("INTERVAL 7 HOURS")).alias("fetched_at"),
         F.concat("_head", "_entries", "_tail").alias("body"))
 
 
@@ -237,7 +237,7 @@ def serp_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.concat(F.lit("serp-"), F.col("page_id").cast("string")).alias("payload_id"),
         F.col("url"), F.lit("serp").alias("kind"),
-        (_day(day).cast("timestamp") + F.expr("INTERVAL 8 HOURS")).alias("fetched_at"),
+        (_day(day).cast("timestamp_ntz") + F.expr("INTERVAL 8 HOURS")).alias("fetched_at"),
         F.regexp_replace("html", NAV_ANCHOR, RESULT_BLOCK).alias("body"))
 
 
@@ -290,7 +290,11 @@ def completion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Check outcomes by event type: the status a probe saw.
 def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe results per cycle (day) from ``events``."""
-    e = table(spark, sf_dir, "events")
+    return check_rows(table(spark, sf_dir, "events"))
+
+
+def check_rows(e: DataFrame) -> DataFrame:
+    """Probe results from an events frame (batch or streaming; row-wise only)."""
     kind = F.when(F.col("user_id") % 5 == 0, F.lit("arxiv")).otherwise(F.lit("feed"))
     method = F.when(F.col("event_type") == "click", F.lit("HEAD")).otherwise(F.lit("GET"))
     status = (F.when(F.col("event_type") == "error", 500)
@@ -298,12 +302,12 @@ def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when((F.col("event_type") == "click") & (F.col("value") < 20), 405)
               .otherwise(200))
     return e.select(
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("cycle_ts"),
+        F.to_date("ts").cast("timestamp_ntz").alias("cycle_ts"),
         kind.alias("kind"),
         F.concat(kind, F.lit(":"), F.col("user_id").cast("string")).alias("target"),
         method.alias("method"), status.cast("int").alias("status"),
         F.col("event_id").alias("attempt"),
-        F.col("ts").cast("timestamp").alias("ts"))
+        F.col("ts"))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +325,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(F.lit("/reports/cycle_report_"), F.date_format(day, "yyyy-MM-dd"), F.lit(".txt")).alias("path"),
         # A report is written once, at the end of its day.
-        (day.cast("timestamp") + F.expr("INTERVAL 23 HOURS 59 MINUTES")).alias("mtime"),
+        (day.cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS 59 MINUTES")).alias("mtime"),
         F.col("event_id").alias("line_no"),
         F.concat(step, body).alias("line"))
 
@@ -347,6 +351,6 @@ def digest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.concat(F.lit("/digests/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"),
                  F.lit("/"), name).alias("path"),
-        (day.cast("timestamp") + F.make_interval(hours=(F.col("doc_id") % 24).cast("int"))).alias("modificationTime"),
+        (day.cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") % 24).cast("int"))).alias("modificationTime"),
         F.col("n_chars").cast("bigint").alias("length"),
         F.col("source").alias("folder"))
