@@ -45,7 +45,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         "*",
         root_name(F.regexp_replace("body", "^\ufeff", "")).alias("_root"),
         binds("body", ATOM_NS).alias("_has_atom"),
-        F.from_xml(body, schemas.FEED_DOC, schemas.XML_OPTIONS).alias(PARSED),
+        F.when(F.is_valid_utf8("body"), F.from_xml(body, schemas.FEED_DOC, schemas.XML_OPTIONS)).alias(PARSED),
     )
 
 

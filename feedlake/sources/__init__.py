@@ -28,8 +28,10 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
     """Landed payload files (one document per file) -> ``payloads`` (SRC-1/2/4).
 
     ``wholetext`` keeps each file one row; Spark packs small files into tasks
-    (``maxPartitionBytes``/``openCostInBytes``). Undecodable bytes become
-    U+FFFD and are dropped, as a lenient decoder would.
+    (``maxPartitionBytes``/``openCostInBytes``). Search pages
+    (``kind='serp'``) are decoded leniently: invalid UTF-8 bytes are dropped.
+    XML payloads keep their bytes; one with invalid UTF-8 is a parse failure
+    (a reject), as for any conforming XML parser.
     """
     reader = spark.readStream if stream else spark.read
     r = reader.format("text").option("wholetext", True)
@@ -41,10 +43,15 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
         F.col("_metadata.file_path").alias("url"),
         F.lit(kind).alias("kind"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),
-        F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("body"),
+        (drop_invalid_utf8(F.col("value")) if kind == "serp" else F.col("value")).alias("body"),
     )
 
 
+def drop_invalid_utf8(c):
+    """Remove invalid UTF-8 byte sequences (``bytes.decode('utf-8', 'ignore')``)."""
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
+
+
 def read_feed_registry(spark: SparkSession, path: str) -> DataFrame:
     """Config JSON ``{"feeds": [{"name":..,"url":..}, ...]}`` -> registry (SRC-3, FIL-1).
 
@@ -102,7 +109,7 @@ def read_report_lines(spark: SparkSession, path: str, glob: str = "cycle_report_
     df = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)
           .select(F.col("_metadata.file_path").alias("path"),
                   F.col("_metadata.file_modification_time").alias("mtime"),
-                  F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("value")))
+                  drop_invalid_utf8(F.col("value")).alias("value")))
     return df.select("path", "mtime", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
