@@ -88,3 +88,16 @@ def or_default(c, default: str) -> Column:
     """``x or default`` for strings: null and ``""`` both give ``default``."""
     c = _col(c)
     return F.when(c.isNull() | (c == ""), F.lit(default)).otherwise(c)
+
+
+# Line breaks as ``str.splitlines`` knows them.
+LINE_BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def split_lines(c) -> Column:
+    """``str.splitlines()``: no trailing empty line, empty text gives no lines."""
+    c = _col(c)
+    parts = F.split(c, LINE_BREAKS)
+    return (F.when(c == "", F.array().cast("array<string>"))
+            .when(c.rlike("(?:" + LINE_BREAKS + ")$"), F.slice(parts, 1, F.size(parts) - 1))
+            .otherwise(parts))

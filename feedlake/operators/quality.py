@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.numbers import round_binary_half_even
 from feedlake.sources import broadcast_if_small
 
 # Words that make a report line an error line (whole words, any case).
@@ -121,7 +122,7 @@ def scorecard(outcomes: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) ->
                                             F.count_if("ok").alias("n_passed"))
     score = F.col("n_passed") / F.col("n_checks")
     return agg.select(*group_cols, "n_checks", "n_passed", score.alias("score"),
-                      F.bround(score, 2).alias("score_2dp"), grade(score).alias("grade"),
+                      round_binary_half_even(score, 2).alias("score_2dp"), grade(score).alias("grade"),
                       (score >= PASS_SCORE).alias("passed"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import left_n, strip, strip_bullet
+from feedlake.functions.text import LINE_BREAKS, left_n, strip, strip_bullet
 
 KINDS = ("paper", "article", "web")
 
@@ -41,8 +41,6 @@ PARSED_DEFAULT_RELEVANCE = "See abstract for details."
 FALLBACK_POINT_CHARS = 200
 DEFAULT_HEADLINE_CHARS = 120
 
-# Line breaks as ``str.splitlines`` knows them.
-LINE_BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def item_text_col(kind: str) -> str:

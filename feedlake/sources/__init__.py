@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake import schemas
-from feedlake.functions.text import json_get
+from feedlake.functions.text import json_get, split_lines
 
 # Largest side (rows) we broadcast without a shuffle join; checked per call.
 BROADCAST_MAX_ROWS = 100_000
@@ -110,7 +110,7 @@ def read_report_lines(spark: SparkSession, path: str, glob: str = "cycle_report_
           .select(F.col("_metadata.file_path").alias("path"),
                   F.col("_metadata.file_modification_time").alias("mtime"),
                   drop_invalid_utf8(F.col("value")).alias("value")))
-    return df.select("path", "mtime", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line")) \
+    return df.select("path", "mtime", F.posexplode(split_lines("value")).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
 

@@ -67,3 +67,14 @@ def test_strip_bullet_and_tags(spark):
     rows = df.select(strip_bullet("v").alias("b"), strip_tags("v").alias("t")).collect()
     assert [r.b for r in rows][:3] == ["a point", "b", ""]
     assert rows[3].t == "x y"
+
+
+def test_round_matches_python_binary_rounding(spark):
+    from feedlake.functions import round_binary_half_even
+    rows = [(p, n) for n in range(1, 81) for p in range(n + 1)]
+    df = spark.createDataFrame(rows, "p int, n int").withColumn("x", F.col("p") / F.col("n"))
+    got = df.select("x", round_binary_half_even("x").alias("r")).collect()
+    assert all(r.r == round(r.x, 2) for r in got)
+    extra = [0.125, 0.375, 0.295, 2.675, -0.295, 7.125]
+    got = spark.createDataFrame([(v,) for v in extra], "x double").select(round_binary_half_even("x").alias("r"))
+    assert [r.r for r in got.collect()] == [round(v, 2) for v in extra]

@@ -44,7 +44,7 @@ def test_select_sources(spark):
 
 def test_inventory_and_report_lines(spark, tmp_path):
     (tmp_path / "digest_2026-04-01.md").write_text("x" * 10)
-    (tmp_path / "cycle_report_1.txt").write_text("ok\nERROR one\r\nlast")
+    (tmp_path / "cycle_report_1.txt").write_text("ok\nERROR one\r\nlast\n")
     inv = read_file_inventory(spark, str(tmp_path), glob="digest_*")
     (r,) = inv.collect()
     assert r.length == 10 and r.path.endswith("digest_2026-04-01.md")
