@@ -454,7 +454,7 @@ CHECKS = """
 checks AS (
   SELECT strftime(ts, '%Y-%m-%d') AS cycle,
          CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END AS kind,
-         CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END || ':' || CAST(user_id AS VARCHAR) AS target,
+         CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END || ':' || CAST(user_id % 25 AS VARCHAR) AS target,
          CASE WHEN event_type = 'click' THEN 'HEAD' ELSE 'GET' END AS method,
          CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'purchase' THEN 429
               WHEN event_type = 'click' AND value < 20 THEN 405 ELSE 200 END AS status,

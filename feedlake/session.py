@@ -54,10 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster that setting names shared storage and is used as is. Only when
     it is unset (local tests) a folder is created under the temp dir.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:  # classic sessions; a Connect session has no SparkContext handle
+        sc = spark.sparkContext
+        conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        pass
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="feedlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
