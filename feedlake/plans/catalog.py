@@ -326,10 +326,10 @@ def _scratch(spark: SparkSession, what: str) -> str:
 def q_stream_ingest(spark, sf):
     """STR-1: feed payload files land in a folder; the stream extracts and appends articles."""
     landing, out = _scratch(spark, "landing"), _scratch(spark, "articles")
-    land_payloads(fx.feed_payloads(spark, sf), landing)
-    source = F.regexp_extract(F.col("payload_id"), r"^feed-(.+?)-\d+(?:-bad|-txt)?$", 1)
+    payloads = fx.feed_payloads(spark, sf)
+    land_payloads(payloads, landing)
     arts = run_ingest_once(spark, landing, out, kind="feed", registry=fx.feed_registry(spark, sf),
-                           url_from_payload=lambda pid: F.concat(F.lit("http://feeds.test/"), source))
+                           schema=payloads.schema)
     return _article_out(arts).join(arts.select("payload_id", _bigint("pos").alias("pos"), "feed_name"),
                                    ["payload_id", "pos"])
 

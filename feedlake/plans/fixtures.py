@@ -140,6 +140,9 @@ def feed_payloads(spark: SparkSession, sf_dir: str, with_rejects: bool = True) -
              .when(F.col("fmt") == 2, _rss_item("atom:updated"))
              .otherwise(_rss_item("a10:updated")))
     head = F.concat(_by_fmt(_HEAD), F.col("source"), _by_fmt(_TITLE_END))
+    # Exchange raw documents on the payload key first: the entry text is then
+    # built after the shuffle, in parallel, and the grouping reuses the layout.
+    b = b.repartition("source", "chunk")
     g = _assemble(b.select("source", "chunk", "fmt", "fetch_day", "doc_id", entry.alias("entry")),
                   ["source", "chunk", "fmt", "fetch_day"], head, _by_fmt(_TAIL))
     good = g.select(
@@ -213,6 +216,7 @@ def arxiv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:'),
         F.when(odd, F.lit("ax")).otherwise(F.lit("arxiv")),
         F.lit('="http://arxiv.org/schemas/atom"><title>arXiv Query: cat:'), F.col("primary"), F.lit("</title>"))
+    b = b.repartition("primary", "chunk")
     g = _assemble(b.select("primary", "chunk", "fetch_day", "doc_id", entry.alias("entry"), head.alias("h")),
                   ["primary", "chunk", "fetch_day"], F.col("h"), F.lit("</feed>"))
     return g.select(

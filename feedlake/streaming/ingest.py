@@ -1,9 +1,17 @@
-"""STR-1: payload files landing in a folder -> item tables, exactly once.
+"""STR-1: payloads landing continuously -> item tables, exactly once.
 
 The same narrow ``extract_*`` operators as the batch job run on the stream;
-the file source and the checkpoint give exactly-once appends. The checkpoint
-lives under the session's ``spark.checkpoint.dir`` (shared storage on a
-cluster) unless a location is given.
+the file source plus the checkpoint give exactly-once appends. Two landing
+layouts are supported:
+
+* ``layout='table'`` (default): fetchers append payload rows (``payload_id,
+  url, kind, fetched_at, body``) as Parquet files. Few, large files: listing
+  and task packing stay cheap at any volume.
+* ``layout='files'``: one raw document per file (``wholetext``); the payload id
+  is the file path, or the ``payload_id=<id>`` folder it sits in.
+
+The checkpoint lives under the session's ``spark.checkpoint.dir`` (shared
+storage on a cluster) unless a location is given.
 """
 from __future__ import annotations
 
@@ -11,8 +19,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from feedlake import schemas
 from feedlake.operators import extract as ex
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, read_payloads
@@ -20,9 +30,16 @@ from feedlake.sources import attach_feed, read_payloads
 EXTRACTORS = {"feed": ex.extract_articles, "arxiv": ex.extract_papers, "serp": ex.extract_web_results}
 
 
-def land_payloads(payloads: DataFrame, landing: str) -> None:
-    """Write each payload as its own file ``payload_id=<id>/part-*.txt`` (test/demo landing)."""
-    payloads.select("body", "payload_id").write.mode("append").partitionBy("payload_id").text(landing)
+def land_payloads(payloads: DataFrame, landing: str, layout: str = "table") -> None:
+    """Append payloads to a landing folder (what a fetcher does; used by tests and demos)."""
+    if layout == "table":
+        payloads.select("payload_id", "url", "kind", "fetched_at", "body").write.mode("append").parquet(landing)
+    elif layout == "files":
+        (payloads.select("body", "payload_id").write.mode("append")
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("payload_id").text(landing))
+    else:
+        raise ValueError("layout must be 'table' or 'files'")
 
 
 def _payload_id_from_path(df: DataFrame) -> DataFrame:
@@ -30,9 +47,20 @@ def _payload_id_from_path(df: DataFrame) -> DataFrame:
     return df.withColumn("payload_id", F.when(pid != "", F.url_decode(pid)).otherwise(F.col("payload_id")))
 
 
+def payload_stream(spark: SparkSession, landing: str, kind: str, layout: str = "table",
+                   schema: T.StructType | None = None) -> DataFrame:
+    if layout == "table":
+        df = spark.readStream.schema(schema or schemas.PAYLOADS).parquet(landing)
+        return df.where(F.col("kind") == kind)
+    if layout == "files":
+        return _payload_id_from_path(read_payloads(spark, landing, kind, stream=True, glob="*.txt"))
+    raise ValueError("layout must be 'table' or 'files'")
+
+
 def stream_ingest(spark: SparkSession, landing: str, out: str, kind: str = "feed",
                   registry: DataFrame | None = None, checkpoint: str | None = None,
-                  url_from_payload=None, available_now: bool = True) -> StreamingQuery:
+                  url_from_payload=None, available_now: bool = True, layout: str = "table",
+                  schema: T.StructType | None = None) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
     ``url_from_payload`` maps the payload-id column to the feed url used to
@@ -41,8 +69,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, kind: str = "feed
     if kind not in EXTRACTORS:
         raise ValueError(f"kind must be one of {sorted(EXTRACTORS)}")
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-ingest-{uuid.uuid4().hex}"
-    payloads = _payload_id_from_path(read_payloads(spark, landing, kind, stream=True,
-                                                   glob="*.txt"))
+    payloads = payload_stream(spark, landing, kind, layout, schema)
     if url_from_payload is not None:
         payloads = payloads.withColumn("url", url_from_payload(F.col("payload_id")))
     if registry is not None and kind == "feed":

@@ -11,16 +11,19 @@ from feedlake.streaming.scorecard import stream_scorecard
 
 def test_stream_ingest_equals_batch(spark, sf_small, tmp_path):
     payloads = fx.feed_payloads(spark, sf_small)
-    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
-    land_payloads(payloads, landing)
-    streamed = run_ingest_once(spark, landing, out, kind="feed", checkpoint=str(tmp_path / "ckpt"))
     cols = ["payload_id", "pos", "title", "link", "summary", "published"]
     batch = ex.extract_articles(payloads).select(*cols)
-    assert streamed.select(*cols).exceptAll(batch).count() == 0
-    assert batch.exceptAll(streamed.select(*cols)).count() == 0
-    # a second run over the same landing folder appends nothing (exactly once)
-    again = run_ingest_once(spark, landing, out, kind="feed", checkpoint=str(tmp_path / "ckpt"))
-    assert again.count() == batch.count()
+    for layout in ("table", "files"):
+        landing, out, ck = (str(tmp_path / layout / d) for d in ("landing", "out", "ckpt"))
+        land_payloads(payloads, landing, layout=layout)
+        streamed = run_ingest_once(spark, landing, out, kind="feed", checkpoint=ck, layout=layout,
+                                   schema=payloads.schema)
+        assert streamed.select(*cols).exceptAll(batch).count() == 0, layout
+        assert batch.exceptAll(streamed.select(*cols)).count() == 0, layout
+        # a second run over the same landing folder appends nothing (exactly once)
+        again = run_ingest_once(spark, landing, out, kind="feed", checkpoint=ck, layout=layout,
+                                schema=payloads.schema)
+        assert again.count() == batch.count(), layout
 
 
 def test_stream_scorecard_watermark(spark, tmp_path):
