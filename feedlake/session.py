@@ -23,7 +23,8 @@ DEFAULT_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "feedlake", coalesce: bool = True) -> SparkSession:
+                  app: str = "feedlake", coalesce: bool = True, driver_memory: str = "8g",
+                  java_options: str | None = None) -> SparkSession:
     """A local session for tests and the bench.
 
     ``coalesce=False`` keeps every shuffle at ``shuffle_partitions`` tasks. AQE
@@ -36,12 +37,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", str(coalesce).lower())
+    if java_options:
+        builder = builder.config("spark.driver.extraJavaOptions", java_options)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
