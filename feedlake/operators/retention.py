@@ -59,6 +59,18 @@ def retention_plan(marked: DataFrame, mode: str = "archive", group_cols: Sequenc
     )
 
 
+def dry_run_listing(marked: DataFrame, mode: str = "archive", path_col: str = "path") -> DataFrame:
+    """What a run would do, one row per expired file in name order (TOP-4).
+
+    The sort is for the listed plan only; totals come from ``retention_plan``.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    return (marked.where(F.col("status") == "expired")
+            .select(F.col(path_col).alias("path"), F.lit(mode).alias("action"))
+            .orderBy("path"))
+
+
 def kept(marked: DataFrame) -> DataFrame:
     """Files that stay live: everything not expired (JOIN-5 as a complement filter)."""
     return marked.where(F.col("status") != "expired")

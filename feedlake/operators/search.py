@@ -23,15 +23,33 @@ def keyword_match(keyword: str, cols: Sequence[Column]) -> Column:
     return out
 
 
+def parse_query(query: str) -> dict:
+    """``cat:cs.CL`` -> category, ``all:word`` -> keyword (terms joined by ``AND``)."""
+    out: dict = {}
+    for term in re.split(r"\s+AND\s+", query.strip()):
+        field, _, value = term.partition(":")
+        if field == "cat" and value:
+            out["category"] = value
+        elif field == "all" and value:
+            out["keyword"] = value
+        else:
+            raise ValueError(f"unsupported query term {term!r} (use cat:<category> or all:<word>)")
+    return out
+
+
 def search_papers(papers: DataFrame, category: str | None = None, keyword: str | None = None,
                   sort_by: str = "submittedDate", sort_order: str = "descending",
-                  max_results: int | None = 10, group_cols: Sequence[str] = ()) -> DataFrame:
+                  max_results: int | None = 10, group_cols: Sequence[str] = (),
+                  query: str | None = None) -> DataFrame:
     """Filter papers by ``cat:`` category and/or ``all:`` keyword, newest first (FIL-3, TOP-1).
 
     Ties on the date are broken by arXiv id in the same direction. With
     ``group_cols`` the top-k is taken per group (WindowGroupLimit), otherwise
     globally (TakeOrderedAndProject: each task keeps k rows).
     """
+    if query is not None:
+        q = parse_query(query)
+        category, keyword = q.get("category", category), q.get("keyword", keyword)
     if sort_by not in SORT_COLUMNS:
         raise ValueError(f"sort_by must be one of {sorted(SORT_COLUMNS)}")
     if sort_order not in ("ascending", "descending"):

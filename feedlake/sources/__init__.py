@@ -52,15 +52,24 @@ def drop_invalid_utf8(c):
     return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
 
 
-def read_feed_registry(spark: SparkSession, path: str) -> DataFrame:
+def read_feed_registry(spark: SparkSession, path: str,
+                       default_feeds: list[dict] | None = None) -> DataFrame:
     """Config JSON ``{"feeds": [{"name":..,"url":..}, ...]}`` -> registry (SRC-3, FIL-1).
 
     Missing names become ``RSS``; entries without url are skipped; the list
     position is kept as ``registry_pos`` (feeds are processed in that order).
+    A missing config file falls back to ``default_feeds`` (the built-in list);
+    a config without ``feeds`` has no feeds (the file replaces the defaults).
     """
+    from pyspark.errors import AnalysisException
     feed_t = T.ArrayType(T.StructType([T.StructField("name", T.StringType()),
                                        T.StructField("url", T.StringType())]))
-    cfg = spark.read.schema(T.StructType([T.StructField("feeds", feed_t)])).option("multiLine", True).json(path)
+    schema = T.StructType([T.StructField("feeds", feed_t)])
+    try:
+        cfg = spark.read.schema(schema).option("multiLine", True).json(path)
+        cfg.limit(1).count()  # surfaces a missing path now, not at the first action downstream
+    except AnalysisException:
+        cfg = spark.createDataFrame([((default_feeds or []),)], schema)
     return registry_from_feeds(cfg.select(F.posexplode("feeds").alias("registry_pos", "f")))
 
 

@@ -79,3 +79,22 @@ def test_write_digests_rerun_replaces_one_date(spark, tmp_path):
     assert got == {"2026-04-01": "# one", "2026-04-02": "# two v2"}
     sinks.write_scorecard(spark.createDataFrame([("c", 0.5)], "cycle string, score double"), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).first().score == 0.5
+
+
+def test_source_selection_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "payloads")
+    rows = [(f"p{i}", "u", k, None, "<feed/>") for i, k in enumerate(["feed", "arxiv", "serp"] * 3)]
+    (spark.createDataFrame(rows, "payload_id string, url string, kind string, fetched_at timestamp, body string")
+     .write.partitionBy("kind").parquet(path))
+    chosen = select_sources(spark.read.parquet(path), papers=False, feeds=True, web=False).select("payload_id")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan and "feed" in plan.split("PartitionFilters:")[1]
+    assert "body" not in plan.split("ReadSchema:")[1].split("\n")[0]   # column pruning
+    assert chosen.count() == 3
+
+
+def test_registry_missing_config_uses_defaults(spark, tmp_path):
+    reg = read_feed_registry(spark, str(tmp_path / "nope.json"), default_feeds=[{"name": "N", "url": "http://n"}])
+    assert [tuple(r) for r in reg.collect()] == [(0, "N", "http://n")]
+    (tmp_path / "empty.json").write_text("{}")
+    assert read_feed_registry(spark, str(tmp_path / "empty.json"), default_feeds=[{"url": "u"}]).count() == 0

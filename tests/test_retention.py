@@ -65,3 +65,11 @@ def test_apply_retention_on_partitioned_dataset(spark, tmp_path):
     assert sorted(r.digest_date.isoformat() if hasattr(r.digest_date, "isoformat") else r.digest_date
                   for r in spark.read.parquet(live).collect()) == ["2026-04-20", "2026-04-21"]
     assert spark.read.parquet(archive).count() == 2
+
+
+def test_dry_run_listing_in_name_order(spark):
+    t = dt.datetime(2026, 4, 22)
+    inv = _inv(spark, [("/d/digest_2026-04-02.md", t, 1), ("/d/digest_2026-04-01.md", t, 1),
+                       ("/d/digest_2026-04-21.md", t, 1)])
+    rows = [tuple(r) for r in rt.dry_run_listing(rt.mark_expired(inv, AS_OF, 7), "delete").collect()]
+    assert rows == [("/d/digest_2026-04-01.md", "delete"), ("/d/digest_2026-04-02.md", "delete")]

@@ -46,3 +46,32 @@ def test_stream_scorecard_watermark(spark, tmp_path):
     rows = {r.window_start.date().isoformat(): (r.n_checks, r.n_passed)
             for r in spark.read.parquet(out).collect()}
     assert rows == {"2026-04-01": (2, 1)}   # the late row is dropped; the last day is still open
+
+
+def test_stream_digests_rerender_only_touched_days(spark, sf_small, tmp_path):
+    from feedlake.operators import digest as dg
+    from feedlake.operators import summarize as sm
+    from feedlake.streaming.digests import stream_digests
+    payloads = fx.feed_payloads(spark, sf_small, with_rejects=False)
+    days = sorted(r.d for r in payloads.select(F.date_format("fetched_at", "yyyy-MM-dd").alias("d"))
+                  .distinct().collect())
+    first_day = payloads.where(F.date_format("fetched_at", "yyyy-MM-dd") == days[0])
+    later = payloads.where(F.date_format("fetched_at", "yyyy-MM-dd") != days[0])
+    landing, items, out, ck = (str(tmp_path / d) for d in ("landing", "items", "digests", "ckpt"))
+
+    def run():
+        q = stream_digests(spark, landing, items, out, checkpoint=ck, schema=payloads.schema)
+        q.awaitTermination()
+
+    land_payloads(first_day, landing)
+    run()
+    read = lambda: {str(r.digest_date): r.value for r in
+                    spark.read.text(out, wholetext=True).collect()}
+    stamp = read()
+    land_payloads(later, landing)
+    run()
+    final = read()
+    assert sorted(final) == days and list(stamp) == [days[0]]
+    arts = sm.with_summaries(ex.extract_articles(payloads).withColumn("digest_key", dg.digest_day()), "article")
+    batch = dg.render_digests(dg.build_digest_items(None, arts, None))
+    assert {r.digest_key: r.md + "\n" for r in batch.collect()} == final
