@@ -1,6 +1,5 @@
 """Digest rendering, caps and numbering."""
 import pytest
-from pyspark.sql import functions as F
 
 from feedlake.operators import digest as dg
 from feedlake.operators import summarize as sm

@@ -1,5 +1,4 @@
 """Payload parsing: Atom, RSS, dispatch, rejects, arXiv, search pages."""
-from pyspark.sql import functions as F
 
 from conftest import payloads_df
 from feedlake.operators import extract as ex

@@ -1,7 +1,6 @@
 """Health: error-line scan, probe classification, scorecards, gate."""
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from feedlake.operators import quality as qa
 

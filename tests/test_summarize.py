@@ -1,26 +1,38 @@
-"""Completion parsing (checked against a plain-Python state machine), prompts, fallback join."""
+"""Completion parsing (checked against a field-by-field Python oracle), prompts, fallback join."""
+import itertools
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from feedlake.operators import summarize as sm
 
 
+MARKERS = (("H", "HEADLINE:"), ("P", "KEY POINTS:"), ("R", "RELEVANCE:"))
+
+
 def brute_parse(text):
-    """Straightforward line-by-line reading of the summary format (test oracle)."""
-    headline, points, relevance, section = "", [], "", None
-    for raw in text.splitlines():
-        line = raw.strip()
-        up = line.upper()
-        if up.startswith("HEADLINE:"):
-            headline, section = line.split(":", 1)[-1].strip(), "h"
-        elif up.startswith("KEY POINTS:"):
-            section = "p"
-        elif up.startswith("RELEVANCE:"):
-            relevance, section = line.split(":", 1)[-1].strip(), "r"
-        elif section == "p" and line.startswith("-"):
-            points.append(line.lstrip("- ").strip())
-        elif section == "r" and line and not relevance:
-            relevance = line
+    """Field-by-field reading of the summary format (test oracle).
+
+    Classify every stripped line, carry the last marker forward as the
+    section, then derive each field on its own: the last headline marker, the
+    dash lines under KEY POINTS, the last relevance marker or the first
+    non-empty plain line in its section.
+    """
+    lines = [l.strip() for l in text.splitlines()]
+    tags = [next((t for t, m in MARKERS if l.upper().startswith(m)), None) for l in lines]
+    sections = list(itertools.accumulate(tags, lambda prev, t: t or prev))
+    plain = [t is None for t in tags]
+    heads = [i for i, t in enumerate(tags) if t == "H"]
+    headline = lines[heads[-1]].partition(":")[2].strip() if heads else ""
+    points = [re.sub(r"^[- ]+", "", l).strip()
+              for l, p, s in zip(lines, plain, sections) if p and s == "P" and l.startswith("-")]
+    rels = [i for i, t in enumerate(tags) if t == "R"]
+    relevance = ""
+    if rels:
+        r = rels[-1]
+        relevance = lines[r].partition(":")[2].strip() or next(
+            (l for l, p, s in zip(lines[r + 1:], plain[r + 1:], sections[r + 1:]) if p and s == "R" and l), "")
     return (headline or text.split("\n")[0][:120], points or [text[:200]],
             relevance or "See abstract for details.")
 
