@@ -152,6 +152,40 @@ def number_items(items: DataFrame) -> DataFrame:
                                           F.col("title"), F.lit("\n"), F.col("rest"))))
 
 
+def number_items_split(items: DataFrame, partitions: int | None = None) -> DataFrame:
+    """WIN-2 for uncapped digests: a hot (digest, section) is numbered by many tasks.
+
+    Items are range-partitioned on (digest_key, section, ord), so one large
+    group spans several partitions; each row gets its position inside its
+    partition, and a small table of per-partition counts (one row per
+    partition and group) yields the offsets. That layout is checkpointed to the
+    shared checkpoint folder first, so a recomputation after a lost executor
+    cannot move rows between partitions. Same numbers as ``number_items``.
+    """
+    from feedlake.session import ensure_checkpoint_dir
+    from feedlake.sources import broadcast_if_small
+
+    spark = items.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_pid", "digest_key", "section"]
+    ranged = (items.repartitionByRange(n, "digest_key", "section", "ord")
+              .sortWithinPartitions("digest_key", "section", "ord")
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_i", F.monotonically_increasing_id())
+              .checkpoint())
+    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
+    # one row per (partition, group): a group spans at most ``n`` rows here
+    w = Window.partitionBy("digest_key", "section").orderBy("_pid")
+    offsets = counts.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).select(*keys, "_off", "_i0")
+    rn = F.col("_off") + (F.col("_i") - F.col("_i0")) + 1
+    return (ranged.join(broadcast_if_small(offsets), keys)
+            .withColumn("rn", rn.cast("int"))
+            .withColumn("block", F.concat(F.lit("### "), F.col("rn").cast("string"), F.lit(". "),
+                                          F.col("title"), F.lit("\n"), F.col("rest")))
+            .drop("_pid", "_i", "_off", "_i0"))
+
+
 def _section_lines(sorted_items: Column, section: int) -> Column:
     header, empty = SECTIONS[section]
     blocks = F.transform(F.filter(sorted_items, lambda x: x["section"] == section), lambda x: x["block"])
@@ -160,7 +194,8 @@ def _section_lines(sorted_items: Column, section: int) -> Column:
 
 
 def render_digests(items: DataFrame, title: str = DEFAULT_TITLE, footer: str = DEFAULT_FOOTER,
-                   keys: DataFrame | None = None, show_date: bool = True) -> DataFrame:
+                   keys: DataFrame | None = None, show_date: bool = True,
+                   split_hot_groups: bool = False) -> DataFrame:
     """One Markdown document per ``digest_key`` (AGG-1, JOIN-4).
 
     ``items`` is the union of ``digest_items`` of the three kinds. Every
@@ -168,13 +203,16 @@ def render_digests(items: DataFrame, title: str = DEFAULT_TITLE, footer: str = D
     frame with ``digest_key``) adds digests that have no items at all: they
     enter as marker rows, so no join is needed for the section spine. The
     ``digest_key`` doubles as the date line when ``show_date``.
+    ``split_hot_groups`` numbers with ``number_items_split`` (for uncapped
+    runs); the one string per digest is still assembled per digest, as the
+    output requires.
     """
     if keys is not None:
         markers = keys.select("digest_key").distinct().select(
             "digest_key", F.lit(0).alias("section"), F.lit(None).cast(items.schema["ord"].dataType).alias("ord"),
             F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("rest"))
         items = items.unionByName(markers)
-    numbered = number_items(items)
+    numbered = number_items_split(items) if split_hot_groups else number_items(items)
     agg = numbered.groupBy("digest_key").agg(
         F.array_sort(F.collect_list(F.struct("section", "rn", "block"))).alias("_items"))
     head = F.array(F.lit(f"# {title}"), F.lit(""))

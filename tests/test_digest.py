@@ -1,5 +1,6 @@
 """Digest rendering, caps and numbering."""
 import pytest
+from pyspark.sql import functions as F
 
 from feedlake.operators import digest as dg
 from feedlake.operators import summarize as sm
@@ -93,3 +94,23 @@ def test_numbering_restarts_per_section_and_plan_shares_exchange(spark):
     # above it (window, partial and final aggregate) there is no other exchange
     above = plan.split("REPARTITION_BY_COL")[0]
     assert above.count("Exchange") == 1 and "Window" in above and "ObjectHashAggregate" in above, plan
+
+
+def test_split_numbering_equals_window_numbering(spark, sf_small):
+    from feedlake.plans import catalog as C
+    items = dg.build_digest_items(*C.digest_sources(spark, sf_small), articles_per_feed=None,
+                                  papers_per_digest=None, web_per_digest=None)
+    cols = ["digest_key", "section", "rn", "title", "block"]
+    a = dg.number_items(items).select(*cols)
+    b = dg.number_items_split(items, partitions=7).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # one hot digest: 3000 items of one section spread over several range partitions
+    hot = _articles(spark, [("hot", f"p{i // 50:03d}", i % 50, None, "F", f"t{i}", "l", "s", "", [])
+                            for i in range(3000)])
+    hot_items = dg.build_digest_items(None, hot.withColumn("summary_s", sm.fallback_summary("article")), None,
+                                      articles_per_feed=None)
+    nums = dg.number_items_split(hot_items, partitions=6)
+    got = sorted((r.title, r.rn) for r in nums.collect())
+    assert sorted(r for _, r in got) == list(range(1, 3001))
+    assert dict(got)["t0"] == 1 and dict(got)["t2999"] == 3000 and dict(got)["t1234"] == 1235
+    assert dg.render_digests(hot_items, split_hot_groups=True).first().md == dg.render_digests(hot_items).first().md
