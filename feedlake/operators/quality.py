@@ -137,6 +137,29 @@ def latest_artifact(inventory: DataFrame, min_bytes: int = MIN_DIGEST_BYTES,
                       (F.col("_l.length") >= min_bytes).alias("ok"))
 
 
+MAX_TEST_SECONDS = 5.0
+
+
+def test_run_gate(runs: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) -> DataFrame:
+    """Gate rows from test runs ``(ok, duration_sec)``: passed and no slower than 5 s.
+
+    A run without a measured duration fails the gate.
+    """
+    ok = F.col("ok") & F.col("duration_sec").isNotNull() & (F.col("duration_sec") <= MAX_TEST_SECONDS)
+    return runs.select(*group_cols, F.lit("tests").alias("gate"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def clean_tree_gate(status: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) -> DataFrame:
+    """Gate rows from working-tree status lines ``(line)``: any tracked change fails.
+
+    Untracked entries (``??``) are allowed; a cycle without status lines is clean.
+    """
+    code = F.substring(F.col("line"), 1, 2)
+    tracked = (F.trim(code) != "") & (code != "??")
+    return (status.groupBy(*group_cols).agg((F.count_if(tracked) == 0).alias("ok"))
+            .select(*group_cols, F.lit("clean_tree").alias("gate"), "ok"))
+
+
 def release_gate(gates: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) -> DataFrame:
     """AND over all gates per cycle; a gate without a value passes (AGG-9)."""
     agg = gates.groupBy(*group_cols).agg(F.bool_and(F.coalesce("ok", F.lit(True))).alias("ok"),

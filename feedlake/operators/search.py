@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.functions.text import join_names, left_n
+from feedlake.functions.text import join_names, left_n, strip
 
 SORT_COLUMNS = {"submittedDate": "published", "lastUpdatedDate": "updated"}
 LISTING_ABSTRACT_CHARS = 200
@@ -80,13 +80,14 @@ def paper_listing(papers: DataFrame) -> DataFrame:
     """Compact listing row per paper (EXT-5): joined authors/categories, 200-char abstract."""
     authors = F.transform(F.coalesce("authors", F.array().cast("array<string>")),
                           lambda a: F.coalesce(a, F.lit("")))
+    pid = strip(F.col("arxiv_id"))  # the listing reads the id stripped
     return papers.select(
         "*",
-        F.col("arxiv_id").alias("id"),
+        pid.alias("id"),
         join_names(authors).alias("authors_text"),
         join_names(F.col("categories")).alias("categories_text"),
         F.concat(left_n(F.col("summary"), LISTING_ABSTRACT_CHARS), F.lit("...")).alias("abstract"),
-        F.concat(F.lit("https://arxiv.org/pdf/"), F.col("arxiv_id")).alias("pdf"),
+        F.concat(F.lit("https://arxiv.org/pdf/"), pid).alias("pdf"),
     )
 
 

@@ -62,3 +62,17 @@ def test_latest_artifact(spark):
                                 "path string, modificationTime timestamp, length long")
     r = qa.latest_artifact(inv).first()
     assert (r.path, r.length, r.ok) == ("/d/digest_2026-04-02.md", 900, False)
+
+
+def test_gate_inputs(spark):
+    runs = spark.createDataFrame([("c1", True, 0.02), ("c2", True, 6.0), ("c3", False, 0.1), ("c4", True, None)],
+                                 "cycle string, ok boolean, duration_sec double")
+    t = {r.cycle: r.ok for r in qa.test_run_gate(runs, ["cycle"]).collect()}
+    assert t == {"c1": True, "c2": False, "c3": False, "c4": False}
+    st = spark.createDataFrame([("c1", "?? new.txt"), ("c2", " M file.py"), ("c2", "?? x")],
+                               "cycle string, line string")
+    g = {r.cycle: r.ok for r in qa.clean_tree_gate(st, ["cycle"]).collect()}
+    assert g == {"c1": True, "c2": False}
+    gates = qa.test_run_gate(runs, ["cycle"]).unionByName(qa.clean_tree_gate(st, ["cycle"]))
+    acts = {r.cycle: r.action for r in qa.release_gate(gates, ["cycle"]).collect()}
+    assert acts == {"c1": "FAST-FORWARD", "c2": "INVESTIGATE", "c3": "INVESTIGATE", "c4": "INVESTIGATE"}
