@@ -342,8 +342,7 @@ def ntz_as_instant(c) -> "F.Column":
 
 def q_stream_scorecard(spark, sf):
     """STR-2: daily scorecard over a stream of probe results, 1 hour watermark, append mode."""
-    events = (spark.readStream.schema(fx.table(spark, sf, "events").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(sf))
+    events = fx.table_stream(spark, sf, "events")
     checks = fx.check_rows(events).withColumn("ts", ntz_as_instant("ts"))
     out, ckpt = _scratch(spark, "scores"), _scratch(spark, "scores-ckpt")
     q = (stream_scorecard(checks, "1 day", "1 hour")
