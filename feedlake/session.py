@@ -22,6 +22,19 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB of payloads); the byte targets drive
+# AQE coalescing and skew splitting, so partition counts follow the data size.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",  # respect the byte target
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",        # ~a few hundred MB of XML per parse task
+    "spark.sql.shuffle.partitions": "20000",            # upper bound; AQE coalesces down
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "feedlake", coalesce: bool = True, driver_memory: str = "8g",
                   java_options: str | None = None) -> SparkSession:
