@@ -98,3 +98,15 @@ def test_registry_missing_config_uses_defaults(spark, tmp_path):
     assert [tuple(r) for r in reg.collect()] == [(0, "N", "http://n")]
     (tmp_path / "empty.json").write_text("{}")
     assert read_feed_registry(spark, str(tmp_path / "empty.json"), default_feeds=[{"url": "u"}]).count() == 0
+
+
+def test_error_scan_over_real_report_files(spark, tmp_path):
+    from feedlake.operators import quality as qa
+    (tmp_path / "cycle_report_a.txt").write_text("ok\nERROR x\nno errors here\n")
+    (tmp_path / "cycle_report_b.txt").write_text("fine\n")
+    (tmp_path / "other.txt").write_text("ERROR ignored\n")
+    inv = read_file_inventory(spark, str(tmp_path), glob="cycle_report_*")
+    scan = qa.error_scan(read_report_lines(spark, str(tmp_path)), inv)
+    got = {r.path.rsplit("/", 1)[-1]: (r.n_lines, r.n_errors) for r in scan.collect()}
+    assert got == {"cycle_report_a.txt": (3, 1), "cycle_report_b.txt": (1, 0)}
+    assert qa.error_total(scan).first().ok is False
