@@ -23,6 +23,29 @@ SECTIONS = {
     2: ("## RSS / Blog Articles", "_No articles fetched._"),
     3: ("## Web Search Highlights", "_No web results fetched._"),
 }
+# Markdown line formats of a digest, one %s per field.
+DIGEST_FORMATS = {
+    "title": "# %s",
+    "date": "**Date:** %s",
+    "item_heading": "### %s. %s",
+    "paper_authors": "- **Authors:** %s%s",
+    "paper_et_al": " et al.",
+    "paper_published": "- **Published:** %s | **Category:** %s",
+    "paper_pdf": "- **PDF:** [%s](%s)",
+    "paper_id": "- **arXiv ID:** [%s](https://arxiv.org/abs/%s)",
+    "paper_comment": "- **Comment:** %s",
+    "article_source": "- **Source:** %s",
+    "article_source_default": "RSS",
+    "article_published": "- **Published:** %s",
+    "article_link": "- **Link:** [%s](%s)",
+    "article_authors": "- **Authors:** %s",
+    "web_link": "- **Link:** [%s](%s)",
+    "web_source": "- **Source:** %s",
+    "headline": "**%s**",
+    "key_point": "- %s",
+    "relevance": "_Relevance:_ %s",
+    "item_rule": "---",
+}
 SECTION_OF_KIND = {"paper": 1, "article": 2, "web": 3}
 DEFAULT_TITLE = "Research Digest"
 DEFAULT_FOOTER = "*Generated by feedlake*"
@@ -66,30 +89,28 @@ def digest_day(ts_col: str = "fetched_at") -> Column:
 
 # ---- per-item lines (PRJ-5..8) ---------------------------------------------
 
+def _fmt(name: str, *cols: Column) -> Column:
+    return F.format_string(DIGEST_FORMATS[name], *cols)
+
+
 def _body_lines(summary: Column) -> Column:
     return F.concat(
-        F.array(F.lit(""), F.concat(F.lit("**"), summary["headline"], F.lit("**")), F.lit("")),
-        F.transform(summary["key_points"], lambda p: F.concat(F.lit("- "), p)),
-        F.array(F.lit(""), F.concat(F.lit("_Relevance:_ "), summary["relevance"]), F.lit(""),
-                F.lit("---"), F.lit("")),
+        F.array(F.lit(""), _fmt("headline", summary["headline"]), F.lit("")),
+        F.transform(summary["key_points"], lambda p: _fmt("key_point", p)),
+        F.array(F.lit(""), _fmt("relevance", summary["relevance"]), F.lit(""),
+                F.lit(DIGEST_FORMATS["item_rule"]), F.lit("")),
     )
 
 
-def _md_link(url: Column) -> Column:
-    return F.concat(F.lit("["), url, F.lit("]("), url, F.lit(")"))
-
-
 def paper_meta_lines() -> Column:
     authors = F.col("authors")
-    et_al = F.when(F.size(authors) > MAX_LISTED_AUTHORS, F.lit(" et al.")).otherwise(F.lit(""))
+    et_al = F.when(F.size(authors) > MAX_LISTED_AUTHORS, F.lit(DIGEST_FORMATS["paper_et_al"])).otherwise(F.lit(""))
     lines = F.array(
-        F.concat(F.lit("- **Authors:** "), join_names(F.slice(authors, 1, MAX_LISTED_AUTHORS)), et_al),
-        F.concat(F.lit("- **Published:** "), F.col("published"), F.lit(" | **Category:** "),
-                 F.col("primary_category")),
-        F.concat(F.lit("- **PDF:** "), _md_link(F.col("pdf_url"))),
-        F.concat(F.lit("- **arXiv ID:** ["), F.col("arxiv_id"), F.lit("](https://arxiv.org/abs/"),
-                 F.col("arxiv_id"), F.lit(")")),
-        F.when(F.col("comment") != "", F.concat(F.lit("- **Comment:** "), F.col("comment"))),
+        _fmt("paper_authors", join_names(F.slice(authors, 1, MAX_LISTED_AUTHORS)), et_al),
+        _fmt("paper_published", F.col("published"), F.col("primary_category")),
+        _fmt("paper_pdf", F.col("pdf_url"), F.col("pdf_url")),
+        _fmt("paper_id", F.col("arxiv_id"), F.col("arxiv_id")),
+        F.when(F.col("comment") != "", _fmt("paper_comment", F.col("comment"))),
     )
     return F.filter(lines, lambda x: x.isNotNull())
 
@@ -97,17 +118,16 @@ def paper_meta_lines() -> Column:
 def article_meta_lines() -> Column:
     authors = F.coalesce(F.col("authors"), F.array().cast("array<string>"))
     lines = F.array(
-        F.concat(F.lit("- **Source:** "), or_default(F.col("feed_name"), "RSS")),
-        F.concat(F.lit("- **Published:** "), F.col("published")),
-        F.concat(F.lit("- **Link:** "), _md_link(F.col("link"))),
-        F.when(F.size(authors) > 0, F.concat(F.lit("- **Authors:** "), join_names(authors))),
+        _fmt("article_source", or_default(F.col("feed_name"), DIGEST_FORMATS["article_source_default"])),
+        _fmt("article_published", F.col("published")),
+        _fmt("article_link", F.col("link"), F.col("link")),
+        F.when(F.size(authors) > 0, _fmt("article_authors", join_names(authors))),
     )
     return F.filter(lines, lambda x: x.isNotNull())
 
 
 def web_meta_lines() -> Column:
-    return F.array(F.concat(F.lit("- **Link:** "), _md_link(F.col("href"))),
-                   F.concat(F.lit("- **Source:** "), F.col("source")))
+    return F.array(_fmt("web_link", F.col("href"), F.col("href")), _fmt("web_source", F.col("source")))
 
 
 _META = {"paper": paper_meta_lines, "article": article_meta_lines, "web": web_meta_lines}
@@ -148,8 +168,8 @@ def number_items(items: DataFrame) -> DataFrame:
     w = Window.partitionBy("digest_key", "section").orderBy("ord")
     return (items.repartition("digest_key")
             .withColumn("rn", F.row_number().over(w))
-            .withColumn("block", F.concat(F.lit("### "), F.col("rn").cast("string"), F.lit(". "),
-                                          F.col("title"), F.lit("\n"), F.col("rest"))))
+            .withColumn("block", F.concat(_fmt("item_heading", F.col("rn"), F.col("title")),
+                                          F.lit("\n"), F.col("rest"))))
 
 
 def number_items_split(items: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -181,8 +201,8 @@ def number_items_split(items: DataFrame, partitions: int | None = None) -> DataF
     rn = F.col("_off") + (F.col("_i") - F.col("_i0")) + 1
     return (ranged.join(broadcast_if_small(offsets), keys)
             .withColumn("rn", rn.cast("int"))
-            .withColumn("block", F.concat(F.lit("### "), F.col("rn").cast("string"), F.lit(". "),
-                                          F.col("title"), F.lit("\n"), F.col("rest")))
+            .withColumn("block", F.concat(_fmt("item_heading", F.col("rn"), F.col("title")),
+                                          F.lit("\n"), F.col("rest")))
             .drop("_pid", "_i", "_off", "_i0"))
 
 
@@ -215,8 +235,8 @@ def render_digests(items: DataFrame, title: str = DEFAULT_TITLE, footer: str = D
     numbered = number_items_split(items) if split_hot_groups else number_items(items)
     agg = numbered.groupBy("digest_key").agg(
         F.array_sort(F.collect_list(F.struct("section", "rn", "block"))).alias("_items"))
-    head = F.array(F.lit(f"# {title}"), F.lit(""))
-    date = (F.array(F.concat(F.lit("**Date:** "), F.col("digest_key")), F.lit(""))
+    head = F.array(F.lit(DIGEST_FORMATS["title"] % title), F.lit(""))
+    date = (F.array(_fmt("date", F.col("digest_key")), F.lit(""))
             if show_date else F.array().cast("array<string>"))
     lines = F.concat(head, F.when(F.col("digest_key") != "", date).otherwise(F.array().cast("array<string>")),
                      _section_lines(F.col("_items"), 1), _section_lines(F.col("_items"), 2),

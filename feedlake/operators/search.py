@@ -11,7 +11,14 @@ from pyspark.sql.window import Window
 from feedlake.functions.text import join_names, left_n, strip
 
 SORT_COLUMNS = {"submittedDate": "published", "lastUpdatedDate": "updated"}
+
+# The compact listing: abstract length and suffix, PDF link prefix,
+# and one entry (number, id, title, authors, published, categories, abstract, pdf).
 LISTING_ABSTRACT_CHARS = 200
+LISTING_ABSTRACT_SUFFIX = "..."
+LISTING_PDF_PREFIX = "https://arxiv.org/pdf/"
+LISTING_ENTRY = ("%s. [%s] %s\n   Authors: %s\n   Published: %s | Categories: %s\n"
+                 "   Abstract: %s\n   PDF: %s\n\n")
 
 
 def keyword_match(keyword: str, cols: Sequence[Column]) -> Column:
@@ -86,8 +93,8 @@ def paper_listing(papers: DataFrame) -> DataFrame:
         pid.alias("id"),
         join_names(authors).alias("authors_text"),
         join_names(F.col("categories")).alias("categories_text"),
-        F.concat(left_n(F.col("summary"), LISTING_ABSTRACT_CHARS), F.lit("...")).alias("abstract"),
-        F.concat(F.lit("https://arxiv.org/pdf/"), pid).alias("pdf"),
+        F.concat(left_n(F.col("summary"), LISTING_ABSTRACT_CHARS), F.lit(LISTING_ABSTRACT_SUFFIX)).alias("abstract"),
+        F.concat(F.lit(LISTING_PDF_PREFIX), pid).alias("pdf"),
     )
 
 
@@ -97,12 +104,8 @@ def listing_text(listing: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     Groups are result lists of a bounded top-k, so one group's text is small.
     """
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    entry = F.concat(
-        F.col("n").cast("string"), F.lit(". ["), F.col("id"), F.lit("] "), F.col("title"),
-        F.lit("\n   Authors: "), F.col("authors_text"),
-        F.lit("\n   Published: "), F.col("published"), F.lit(" | Categories: "), F.col("categories_text"),
-        F.lit("\n   Abstract: "), F.col("abstract"),
-        F.lit("\n   PDF: "), F.col("pdf"), F.lit("\n\n"))
+    entry = F.format_string(LISTING_ENTRY, F.col("n"), F.col("id"), F.col("title"), F.col("authors_text"),
+                            F.col("published"), F.col("categories_text"), F.col("abstract"), F.col("pdf"))
     numbered = listing.withColumn("n", F.row_number().over(w)).withColumn("_entry", entry)
     return (numbered.groupBy(*group_cols)
             .agg(F.count(F.lit(1)).alias("n_papers"),
