@@ -19,6 +19,9 @@ MONTH_NAMES = [
     "january", "february", "march", "april", "may", "june", "july", "august",
     "september", "october", "november", "december",
 ]
+# Fixed value: prefix of dated digest file names (``digest_<Y-M-D>.<ext>``).
+DIGEST_NAME_PREFIX = "digest_"
+
 # Day names that may lead an RFC 2822 date without a comma.
 DAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
@@ -67,6 +70,6 @@ def norm_date(c) -> Column:
 def name_date(c) -> Column:
     """DATE from a file name ``digest_<Y-M-D>.<ext>``; null if it does not parse."""
     name = F.element_at(F.split(_col(c), "/"), -1)
-    part = F.regexp_extract(name, r"^digest_([^.]*)", 1)
-    return F.when(name.startswith("digest_") & part.rlike(_YMD_RE),
+    part = F.regexp_extract(name, "^" + DIGEST_NAME_PREFIX + r"([^.]*)", 1)
+    return F.when(name.startswith(DIGEST_NAME_PREFIX) & part.rlike(_YMD_RE),
                   F.call_function("try_to_date", part, F.lit("yyyy-M-d")))

@@ -44,9 +44,13 @@ def left_n(c, n: int) -> Column:
     return F.substring(_col(c), 1, n)
 
 
+# Fixed value: the path part that precedes an arXiv id in an entry id.
+ABS_MARKER = "/abs/"
+
+
 def after_abs(c) -> Column:
     """Text after the last ``/abs/`` (whole string when absent)."""
-    return F.element_at(F.split(_col(c), "/abs/"), -1)
+    return F.element_at(F.split(_col(c), ABS_MARKER), -1)
 
 
 def strip_tags(c) -> Column:

@@ -15,6 +15,13 @@ from feedlake.functions.dates import norm_date
 from feedlake.functions.text import after_abs, first, first_match, left_n, one_line, strip, strip_tags
 from feedlake.functions.xml import ATOM_NS, binds, canonical, root_name
 
+# Title of an item without one, the link relation kept besides none,
+# the PDF link around an arXiv id, and the source name of search hits.
+UNTITLED = "Untitled"
+ALTERNATE_REL = "alternate"
+PDF_URL_PREFIX, PDF_URL_SUFFIX = "https://arxiv.org/pdf/", ".pdf"
+WEB_SOURCE = "web"
+
 PARSED = "_doc"
 # Payload columns carried onto every extracted item.
 PAYLOAD_KEEP = ("payload_id", "url", "kind", "fetched_at", "registry_pos")
@@ -32,7 +39,7 @@ def _text_or(*cols: Column) -> Column:
     return out
 
 
-def _title(raw: Column, missing: str | None = "Untitled") -> Column:
+def _title(raw: Column, missing: str | None = UNTITLED) -> Column:
     if missing is None:
         return one_line(F.coalesce(raw, F.lit("")))
     return F.when(_present(raw), one_line(raw)).otherwise(F.lit(missing))
@@ -58,7 +65,7 @@ def _parsed(df: DataFrame) -> DataFrame:
 # code-generated projection where common subexpressions are computed once.
 
 def _atom_raw(e: Column) -> Column:
-    link = first_match(e["link"], lambda l: l["_rel"].isNull() | (l["_rel"] == "alternate"))
+    link = first_match(e["link"], lambda l: l["_rel"].isNull() | (l["_rel"] == ALTERNATE_REL))
     names = F.transform(e["author"], lambda a: first(a["name"]))
     return F.struct(
         first(e["title"]).alias("title_raw"),
@@ -209,7 +216,7 @@ def _paper_fields() -> list[Column]:
         left_n(F.coalesce(F.col("updated_raw"), F.lit("")), 10).alias("updated"),
         F.coalesce(F.col("primary_raw"), F.lit("")).alias("primary_category"),
         F.col("categories"),
-        F.concat(F.lit("https://arxiv.org/pdf/"), aid, F.lit(".pdf")).alias("pdf_url"),
+        F.concat(F.lit(PDF_URL_PREFIX), aid, F.lit(PDF_URL_SUFFIX)).alias("pdf_url"),
         F.when(_present(comment), strip(comment)).otherwise(F.lit("")).alias("comment"),
     ]
 
@@ -247,7 +254,7 @@ def extract_web_results(pages: DataFrame, max_results: int | None = 5,
                          strip(strip_tags(g(2))).alias("title"),
                          strip(g(1)).alias("href"),
                          strip(strip_tags(g(3))).alias("body"),
-                         F.lit("web").alias("source")))
+                         F.lit(WEB_SOURCE).alias("source")))
 
 
 def source_counts(items: DataFrame, by=("kind", "feed_name")) -> DataFrame:

@@ -25,6 +25,11 @@ FAIL_GRADE = "D"
 PASS_SCORE = 0.8
 MIN_DIGEST_BYTES = 1000
 NEWEST_REPORTS = 10
+# HTTP statuses of the probe rule (ok; rate limited, ok for the paper
+# API; HEAD not allowed, retried with GET).
+STATUS_OK, STATUS_RATE_LIMITED, STATUS_HEAD_NOT_ALLOWED = 200, 429, 405
+# Latest-digest file pattern (``digest_*.md``).
+DIGEST_FILE_PREFIX, DIGEST_FILE_SUFFIX = "digest_", ".md"
 
 ERROR_PATTERN = r"(?iU)\b(" + "|".join(ERROR_WORDS) + r")\b"
 
@@ -72,9 +77,9 @@ def check_ok(kind: Column, method: Column, status: Column) -> Column:
     200 is ok; 429 is ok for the paper API only; a feed answering HEAD with
     405 is retried with GET and that attempt decides; anything else fails.
     """
-    return (F.when(kind == "arxiv", status.isin(200, 429))
-            .when(status == 200, F.lit(True))
-            .when((method == "HEAD") & (status == 405), F.lit(None).cast("boolean"))
+    return (F.when(kind == "arxiv", status.isin(STATUS_OK, STATUS_RATE_LIMITED))
+            .when(status == STATUS_OK, F.lit(True))
+            .when((method == "HEAD") & (status == STATUS_HEAD_NOT_ALLOWED), F.lit(None).cast("boolean"))
             .otherwise(F.lit(False)))
 
 
@@ -127,7 +132,7 @@ def scorecard(outcomes: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) ->
 
 
 def latest_artifact(inventory: DataFrame, min_bytes: int = MIN_DIGEST_BYTES,
-                    group_cols: Sequence[str] = (), prefix: str = "digest_", suffix: str = ".md") -> DataFrame:
+                    group_cols: Sequence[str] = (), prefix: str = DIGEST_FILE_PREFIX, suffix: str = DIGEST_FILE_SUFFIX) -> DataFrame:
     """Most recently modified ``digest_*.md`` file and its size gate (AGG-5)."""
     name = F.element_at(F.split("path", "/"), -1)
     files = inventory.where(name.startswith(prefix) & name.endswith(suffix))

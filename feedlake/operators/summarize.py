@@ -12,6 +12,11 @@ from feedlake.functions.text import LINE_BREAKS, left_n, strip, strip_bullet
 
 KINDS = ("paper", "article", "web")
 
+# Section markers of a completion (matched case-insensitively at line start).
+HEADLINE_MARKER = "HEADLINE:"
+POINTS_MARKER = "KEY POINTS:"
+RELEVANCE_MARKER = "RELEVANCE:"
+
 # Prompt templates per item kind (title, text placeholders).
 PROMPT_TEMPLATES = {
     "paper": (
@@ -74,9 +79,9 @@ _STATE = "struct<headline:string,points:array<string>,relevance:string,section:s
 def _step(acc: Column, raw: Column) -> Column:
     line = strip(raw)
     up = F.upper(line)
-    is_head = up.startswith("HEADLINE:")
-    is_points = up.startswith("KEY POINTS:")
-    is_rel = up.startswith("RELEVANCE:")
+    is_head = up.startswith(HEADLINE_MARKER)
+    is_points = up.startswith(POINTS_MARKER)
+    is_rel = up.startswith(RELEVANCE_MARKER)
     bullet = ~is_head & ~is_points & ~is_rel & (acc["section"] == "points") & line.startswith("-")
     rel_line = (~is_head & ~is_points & ~is_rel & (acc["section"] == "relevance")
                 & (line != "") & (acc["relevance"] == ""))

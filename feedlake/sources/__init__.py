@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 from feedlake import schemas
 from feedlake.functions.text import json_get, split_lines
 
+# Feed name when the config gives none; title of a search hit without one.
+DEFAULT_FEED_NAME = "RSS"
+UNTITLED_HIT = "Untitled"
+
 # Largest side (rows) we broadcast without a shuffle join; checked per call.
 BROADCAST_MAX_ROWS = 100_000
 
@@ -77,7 +81,7 @@ def registry_from_feeds(exploded: DataFrame) -> DataFrame:
     f = F.col("f")
     return (exploded.where(F.coalesce(f["url"], F.lit("")) != "")
             .select(F.col("registry_pos").cast("int").alias("registry_pos"),
-                    F.coalesce(f["name"], F.lit("RSS")).alias("name"), f["url"].alias("url")))
+                    F.coalesce(f["name"], F.lit(DEFAULT_FEED_NAME)).alias("name"), f["url"].alias("url")))
 
 
 def attach_feed(payloads: DataFrame, registry: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def read_scorecards(spark: SparkSession, path: str) -> DataFrame:
 def normalize_search_hits(hits: DataFrame) -> DataFrame:
     """Structured search hits -> ``web_results`` columns (SRC-10)."""
     return hits.select(
-        F.coalesce(F.col("title"), F.lit("Untitled")).alias("title"),
+        F.coalesce(F.col("title"), F.lit(UNTITLED_HIT)).alias("title"),
         F.coalesce(F.col("href"), F.lit("")).alias("href"),
         F.coalesce(F.col("body"), F.lit("")).alias("body"),
         F.lit("web").alias("source"),
