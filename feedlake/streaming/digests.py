@@ -1,12 +1,15 @@
 """STR-1 continued: keep rendered digests current as payloads stream in.
 
-Each micro-batch appends its articles to the item table, then re-renders only
-the digest days the batch touched (dynamic partition overwrite replaces those
-days and leaves every other day as it is). The touched-day list of one batch
-is a distinct over the batch, broadcast into a semi join with the item table.
+Each micro-batch of raw payloads (all kinds) is parsed into the three item
+tables (appended, partitioned by day); then only the digest days the batch
+touched are re-rendered from those tables and written with dynamic partition
+overwrite, so every other day stays as it is. The touched-day list of one
+batch is a distinct over the batch, size-checked before it is broadcast into
+semi joins with the item tables.
 """
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,35 +17,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlake import sinks
+from feedlake import schemas, sinks
 from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
 from feedlake.operators import summarize as sm
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, broadcast_if_small
-from feedlake.streaming.ingest import payload_stream
 
+KINDS = {"papers": ("arxiv", "paper"), "articles": ("feed", "article"), "web": ("serp", "web")}
 
-def stream_digests(spark: SparkSession, landing: str, items_path: str, digests_path: str,
+
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stream_digests(spark: SparkSession, landing: str, items_dir: str, digests_path: str,
                    registry: DataFrame | None = None, completions: DataFrame | None = None,
-                   checkpoint: str | None = None, articles_per_feed: int | None = 15,
+                   checkpoint: str | None = None, papers_per_digest: int | None = 5,
+                   articles_per_feed: int | None = 15, web_per_digest: int | None = 5,
                    schema: T.StructType | None = None, available_now: bool = True) -> StreamingQuery:
-    """Feed payloads -> article table (append) -> digests of touched days (overwrite)."""
+    """Payload landing table -> item tables (append) -> digests of touched days (overwrite)."""
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-digests-{uuid.uuid4().hex}"
-    payloads = payload_stream(spark, landing, "feed", "table", schema)
-    if registry is not None:
-        payloads = attach_feed(payloads, registry)
-    arts = ex.extract_articles(payloads).withColumn("digest_key", dg.digest_day())
+    payloads = spark.readStream.schema(schema or schemas.PAYLOADS).parquet(landing)
+    key = {"digest_key": dg.digest_day()}
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").partitionBy("digest_key").parquet(items_path)
-        days = batch.select("digest_key").distinct()
-        table = spark.read.parquet(items_path).withColumn("digest_key", F.col("digest_key").cast("string"))
-        touched = table.join(broadcast_if_small(days), "digest_key", "left_semi")
-        items = dg.build_digest_items(None, sm.with_summaries(touched, "article", completions), None,
-                                      articles_per_feed=articles_per_feed)
+        batch = batch.persist()
+        extracted = {
+            "papers": ex.extract_papers(batch.where(F.col("kind") == "arxiv")),
+            "articles": ex.extract_articles(attach_feed(batch.where(F.col("kind") == "feed"), registry)
+                                            if registry is not None else batch.where(F.col("kind") == "feed")),
+            "web": ex.extract_web_results(batch.where(F.col("kind") == "serp")),
+        }
+        for name, df in extracted.items():
+            df.withColumns(key).write.mode("append").partitionBy("digest_key").parquet(os.path.join(items_dir, name))
+        days = broadcast_if_small(batch.select(dg.digest_day().alias("digest_key")).distinct())
+        parts = {}
+        for name, (_, kind) in KINDS.items():
+            path = os.path.join(items_dir, name)
+            if _table_exists(spark, path):
+                table = spark.read.parquet(path).withColumn("digest_key", F.col("digest_key").cast("string"))
+                parts[name] = sm.with_summaries(table.join(days, "digest_key", "left_semi"), kind, completions)
+        items = dg.build_digest_items(parts.get("papers"), parts.get("articles"), parts.get("web"),
+                                      papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
+                                      web_per_digest=web_per_digest)
         sinks.write_digests(dg.render_digests(items), digests_path)
+        batch.unpersist()
 
-    writer = arts.writeStream.foreachBatch(refresh).option("checkpointLocation", ckpt)
+    writer = payloads.writeStream.foreachBatch(refresh).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

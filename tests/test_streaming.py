@@ -50,28 +50,29 @@ def test_stream_scorecard_watermark(spark, tmp_path):
 
 def test_stream_digests_rerender_only_touched_days(spark, sf_small, tmp_path):
     from feedlake.operators import digest as dg
-    from feedlake.operators import summarize as sm
+    from feedlake.plans import catalog as C
     from feedlake.streaming.digests import stream_digests
-    payloads = fx.feed_payloads(spark, sf_small, with_rejects=False)
-    days = sorted(r.d for r in payloads.select(F.date_format("fetched_at", "yyyy-MM-dd").alias("d"))
-                  .distinct().collect())
-    first_day = payloads.where(F.date_format("fetched_at", "yyyy-MM-dd") == days[0])
-    later = payloads.where(F.date_format("fetched_at", "yyyy-MM-dd") != days[0])
+    payloads = fx.all_payloads(spark, sf_small)
+    day = F.date_format("fetched_at", "yyyy-MM-dd")
+    days = sorted(r.d for r in payloads.select(day.alias("d")).distinct().collect())
     landing, items, out, ck = (str(tmp_path / d) for d in ("landing", "items", "digests", "ckpt"))
+    registry, comps = fx.feed_registry(spark, sf_small), C.completions(spark, sf_small)
 
     def run():
-        q = stream_digests(spark, landing, items, out, checkpoint=ck, schema=payloads.schema)
+        q = stream_digests(spark, landing, items, out, registry=registry, completions=comps, checkpoint=ck,
+                           schema=payloads.schema)
         q.awaitTermination()
+        assert q.exception() is None
 
-    land_payloads(first_day, landing)
+    def read():
+        return {str(r.digest_date): r.value for r in spark.read.text(out, wholetext=True).collect()}
+
+    land_payloads(payloads.where(day == days[0]), landing)
     run()
-    read = lambda: {str(r.digest_date): r.value for r in
-                    spark.read.text(out, wholetext=True).collect()}
-    stamp = read()
-    land_payloads(later, landing)
+    first = read()
+    land_payloads(payloads.where(day != days[0]), landing)
     run()
     final = read()
-    assert sorted(final) == days and list(stamp) == [days[0]]
-    arts = sm.with_summaries(ex.extract_articles(payloads).withColumn("digest_key", dg.digest_day()), "article")
-    batch = dg.render_digests(dg.build_digest_items(None, arts, None))
-    assert {r.digest_key: r.md + "\n" for r in batch.collect()} == final
+    assert list(first) == [days[0]] and sorted(final) == days
+    batch = {r.digest_key: r.md + "\n" for r in C.digests(spark, sf_small).collect()}
+    assert final == batch   # streamed in two batches == one batch job, all three sections
