@@ -262,14 +262,29 @@ def all_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(serp_payloads(spark, sf_dir)))
 
 
-def feed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One registry row per document source (the config's ``feeds`` list)."""
+def feed_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed config as one JSON document: a ``feeds`` entry per document source.
+
+    Sources sorted by name, then an entry without url (skipped) and one
+    without name (defaults to ``RSS``). A config is one document by nature;
+    its size is the number of configured feeds, not the data volume.
+    """
     src = table(spark, sf_dir, "documents").select("source").distinct()
-    # A window over distinct sources only: one row per feed, not per document.
-    pos = F.row_number().over(Window.orderBy("source")) - 1
-    return src.select(pos.cast("int").alias("registry_pos"),
-                      F.concat(F.lit("Feed "), F.upper("source")).alias("name"),
-                      F.concat(F.lit("http://feeds.test/"), F.col("source")).alias("url"))
+    feeds = F.transform(
+        F.array_sort(F.collect_list(F.struct(
+            "source", F.concat(F.lit("Feed "), F.upper("source")).alias("name"),
+            F.concat(F.lit("http://feeds.test/"), F.col("source")).alias("url")))),
+        lambda f: F.struct(f["name"].alias("name"), f["url"].alias("url")))
+    extra = F.array(F.struct(F.lit("Disabled feed").alias("name"), F.lit(None).cast("string").alias("url")),
+                    F.struct(F.lit(None).cast("string").alias("name"),
+                             F.lit("http://feeds.test/unregistered").alias("url")))
+    return src.agg(F.to_json(F.struct(F.concat(feeds, extra).alias("feeds"))).alias("value"))
+
+
+def feed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows parsed from the feed config document (SRC-3, FIL-1)."""
+    from feedlake.sources import registry_from_config_text
+    return registry_from_config_text(feed_config(spark, sf_dir))
 
 
 def completion_response(text: Column, doc_id: Column) -> Column:

@@ -56,6 +56,10 @@ def drop_invalid_utf8(c):
     return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
 
 
+CONFIG_SCHEMA = T.StructType([T.StructField("feeds", T.ArrayType(T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("url", T.StringType())])))])
+
+
 def read_feed_registry(spark: SparkSession, path: str,
                        default_feeds: list[dict] | None = None) -> DataFrame:
     """Config JSON ``{"feeds": [{"name":..,"url":..}, ...]}`` -> registry (SRC-3, FIL-1).
@@ -66,17 +70,20 @@ def read_feed_registry(spark: SparkSession, path: str,
     a config without ``feeds`` has no feeds (the file replaces the defaults).
     """
     from pyspark.errors import AnalysisException
-    feed_t = T.ArrayType(T.StructType([T.StructField("name", T.StringType()),
-                                       T.StructField("url", T.StringType())]))
-    schema = T.StructType([T.StructField("feeds", feed_t)])
     try:
-        cfg = spark.read.schema(schema).option("multiLine", True).json(path)
+        cfg = spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(path)
         cfg.limit(1).count()  # surfaces a missing path now, not at the first action downstream
     except AnalysisException:
-        cfg = spark.createDataFrame([((default_feeds or []),)], schema)
+        cfg = spark.createDataFrame([((default_feeds or []),)], CONFIG_SCHEMA)
     return registry_from_feeds(cfg.select(F.posexplode("feeds").alias("registry_pos", "f")))
 
 
+def registry_from_config_text(config: DataFrame, col: str = "value") -> DataFrame:
+    """Registry from config documents held as JSON text (one document per row)."""
+    cfg = config.select(F.from_json(F.col(col), CONFIG_SCHEMA).alias("c"))
+    return registry_from_feeds(cfg.select(F.posexplode("c.feeds").alias("registry_pos", "f")))
+
+
 def registry_from_feeds(exploded: DataFrame) -> DataFrame:
     f = F.col("f")
     return (exploded.where(F.coalesce(f["url"], F.lit("")) != "")
