@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.functions.dates import norm_date
@@ -102,8 +102,8 @@ def q_feed_cap(spark, sf):
 
 # ---- extraction --------------------------------------------------------------
 
-def _article_out(df: DataFrame) -> DataFrame:
-    return df.select("payload_id", _bigint("pos").alias("pos"), "title", "link",
+def _article_out(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select("payload_id", _bigint("pos").alias("pos"), *extra, "title", "link",
                      F.md5("summary").alias("summary_md5"), F.length("summary").cast("bigint").alias("summary_chars"),
                      "published", F.array_join("authors", "|").alias("authors"))
 
@@ -324,17 +324,16 @@ def _scratch(spark: SparkSession, what: str) -> str:
 
 
 def q_stream_ingest(spark, sf):
-    """STR-1: feed payload files land in a folder; the stream extracts and appends articles."""
+    """STR-1: feed payloads are appended to a landing table; the stream extracts and appends articles."""
     landing, out = _scratch(spark, "landing"), _scratch(spark, "articles")
     payloads = fx.feed_payloads(spark, sf)
     land_payloads(payloads, landing)
     arts = run_ingest_once(spark, landing, out, kind="feed", registry=fx.feed_registry(spark, sf),
                            schema=payloads.schema)
-    return _article_out(arts).join(arts.select("payload_id", _bigint("pos").alias("pos"), "feed_name"),
-                                   ["payload_id", "pos"])
+    return _article_out(arts, "feed_name")
 
 
-def ntz_as_instant(c) -> "F.Column":
+def ntz_as_instant(c) -> Column:
     """TIMESTAMP_NTZ wall clock -> the TIMESTAMP instant with that UTC wall clock."""
     tz = F.current_timezone()
     return F.from_utc_timestamp(F.col(c).cast("timestamp"), tz)
