@@ -189,11 +189,13 @@ def number_items_split(items: DataFrame, partitions: int | None = None) -> DataF
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["_pid", "digest_key", "section"]
-    ranged = (items.repartitionByRange(n, "digest_key", "section", "ord")
+    layout = (items.repartitionByRange(n, "digest_key", "section", "ord")
               .sortWithinPartitions("digest_key", "section", "ord")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_i", F.monotonically_increasing_id())
-              .checkpoint())
+              .persist())
+    ranged = layout.checkpoint()  # written once from the persisted layout
+    layout.unpersist()
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
     # one row per (partition, group): a group spans at most ``n`` rows here
     w = Window.partitionBy("digest_key", "section").orderBy("_pid")

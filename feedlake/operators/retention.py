@@ -83,8 +83,8 @@ def apply_retention(spark: SparkSession, live_path: str, as_of: str, keep_days:
 
     Expired partitions are appended to ``archive_path`` (mode ``archive``) and
     then removed from the live dataset by deleting their partition folders;
-    only partition folders are listed on the driver, no rows. Returns the
-    totals (one row).
+    only partition folders are listed on the driver, no rows. Returns one row:
+    expired rows archived or deleted, bytes freed on disk, folders removed.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -93,23 +93,23 @@ def apply_retention(spark: SparkSession, live_path: str, as_of: str, keep_days:
     cutoff_day = F.to_date(_cutoff(as_of, keep_days))
     live = spark.read.parquet(live_path)
     expired = live.where(F.col(date_col) < cutoff_day)   # partition pruning
-    totals = expired.agg(F.count(F.lit(1)).alias("n"),
-                         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
-    if mode == "archive" and totals["n"]:
+    n_rows = expired.count()
+    if mode == "archive" and n_rows:
         expired.write.mode("append").partitionBy(date_col).parquet(archive_path)
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(live_path)
     fs = root.getFileSystem(hconf)
     cutoff = spark.range(1).select(cutoff_day.cast("string")).first()[0]
-    removed = 0
+    removed, freed = 0, 0
     for st in fs.listStatus(root):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(date_col + "="):
             if name.split("=", 1)[1] < cutoff:
+                freed += fs.getContentSummary(st.getPath()).getLength()   # bytes on disk
                 fs.delete(st.getPath(), True)
                 removed += 1
-    n = int(totals["n"])
+    n = int(n_rows)
     return spark.createDataFrame(
-        [(n if mode == "archive" else 0, n if mode == "delete" else 0, int(totals["bytes"]), removed)],
+        [(n if mode == "archive" else 0, n if mode == "delete" else 0, int(freed), removed)],
         "archived long, deleted long, bytes_freed long, partitions_removed long")

@@ -61,7 +61,7 @@ def test_apply_retention_on_partitioned_dataset(spark, tmp_path):
     rows = [(d, f"md {d}") for d in ("2026-04-01", "2026-04-10", "2026-04-20", "2026-04-21")]
     spark.createDataFrame(rows, "digest_date string, md string").write.partitionBy("digest_date").parquet(live)
     res = rt.apply_retention(spark, live, AS_OF, 7, mode="archive", archive_path=archive).first()
-    assert (res.archived, res.partitions_removed) == (2, 2)
+    assert (res.archived, res.deleted, res.partitions_removed) == (2, 0, 2) and res.bytes_freed > 0
     assert sorted(r.digest_date.isoformat() if hasattr(r.digest_date, "isoformat") else r.digest_date
                   for r in spark.read.parquet(live).collect()) == ["2026-04-20", "2026-04-21"]
     assert spark.read.parquet(archive).count() == 2
