@@ -76,3 +76,15 @@ def test_stream_digests_rerender_only_touched_days(spark, sf_small, tmp_path):
     assert list(first) == [days[0]] and sorted(final) == days
     batch = {r.digest_key: r.md + "\n" for r in C.digests(spark, sf_small).collect()}
     assert final == batch   # streamed in two batches == one batch job, all three sections
+
+
+def test_stream_ingest_papers_and_search_pages(spark, sf_small, tmp_path):
+    for kind, payloads, extract, cols in (
+            ("arxiv", fx.arxiv_payloads(spark, sf_small), ex.extract_papers, ["payload_id", "pos", "arxiv_id", "title"]),
+            ("serp", fx.serp_payloads(spark, sf_small), ex.extract_web_results, ["payload_id", "pos", "href", "title"])):
+        landing, out, ck = (str(tmp_path / kind / d) for d in ("landing", "out", "ckpt"))
+        land_payloads(payloads, landing)
+        streamed = run_ingest_once(spark, landing, out, kind=kind, checkpoint=ck, schema=payloads.schema)
+        batch = extract(payloads).select(*cols)
+        assert streamed.count() == batch.count() > 0, kind
+        assert streamed.select(*cols).exceptAll(batch).count() == 0, kind
