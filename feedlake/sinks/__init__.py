@@ -31,3 +31,20 @@ def write_items(items: DataFrame, path: str, partition_cols: Sequence[str] = ("d
     """Item tables as Parquet partitioned by day (SNK-4), dynamic overwrite."""
     (items.write.mode(mode).option("partitionOverwriteMode", "dynamic")
           .partitionBy(*partition_cols).parquet(path))
+
+
+def compact_payloads(spark, landing: str, table: str, kind: str, glob: str | None = None,
+                     target_files: int | None = None) -> int:
+    """Fold one-file-per-payload landings into the Parquet payload table (append).
+
+    Reading packs many small files per task (``maxPartitionBytes`` /
+    ``openCostInBytes``); the table then holds few large files, which keeps
+    listing and task scheduling cheap for every later batch or stream read.
+    Returns the number of payloads written.
+    """
+    from feedlake.sources import read_payloads
+    df = read_payloads(spark, landing, kind, glob=glob)
+    if target_files:
+        df = df.coalesce(target_files)
+    df.write.mode("append").parquet(table)
+    return spark.read.parquet(table).where(F.col("kind") == kind).count()

@@ -110,3 +110,16 @@ def test_error_scan_over_real_report_files(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1]: (r.n_lines, r.n_errors) for r in scan.collect()}
     assert got == {"cycle_report_a.txt": (3, 1), "cycle_report_b.txt": (1, 0)}
     assert qa.error_total(scan).first().ok is False
+
+
+def test_compact_payloads(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for i in range(12):
+        (landing / f"p{i}.xml").write_text(
+            f'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t{i}</title></entry></feed>')
+    n = sinks.compact_payloads(spark, str(landing), str(tmp_path / "table"), "feed", target_files=1)
+    assert n == 12
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert len([f for f in (tmp_path / "table").iterdir() if f.name.endswith(".parquet")]) == 1
+    assert sorted(r.title for r in ex.extract_articles(table).collect()) == sorted(f"t{i}" for i in range(12))
