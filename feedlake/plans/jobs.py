@@ -54,8 +54,16 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
                completions: DataFrame | None = None, out: str | None = None, title: str = dg.DEFAULT_TITLE,
                footer: str = dg.DEFAULT_FOOTER, papers_per_digest: int | None = 5,
                articles_per_feed: int | None = 15, web_per_digest: int | None = 5,
-               papers: bool = True, feeds: bool = True, web: bool = False) -> DataFrame:
-    """payloads -> item tables (written) -> summaries -> one digest per day (written when ``out``)."""
+               papers: bool = True, feeds: bool = True, web: bool = False,
+               split_hot_groups: bool | None = None) -> DataFrame:
+    """payloads -> item tables (written) -> summaries -> one digest per day (written when ``out``).
+
+    ``split_hot_groups`` (default: on when any cap is None) numbers items with
+    the range-partitioned split numbering, so an uncapped hot day is numbered
+    by many tasks.
+    """
+    if split_hot_groups is None:
+        split_hot_groups = None in (papers_per_digest, articles_per_feed, web_per_digest)
     t = extract_items(spark, payloads, registry, out, papers=papers, feeds=feeds, web=web)
     kinds = {"papers": "paper", "articles": "article", "web": "web"}
     summarised = {k: sm.with_summaries(v.withColumn("digest_key", F.col("digest_key").cast("string")),
@@ -63,7 +71,7 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
     items = dg.build_digest_items(summarised.get("papers"), summarised.get("articles"), summarised.get("web"),
                                   papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
                                   web_per_digest=web_per_digest)
-    digests = dg.render_digests(items, title=title, footer=footer)
+    digests = dg.render_digests(items, title=title, footer=footer, split_hot_groups=split_hot_groups)
     if out:
         sinks.write_digests(digests, f"{out.rstrip('/')}/digests")
     return digests

@@ -11,3 +11,12 @@ def test_digest_job_matches_catalog(spark, sf_small, tmp_path):
     expected = C.digests(spark, sf_small)
     assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
     assert spark.read.text(str(tmp_path / "run" / "digests")).count() > 0
+
+
+def test_uncapped_job_uses_split_numbering(spark, sf_small, tmp_path):
+    payloads = fx.all_payloads(spark, sf_small)
+    reg = fx.feed_registry(spark, sf_small)
+    kw = dict(papers_per_digest=None, articles_per_feed=None, web_per_digest=None, web=True)
+    split = digest_job(spark, payloads, reg, out=str(tmp_path / "a"), **kw)
+    plain = digest_job(spark, payloads, reg, out=str(tmp_path / "b"), split_hot_groups=False, **kw)
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
