@@ -8,9 +8,10 @@ the merge tree decides compatibility, and back-pointers from the word's end give
 the ids (dynamic programming over prefixes; linear in the word length).
 
 The vocabulary is a ``tokenizers`` JSON file with an ``end_of_word_suffix`` and
-no decoder. Its normalizer and pre-tokenizer are applied by the library; both
-treat white space as a break, so texts are cut there and each distinct chunk is
-handled once per Python worker (a bounded memo).
+no decoder, lower-casing and dropping white space. Its normalizer and pre-tokenizer
+are applied by the library (printable ASCII by the same pattern here); white space
+always ends a word, so texts are cut there and each distinct word is handled once
+per Python worker (a bounded memo).
 
 Defined results: null text = empty text = no ids and an empty decoded text;
 repeated rows are encoded each; extra columns are ignored; texts of any length
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.common import slices
 
-#: White space of the normalizer's ``\s``; str.split also breaks at the four separators below.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Pre-tokenized words of printable lower-case ASCII: what the library's pattern gives there.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 END = "\x00"  # stands for the end-of-word suffix; never a character of a pre-tokenized word
 
@@ -38,7 +40,7 @@ END = "\x00"  # stands for the end-of-word suffix; never a character of a pre-to
 class PrefixBPE:
     """Encoder and decoder of one vocabulary file; ``memo`` bounds the chunk memo."""
 
-    def __init__(self, vocabulary_json: str, memo: int = 300_000):
+    def __init__(self, vocabulary_json: str, memo: int = 800_000):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -117,13 +119,20 @@ class PrefixBPE:
         return ids
 
     def chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece, _ in self.pre_tokenize(self.normalize(text)):
-            found = self.words.get(piece)
+        """Ids of normalized text without white space."""
+        if text.isascii() and text.isprintable():
+            pieces = PIECES.findall(text)
+        else:
+            pieces = [p for p, _ in self.pre_tokenize(text)]
+        out, words = [], self.words
+        for piece in pieces:
+            found = words.get(piece)
             if found is None:
-                found = self.words[piece] = self.word(piece)
-            ids += found
-        return np.array(ids, dtype="<u4").tobytes()
+                found = array("I", self.word(piece)).tobytes()
+                if len(piece) <= 64:
+                    words[piece] = found
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
@@ -132,20 +141,25 @@ class PrefixBPE:
         if self.specials is not None and "<|" in text and self.specials.search(text):
             out, at = [], 0
             for m in self.specials.finditer(text):
-                out += [self.encode(text[at : m.start()]), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
+                out += [self.encode(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
                 at = m.end()
             return b"".join([*out, self.encode(text[at:])])
         for memo in (self.pairs, self.words, self.chunks):
             if len(memo) > self.memo:
                 memo.clear()
-        out, chunks = [], self.chunks
-        for c in SPACE.split(text) if SEPARATORS.search(text) else text.split():
-            found = chunks.get(c)
+        # normalized text has single blanks for white space; str.split would also break at the separators
+        parts = text.lower().split() if text.isascii() and not SEPARATORS.search(text) else self.normalize(text).split(" ")
+        words, chunks = self.words, self.chunks
+        out = [*map(words.get, parts)]
+        for i, found in enumerate(out):
             if found is None:
-                found = self.chunk(c)
-                if len(c) <= 64:
-                    chunks[c] = found
-            out.append(found)
+                c = parts[i]
+                found = words.get(c) or chunks.get(c)
+                if found is None:
+                    found = self.chunk(c)
+                    if len(c) <= 64 and c not in words:
+                        chunks[c] = found
+                out[i] = found
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

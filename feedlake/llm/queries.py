@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, chat_format, mixing, url_filter
+from feedlake.llm import ann, bpe, chat_format, epsilon_grid, mixing, quality, url_filter
 from feedlake.llm.common import table
 
 
@@ -15,11 +15,27 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search_every(table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "epoch", "block", "n_tokens")
