@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import ann, bpe, chat_format, epsilon_grid, mixing, quality, substring_dedup, suffix_dedup, url_filter
+from feedlake.llm import ann, bpe, chat_format, epsilon_grid, mixing, quality, substring_dedup, suffix_dedup, url_filter, vertical_join
 from feedlake.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.jaccard_groups(table(spark, sf_dir, "documents"), threshold=90, words=3)
+
+
 def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
