@@ -212,8 +212,8 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     return _map(df, key, text, vocabulary, "ids binary, decoded string", both)
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Token count and digests of a round trip."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of a round trip with its token count and digests."""
     return encoded.select(
-        key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        *keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

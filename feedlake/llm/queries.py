@@ -16,7 +16,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")), "doc_id")
 
 
 def op2_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:

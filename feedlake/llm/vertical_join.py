@@ -20,8 +20,8 @@ group's smallest class only; linked classes get a common component; the centre l
 groups whose members all share a component are settled. After ``ROUNDS`` rounds what is
 left (members of a group that stayed apart) is compared pair by pair. So no link that
 could change a component is lost, and a group of thousands of near copies costs a few
-rows per member. Keys are dealt by range of (key, class, document digest): a hot key
-spreads over many tasks.
+rows per member. Keys are dealt by range of (key, class), so a hot key spreads over many
+tasks; copies are combined in the tasks that read them.
 
 Defined results: null or empty texts have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with a null id get a null component and
@@ -116,20 +116,26 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long")
 
 
-def _keys(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def _keys(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000) -> DataFrame:
+    """(key, cls) rows; a task emits a class once (as far as it remembers), so copies are combined before the shuffle."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(threshold)
+        bands, seen = Bands(threshold), set()
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                key, cls, salt = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int16)]
-                for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for part in slices(batch, 0, 1 << 20):
+                key, cls = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for text in part.column(0).to_pylist():
                     names = shingle_set(text, words)
+                    whole = set_class(names)
+                    if whole in seen:
+                        continue
+                    if len(seen) >= remembered:
+                        seen.clear()
+                    seen.add(whole)
                     keys = bands.keys(names)
                     key.append(keys.view(np.int64))
-                    cls.append(np.full(len(keys), set_class(names)))
-                    salt.append(np.full(len(keys), doc % 1021, dtype=np.int16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, cls, salt)], names=["key", "cls", "salt"])
-    return docs.select("doc", "text").mapInArrow(work, "key long, cls long, salt short")
+                    cls.append(np.full(len(keys), whole))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, cls)], names=["key", "cls"])
+    return docs.select("text").mapInArrow(work, "key long, cls long")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
             yield table([last_key], [last_cls])
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keys.repartitionByRange(n, "key", "cls", "salt").sortWithinPartitions("key", "cls").select("key", "cls")
+    ordered = keys.repartitionByRange(n, "key", "cls").sortWithinPartitions("key", "cls")
     return ordered.mapInArrow(work, "key long, cls long").distinct()
 
 
