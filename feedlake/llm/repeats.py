@@ -116,10 +116,12 @@ def anchors(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _digests(pieces: list) -> np.ndarray:
-    """128-bit names as two int64 columns."""
+def _digests(pieces: list, place) -> np.ndarray:
+    """128-bit names of texts at a place (offsets in the anchor's window) as two int64 columns."""
     import xxhash
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), dtype=np.int64).reshape(-1, 2)
+    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), dtype=np.uint64).reshape(-1, 2).copy()
+    names[:, 0] = _mix(names[:, 0], np.asarray(place, dtype=np.uint64))
+    return names.view(np.int64)
 
 
 def span_table(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
@@ -137,7 +139,8 @@ def span_table(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
                     names = gram_names(symbols, gram)
                     p, first, last = anchors(names, window - gram + 1)
                     view, size = memoryview(symbols.view(np.uint8)), symbols.itemsize
-                    spans = _digests([view[a * size : (b + window) * size] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                    spans = _digests([view[a * size : (b + window) * size] for a, b in zip(first.tolist(), last.tolist(), strict=True)],
+                                     (p - last) * window + p - first)
                     out.append((np.full(len(p), doc), np.full(len(p), h), p, p - last, p - first, names[p].view(np.int64), spans[:, 0], spans[:, 1]))
                 if out:
                     doc, h, p, lo, hi, g, s1, s2 = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -173,7 +176,7 @@ def _cut_slices(docs: DataFrame, kind: str, window: int, gram: int, block: int)
 
 
 def _block_names(pending: DataFrame, window: int, gram: int, block: int, size: int) -> DataFrame:
-    """(doc, h, p, k, lo, hi, c1, c2, t1, t2): for every pending offset block k its core and span names.
+    """(doc, h, p, lo, hi, c1, c2, t1, t2): for every pending block of offsets its core and span names.
 
     A span that would leave the document is unlike any other (named after its place).
     """
@@ -190,25 +193,26 @@ def _block_names(pending: DataFrame, window: int, gram: int, block: int, size: i
                         cores.append(view[(before - first) * size : (before - top + window) * size])
                         spans.append(view[a * size : b * size] if a >= 0 and b <= n else b"%d %d %d" % (doc, h, p))
             if rows:
-                c, t, r = _digests(cores), _digests(spans), list(zip(*rows, strict=True))
+                r = list(zip(*rows, strict=True))
+                c, t = _digests(cores, r[3]), _digests(spans, r[3])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r[0], pa.int64()), pa.array(r[1], pa.int64()), *[pa.array(x, pa.int32()) for x in r[2:]],
+                    [pa.array(r[0], pa.int64()), pa.array(r[1], pa.int64()), *[pa.array(r[x], pa.int32()) for x in (2, 4, 5)],
                      *[pa.array(np.ascontiguousarray(x[:, j])) for x in (c, t) for j in (0, 1)]],
-                    names=["doc", "h", "p", "k", "lo", "hi", "c1", "c2", "t1", "t2"])
+                    names=["doc", "h", "p", "lo", "hi", "c1", "c2", "t1", "t2"])
 
     fields = ["doc", "h", "p", "lo", "hi", "before", "symbols", "ranges"]
-    return pending.select(*fields).mapInArrow(work, "doc long, h long, p int, k int, lo int, hi int, c1 long, c2 long, t1 long, t2 long")
+    return pending.select(*fields).mapInArrow(work, "doc long, h long, p int, lo int, hi int, c1 long, c2 long, t1 long, t2 long")
 
 
 def _level(entries: DataFrame, core: list[str], span: list[str], later_only: bool, last: bool) -> tuple[DataFrame, DataFrame]:
     """(decided windows (doc, h, a, b), representatives that go on) of one level."""
     spans = materialize(
-        entries.groupBy(*core, *span).agg(
-            F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("final"),
+        entries.groupBy(*span).agg(
+            *[F.min(c).alias(c) for c in core], F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("final"),
             F.min(F.struct("doc", "h", "p", "lo", "hi")).alias("rep"))
         .where(F.lit(True) if not last else (F.col("first") < F.col("final")) if later_only else F.col("n") > 1), "spans")
-    repeated = spans.where("first < final" if later_only else "n > 1").select(*core, *span, "first")
-    hit = entries.join(repeated, [*core, *span])
+    repeated = spans.where("first < final" if later_only else "n > 1").select(*span, "first")
+    hit = entries.select("doc", "h", "p", "lo", "hi", *span).join(repeated, span)
     if later_only:
         hit = hit.where("doc > first")
     decided = hit.select("doc", "h", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo")).alias("b"))
@@ -229,14 +233,14 @@ def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int, blocks:
         raise ValueError("block sizes must divide each other and end with 1")
     size = 8 if kind == "words" else 1
     spans = materialize(span_table(docs, kind, window, gram), "anchors")
-    found, reps = _level(spans, ["g"], ["lo", "hi", "s1", "s2"], later_only, False)
+    found, reps = _level(spans, ["g"], ["s1", "s2"], later_only, False)
     found = [found]
     listed = reps.groupBy("doc", "h").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("reps"))
     around = materialize(_cut_slices(docs.join(listed, ["doc", "h"]).select("doc", "h", "text", "reps"), kind, window, gram, blocks[0]), "around")
     pending = around.withColumn("ranges", F.array(F.struct("lo", "hi")))
     for block in blocks:
         entries = materialize(_block_names(pending, window, gram, block, size), "blocks")
-        decided, reps = _level(entries, ["k", "c1", "c2"], ["t1", "t2"], later_only, block == 1)
+        decided, reps = _level(entries, ["c1", "c2"], ["t1", "t2"], later_only, block == 1)
         found.append(decided)
         if block > 1:
             ranges = reps.groupBy("doc", "h", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
