@@ -15,13 +15,16 @@ Overlaps. For a candidate pair the order is cut into ``PARTS`` vertical fragment
 overlap of each is counted separately and summed per pair, and the pair links if
 100 * intersection >= threshold * union.
 
-Groups. Equal sets form one class first. In a group, all members are compared with the
-group's smallest class only; linked classes get a common component; the centre leaves and
-groups whose members all share a component are settled. After ``ROUNDS`` rounds what is
-left (members of a group that stayed apart) is compared pair by pair. So no link that
-could change a component is lost, and a group of thousands of near copies costs a few
-rows per member. Keys are dealt by range of (key, class), so a hot key spreads over many
-tasks; copies are combined in the tasks that read them.
+Groups. Equal sets form one class first. A pair of a group is verified only if the odd
+sketches of both sets (parities of hashed shingle counts; their Hamming distance never
+exceeds the number of differences) leave a link possible and it would join two components.
+First every member meets its group's smallest class, one partner per member and round, with
+components updated in between; then the groups that still hold several components compare
+all their members' sketches inside tasks (large groups in pairs of blocks of ``BLOCK``
+members), and only pairs that pass are verified. So no link that could change a component
+is lost, and a group of thousands of near copies costs a few rows per member. Keys are
+dealt by range of (key, class), so a hot key spreads over many tasks; copies are combined
+in the tasks that read them.
 
 Defined results: null or empty texts have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with a null id get a null component and
@@ -42,8 +45,10 @@ from feedlake.llm.common import materialize, slices
 from feedlake.llm.components import components
 from feedlake.llm.repeats import _NAMES, _mix
 
-ROUNDS = 4
-PARTS = 4
+ROUNDS = 3     # rounds with one partner per member, before the rest is verified at once
+PARTS = 4      # vertical fragments in which overlaps are counted
+BLOCK = 2048   # members of a group whose sketches one task compares
+SKETCH = 4096  # most bits of an odd sketch
 SLACK = 1     # identical fragments beyond the first that the cut guarantees
 
 
@@ -105,37 +110,52 @@ def set_class(names: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())],
-                    names=["doc", "n", "cls"])
-    return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long")
+def odd_sketch(names: np.ndarray, bits: int) -> bytes:
+    """Parity of the number of shingles per bit, packed."""
+    return np.packbits((np.bincount((names & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_bits(n: int) -> int:
+    """A power of two, about twice the set's size."""
+    return min(SKETCH, max(64, 1 << (2 * n - 1).bit_length()))
+
+
+def fold(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketch rows of packed bytes reduced to ``width`` bytes: bit i of the result is the parity of all i + k * 8 * width."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, width), axis=1)
 
 
-def _keys(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000) -> DataFrame:
-    """(key, cls) rows; a task emits a class once (as far as it remembers), so copies are combined before the shuffle."""
+def most_differences(nx, ny, threshold: int):
+    return (nx + ny) * (100 - threshold) // (100 + threshold)
+
+
+def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000) -> DataFrame:
+    """(doc, n, cls, sketch, keys array<long>): one pass over the texts.
+
+    A task gives sketch and keys of a class once (as far as it remembers), so copies are
+    combined before any shuffle.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(threshold), set()
         for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
-                key, cls = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for text in part.column(0).to_pylist():
+            for part in slices(batch, 1):
+                n, cls, sketch, keys = [], [], [], []
+                for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     names = shingle_set(text, words)
                     whole = set_class(names)
-                    if whole in seen:
-                        continue
-                    if len(seen) >= remembered:
-                        seen.clear()
-                    seen.add(whole)
-                    keys = bands.keys(names)
-                    key.append(keys.view(np.int64))
-                    cls.append(np.full(len(keys), whole))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, cls)], names=["key", "cls"])
-    return docs.select("text").mapInArrow(work, "key long, cls long")
+                    n.append(len(names))
+                    cls.append(whole)
+                    again = whole in seen or doc is None or not len(names)
+                    sketch.append(None if again else odd_sketch(names, sketch_bits(len(names))))
+                    keys.append(None if again else bands.keys(names).view(np.int64))
+                    if not again:
+                        if len(seen) >= remembered:
+                            seen.clear()
+                        seen.add(whole)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc", "n", "cls", "sketch", "keys"])
+    return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -213,39 +233,114 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
             .where(F.col("both") * (100 + threshold) >= threshold * (F.col("nx") + F.col("ny"))).select("x", "y"))
 
 
+def _possible(pairs: DataFrame, threshold: int) -> DataFrame:
+    """The (x, y) of pairs (x, y, nx, ny, sx, sy) whose sketches allow a link."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for nx, ny, a, b in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+                a, b = (np.frombuffer(v, np.uint8)[None, :] for v in (a, b))
+                width = min(a.shape[1], b.shape[1])
+                ok.append(np.bitwise_count(fold(a, width) ^ fold(b, width)).sum() <= most_differences(nx, ny, threshold))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(work, "x long, y long")
+
+
+def _compare_groups(live: DataFrame, threshold: int) -> DataFrame:
+    """(x, y): pairs of members of a group in different components whose sketches allow a link.
+
+    ``live`` has key, cls, component, n, sketch. A group of more than ``BLOCK`` members is
+    dealt to the pairs of its blocks.
+    """
+    size = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = (live.join(size, "key").withColumn("own", F.pmod(F.hash("cls"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"),
+                     "own", "cls", "component", "n", "sketch")
+             .repartition("task").sortWithinPartitions("task"))
+
+    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        cls, comp, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (2, 3, 4))
+        own, mixed = np.array([r[1] for r in rows]), rows[0][0]["i"] != rows[0][0]["j"]
+        width = min(len(r[5]) for r in rows)
+        bits = np.concatenate([fold(np.frombuffer(r[5], np.uint8)[None, :], width) for r in rows]).view(np.uint64)
+        xs, ys = [], []
+        for a in range(len(rows)):
+            b = np.flatnonzero((cls > cls[a]) & (comp != comp[a]) & ((own != own[a]) | (not mixed)))
+            far = np.bitwise_count(bits[b] ^ bits[a]).sum(1)
+            b = b[far <= most_differences(n[b], n[a], threshold)]
+            xs.append(np.full(len(b), cls[a]))
+            ys.append(cls[b])
+        return np.concatenate(xs), np.concatenate(ys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done():
+            x, y = pairs_of(held)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield done()
+                    held = []
+                held.append(row)
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(work, "x long, y long").distinct()
+
+
 def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs``: the smallest id reachable by links."""
     given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = materialize(_sets(given, words), "sets")
-    usable = sets.where("doc is not null and n > 0")
-    classes = materialize(usable.groupBy("cls").agg(F.min("doc").alias("doc")), "classes")
-    group = materialize(_shared_keys(_keys(given.where("doc is not null"), words, threshold)), "groups")
-    wanted = group.select("cls").distinct().join(classes, "cls")
-    segments = materialize(_segments(wanted.join(given, "doc"), words), "segments")
-    edges = materialize(classes.limit(0).select(F.col("doc").alias("u"), F.col("doc").alias("v")), "edges")
+    sets = materialize(_sets(given, words, threshold), "sets")
+    classes = materialize(sets.where("doc is not null and n > 0").groupBy("cls").agg(
+        F.min("doc").alias("doc"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    keys = sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls")
+    group = materialize(_shared_keys(keys), "groups")
+    group = group.join(classes.select("cls", "doc"), "cls")
+    told = lambda c: classes.select(F.col("cls").alias(c), F.col("doc").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    edges = classes.limit(0).select(F.col("doc").alias("u"), F.col("doc").alias("v"))
     reached = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    state = group.join(classes, "cls").select("key", "cls", F.col("doc").alias("component"), "doc")
-    for turn in range(ROUNDS + 1):
-        stat = state.groupBy("key").agg(
-            F.min(F.struct("cls", "component")).alias("centre"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        live = materialize(state.join(stat.select("key", "centre"), "key"), "live")
-        if turn < ROUNDS:
-            pairs = live.where("component <> centre.component").select(F.col("centre.cls").alias("x"), F.col("cls").alias("y"))
+
+    def of(frame: DataFrame, doc: str, name: str) -> DataFrame:
+        to = reached.select(F.col("node").alias(f"_{name}"), F.col("component").alias(f"c_{name}"))
+        return frame.join(to, F.col(doc) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(f"c_{name}", doc)).drop(f"_{name}", f"c_{name}")
+
+    def mixed(state: DataFrame) -> DataFrame:
+        return state.groupBy("key").agg(F.min("cls").alias("centre"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "centre")
+
+    for step in ("centres", "members"):
+        state = of(group, "doc", "component")
+        live = state.join(mixed(state), "key")
+        if step == "centres":
+            near = live.where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y")).distinct()
+            near = _possible(near.join(told("x"), "x").join(told("y"), "y"), threshold)
         else:
-            other = live.select("key", F.col("cls").alias("y"), F.col("component").alias("other"))
-            pairs = live.join(other, "key").where("cls < y and component <> other").select(F.col("cls").alias("x"), "y")
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        new = linked(pairs, segments, threshold)
-        ids = classes.select(F.col("cls").alias("x"), F.col("doc").alias("u")), classes.select(F.col("cls").alias("y"), F.col("doc").alias("v"))
-        edges = materialize(edges.unionByName(new.join(ids[0], "x").join(ids[1], "y").select("u", "v")), "edges")
-        reached = components(edges)
-        state = (live.where("cls <> centre.cls").select("key", "cls", "doc")
-                 .join(reached, F.col("doc") == F.col("node"), "left")
-                 .select("key", "cls", F.coalesce("component", "doc").alias("component"), "doc"))
-    return (sets.join(classes.withColumnRenamed("doc", "first"), "cls", "left")
+            near = _compare_groups(live.join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "component", "n", "sketch"), threshold)
+        ids = told("x").select("x", "dx"), told("y").select("y", "dy")
+        left = materialize(near.join(ids[0], "x").join(ids[1], "y"), "pairs")
+        if left.isEmpty():
+            continue
+        wanted = left.select(F.col("x").alias("cls"), F.col("dx").alias("doc")).unionByName(left.select(F.col("y").alias("cls"), F.col("dy").alias("doc"))).distinct()
+        segments = materialize(_segments(wanted.join(given, "doc"), words), "segments")
+        for turn in range(ROUNDS + 1):
+            now = left
+            if turn < ROUNDS:  # one partner per member
+                now = materialize(left.groupBy("y").agg(F.min_by(F.struct("x", "dx", "dy"), "x").alias("p")).select("p.x", "y", "p.dx", "p.dy"), "turn")
+            found = linked(now.select("x", "y"), segments, threshold)
+            new = found.join(now, ["x", "y"]).select(F.col("dx").alias("u"), F.col("dy").alias("v"))
+            edges = materialize(edges.unionByName(new), "edges")
+            reached = components(edges)
+            if turn == ROUNDS:
+                break
+            left = left.join(now.select("x", "y"), ["x", "y"], "left_anti")
+            left = materialize(of(of(left, "dx", "cx"), "dy", "cy").where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
+            if left.isEmpty():
+                break
+    return (sets.select("doc", "n", "cls").join(classes.select("cls", F.col("doc").alias("first")), "cls", "left")
             .join(reached, F.col("first") == F.col("node"), "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.coalesce("component", "first", "doc")).otherwise(F.col("doc")).alias("component_id"))
-            .withColumn("component_id", F.when(F.col(key).isNotNull(), F.col("component_id"))))
+                    F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.coalesce("component", "first")).otherwise(F.col("doc")).alias("component_id")))
