@@ -52,7 +52,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     start = F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i + 1))), F.lit(1))
     return log.withColumn("live", F.slice("log", start, F.size("log"))).select(
         "conv_id", "turn", "part",
-        F.coalesce(F.element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != ""), -1), F.lit("")).alias("role"),
+        F.coalesce(F.try_element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != ""), F.lit(-1)), F.lit("")).alias("role"),
         F.array_join(F.transform("live", lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"])), "").alias("text"))
 
 

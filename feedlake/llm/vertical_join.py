@@ -325,7 +325,8 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
         if left.isEmpty():
             continue
         wanted = left.select(F.col("x").alias("cls"), F.col("dx").alias("doc")).unionByName(left.select(F.col("y").alias("cls"), F.col("dy").alias("doc"))).distinct()
-        segments = materialize(_segments(wanted.join(given, "doc"), words), "segments")
+        # candidates grow with the corpus: a sort-merge join at every size, never a broadcast
+        segments = materialize(_segments(given.join(wanted.hint("merge"), "doc"), words), "segments")
         for turn in range(ROUNDS + 1):
             now = left
             if turn < ROUNDS:  # one partner per member
