@@ -13,8 +13,9 @@ ATOM_NS = "http://www.w3.org/2005/Atom"
 ARXIV_NS = "http://arxiv.org/schemas/atom"
 
 # Local name (and prefix) of the root element, skipping a byte-order mark, the
-# XML declaration, comments, DOCTYPE and white space.
-_ROOT_RE = r"(?s)^\W*?(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<(?:([\w.-]+):)?([\w.-]+)"
+# XML declaration, comments, DOCTYPE and white space (possessive: the matcher
+# never recurses per blank, whatever the length of the prolog).
+_ROOT_RE = r"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>|\s++)*+<(?:([\w.-]+):)?([\w.-]+)"
 
 
 def _ns_decl(uri: str) -> str:

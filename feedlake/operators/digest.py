@@ -76,9 +76,13 @@ def top_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 
 
 def cap_per_feed(articles: DataFrame, n: int | None = 15,
-                 group_cols: Sequence[str] = ("feed_name",),
+                 group_cols: Sequence[str] = ("payload_id",),
                  order_cols: Sequence[str] = ("fetched_at", "payload_id", "pos")) -> DataFrame:
-    """Keep the first ``n`` articles of each feed in feed order (WIN-1)."""
+    """Keep the first ``n`` articles of each fetched feed in feed order (WIN-1).
+
+    A fetched feed is one payload: feeds that share a display name (or have
+    none, or are not registered) are never capped together.
+    """
     return top_per_group(articles, list(group_cols), [c for c in order_cols if c in articles.columns], n)
 
 
@@ -253,7 +257,7 @@ def build_digest_items(papers: DataFrame | None, articles: DataFrame | None, web
 
     Inputs carry ``digest_key`` and ``summary_s``. Papers: newest first
     (published, arXiv id), first ``papers_per_digest``. Articles: registry then
-    feed order, first ``articles_per_feed`` of each feed. Web hits: page order,
+    feed order, first ``articles_per_feed`` of each fetched payload. Web hits: page order,
     first ``web_per_digest``.
     """
     parts = []
@@ -262,7 +266,7 @@ def build_digest_items(papers: DataFrame | None, articles: DataFrame | None, web
                                papers_per_digest, rank_col="_prank")
         parts.append(digest_items("paper", ranked, "_prank"))
     if articles is not None:
-        capped = cap_per_feed(articles, articles_per_feed, group_cols=("digest_key", "feed_name"))
+        capped = cap_per_feed(articles, articles_per_feed, group_cols=("digest_key", "payload_id"))
         parts.append(digest_items("article", capped, "registry_pos" if "registry_pos" in capped.columns else None))
     if web is not None:
         top = top_per_group(web, ["digest_key"], ["fetched_at", "payload_id", "pos"], web_per_digest)

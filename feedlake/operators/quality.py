@@ -58,10 +58,12 @@ def error_scan(lines: DataFrame, files: DataFrame, newest: int | None = NEWEST_R
     """
     chosen = files if newest is None else newest_files(files, newest)
     chosen = chosen.select("path", "modificationTime")
-    scoped = lines.join(broadcast_if_small(chosen) if newest is None else F.broadcast(chosen), "path", "inner")
-    return (scoped.groupBy("path", "modificationTime")
-            .agg(F.count(F.lit(1)).alias("n_lines"),
-                 F.count_if(is_error_line("line", benign)).alias("n_errors")))
+    paths = chosen.select("path")
+    scoped = lines.join(paths if newest is None else F.broadcast(paths), "path", "left_semi")
+    counted = scoped.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"),
+                                         F.count_if(is_error_line("line", benign)).alias("n_errors"))
+    return (chosen.join(counted, "path", "left")  # an empty report has no lines and no errors
+            .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_lines", "n_errors")}))
 
 
 def error_total(scan: DataFrame) -> DataFrame:
@@ -74,11 +76,11 @@ def error_total(scan: DataFrame) -> DataFrame:
 def check_ok(kind: Column, method: Column, status: Column) -> Column:
     """Outcome of one probe attempt (FIL-7); null = decided by the retry.
 
-    200 is ok; 429 is ok for the paper API only; a feed answering HEAD with
+    Any 2xx is ok for a feed; the paper API needs 200 or 429; a feed answering HEAD with
     405 is retried with GET and that attempt decides; anything else fails.
     """
     return (F.when(kind == "arxiv", status.isin(STATUS_OK, STATUS_RATE_LIMITED))
-            .when(status == STATUS_OK, F.lit(True))
+            .when(status.between(200, 299), F.lit(True))
             .when((method == "HEAD") & (status == STATUS_HEAD_NOT_ALLOWED), F.lit(None).cast("boolean"))
             .otherwise(F.lit(False)))
 
@@ -165,9 +167,18 @@ def clean_tree_gate(status: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)
             .select(*group_cols, F.lit("clean_tree").alias("gate"), "ok"))
 
 
-def release_gate(gates: DataFrame, group_cols: Sequence[str] = ("cycle_ts",)) -> DataFrame:
-    """AND over all gates per cycle; a gate without a value passes (AGG-9)."""
-    agg = gates.groupBy(*group_cols).agg(F.bool_and(F.coalesce("ok", F.lit(True))).alias("ok"),
-                                         F.count(F.lit(1)).alias("n_gates"),
-                                         F.count_if(~F.coalesce("ok", F.lit(True))).alias("n_failed"))
+def release_gate(gates: DataFrame, group_cols: Sequence[str] = ("cycle_ts",),
+                 required: Sequence[str] = (), optional: Sequence[str] = ("health",)) -> DataFrame:
+    """AND over all gates per cycle (AGG-9).
+
+    A gate without a value fails, except the ``optional`` ones (a missing health
+    score blocks nothing). A ``required`` gate without a row in a cycle fails too.
+    """
+    ok = F.coalesce("ok", F.col("gate").isin(list(optional)))
+    absent = F.lit(0)
+    for name in required:
+        absent = absent + F.when(F.count_if(F.col("gate") == name) == 0, 1).otherwise(0)
+    agg = gates.groupBy(*group_cols).agg((F.bool_and(ok) & (absent == 0)).alias("ok"),
+                                         (F.count(F.lit(1)) + absent).cast("bigint").alias("n_gates"),
+                                         (F.count_if(~ok) + absent).cast("bigint").alias("n_failed"))
     return agg.withColumn("action", F.when(F.col("ok"), F.lit("FAST-FORWARD")).otherwise(F.lit("INVESTIGATE")))

@@ -81,7 +81,7 @@ def apply_retention(spark: SparkSession, live_path: str, as_of: str, keep_days:
                     date_col: str = "digest_date") -> DataFrame:
     """Apply retention to a dataset partitioned by ``date_col`` (SNK-3).
 
-    Expired partitions are appended to ``archive_path`` (mode ``archive``) and
+    Expired partitions are written (per day, replacing) to ``archive_path`` (mode ``archive``) and
     then removed from the live dataset by deleting their partition folders;
     only partition folders are listed on the driver, no rows. Returns one row:
     expired rows archived or deleted, bytes freed on disk, folders removed.
@@ -90,22 +90,25 @@ def apply_retention(spark: SparkSession, live_path: str, as_of: str, keep_days:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "archive" and not archive_path:
         raise ValueError("archive mode needs archive_path")
-    cutoff_day = F.to_date(_cutoff(as_of, keep_days))
+    # the plan's predicate (midnight of the day before the cutoff) as a bound on the day
+    last_day = F.to_date(_cutoff(as_of, keep_days).cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND"))
     live = spark.read.parquet(live_path)
-    expired = live.where(F.col(date_col) < cutoff_day)   # partition pruning
+    expired = live.where(F.col(date_col) <= last_day)   # partition pruning
     n_rows = expired.count()
     if mode == "archive" and n_rows:
-        expired.write.mode("append").partitionBy(date_col).parquet(archive_path)
+        # per day and replacing: archiving again after a failed delete adds nothing
+        (expired.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(date_col).parquet(archive_path))
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(live_path)
     fs = root.getFileSystem(hconf)
-    cutoff = spark.range(1).select(cutoff_day.cast("string")).first()[0]
+    last = spark.range(1).select(last_day.cast("string")).first()[0]
     removed, freed = 0, 0
     for st in fs.listStatus(root):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(date_col + "="):
-            if name.split("=", 1)[1] < cutoff:
+            if name.split("=", 1)[1] <= last:
                 freed += fs.getContentSummary(st.getPath()).getLength()   # bytes on disk
                 fs.delete(st.getPath(), True)
                 removed += 1

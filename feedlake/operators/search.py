@@ -31,20 +31,21 @@ def keyword_match(keyword: str, cols: Sequence[Column]) -> Column:
 
 
 def parse_query(query: str) -> dict:
-    """``cat:cs.CL`` -> category, ``all:word`` -> keyword (terms joined by ``AND``)."""
-    out: dict = {}
+    """``cat:cs.CL`` -> categories, ``all:word`` -> keywords (terms joined by ``AND``, all must match)."""
+    out: dict = {"category": [], "keyword": []}
     for term in re.split(r"\s+AND\s+", query.strip()):
         field, _, value = term.partition(":")
         if field == "cat" and value:
-            out["category"] = value
+            out["category"].append(value)
         elif field == "all" and value:
-            out["keyword"] = value
+            out["keyword"].append(value)
         else:
             raise ValueError(f"unsupported query term {term!r} (use cat:<category> or all:<word>)")
     return out
 
 
-def search_papers(papers: DataFrame, category: str | None = None, keyword: str | None = None,
+def search_papers(papers: DataFrame, category: str | Sequence[str] | None = None,
+                  keyword: str | Sequence[str] | None = None,
                   sort_by: str = "submittedDate", sort_order: str = "descending",
                   max_results: int | None = 10, group_cols: Sequence[str] = (),
                   query: str | None = None) -> DataFrame:
@@ -56,16 +57,16 @@ def search_papers(papers: DataFrame, category: str | None = None, keyword: str |
     """
     if query is not None:
         q = parse_query(query)
-        category, keyword = q.get("category", category), q.get("keyword", keyword)
+        category, keyword = q["category"] or category, q["keyword"] or keyword
     if sort_by not in SORT_COLUMNS:
         raise ValueError(f"sort_by must be one of {sorted(SORT_COLUMNS)}")
     if sort_order not in ("ascending", "descending"):
         raise ValueError("sort_order must be 'ascending' or 'descending'")
     df = papers
-    if category is not None:
-        df = df.where(F.array_contains("categories", category))
-    if keyword is not None:
-        df = df.where(keyword_match(keyword, [F.col("title"), F.col("summary"),
+    for one in [category] if isinstance(category, str) else category or []:
+        df = df.where(F.array_contains("categories", one))
+    for one in [keyword] if isinstance(keyword, str) else keyword or []:
+        df = df.where(keyword_match(one, [F.col("title"), F.col("summary"),
                                               F.array_join("authors", " ")]))
     key = SORT_COLUMNS[sort_by]
     if key not in df.columns:
@@ -73,8 +74,10 @@ def search_papers(papers: DataFrame, category: str | None = None, keyword: str |
     asc = sort_order == "ascending"
     order = [F.col(key).asc() if asc else F.col(key).desc(),
              F.col("arxiv_id").asc() if asc else F.col("arxiv_id").desc()]
-    if max_results is None:
-        return df
+    if max_results is None:  # everything, in the same order and with the same rank per group
+        if not group_cols:
+            return df.orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
     if max_results < 0:
         raise ValueError("max_results must be >= 0")
     if group_cols:

@@ -195,7 +195,7 @@ def primary_category(lang: Column) -> Column:
 
 
 def arxiv_id(doc_id: Column) -> Column:
-    return F.concat(F.lit("2401."), F.lpad(doc_id.cast("string"), 5, "0"), F.lit("v"),
+    return F.concat(F.lit("2401."), F.lpad(doc_id.cast("string"), F.greatest(F.lit(5), F.length(doc_id.cast("string"))), F.lit("0")), F.lit("v"),
                     (doc_id % 3 + 1).cast("string"))
 
 
@@ -318,7 +318,6 @@ def completion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 .alias("content")).alias("message"))).alias("body")))
 
 
-PROBE_TARGETS = 25  # endpoints probed per cycle (20 feeds + 5 API mirrors)
 
 
 # Check outcomes by event type: the status a probe saw.
@@ -338,8 +337,8 @@ def check_rows(e: DataFrame) -> DataFrame:
     return e.select(
         F.to_date("ts").cast("timestamp_ntz").alias("cycle_ts"),
         kind.alias("kind"),
-        # Probes hit a bounded set of endpoints (the configured feeds), retried many times.
-        F.concat(kind, F.lit(":"), (F.col("user_id") % PROBE_TARGETS).cast("string")).alias("target"),
+        # one endpoint per user id, probed again by every event of the cycle
+        F.concat(kind, F.lit(":"), F.col("user_id").cast("string")).alias("target"),
         method.alias("method"), status.cast("int").alias("status"),
         F.col("event_id").alias("attempt"),
         F.col("ts"))

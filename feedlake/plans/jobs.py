@@ -45,8 +45,10 @@ def extract_items(spark: SparkSession, payloads: DataFrame, registry: DataFrame
     tables = {}
     for name, df in parts.items():
         path = _table_dir(spark, out, name)
-        sinks.write_items(df.withColumns(key), path)
-        tables[name] = spark.read.parquet(path)
+        keyed = df.withColumns(key)
+        sinks.write_items(keyed, path)
+        # declared schema: a kind without rows reads back as an empty table
+        tables[name] = spark.read.schema(keyed.schema).parquet(path)
     return tables
 
 

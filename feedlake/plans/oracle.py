@@ -200,7 +200,7 @@ def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = Tr
                      "coalesce(p.relevance, 'See article.')")} AS rest
   FROM articles a JOIN registry g USING (source)
   LEFT JOIN parsed p ON p.item_id = a.payload_id || '#' || CAST(a.pos AS VARCHAR)
-  QUALIFY row_number() OVER (PARTITION BY a.fetch_day, a.feed_name ORDER BY a.payload_id, a.pos) <= 15)""")
+  QUALIFY row_number() OVER (PARTITION BY a.fetch_day, a.payload_id ORDER BY a.pos) <= 15)""")
     parts = ["SELECT digest_key, section, rn, title, rest FROM a_items"]
     if papers:
         ctes += [s.strip() for s in PAPERS.replace(DOCS + ",", "").split("\n,\n")]
@@ -325,7 +325,7 @@ UNION ALL SELECT 'arxiv', 'arXiv', CAST(count(*) AS BIGINT) FROM documents"""
 
 ORACLE_SQL["q_feed_cap"] = "WITH " + ARTICLES.strip() + """
 SELECT feed_name, payload_id, CAST(pos AS BIGINT) AS pos, title FROM articles
-QUALIFY row_number() OVER (PARTITION BY feed_name ORDER BY fetch_day, payload_id, pos) <= 15"""
+QUALIFY row_number() OVER (PARTITION BY payload_id ORDER BY pos) <= 15"""
 
 ORACLE_SQL["q_search_papers"] = "WITH " + PAPERS.strip() + """
 SELECT arxiv_id, published, title FROM papers WHERE list_contains(categories, 'cs.CL')
@@ -454,7 +454,7 @@ CHECKS = """
 checks AS (
   SELECT strftime(ts, '%Y-%m-%d') AS cycle,
          CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END AS kind,
-         CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END || ':' || CAST(user_id % 25 AS VARCHAR) AS target,
+         CASE WHEN user_id % 5 = 0 THEN 'arxiv' ELSE 'feed' END || ':' || CAST(user_id AS VARCHAR) AS target,
          CASE WHEN event_type = 'click' THEN 'HEAD' ELSE 'GET' END AS method,
          CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'purchase' THEN 429
               WHEN event_type = 'click' AND value < 20 THEN 405 ELSE 200 END AS status,

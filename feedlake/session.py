@@ -6,6 +6,7 @@ exist for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -68,7 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names shared storage and is used as is. Only when
-    it is unset (local tests) a folder is created under the temp dir.
+    it is unset a local master gets a folder under the temp dir; any other master
+    is an error, since executors would not see that folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -78,6 +80,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001
         pass
     if not conf_dir:
+        if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="feedlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:

@@ -127,7 +127,8 @@ def read_file_inventory(spark: SparkSession, path: str, glob: str | None = None,
 def read_report_lines(spark: SparkSession, path: str, glob: str = "cycle_report_*.txt") -> DataFrame:
     """Report text lines with file path, file mtime and line number (SRC-7)."""
     df = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)
-          .select(F.col("_metadata.file_path").alias("path"),
+          # the file inventory's spelling: not URL-encoded
+          .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
                   F.col("_metadata.file_modification_time").alias("mtime"),
                   drop_invalid_utf8(F.col("value")).alias("value")))
     return df.select("path", "mtime", F.posexplode(split_lines("value")).alias("line_no", "line")) \

@@ -37,7 +37,8 @@ def stream_digests(spark: SparkSession, landing: str, items_dir: str, digests_pa
                    registry: DataFrame | None = None, completions: DataFrame | None = None,
                    checkpoint: str | None = None, papers_per_digest: int | None = 5,
                    articles_per_feed: int | None = 15, web_per_digest: int | None = 5,
-                   schema: T.StructType | None = None, available_now: bool = True) -> StreamingQuery:
+                   schema: T.StructType | None = None, available_now: bool = True,
+                   web_results: int | None = 5) -> StreamingQuery:
     """Payload landing table -> item tables (append) -> digests of touched days (overwrite)."""
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-digests-{uuid.uuid4().hex}"
     payloads = spark.readStream.schema(schema or schemas.PAYLOADS).parquet(landing)
@@ -49,16 +50,19 @@ def stream_digests(spark: SparkSession, landing: str, items_dir: str, digests_pa
             "papers": ex.extract_papers(batch.where(F.col("kind") == "arxiv")),
             "articles": ex.extract_articles(attach_feed(batch.where(F.col("kind") == "feed"), registry)
                                             if registry is not None else batch.where(F.col("kind") == "feed")),
-            "web": ex.extract_web_results(batch.where(F.col("kind") == "serp")),
+            "web": ex.extract_web_results(batch.where(F.col("kind") == "serp"), web_results),
         }
         for name, df in extracted.items():
-            df.withColumns(key).write.mode("append").partitionBy("digest_key").parquet(os.path.join(items_dir, name))
+            # a retried batch replaces what its first attempt wrote
+            keyed = extracted[name] = df.withColumns(key).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("digest_key", "batch_id").parquet(os.path.join(items_dir, name)))
         days = broadcast_if_small(batch.select(dg.digest_day().alias("digest_key")).distinct())
         parts = {}
         for name, (_, kind) in KINDS.items():
             path = os.path.join(items_dir, name)
             if _table_exists(spark, path):
-                table = spark.read.parquet(path).withColumn("digest_key", F.col("digest_key").cast("string"))
+                table = spark.read.schema(extracted[name].schema).parquet(path).drop("batch_id")
                 parts[name] = sm.with_summaries(table.join(days, "digest_key", "left_semi"), kind, completions)
         items = dg.build_digest_items(parts.get("papers"), parts.get("articles"), parts.get("web"),
                                       papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,

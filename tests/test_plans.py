@@ -13,11 +13,11 @@ def _plan(df):
 
 def test_cap_is_limited_before_the_exchange(spark):
     a = spark.range(1000).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("feed_name"),
-                                 F.lit("p").alias("payload_id"), F.col("id").cast("int").alias("pos"),
+                                 F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("payload_id"), F.col("id").cast("int").alias("pos"),
                                  F.lit(None).cast("timestamp").alias("fetched_at"))
     plan = _plan(dg.cap_per_feed(a, 15))
-    below = plan.split("Exchange hashpartitioning(feed_name")[1]
-    above = plan.split("Exchange hashpartitioning(feed_name")[0]
+    below = plan.split("Exchange hashpartitioning(payload_id")[1]
+    above = plan.split("Exchange hashpartitioning(payload_id")[0]
     assert "WindowGroupLimit" in below and "Partial" in below.split("\n")[1]
     assert "WindowGroupLimit" in above
 

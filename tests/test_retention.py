@@ -12,7 +12,7 @@ def _inv(spark, rows):
     return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
 
 
-def test_reference_cases_by_name(spark):
+def test_known_cases_by_name(spark):
     t = dt.datetime(2026, 4, 22)
     inv = _inv(spark, [("/d/digest_2026-04-22.md", t, 100), ("/d/digest_2026-04-12.md", t, 200),
                        ("/d/digest_2026-04-01_x.md", t, 1), ("/d/digest_.md", t, 1), ("/d/other.md", t, 1),
