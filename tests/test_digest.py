@@ -23,35 +23,35 @@ def _web(spark, rows):
                                        "title string, href string, body string, source string")
 
 
-def test_render_empty_digest(spark):
-    keys = spark.createDataFrame([("2026-04-22",)], "digest_key string")
-    items = dg.build_digest_items(_papers(spark, []).withColumn("summary_s", sm.fallback_summary("paper")),
-                                  None, None)
-    (d,) = dg.render_digests(items, title="Test", keys=keys).collect()
-    assert d.md == ("# Test\n\n**Date:** 2026-04-22\n\n## arXiv Papers\n\n_No papers fetched._\n\n"
-                    "## RSS / Blog Articles\n\n_No articles fetched._\n\n## Web Search Highlights\n\n"
-                    "_No web results fetched._\n\n" + dg.DEFAULT_FOOTER)
-
-
-def test_render_with_content(spark):
-    k = "2026-04-22"
-    p = _papers(spark, [(k, "a", 0, None, "2601.00001v1", "Test Paper", "Summary text.", ["A. One", "B. Two"],
-                         "2026-04-22", "cs.CL", "https://arxiv.org/pdf/2601.00001v1.pdf", "")])
-    a = _articles(spark, [(k, "f", 0, None, "Ex", "Blog Post", "https://example.com/post", "Post summary.",
-                           "2026-04-22", [])])
-    w = _web(spark, [(k, "s", 0, None, "Web News", "https://example.com/news", "News snippet.", "web")])
-    comps = spark.createDataFrame([(kind, pid + "#0", "HEADLINE: HL\nKEY POINTS:\n- K1\nRELEVANCE: R")
-                                   for kind, pid in (("paper", "a"), ("article", "f"), ("web", "s"))],
+def test_day_without_items(spark):
+    keys = spark.createDataFrame([("2019-02-28",), ("2019-03-01",)], "digest_key string")
+    items = dg.build_digest_items(_papers(spark, []).withColumn("summary_s", sm.fallback_summary("paper")), None, None)
+    got = {r.digest_key: r.md for r in dg.render_digests(items, title="Quiet days", keys=keys).collect()}
+    assert set(got) == {"2019-02-28", "2019-03-01"}
+    for day, md in got.items():
+        head, *sections = md.split("\n\n## ")
+        assert head == f"# Quiet days\n\n**Date:** {day}"
+        assert [x.split("\n\n")[1][:4] for x in sections] == ["_No "] * 3 and md.endswith(dg.DEFAULT_FOOTER)
+
+
+def test_day_with_every_kind(spark):
+    day = "2019-03-01"
+    p = _papers(spark, [(day, "ax", n, None, f"1903.0{n}v1", f"Lattice {n}", "Long text.", ["Noor", "Wen", "Ola"],
+                         f"2019-02-2{n}", "math.CO", "u", "3 pages" if n else "") for n in range(2)])
+    a = _articles(spark, [(day, "fd", n, None, "Kettle Weekly", f"Pot {n}", f"https://brew.invalid/{n}", "Steam.", "2019-02-27", []) for n in range(2)])
+    w = _web(spark, [(day, "sp", 0, None, "Hit", "https://hit.invalid/", "Found.", "engine")])
+    said = "headline: ignored\nHEADLINE: Short {0}\nKEY POINTS:\n- one {0}\n- two\nRELEVANCE: much {0}"
+    comps = spark.createDataFrame([(kind, item, said.format(item)) for kind, item in
+                                   (("paper", "ax#0"), ("paper", "ax#1"), ("article", "fd#1"), ("web", "sp#0"))],
                                   "item_kind string, item_id string, response string")
-    items = dg.build_digest_items(sm.with_summaries(p, "paper", comps), sm.with_summaries(a, "article", comps),
-                                  sm.with_summaries(w, "web", comps))
-    (d,) = dg.render_digests(items).collect()
-    md = d.md
-    for s in ("### 1. Test Paper", "- **Authors:** A. One, B. Two\n", "### 1. Blog Post", "- **Source:** Ex",
-              "### 1. Web News", "- **Source:** web", "**HL**", "- K1", "_Relevance:_ R\n\n---"):
-        assert s in md, s
-    assert "**Comment:**" not in md and "- **Authors:**" not in md.split("### 1. Blog Post")[1].split("###")[0]
-    assert not md.endswith("\n")
+    md = dg.render_digests(dg.build_digest_items(*(sm.with_summaries(x, kind, comps) for x, kind in
+                                                   ((p, "paper"), (a, "article"), (w, "web"))))).first().md
+    papers, articles, web = md.split("\n## ")[1:4]
+    assert papers.index("### 1. Lattice 1") < papers.index("### 2. Lattice 0") and papers.count("**Comment:**") == 1
+    assert papers.count("- **Authors:** Noor, Wen, Ola\n") == 2 and "**Short ax#0**" in papers and "- one ax#1" in papers
+    assert "**Short fd#1**" in articles and "Short fd#0" not in articles and "**Authors:**" not in articles
+    assert articles.count("- **Source:** Kettle Weekly") == 2 and "- **Source:** engine" in web
+    assert "_Relevance:_ much sp#0" in web and not md.endswith("\n")
 
 
 def test_authors_et_al_and_numbering(spark):
