@@ -50,6 +50,7 @@ PARTS = 4      # vertical fragments in which overlaps are counted
 BLOCK = 2048   # members of a group whose sketches one task compares
 SKETCH = 4096  # most bits of an odd sketch
 SLACK = 1     # identical fragments beyond the first that the cut guarantees
+BITS = 25     # log2 of the bits of the filter on wanted ids: at most 2^(BITS - 6) words of 64 bits are broadcast
 
 
 def shingle_set(text: str | None, words: int = 3) -> np.ndarray:
@@ -198,6 +199,19 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, "key long, cls long").distinct()
 
 
+def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc may be in ``wanted`` (doc), found before any shuffle.
+
+    One bit per hashed id, packed into words, is broadcast: a size fixed by ``BITS``,
+    whatever the number of ids. No wanted row is lost; an exact join must follow.
+    """
+    at = F.pmod(F.xxhash64("doc"), F.lit(1 << BITS))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    return (docs.join(F.broadcast(words), word == F.col("_word"))
+            .where(F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1).drop("_word", "_bits"))
+
+
 def _segments(docs: DataFrame, words: int) -> DataFrame:
     """(cls, part, n, names): the sets of ``docs`` (cls, text) in vertical fragments."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +339,9 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
         if left.isEmpty():
             continue
         wanted = left.select(F.col("x").alias("cls"), F.col("dx").alias("doc")).unionByName(left.select(F.col("y").alias("cls"), F.col("dy").alias("doc"))).distinct()
-        # candidates grow with the corpus: a sort-merge join at every size, never a broadcast
-        segments = materialize(_segments(given.join(wanted.hint("merge"), "doc"), words), "segments")
+        wanted = materialize(wanted, "wanted")
+        # candidates grow with the corpus: a sort-merge join at every size, never a broadcast of them
+        segments = materialize(_segments(_maybe(given, wanted).join(wanted.hint("merge"), "doc"), words), "segments")
         for turn in range(ROUNDS + 1):
             now = left
             if turn < ROUNDS:  # one partner per member
