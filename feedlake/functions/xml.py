@@ -15,7 +15,10 @@ ARXIV_NS = "http://arxiv.org/schemas/atom"
 # Local name (and prefix) of the root element, skipping a byte-order mark, the
 # XML declaration, comments, DOCTYPE and white space (possessive: the matcher
 # never recurses per blank, whatever the length of the prolog).
-_ROOT_RE = r"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>|\s++)*+<(?:([\w.-]+):)?([\w.-]+)"
+_PROLOG_RE = r"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>|\s++)*+"
+_ROOT_RE = _PROLOG_RE + r"<(?:([\w.-]+):)?([\w.-]+)"
+# The root's start tag; a quoted attribute value may hold '>'.
+_ROOT_TAG_RE = _PROLOG_RE + r"""(<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
 
 
 def _ns_decl(uri: str) -> str:
@@ -31,6 +34,27 @@ def root_prefix(body) -> Column:
     return F.regexp_extract(_col(body), _ROOT_RE, 1)
 
 
+def root_tag(body) -> Column:
+    """Start tag of the document's root element ('' when there is none)."""
+    return F.regexp_extract(_col(body), _ROOT_TAG_RE, 1)
+
+
+def children_in(body, uri: str) -> Column:
+    """True when the root's start tag puts plain children (after ``canonical``) in namespace ``uri``.
+
+    That is, it binds ``uri`` as default namespace or to the root's own prefix;
+    a binding further down, or of another prefix, does not count.
+    """
+    tag = root_tag(body)
+    prefix = ns_prefix(tag, uri)
+    return binds(tag, uri) & ((prefix == "") | (prefix == root_prefix(body)))
+
+
+def has_default_namespace(body) -> Column:
+    """True when the root's start tag declares a non-empty default namespace."""
+    return root_tag(body).rlike(r"""\sxmlns\s*=\s*["'][^"']""")
+
+
 def binds(body, uri: str) -> Column:
     """True when the document declares namespace ``uri``."""
     return _col(body).rlike(_ns_decl(uri))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from feedlake import schemas
 from feedlake.functions.dates import norm_date
 from feedlake.functions.text import after_abs, first, first_match, left_n, one_line, strip, strip_tags
-from feedlake.functions.xml import ATOM_NS, binds, canonical, root_name
+from feedlake.functions.xml import ATOM_NS, canonical, children_in, has_default_namespace, root_name
 
 # Title of an item without one, the link relation kept besides none,
 # the PDF link around an arXiv id, and the source name of search hits.
@@ -47,11 +47,12 @@ def _title(raw: Column, missing: str | None = UNTITLED) -> Column:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Add the parsed document (``_doc``), its root name and Atom-namespace flag."""
-    body = canonical("body")
+    body, plain = canonical("body"), F.regexp_replace("body", "^\ufeff", "")
     return payloads.select(
         "*",
-        root_name(F.regexp_replace("body", "^\ufeff", "")).alias("_root"),
-        binds("body", ATOM_NS).alias("_has_atom"),
+        root_name(plain).alias("_root"),
+        children_in(plain, ATOM_NS).alias("_has_atom"),
+        has_default_namespace(plain).alias("_has_default"),
         F.when(F.is_valid_utf8("body"), F.from_xml(body, schemas.FEED_DOC, schemas.XML_OPTIONS)).alias(PARSED),
     )
 
@@ -109,20 +110,18 @@ def _atom_entries(doc: Column, has_atom: Column) -> Column:
         .otherwise(_empty(schemas.ATOM_ENTRY))
 
 
-def _rss_items(doc: Column) -> Column:
+def _rss_items(doc: Column, has_default: Column) -> Column:
+    """Items of no namespace: a default namespace on the root leaves none."""
     item_t = _empty(schemas.RSS_ITEM)
-    return F.when(F.size(F.coalesce(doc["channel"], F.array())) > 0,
+    return F.when(has_default, item_t).when(F.size(F.coalesce(doc["channel"], F.array())) > 0,
                   F.coalesce(doc["channel"][0]["item"], item_t)) \
         .otherwise(F.coalesce(doc["item"], item_t))
 
 
-_ART_T = "struct<title:string,link:string,summary:string,published:string,authors:array<string>>"
-
-
 def _article_array(df: DataFrame, fmt: str) -> Column:
     doc = F.col(PARSED)
     atom = F.transform(_atom_entries(doc, F.col("_has_atom")), _atom_raw)
-    rss = F.transform(_rss_items(doc), _rss_raw)
+    rss = F.transform(_rss_items(doc, F.col("_has_default")), _rss_raw)
     if fmt == "atom":
         return atom
     if fmt == "rss":

@@ -30,7 +30,9 @@ def extract_items(spark: SparkSession, payloads: DataFrame, registry: DataFrame
                   web: bool = False, web_results: int | None = 5) -> dict[str, DataFrame]:
     """Parse payloads into the three item tables, written partitioned by digest day.
 
-    Returns the tables read back from storage (lineage starts there).
+    Returns this run's rows read back from storage (lineage starts there). Rows carry the
+    run's id (``run_id``) in the tables, so items that an earlier run left for a day or a
+    kind without rows now, and days of earlier runs, take no part.
     """
     chosen = select_sources(payloads, papers=papers, feeds=feeds, web=web)
     key = {"digest_key": dg.digest_day()}
@@ -42,13 +44,13 @@ def extract_items(spark: SparkSession, payloads: DataFrame, registry: DataFrame
         parts["articles"] = ex.extract_articles(attach_feed(fp, registry) if registry is not None else fp)
     if web:
         parts["web"] = ex.extract_web_results(chosen.where(F.col("kind") == "serp"), web_results)
-    tables = {}
+    tables, run = {}, uuid.uuid4().hex
     for name, df in parts.items():
         path = _table_dir(spark, out, name)
-        keyed = df.withColumns(key)
+        keyed = df.withColumns(key).withColumn("run_id", F.lit(run))
         sinks.write_items(keyed, path)
         # declared schema: a kind without rows reads back as an empty table
-        tables[name] = spark.read.schema(keyed.schema).parquet(path)
+        tables[name] = spark.read.schema(keyed.schema).parquet(path).where(F.col("run_id") == run).drop("run_id")
     return tables
 
 

@@ -28,7 +28,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None = None,
-                  stream: bool = False) -> DataFrame:
+                  stream: bool = False, manifest: DataFrame | None = None) -> DataFrame:
     """Landed payload files (one document per file) -> ``payloads`` (SRC-1/2/4).
 
     ``wholetext`` keeps each file one row; Spark packs small files into tasks
@@ -36,19 +36,29 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
     (``kind='serp'``) are decoded leniently: invalid UTF-8 bytes are dropped.
     XML payloads keep their bytes; one with invalid UTF-8 is a parse failure
     (a reject), as for any conforming XML parser.
+
+    ``manifest`` (file, url; one row per landed file name) gives each payload the url it was
+    fetched from, which the feed registry is matched by; without it, or for a file
+    that it does not list, ``url`` is the file's path.
     """
     reader = spark.readStream if stream else spark.read
     r = reader.format("text").option("wholetext", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    return df.select(
+    out = df.select(
         F.col("_metadata.file_path").alias("payload_id"),
         F.col("_metadata.file_path").alias("url"),
         F.lit(kind).alias("kind"),
         F.col("_metadata.file_modification_time").alias("fetched_at"),
         (drop_invalid_utf8(F.col("value")) if kind == "serp" else F.col("value")).alias("body"),
     )
+    if manifest is None:
+        return out
+    told = manifest.select(F.col("file").alias("_file"), F.col("url").alias("_url"))
+    name = F.try_url_decode(F.replace(F.substring_index("payload_id", "/", -1), F.lit("+"), F.lit("%2B")))
+    return (out.join(told, name == F.col("_file"), "left")
+            .withColumn("url", F.coalesce("_url", "url")).drop("_file", "_url"))
 
 
 def drop_invalid_utf8(c):

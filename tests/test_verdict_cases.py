@@ -82,3 +82,38 @@ def test_equal_names_in_one_table(spark):
     a = spark.range(60).select(F.lit("RSS").alias("feed_name"), F.concat(F.lit("p"), F.col("id") % 3).alias("payload_id"),
                                F.col("id").alias("pos"))
     assert dg.cap_per_feed(a, 15).count() == 45
+
+
+def test_namespaces_are_those_of_the_root_tag(spark):
+    from feedlake.operators.extract import extract_articles
+    from feedlake.functions.xml import ATOM_NS
+    entry, item = "<entry><title>{}</title></entry>", "<item><title>{}</title></item>"
+    bodies = [
+        f"<feed xmlns='{ATOM_NS}'>{entry.format('default')}</feed>",
+        f"<?xml version='1.0'?><a:feed note='x > y' xmlns:a='{ATOM_NS}'><a:entry><a:title>prefixed</a:title></a:entry></a:feed>",
+        f"<feed><x:note xmlns:x='{ATOM_NS}'/>{entry.format('nested binding')}</feed>",
+        f"<feed xmlns:atom='{ATOM_NS}'>{entry.format('unqualified')}</feed>",
+        f"<rss version='2.0' xmlns:atom='{ATOM_NS}'><channel>{item.format('rss')}</channel></rss>",
+        f"<rss xmlns='http://elsewhere.test/ns'><channel>{item.format('rss in a default namespace')}</channel></rss>",
+    ]
+    assert sorted(r.title for r in extract_articles(payloads_df(spark, bodies)).collect()) == ["default", "prefixed", "rss"]
+
+
+def test_rerun_leaves_out_items_of_earlier_runs(spark, tmp_path):
+    day = lambda d, body: payloads_df(spark, [body]).withColumn("fetched_at", F.to_timestamp(F.lit(f"{d} 08:00:00")))
+    out = str(tmp_path / "o")
+    jobs.digest_job(spark, day("2026-04-21", feed(2, 0)), out=out)
+    jobs.digest_job(spark, day("2026-04-22", feed(3, 10)), out=out)
+    again = jobs.digest_job(spark, day("2026-04-22", feed(1, 50)), out=out).collect()
+    assert [r.digest_key for r in again] == ["2026-04-22"]
+    assert [line for line in again[0].md.splitlines() if line.startswith("### ")] == ["### 1. T50"]
+    assert spark.read.text(f"{out}/digests").select("digest_date").distinct().count() == 2
+
+
+def test_manifest_gives_landed_files_their_feed_url(spark, tmp_path):
+    from feedlake.sources import read_payloads
+    for name in ("a b+c.xml", "other.xml"):
+        (tmp_path / name).write_text(feed(1, 0))
+    manifest = spark.createDataFrame([("a b+c.xml", "http://feeds.test/a")], "file string, url string")
+    urls = {r.payload_id.rsplit("/", 1)[1]: r.url for r in read_payloads(spark, str(tmp_path), "feed", manifest=manifest).collect()}
+    assert urls.pop("other.xml").endswith("/other.xml") and list(urls.values()) == ["http://feeds.test/a"]
