@@ -21,7 +21,7 @@ from feedlake.plans import fixtures as fx
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, completions_from_json, select_sources
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
-from feedlake.streaming.scorecard import stream_scorecard
+from feedlake.streaming.scorecard import run_probe_outcomes
 
 AS_OF = "2024-02-15 00:00:00"
 KEEP_DAYS = 30
@@ -340,15 +340,11 @@ def ntz_as_instant(c) -> Column:
 
 
 def q_stream_scorecard(spark, sf):
-    """STR-2: daily scorecard over a stream of probe results, 1 hour watermark, append mode."""
+    """STR-2: daily scorecard from streamed probe outcomes, 1 hour watermark; the open day included."""
     events = fx.table_stream(spark, sf, "events")
     checks = fx.check_rows(events).withColumn("ts", ntz_as_instant("ts"))
-    out, ckpt = _scratch(spark, "scores"), _scratch(spark, "scores-ckpt")
-    q = (stream_scorecard(checks, "1 day", "1 hour")
-         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    s = spark.read.parquet(out)
-    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
+    outcomes = run_probe_outcomes(checks, _scratch(spark, "outcomes"), _scratch(spark, "outcomes-ckpt"))
+    s = qa.scorecard(outcomes)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("cycle_ts") / 86400).cast("int"))
     return s.select(F.date_format(day, "yyyy-MM-dd").alias("cycle"), _bigint("n_checks").alias("n_checks"),
                     _bigint("n_passed").alias("n_passed"), "grade", "passed")

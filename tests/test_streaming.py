@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from feedlake.operators import extract as ex
 from feedlake.plans import fixtures as fx
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
-from feedlake.streaming.scorecard import stream_scorecard
+from feedlake.operators import quality as qa
+from feedlake.streaming.scorecard import run_probe_outcomes, stream_scorecard
 
 
 def test_stream_ingest_equals_batch(spark, sf_small, tmp_path):
@@ -48,6 +49,27 @@ def test_stream_scorecard_watermark(spark, tmp_path):
     assert rows == {"2026-04-01": (2, 1)}   # the late row is dropped; the last day is still open
 
 
+def test_streamed_outcomes_equal_the_batch(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / d) for d in ("checks", "out", "ckpt"))
+    t0, hour = dt.datetime(2026, 4, 1, 12), dt.timedelta(hours=1)
+    schema = "ts timestamp, kind string, target string, method string, status int, attempt long"
+    first = [(t0, "feed", "a", "HEAD", 405, 1), (t0, "feed", "b", "GET", 500, 2), (t0, "arxiv", "p", "GET", 429, 3)]
+    second = [(t0 + hour, "feed", "a", "GET", 204, 4), (t0 + 30 * hour, "feed", "c", "HEAD", 405, 5)]
+    spark.createDataFrame([], schema).write.parquet(f"{src}/b0")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+    assert run_probe_outcomes(stream, out, ckpt).count() == 0
+    for i, rows in enumerate((first, second), 1):
+        spark.createDataFrame(rows, schema).write.parquet(f"{src}/b{i}")
+        got = run_probe_outcomes(stream, out, ckpt)
+    given = spark.createDataFrame(first + second, schema).withColumn("cycle_ts", F.date_trunc("day", "ts"))
+    want = qa.classify_checks(given).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.target: r.ok for r in got.collect()} == {"a": True, "b": False, "p": True, "c": False}
+    late = [(t0 - 40 * hour, "feed", "z", "GET", 200, 6)]   # its window is closed: dropped
+    spark.createDataFrame(late, schema).write.parquet(f"{src}/b3")
+    assert run_probe_outcomes(stream, out, ckpt).where("target = 'z'").count() == 0
+
+
 def test_stream_digests_rerender_only_touched_days(spark, sf_small, tmp_path):
     from feedlake.operators import digest as dg
     from feedlake.plans import catalog as C
