@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,16 @@ def compact_payloads(spark, landing: str, table: str, kind: str, glob: str | Non
     Reading packs many small files per task (``maxPartitionBytes`` /
     ``openCostInBytes``); the table then holds few large files, which keeps
     listing and task scheduling cheap for every later batch or stream read.
-    Returns the number of payloads written.
+    Payloads that the table already has (by ``payload_id``) are left out, so a rerun
+    adds nothing. Returns the number of payloads that this call wrote.
     """
     from feedlake.sources import read_payloads
     df = read_payloads(spark, landing, kind, glob=glob)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        df = df.join(spark.read.schema(df.schema).parquet(table).select("payload_id"), "payload_id", "left_anti").select(*df.columns)
     if target_files:
         df = df.coalesce(target_files)
-    df.write.mode("append").parquet(table)
-    return spark.read.parquet(table).where(F.col("kind") == kind).count()
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(table)
+    return written.get["n"]

@@ -123,3 +123,7 @@ def test_compact_payloads(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "table"))
     assert len([f for f in (tmp_path / "table").iterdir() if f.name.endswith(".parquet")]) == 1
     assert sorted(r.title for r in ex.extract_articles(table).collect()) == sorted(f"t{i}" for i in range(12))
+    (landing / "late.xml").write_text("<feed/>")
+    assert sinks.compact_payloads(spark, str(landing), str(tmp_path / "table"), "feed") == 1   # only what is new
+    assert sinks.compact_payloads(spark, str(landing), str(tmp_path / "table"), "feed") == 0
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 13
