@@ -21,8 +21,11 @@ exceeds the number of differences) leave a link possible and it would join two c
 First every member meets its group's smallest class, one partner per member and round, with
 components updated in between; then the groups that still hold several components compare
 all their members' sketches inside tasks (large groups in pairs of blocks of ``BLOCK``
-members), and only pairs that pass are verified. So no link that could change a component
-is lost, and a group of thousands of near copies costs a few rows per member. Keys are
+members). Each member has its possible partners in a fixed order and is verified with the
+next few of them per round (``TURNS``), components updated in between: most possible pairs
+are links, so a group is one component after few rounds. The last round takes all that
+remain, so no link that could change a component is lost, and a group of thousands of near
+copies costs a few rows per member. Keys are
 dealt by range of (key, class), so a hot key spreads over many tasks; copies are combined
 in the tasks that read them.
 
@@ -46,6 +49,7 @@ from feedlake.llm.components import components
 from feedlake.llm.repeats import _NAMES, _mix
 
 ROUNDS = 3     # rounds with one partner per member, before the rest is verified at once
+TURNS = ((0, 1), (1, 9), (9, 73), (73, 585), (585, None))  # a member's possible partners [first, last) of each round
 PARTS = 4      # vertical fragments in which overlaps are counted
 BLOCK = 2048   # members of a group whose sketches one task compares
 SKETCH = 4096  # most bits of an odd sketch
@@ -260,39 +264,47 @@ def _possible(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(work, "x long, y long")
 
 
-def _compare_groups(live: DataFrame, threshold: int) -> DataFrame:
-    """(x, y): pairs of members of a group in different components whose sketches allow a link.
+def _compare_groups(live: DataFrame, threshold: int, first: int, last: int | None) -> DataFrame:
+    """(key, x, y): pairs of members of a group in different components whose sketches allow a link.
 
-    ``live`` has key, cls, component, n, sketch. A group of more than ``BLOCK`` members is
-    dealt to the pairs of its blocks.
+    ``live`` has key, cls, base, component, n, sketch; ``base`` is the component before the
+    first round. The partners of a member y are those x < y of other ``base`` components, in
+    the order of cls; only partners [first, last) are returned, if their components still
+    differ. A row with null x and y says that the group has partners beyond ``last``. A group
+    of more than ``BLOCK`` members is dealt to the pairs of its blocks.
     """
     size = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (live.join(size, "key").withColumn("own", F.pmod(F.hash("cls"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"),
-                     "own", "cls", "component", "n", "sketch")
-             .repartition("task").sortWithinPartitions("task"))
-
-    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        cls, comp, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (2, 3, 4))
-        own, mixed = np.array([r[1] for r in rows]), rows[0][0]["i"] != rows[0][0]["j"]
-        width = min(len(r[5]) for r in rows)
-        bits = np.concatenate([fold(np.frombuffer(r[5], np.uint8)[None, :], width) for r in rows]).view(np.uint64)
+                     "own", "cls", "base", "component", "n", "sketch")
+             .repartition("task").sortWithinPartitions("task", "cls"))
+
+    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
+        own, cls, base, comp, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in range(1, 6))
+        mixed, more = rows[0][0]["i"] != rows[0][0]["j"], False
+        width = min(len(r[6]) for r in rows)
+        bits = np.concatenate([fold(np.frombuffer(r[6], np.uint8)[None, :], width) for r in rows]).view(np.uint64)
         xs, ys = [], []
-        for a in range(len(rows)):
-            b = np.flatnonzero((cls > cls[a]) & (comp != comp[a]) & ((own != own[a]) | (not mixed)))
-            far = np.bitwise_count(bits[b] ^ bits[a]).sum(1)
-            b = b[far <= most_differences(n[b], n[a], threshold)]
-            xs.append(np.full(len(b), cls[a]))
-            ys.append(cls[b])
-        return np.concatenate(xs), np.concatenate(ys)
+        for y in range(1, len(rows)):
+            x = np.flatnonzero((base[:y] != base[y]) & ((own[:y] != own[y]) | (not mixed)))
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
+            x = x[far <= most_differences(n[x], n[y], threshold)]
+            more |= last is not None and len(x) > last
+            x = x[first:last]
+            x = x[comp[x] != comp[y]]
+            xs.append(cls[x])
+            ys.append(np.full(len(x), cls[y]))
+        return np.concatenate(xs or [cls[:0]]), np.concatenate(ys or [cls[:0]]), more
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done():
-            x, y = pairs_of(held)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+            x, y, more = pairs_of(held)
+            ask = pa.nulls(int(more), pa.int64())
+            x, y = (pa.concat_arrays([pa.array(v, pa.int64()), ask]) for v in (x, y))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), held[0][0]["key"]), pa.int64()), x, y], names=["key", "x", "y"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -303,7 +315,7 @@ def _compare_groups(live: DataFrame, threshold: int) -> DataFrame:
         if held:
             yield done()
 
-    return dealt.mapInArrow(work, "x long, y long").distinct()
+    return dealt.mapInArrow(work, "key long, x long, y long")
 
 
 def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,43 +331,62 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
     edges = classes.limit(0).select(F.col("doc").alias("u"), F.col("doc").alias("v"))
     reached = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
-    def of(frame: DataFrame, doc: str, name: str) -> DataFrame:
+    def of(frame: DataFrame, doc: str, name: str, reached: DataFrame) -> DataFrame:
         to = reached.select(F.col("node").alias(f"_{name}"), F.col("component").alias(f"c_{name}"))
         return frame.join(to, F.col(doc) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(f"c_{name}", doc)).drop(f"_{name}", f"c_{name}")
 
     def mixed(state: DataFrame) -> DataFrame:
         return state.groupBy("key").agg(F.min("cls").alias("centre"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "centre")
 
-    for step in ("centres", "members"):
-        state = of(group, "doc", "component")
-        live = state.join(mixed(state), "key")
-        if step == "centres":
-            near = live.where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y")).distinct()
-            near = _possible(near.join(told("x"), "x").join(told("y"), "y"), threshold)
-        else:
-            near = _compare_groups(live.join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "component", "n", "sketch"), threshold)
-        ids = told("x").select("x", "dx"), told("y").select("y", "dy")
-        left = materialize(near.join(ids[0], "x").join(ids[1], "y"), "pairs")
-        if left.isEmpty():
-            continue
-        wanted = left.select(F.col("x").alias("cls"), F.col("dx").alias("doc")).unionByName(left.select(F.col("y").alias("cls"), F.col("dy").alias("doc"))).distinct()
+    def named(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(told("x").select("x", "dx"), "x").join(told("y").select("y", "dy"), "y"), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("x").alias("cls"), F.col("dx").alias("doc")).unionByName(pairs.select(F.col("y").alias("cls"), F.col("dy").alias("doc"))).distinct()
         wanted = materialize(wanted, "wanted")
         # candidates grow with the corpus: a sort-merge join at every size, never a broadcast of them
-        segments = materialize(_segments(_maybe(given, wanted).join(wanted.hint("merge"), "doc"), words), "segments")
+        return materialize(_segments(_maybe(given, wanted).join(wanted.hint("merge"), "doc"), words), "segments")
+
+    def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        found = linked(pairs.select("x", "y"), segments, threshold)
+        new = found.join(pairs, ["x", "y"]).select(F.col("dx").alias("u"), F.col("dy").alias("v"))
+        return materialize(edges.unionByName(new), "edges")
+
+    # every member with its group's smallest class
+    state = of(group, "doc", "component", reached)
+    near = state.join(mixed(state), "key").where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y")).distinct()
+    left = named(_possible(near.join(told("x"), "x").join(told("y"), "y"), threshold))
+    if not left.isEmpty():
+        segments = sets_of(left)
         for turn in range(ROUNDS + 1):
             now = left
             if turn < ROUNDS:  # one partner per member
                 now = materialize(left.groupBy("y").agg(F.min_by(F.struct("x", "dx", "dy"), "x").alias("p")).select("p.x", "y", "p.dx", "p.dy"), "turn")
-            found = linked(now.select("x", "y"), segments, threshold)
-            new = found.join(now, ["x", "y"]).select(F.col("dx").alias("u"), F.col("dy").alias("v"))
-            edges = materialize(edges.unionByName(new), "edges")
+            edges = verified(now, segments)
             reached = components(edges)
             if turn == ROUNDS:
                 break
             left = left.join(now.select("x", "y"), ["x", "y"], "left_anti")
-            left = materialize(of(of(left, "dx", "cx"), "dy", "cy").where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
+            left = materialize(of(of(left, "dx", "cx", reached), "dy", "cy", reached).where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
             if left.isEmpty():
                 break
+
+    # members with each other, in the groups that still hold several components
+    base, open_groups = reached, None
+    for first, last in TURNS:
+        state = of(group, "doc", "component", reached)
+        live = state.join(mixed(state), "key")
+        if open_groups is not None:
+            live = live.join(open_groups, "key")
+        live = of(live, "doc", "base", base).join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "base", "component", "n", "sketch")
+        compared = materialize(_compare_groups(live, threshold, first, last), "compared")
+        left = named(compared.where("x is not null").select("x", "y").distinct())
+        if not left.isEmpty():
+            edges = verified(left, sets_of(left))
+            reached = components(edges)
+        open_groups = compared.where("x is null").select("key").distinct()
+        if open_groups.isEmpty():
+            break
     return (sets.select("doc", "n", "cls").join(classes.select("cls", F.col("doc").alias("first")), "cls", "left")
             .join(reached, F.col("first") == F.col("node"), "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),

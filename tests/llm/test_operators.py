@@ -227,6 +227,24 @@ def test_jaccard_groups_equal_brute_force(spark, threshold, words):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root.get(r.doc_id, r.doc_id))
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_jaccard_groups_of_drifting_copies(spark, monkeypatch, block):
+    """Groups that no centre holds together: members meet in rounds, and in blocks."""
+    monkeypatch.setattr(vertical_join, "TURNS", ((0, 1), (1, 3), (3, None)))
+    monkeypatch.setattr(vertical_join, "BLOCK", block)
+    pick, texts = random.Random(7), []
+    for _ in range(2):
+        t = [f"w{pick.randint(0, 5000)}" for _ in range(120)]
+        for _ in range(60):
+            texts.append(" ".join(t))
+            t[pick.randrange(40)] = f"w{pick.randint(0, 5000)}"
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    root = union_find([e[0] for e in edges], [e[1] for e in edges])
+    got = vertical_join.jaccard_groups(documents(spark, texts), 90, 3).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, root.get(i, i)) for i in range(len(texts))}
+
+
 # 9 ------------------------------------------------------------------------------------------------
 def test_mixture_meets_its_target(spark):
     sizes = {"a": 400, "b": 40, None: 10, "z": 0}
