@@ -204,23 +204,54 @@ def _block_names(pending: DataFrame, window: int, gram: int, block: int, size: i
     return pending.select(*fields).mapInArrow(work, "doc long, h long, p int, lo int, hi int, c1 long, c2 long, t1 long, t2 long")
 
 
-def _level(entries: DataFrame, core: list[str], span: list[str], later_only: bool, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(decided windows (doc, h, a, b), representatives that go on) of one level."""
+def _level(entries: DataFrame, core: list[str], span: list[str], later_only: bool, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decided windows (doc, h, p, lo, hi), representatives that go on, their twins) of one level.
+
+    With ``later_only`` a span's first document is left undecided; its places besides the
+    representative (rh, rp) are twins, to which decisions of deeper levels have to come back.
+    """
     spans = materialize(
         entries.groupBy(*span).agg(
             *[F.min(c).alias(c) for c in core], F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("final"),
             F.min(F.struct("doc", "h", "p", "lo", "hi")).alias("rep"))
         .where(F.lit(True) if not last else (F.col("first") < F.col("final")) if later_only else F.col("n") > 1), "spans")
-    repeated = spans.where("first < final" if later_only else "n > 1").select(*span, "first")
-    hit = entries.select("doc", "h", "p", "lo", "hi", *span).join(repeated, span)
-    if later_only:
-        hit = hit.where("doc > first")
-    decided = hit.select("doc", "h", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo")).alias("b"))
+    twins, places = None, ["doc", "h", "p", "lo", "hi"]
+    if later_only and not last:
+        repeated = spans.where("n > 1").select(*span, "first", F.col("rep.h").alias("rh"), F.col("rep.p").alias("rp"))
+        hit = entries.select(*places, *span).join(repeated, span).where("doc > first or h <> rh or p <> rp")
+        early = F.col("doc") == F.col("first")
+        hit = materialize(hit.select(*places, *[F.when(early, F.col(c)).alias(c) for c in ("rh", "rp")]), "decided")
+        decided, twins = hit.where("rh is null").select(*places), hit.where("rh is not null")
+    else:
+        repeated = spans.where("first < final" if later_only else "n > 1").select(*span, "first")
+        hit = entries.select(*places, *span).join(repeated, span)
+        decided = (hit.where("doc > first") if later_only else hit).select(*places)
     if last:
-        return decided, None
+        return decided, None, None
     mixed = (spans.groupBy(*core).agg(F.count("*").alias("m"), F.min("first").alias("first"), F.max("final").alias("final"))
              .where("m > 1 and first < final" if later_only else "m > 1").select(*core))
-    return decided, spans.join(mixed, core).select("rep.*")
+    return decided, spans.join(mixed, core).select("rep.*"), twins
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    every = frames[0]
+    for more in frames[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _with_twins(found: list[tuple[DataFrame, DataFrame]]) -> list[DataFrame]:
+    """Decided windows of all levels, those of representatives repeated at their twins, deepest level first."""
+    deeper = [materialize(found[-1][0], "decided")]
+    for decided, twins in reversed(found[:-1]):
+        twins = twins.distinct()
+        if not twins.isEmpty():
+            at = twins.select("doc", F.col("h").alias("th"), F.col("p").alias("tp"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"),
+                              F.col("rh").alias("h"), F.col("rp").alias("p"))
+            same = _union(deeper).distinct().join(at, ["doc", "h", "p"]).where("tlo <= lo and hi <= thi")
+            deeper.append(materialize(same.select("doc", F.col("th").alias("h"), F.col("tp").alias("p"), "lo", "hi"), "twins"))
+        deeper.append(decided)
+    return deeper
 
 
 def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int, blocks: tuple[int, ...], later_only: bool) -> DataFrame:
@@ -233,22 +264,21 @@ def repeated_windows(docs: DataFrame, kind: str, window: int, gram: int, blocks:
         raise ValueError("block sizes must divide each other and end with 1")
     size = 8 if kind == "words" else 1
     spans = materialize(span_table(docs, kind, window, gram), "anchors")
-    found, reps = _level(spans, ["g"], ["s1", "s2"], later_only, False)
-    found = [found]
+    decided, reps, twins = _level(spans, ["g"], ["s1", "s2"], later_only, False)
+    found = [(decided, twins)]
     listed = reps.groupBy("doc", "h").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("reps"))
     around = materialize(_cut_slices(docs.join(listed, ["doc", "h"]).select("doc", "h", "text", "reps"), kind, window, gram, blocks[0]), "around")
     pending = around.withColumn("ranges", F.array(F.struct("lo", "hi")))
     for block in blocks:
         entries = materialize(_block_names(pending, window, gram, block, size), "blocks")
-        decided, reps = _level(entries, ["c1", "c2"], ["t1", "t2"], later_only, block == 1)
-        found.append(decided)
+        decided, reps, twins = _level(entries, ["c1", "c2"], ["t1", "t2"], later_only, block == 1)
+        found.append((decided, twins))
         if block > 1:
             ranges = reps.groupBy("doc", "h", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
             pending = around.join(ranges, ["doc", "h", "p"])
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return (every.groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("a", (F.col("b") + window).alias("b")))).alias("covered")))
+    every = _union(_with_twins(found) if later_only else [decided for decided, _ in found])
+    ends = F.struct((F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo") + window).alias("b"))
+    return every.groupBy("doc", "h").agg(F.array_sort(F.collect_set(ends)).alias("covered"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:

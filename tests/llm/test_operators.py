@@ -170,6 +170,26 @@ def test_suffix_dedup_equals_brute_force(spark, alphabet):
         assert sum(s.b - s.a for s in got[i].spans) == want[i].sum()
 
 
+def test_substring_dedup_of_a_document_that_repeats_its_copies(spark):
+    """Passage and context several times in one document, the passage alone in an earlier one."""
+    pick = random.Random(11)
+    own = lambda n: [f"o{pick.randrange(10 ** 9)}" for _ in range(n)]
+    join = lambda *parts: " ".join(w for p in parts for w in p)
+    p, q, x, y, z = own(60), own(200), own(70), own(70), own(90)
+    texts = [join(own(30), p, own(30)), join(x, p, y, x, p, y), join(own(20), q, own(90)), join(x, q, y, z, x, q, y, z, x, q, y, z),
+             join(z, x, q[:100], own(9), z, x, q[:100]), join(own(5), y, x, p[:55], own(5), p[3:], y, x)]
+    docs = documents(spark, texts)
+    want = covered(texts, repeats.word_symbols, 50, True)
+    assert want[1].sum() >= 120 and want[3].sum() >= 600
+    for r in substring_dedup.dedup_substrings(docs).collect():
+        assert r.kept == b" ".join(w for w, m in zip(repeats.split_words(texts[r.doc_id]), want[r.doc_id]) if not m)
+    # rows that share an id, with different texts
+    shared = [texts[0], join(own(40), x, p, y), join(own(80), x, p, y, own(7))]
+    odd = spark.createDataFrame([(min(i, 1), t) for i, t in enumerate(shared)], "doc_id long, text string")
+    got = {r.kept for r in substring_dedup.dedup_substrings(odd).collect()}
+    assert got == {" ".join(w for w in t.split() if i == 0 or w not in p).encode() for i, t in enumerate(shared)}
+
+
 def test_dedup_edges(spark):
     docs = documents(spark, ["x " * 100, "x " * 100, None])
     odd = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
