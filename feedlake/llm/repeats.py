@@ -113,7 +113,9 @@ def anchors(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:], [len(place)]]) - 1
         found.append((place[first] + at, first + at, last + at))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    place, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))  # a run over a chunk's edge is one run
+    return place[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
 def _digests(pieces: list, place) -> np.ndarray:

@@ -190,6 +190,26 @@ def test_substring_dedup_of_a_document_that_repeats_its_copies(spark):
     assert got == {" ".join(w for w in t.split() if i == 0 or w not in p).encode() for i, t in enumerate(shared)}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 300, 500])
+def test_anchors_do_not_depend_on_chunks(monkeypatch, chunk):
+    pick = np.random.default_rng(chunk)
+    for names in (pick.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1), np.zeros(900, np.uint64), pick.integers(0, 2, 900).astype(np.uint64) << np.uint64(60)):
+        whole = repeats.anchors(names, 369)
+        with monkeypatch.context() as m:
+            m.setattr(repeats, "CHUNK", chunk)
+            cut = repeats.anchors(names, 369)
+        assert len(set(cut[0].tolist())) == len(cut[0])
+        assert all(a.tolist() == b.tolist() for a, b in zip(whole, cut))
+
+
+def test_suffix_dedup_keeps_a_unique_text_of_several_chunks(spark):
+    text = np.random.default_rng(1).integers(97, 123, 2 * repeats.CHUNK + 3000, dtype=np.uint8).tobytes().decode()
+    got = {r.doc_id: r for r in suffix_dedup.dedup_suffixes(documents(spark, [text, text[repeats.CHUNK - 600 : repeats.CHUNK + 600]])).collect()}
+    assert [(s.a, s.b) for s in got[0].spans] == [(repeats.CHUNK - 600, repeats.CHUNK + 600)] and got[1].kept == b""
+    alone = suffix_dedup.dedup_suffixes(documents(spark, [text])).first()
+    assert alone.spans == [] and alone.kept == text.encode()
+
+
 def test_dedup_edges(spark):
     docs = documents(spark, ["x " * 100, "x " * 100, None])
     odd = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
