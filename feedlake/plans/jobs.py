@@ -59,16 +59,16 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
                footer: str = dg.DEFAULT_FOOTER, papers_per_digest: int | None = 5,
                articles_per_feed: int | None = 15, web_per_digest: int | None = 5,
                papers: bool = True, feeds: bool = True, web: bool = False,
-               split_hot_groups: bool | None = None) -> DataFrame:
+               split_hot_groups: bool | None = None, web_results: int | None = 5) -> DataFrame:
     """payloads -> item tables (written) -> summaries -> one digest per day (written when ``out``).
 
     ``split_hot_groups`` (default: on when any cap is None) numbers items with
     the range-partitioned split numbering, so an uncapped hot day is numbered
-    by many tasks.
+    by many tasks. ``web_results``: hits kept per search page (None: all).
     """
     if split_hot_groups is None:
         split_hot_groups = None in (papers_per_digest, articles_per_feed, web_per_digest)
-    t = extract_items(spark, payloads, registry, out, papers=papers, feeds=feeds, web=web)
+    t = extract_items(spark, payloads, registry, out, papers=papers, feeds=feeds, web=web, web_results=web_results)
     kinds = {"papers": "paper", "articles": "article", "web": "web"}
     summarised = {k: sm.with_summaries(v.withColumn("digest_key", F.col("digest_key").cast("string")),
                                        kinds[k], completions) for k, v in t.items()}

@@ -60,11 +60,12 @@ def payload_stream(spark: SparkSession, landing: str, kind: str, layout: str = "
 def stream_ingest(spark: SparkSession, landing: str, out: str, kind: str = "feed",
                   registry: DataFrame | None = None, checkpoint: str | None = None,
                   url_from_payload=None, available_now: bool = True, layout: str = "table",
-                  schema: T.StructType | None = None) -> StreamingQuery:
+                  schema: T.StructType | None = None, web_results: int | None = 5) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
     ``url_from_payload`` maps the payload-id column to the feed url used to
-    attach registry names (stream-static broadcast join).
+    attach registry names (stream-static broadcast join). ``web_results``: hits
+    kept per search page of kind ``serp`` (None: all).
     """
     if kind not in EXTRACTORS:
         raise ValueError(f"kind must be one of {sorted(EXTRACTORS)}")
@@ -74,7 +75,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, kind: str = "feed
         payloads = payloads.withColumn("url", url_from_payload(F.col("payload_id")))
     if registry is not None and kind == "feed":
         payloads = attach_feed(payloads, registry)
-    items = EXTRACTORS[kind](payloads)
+    items = EXTRACTORS[kind](payloads, web_results) if kind == "serp" else EXTRACTORS[kind](payloads)
     writer = (items.writeStream.format("parquet").option("path", out)
               .option("checkpointLocation", ckpt).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

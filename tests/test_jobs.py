@@ -20,3 +20,17 @@ def test_uncapped_job_uses_split_numbering(spark, sf_small, tmp_path):
     split = digest_job(spark, payloads, reg, out=str(tmp_path / "a"), **kw)
     plain = digest_job(spark, payloads, reg, out=str(tmp_path / "b"), split_hot_groups=False, **kw)
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+def test_all_hits_of_a_page_reach_the_tables(spark, tmp_path):
+    from feedlake.streaming.ingest import land_payloads, run_ingest_once
+    block = '<a class="result__a" href="http://h{i}">T{i}</a> <a class="result__snippet" href="#">S{i}</a> '
+    body = "".join(block.format(i=i) for i in range(8))
+    pages = spark.sql("SELECT 'p' payload_id, 'http://x' url, 'serp' kind, TIMESTAMP_NTZ'2026-04-22 08:00:00' fetched_at").selectExpr("*", f"'{body}' body")
+    kw = dict(papers=False, feeds=False, web=True, web_per_digest=None)
+    md = [digest_job(spark, pages, out=str(tmp_path / f"job{n}"), web_results=n, **kw).first().md for n in (5, None)]
+    assert [sum(f"T{i}" in m for i in range(8)) for m in md] == [5, 8]
+    land_payloads(pages, str(tmp_path / "landing"))
+    got = run_ingest_once(spark, str(tmp_path / "landing"), str(tmp_path / "out"), kind="serp", schema=pages.schema,
+                          checkpoint=str(tmp_path / "ck"), web_results=None)
+    assert sorted(r.href for r in got.collect()) == [f"http://h{i}" for i in range(8)]
