@@ -1,7 +1,7 @@
-"""Operator 4: substring dedup by level-wise doubling over word windows.
+"""Operator 4: substring dedup over word windows, by anchors and blocks in place of level-wise doubling.
 
 Windows of few words are tested first; only those that repeat at one length are extended,
-to about twice the length each level (8, 27, 45, 50 words by default), until no candidate
+at growing lengths that are not doubled (8, 27, 45, 50 words by default), until no candidate
 survives or the full window is reached. Every word that a window covers whose word
 sequence also starts in a document with a smaller id is removed; windows are judged on
 the input. See ``repeats`` for how windows are sampled without loss and reranked.

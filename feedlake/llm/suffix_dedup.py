@@ -1,9 +1,9 @@
-"""Operator 5: suffix-array dedup by distributed prefix doubling over sampled suffixes.
+"""Operator 5: suffix-array dedup over sampled suffixes, by anchors and blocks in place of prefix doubling.
 
 Names of 8 bytes double to 16 and 32 at every position inside a task. From there Spark
-sorts and reranks suffix positions at growing lengths (32, 273, 385, 400 bytes by default):
-each round takes the pairs (rank of the shared text, rank of the text with its extension)
-of surviving positions, drops unique ranks, and ends when a rank passes the threshold
+groups suffix positions by names at growing lengths (32, 273, 385, 400 bytes by default):
+each round takes the pairs (name of the shared text, name of the text with its extension)
+of surviving positions, drops unique names, and ends when a name passes the threshold
 length. Positions are the anchors of ``repeats``, a sample that every 400-byte string
 meets at the same offset in all its copies, so the sparse suffix order decides every
 string exactly. Every byte covered by a string that also starts anywhere else is removed.
