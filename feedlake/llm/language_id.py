@@ -7,10 +7,10 @@ bytes, everything but letters is one blank), logarithms of counts, unit length,
 A level's winner has most duels, then the largest sum of margins, then the smallest name.
 
 Families are those of ``FAMILIES``; a language without an entry is a family of its own, so
-that any label can be learned. The machines are trained by dual coordinate descent on at
-most ``PER_LANGUAGE`` texts of a language and ``SAMPLE`` in all (those with the smallest id
-digests, outside the held-out fold); features of that bounded sample are computed by tasks
-and only they reach the driver. Prediction is one narrow pass over all whole texts.
+that any label can be learned. The machines are trained by dual coordinate descent on about
+``PER_LANGUAGE`` texts of a language and at most ``SAMPLE`` in all (those with the smallest
+id digests, outside the held-out fold); features of that bounded sample are computed by
+tasks and only they reach the driver. Prediction is one narrow pass over all whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every
 text if there was nothing to learn from; null ids take no part in learning; of rows that
@@ -24,13 +24,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from feedlake.llm.quality import fold
 
-PER_LANGUAGE, SAMPLE = 800, 16_000  # most texts that are learned from
+PER_LANGUAGE, SAMPLE = 800, 16_000  # texts of a language (about), most texts in all
+LANGUAGES = 1000                    # most label values that are learned, by number of texts
 BITS, ORDERS, CHUNK = 13, 4, 1 << 20
 PENALTY, EPOCHS = 4.0, 20
 UNKNOWN = "und"
@@ -155,12 +156,17 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """Learn from ``text`` and ``lang`` of a bounded sample outside the held-out fold."""
-    first = Window.partitionBy("lang").orderBy("mixed", "doc_id")
-    chosen = (docs.where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 0)
-              .groupBy("doc_id").agg(F.min("lang").alias("lang"))
-              .withColumn("mixed", F.xxhash64("doc_id"))
-              .withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
-              .orderBy("place", "mixed", "doc_id").limit(sample).select("doc_id"))
+    known = docs.where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 0)
+    sizes = (known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    if not sizes:
+        return Model([], [])
+    # an id's digest as a share of 1, times the size of its language: about its rank there, without a sort of the language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, float(r.n))])
+    chosen = (known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+              .withColumn("place", share * size[F.col("lang")]).where(F.col("place") < per_language)
+              .orderBy("place", "doc_id").limit(sample).select("doc_id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from feedlake.llm.common import slices
 
@@ -170,17 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
 
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted (columns of those names are replaced)."""
+    """``docs`` with score and predicted (columns of those names are replaced).
+
+    Only the text and n_chars go to Python, once, and only the score comes back; all other columns stay in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x (RANK + 1) numbers
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    wide = docs.select(F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_n"), *kept)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0):
-                rows = [features(t, n) for t, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(shared.value.score(rows))], names=[*kept, "score"])
+    def work(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, sizes in batches:
+            parts = [shared.value.score([features(t, n) for t, n in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)])
+                     for p in slices(pa.RecordBatch.from_arrays([texts, sizes], names=["text", "n_chars"]))]
+            yield pa.array(np.concatenate([np.empty(0), *parts]))
 
-    return (wide.mapInArrow(work, f"{fields}, score double")
+    found = arrow_udf(work, "double")(F.col("text"), F.col("n_chars").cast("double"))
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    return (docs.select(*kept, found.alias("score"))
             .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
