@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,45 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are removed at the end, but for those of ``kept`` that the block fills."""
+    kept: list[DataFrame] = []
+    _WRITTEN.append([])
+    try:
+        yield kept
+    finally:
+        paths, stay = _WRITTEN.pop(), {f for df in kept for f in df.inputFiles()}
+        for path in paths:
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in stay):
+                remove(spark, path)
+
+
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir``; returns its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/feedlake-{name}-{uuid.uuid4().hex}"
+    for paths in _WRITTEN[-1:]:
+        paths.append(path)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
+    """``df`` written once to the shared folder and read back.
 
     Cuts the lineage and survives lost executors; the read-back uses the written
     schema, so an empty frame comes back empty.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more (what was derived from it is written already)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -50,7 +50,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertical_join.jaccard_groups(table(spark, sf_dir, "documents"), threshold=90, words=3)
+    found = vertical_join.jaccard_groups(table(spark, sf_dir, "documents"), threshold=90, words=3)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ in the tasks that read them.
 
 Defined results: null or empty texts have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle; rows with a null id get a null component and
-link with nothing; repeated rows are one class; an empty table gives an empty result;
-extra columns are ignored. Shingles are compared by 64-bit names.
+link with nothing; repeated rows are one class; rows that share an id but not the set are
+linked by their sets alone; an empty table gives an empty result; extra columns are ignored.
+Shingles are compared by 64-bit names.
 """
 from __future__ import annotations
 
@@ -43,8 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from feedlake.llm.common import materialize, slices
+from feedlake.llm.common import materialize, remove, scratch, slices, write
 from feedlake.llm.components import components
 from feedlake.llm.repeats import _NAMES, _mix
 
@@ -160,6 +162,7 @@ def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc", "n", "cls", "sketch", "keys"])
+        _NAMES.clear()  # the worker lives on
     return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>")
 
 
@@ -203,6 +206,18 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, "key long, cls long").distinct()
 
 
+def _different_groups(group: DataFrame) -> DataFrame:
+    """``group`` (key, cls) with one key of those that have the same members.
+
+    Near copies share most of their fragments, so most groups come many times; equal ones
+    hold the same pairs. Members are compared by number and two 64-bit sums without carry.
+    """
+    members = group.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("a"),
+                                       F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("b"))
+    first = members.where("n > 1").groupBy("n", "a", "b").agg(F.min("key").alias("key"))
+    return group.join(first.select("key"), "key", "left_semi")
+
+
 def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc may be in ``wanted`` (doc), found before any shuffle.
 
@@ -231,6 +246,7 @@ def _segments(docs: DataFrame, words: int) -> DataFrame:
                 c = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cls", "part", "n", "names"])
+        _NAMES.clear()  # the worker lives on
     return docs.select("cls", "text").mapInArrow(work, "cls long, part int, n long, names binary")
 
 
@@ -264,11 +280,11 @@ def _possible(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(work, "x long, y long")
 
 
-def _compare_groups(live: DataFrame, threshold: int, first: int, last: int | None) -> DataFrame:
+def _compare_groups(live: DataFrame, classes: DataFrame, threshold: int, first: int, last: int | None) -> DataFrame:
     """(key, x, y): pairs of members of a group in different components whose sketches allow a link.
 
-    ``live`` has key, cls, base, component, n, sketch; ``base`` is the component before the
-    first round. The partners of a member y are those x < y of other ``base`` components, in
+    ``live`` has key, cls, base, component; ``base`` is the component before the first
+    round; ``classes`` has cls, n, sketch. The partners of a member y are those x < y of other ``base`` components, in
     the order of cls; only partners [first, last) are returned, if their components still
     differ. A row with null x and y says that the group has partners beyond ``last``. A group
     of more than ``BLOCK`` members is dealt to the pairs of its blocks.
@@ -277,8 +293,9 @@ def _compare_groups(live: DataFrame, threshold: int, first: int, last: int | Non
     dealt = (live.join(size, "key").withColumn("own", F.pmod(F.hash("cls"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"),
-                     "own", "cls", "base", "component", "n", "sketch")
-             .repartition("task").sortWithinPartitions("task", "cls"))
+                     "own", "cls", "base", "component")
+             .join(classes.select("cls", "n", "sketch"), "cls")  # sketches are most of a row and are dealt once
+             .select("task", "own", "cls", "base", "component", "n", "sketch").repartition("task").sortWithinPartitions("task", "cls"))
 
     def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
         own, cls, base, comp, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in range(1, 6))
@@ -318,22 +335,45 @@ def _compare_groups(live: DataFrame, threshold: int, first: int, last: int | Non
     return dealt.mapInArrow(work, "key long, x long, y long")
 
 
+def set_names(text, words: int):
+    """Column: the class of a text, as ``jaccard_groups`` names it."""
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([set_class(shingle_set(x.as_py(), words)) for x in batch], pa.int64())
+        _NAMES.clear()  # the worker lives on
+    return arrow_udf(work, "long")(text)
+
+
 def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) per row of ``docs``: the smallest id reachable by links."""
+    """(key, n_shingles, component_id, cls, component) per row of ``docs``.
+
+    component_id is the smallest id reachable by links; cls names the row's set and component
+    the smallest such name reachable, so that unlike texts of one id stay apart. Written
+    before it returns; the tables of the rounds are removed.
+    """
+    with scratch(docs.sparkSession) as kept:
+        found = materialize(_groups(docs, threshold, words, key, text), "links")
+        kept.append(found)
+    return found
+
+
+def _groups(docs: DataFrame, threshold: int, words: int, key: str, text: str) -> DataFrame:
     given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = materialize(_sets(given, words, threshold), "sets")
+    spark, path = docs.sparkSession, write(_sets(given, words, threshold), "sets")
+    sets = spark.read.parquet(path)
     classes = materialize(sets.where("doc is not null and n > 0").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     keys = sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls")
-    group = materialize(_shared_keys(keys), "groups")
-    group = group.join(classes.select("cls", "doc"), "cls")
+    group = materialize(_different_groups(materialize(_shared_keys(keys), "groups")), "groups")
+    sets = materialize(sets.select("doc", "n", "cls"), "rows")
+    remove(spark, path)  # the keys are most of it
     told = lambda c: classes.select(F.col("cls").alias(c), F.col("doc").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    edges = classes.limit(0).select(F.col("doc").alias("u"), F.col("doc").alias("v"))
+    edges = classes.limit(0).select(F.col("cls").alias("u"), F.col("cls").alias("v"))
     reached = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
-    def of(frame: DataFrame, doc: str, name: str, reached: DataFrame) -> DataFrame:
+    def of(frame: DataFrame, cls: str, name: str, reached: DataFrame) -> DataFrame:
         to = reached.select(F.col("node").alias(f"_{name}"), F.col("component").alias(f"c_{name}"))
-        return frame.join(to, F.col(doc) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(f"c_{name}", doc)).drop(f"_{name}", f"c_{name}")
+        return frame.join(to, F.col(cls) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(f"c_{name}", cls)).drop(f"_{name}", f"c_{name}")
 
     def mixed(state: DataFrame) -> DataFrame:
         return state.groupBy("key").agg(F.min("cls").alias("centre"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "centre")
@@ -349,11 +389,10 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
 
     def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
         found = linked(pairs.select("x", "y"), segments, threshold)
-        new = found.join(pairs, ["x", "y"]).select(F.col("dx").alias("u"), F.col("dy").alias("v"))
-        return materialize(edges.unionByName(new), "edges")
+        return materialize(edges.unionByName(found.select(F.col("x").alias("u"), F.col("y").alias("v"))), "edges")
 
     # every member with its group's smallest class
-    state = of(group, "doc", "component", reached)
+    state = of(group, "cls", "component", reached)
     near = state.join(mixed(state), "key").where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y")).distinct()
     left = named(_possible(near.join(told("x"), "x").join(told("y"), "y"), threshold))
     if not left.isEmpty():
@@ -367,19 +406,19 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
             if turn == ROUNDS:
                 break
             left = left.join(now.select("x", "y"), ["x", "y"], "left_anti")
-            left = materialize(of(of(left, "dx", "cx", reached), "dy", "cy", reached).where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
+            left = materialize(of(of(left, "x", "cx", reached), "y", "cy", reached).where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
             if left.isEmpty():
                 break
 
     # members with each other, in the groups that still hold several components
     base, open_groups = reached, None
     for first, last in TURNS:
-        state = of(group, "doc", "component", reached)
+        state = of(group, "cls", "component", reached)
         live = state.join(mixed(state), "key")
         if open_groups is not None:
             live = live.join(open_groups, "key")
-        live = of(live, "doc", "base", base).join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "base", "component", "n", "sketch")
-        compared = materialize(_compare_groups(live, threshold, first, last), "compared")
+        live = of(live, "cls", "base", base).select("key", "cls", "base", "component")
+        compared = materialize(_compare_groups(live, classes, threshold, first, last), "compared")
         left = named(compared.where("x is not null").select("x", "y").distinct())
         if not left.isEmpty():
             edges = verified(left, sets_of(left))
@@ -387,7 +426,11 @@ def jaccard_groups(docs: DataFrame, threshold: int = 90, words: int = 3, key: st
         open_groups = compared.where("x is null").select("key").distinct()
         if open_groups.isEmpty():
             break
-    return (sets.select("doc", "n", "cls").join(classes.select("cls", F.col("doc").alias("first")), "cls", "left")
-            .join(reached, F.col("first") == F.col("node"), "left")
+    named_classes = of(classes.select("cls", "doc"), "cls", "component", reached)
+    smallest = named_classes.groupBy("component").agg(F.min("doc").alias("smallest"))
+    named_classes = named_classes.select("cls", "component").join(smallest, "component")
+    alone = F.col("doc").isNull() | (F.col("n") == 0)
+    return (sets.join(named_classes, "cls", "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.coalesce("component", "first")).otherwise(F.col("doc")).alias("component_id")))
+                    F.when(alone, F.col("doc")).otherwise(F.col("smallest")).alias("component_id"), "cls",
+                    F.when(~alone, F.col("component")).alias("component")))

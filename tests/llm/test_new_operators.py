@@ -261,3 +261,69 @@ def test_conversation_with_nothing_left(spark):
 def test_quality_fold_is_the_contracts(spark):
     got = spark.range(50).select("id", quality.fold(repair.F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+# pipeline -----------------------------------------------------------------------------------------
+def test_near_duplicate_stage_equals_brute_force(spark):
+    """Ids repeated with unlike texts, with copies and with near copies of other ids."""
+    import corpus_pipeline as pipe
+
+    pick = random.Random(4)
+    def text(n):
+        return " ".join(pick.choice("ab cd ef gh ij kl mn op qr st uv wx yz".split()) + str(pick.randint(0, 99)) for _ in range(n))
+    a, b, c = text(80), text(70), text(60)
+    near_a = " ".join(a.split()[:-1]) + " other"
+    rows = [(5, a), (5, b), (2, near_a), (7, c), (7, c.upper()), (7, c + "  "), (9, c), (11, None), (11, " "), (11, None), (None, a), (None, a),
+            (20, text(40)), (20, text(40)), (21, "one two"), (22, "One  two"), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in pipe.near_duplicate_stage(spark, docs, "").collect()]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return frozenset(map(tuple, (w[i : i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else [w] if w else []))
+    sets = sorted({shingles(t) for i, t in rows if i is not None} - {frozenset()}, key=sorted)
+    group = {s: s for s in sets}
+    for _ in sets:
+        for x in sets:
+            for y in sets:
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    group[x] = group[y] = min(group[x], group[y], key=sorted)
+    classes = {}
+    for i, t in rows:
+        if i is not None and shingles(t):
+            classes.setdefault(group[shingles(t)], []).append(i)
+    assert sorted(i for i, t in kept if i is not None and shingles(t)) == sorted(min(v) for v in classes.values())
+    assert sorted(((i, t) for i, t in kept if i is None or not shingles(t)), key=repr) == sorted(((i, t) for i, t in rows if i is None or not shingles(t)), key=repr)
+    assert (2, near_a) in kept and (4, b) in kept and (7, min(t for i, t in rows if i == 7)) in kept and sum(i == 20 for i, _ in kept) == 2
+
+
+def test_scratch_removes_all_but_what_is_kept(spark):
+    from feedlake.llm import common
+
+    with common.scratch(spark) as kept:
+        gone, stays, empty = (common.materialize(spark.range(n), "t") for n in (3, 4, 0))
+        files = gone.inputFiles()
+        kept.append(stays)
+    assert stays.count() == 4 and files
+    with pytest.raises(Exception, match="not exist|FileNotFound|FAILED_READ"):
+        spark.read.parquet(files[0]).count()
+
+
+def test_quality_stage_equals_scoring_row_by_row(spark, sf_small):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    kept = {r.doc_id for r in pipe.quality_stage(spark, docs, sf_small).collect()}
+    model = quality.train(docs.select(*pipe.COLUMNS), spark.read.parquet(f"{sf_small}/labels.parquet"))
+    want = {r.doc_id for r in docs.collect() if model.score([quality.features(r.text, r.n_chars)])[0] >= quality.THRESHOLD}
+    assert kept == want and 0 < len(want) < docs.count()
+
+
+def test_score_keeps_columns_with_clashing_names(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(20)
+    model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    odd = docs.selectExpr("*", "'a' as _text", "2 as _n", "'x' as score", "'y' as i", "'z' as predicted")
+    got = quality.score(odd, model)
+    assert got.columns == [*docs.columns, "_text", "_n", "i", "score", "predicted"]
+    plain = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert {(r._text, r._n, r.i) for r in got.collect()} == {("a", 2, "y")} and {r.doc_id: r.score for r in got.collect()} == plain

@@ -332,7 +332,7 @@ def test_pipeline_stages(spark, sf_small):
     assert near.columns == pipe.COLUMNS and near.count() == near.select("doc_id").distinct().count()
     text = {r.doc_id: r.text for r in pipe.suffix_stage(spark, near, sf_small).collect()}
     given = sorted((r.doc_id, r.text) for r in near.collect())
-    for (i, t), mask in zip(given, covered([t for _, t in given], repeats.byte_symbols, 400, False)):
+    for (i, t), mask in zip(given, covered([t for _, t in given], repeats.byte_symbols, pipe.REPEAT, False)):
         left = np.frombuffer(t.encode(), np.uint8)[~mask].tobytes().decode("utf-8", "replace")
         assert text.get(i, "") == left or (not mask.any() and text[i] == t)
     out = pipe.run(spark, sf_small)
