@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm import bpe, mixing, quality, suffix_dedup, vertical_join
-from feedlake.llm.common import materialize, table
+from feedlake.llm.common import WORD, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REPEAT = 250  # bytes: about fifty words of short ones
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +24,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (smallest id) of every group linked by five-word shingles at 0.8; rows without id stay."""
+    """One document of every group linked by five-word shingles at 0.8: the smallest (doc_id, set of shingles).
+
+    Rows without id or words link with nothing and stay. Rows that share an id are told apart by
+    their sets: unlike texts stay, of rows with one id and one set the least one stays.
+    """
     docs = docs.select(*COLUMNS)
-    found = vertical_join.jaccard_groups(docs, threshold=80, words=5).where("doc_id is not null")
-    stay = (found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
-    kept = docs.join(stay, F.col("doc_id") == F.col("_id"))
-    return (kept.where("_rows = 1").select(*COLUMNS)
-            .unionByName(kept.where("_rows > 1").dropDuplicates(["doc_id"]).select(*COLUMNS))
-            .unionByName(docs.where("doc_id is null")))
+    found = vertical_join.jaccard_groups(docs, threshold=80, words=5).where("component is not null")
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "cls")).alias("one"))
+    stay = (first.select("one.doc_id", "one.cls").join(rows, "doc_id")
+            .select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"), F.col("rows").alias("_rows")))
+    apart = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = docs.where(~apart).join(stay, F.col("doc_id") == F.col("_id"))
+    again = (kept.where("_rows > 1").where(vertical_join.set_names(F.col("text"), 5) == F.col("_cls"))
+             .groupBy("_id", "_cls").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*"))
+    return kept.where("_rows = 1").select(*COLUMNS).unionByName(again).unionByName(docs.where(apart))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings that occur elsewhere; a document goes if nothing of it is left."""
-    cut = suffix_dedup.dedup_suffixes(docs.select(*COLUMNS))
+    """Texts without strings of ``REPEAT`` bytes that occur elsewhere; a document goes if nothing of it is left."""
+    cut = suffix_dedup.dedup_suffixes(docs.select(*COLUMNS), length=REPEAT)
     text = F.when(F.size("spans") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
     return (cut.where("size(spans) = 0 or octet_length(kept) > 0")
             .select("doc_id", text.alias("text"), "lang", "source",
