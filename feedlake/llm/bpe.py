@@ -11,7 +11,7 @@ The vocabulary is a ``tokenizers`` JSON file with an ``end_of_word_suffix`` and
 no decoder, lower-casing and dropping white space. Its normalizer and pre-tokenizer
 are applied by the library (printable ASCII by the same pattern here); white space
 always ends a word, so texts are cut there and each distinct word is handled once
-per Python worker (a bounded memo).
+per task (a bounded memo).
 
 Defined results: null text = empty text = no ids and an empty decoded text;
 repeated rows are encoded each; extra columns are ignored; texts of any length
@@ -190,6 +190,9 @@ def _map(df: DataFrame, key: str, column: str, vocabulary: str, outputs: str, ru
             for part in slices(batch, 1):
                 rows = [run(bpe, x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in zip(*rows, strict=True)]], names=names)
+        for memo in (bpe.words, bpe.chunks):
+            memo.clear()  # the worker lives on
+        pa.default_memory_pool().release_unused()
 
     return df.select(key, column).mapInArrow(work, f"`{key}` {key_type}, {outputs}")
 

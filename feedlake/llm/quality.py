@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRES
                      for p in slices(pa.RecordBatch.from_arrays([texts, sizes], names=["text", "n_chars"]))]
             yield pa.array(np.concatenate([np.empty(0), *parts]))
         _CODES.clear()  # the worker lives on
+        pa.default_memory_pool().release_unused()
 
     found = arrow_udf(work, "double")(F.col("text"), F.col("n_chars").cast("double"))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

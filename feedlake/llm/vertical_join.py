@@ -163,6 +163,7 @@ def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc", "n", "cls", "sketch", "keys"])
         _NAMES.clear()  # the worker lives on
+        pa.default_memory_pool().release_unused()
     return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>")
 
 
@@ -247,6 +248,7 @@ def _segments(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cls", "part", "n", "names"])
         _NAMES.clear()  # the worker lives on
+        pa.default_memory_pool().release_unused()
     return docs.select("cls", "text").mapInArrow(work, "cls long, part int, n long, names binary")
 
 
@@ -341,6 +343,7 @@ def set_names(text, words: int):
         for batch in batches:
             yield pa.array([set_class(shingle_set(x.as_py(), words)) for x in batch], pa.int64())
         _NAMES.clear()  # the worker lives on
+        pa.default_memory_pool().release_unused()
     return arrow_udf(work, "long")(text)
 
 
