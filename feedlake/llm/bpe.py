@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import slices
+from feedlake.llm.common import give_back, slices
 
 #: Pre-tokenized words of printable lower-case ASCII: what the library's pattern gives there.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -192,7 +192,7 @@ def _map(df: DataFrame, key: str, column: str, vocabulary: str, outputs: str, ru
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in zip(*rows, strict=True)]], names=names)
         for memo in (bpe.words, bpe.chunks):
             memo.clear()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.select(key, column).mapInArrow(work, f"`{key}` {key_type}, {outputs}")
 

@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this package."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -68,6 +69,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an idle one should hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark an already written ``df`` for broadcast only if it has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from feedlake.llm.common import slices
+from feedlake.llm.common import give_back, slices
 
 SAMPLE = 8_000                      # most labelled rows the model is fitted on
 WORDS, SHAPES, BINS = 4096, 1024, 16
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = THRES
                      for p in slices(pa.RecordBatch.from_arrays([texts, sizes], names=["text", "n_chars"]))]
             yield pa.array(np.concatenate([np.empty(0), *parts]))
         _CODES.clear()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     found = arrow_udf(work, "double")(F.col("text"), F.col("n_chars").cast("double"))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

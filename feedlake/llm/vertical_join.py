@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from feedlake.llm.common import materialize, remove, scratch, slices, write
+from feedlake.llm.common import give_back, materialize, remove, scratch, slices, write
 from feedlake.llm.components import components
 from feedlake.llm.repeats import _NAMES, _mix
 
@@ -163,7 +163,7 @@ def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000
                     [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc", "n", "cls", "sketch", "keys"])
         _NAMES.clear()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        give_back()
     return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>")
 
 
@@ -248,7 +248,7 @@ def _segments(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cls", "part", "n", "names"])
         _NAMES.clear()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        give_back()
     return docs.select("cls", "text").mapInArrow(work, "cls long, part int, n long, names binary")
 
 
@@ -259,6 +259,7 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
             overlap = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
                        for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(overlap, pa.int64())], names=["x", "y", "nx", "ny", "part", "overlap"])
+        give_back()
 
     side = lambda s: segments.select(F.col("cls").alias(s), "part", F.col("n").alias(f"n{s}"), F.col("names").alias(f"names_{s}"))
     partial = (pairs.join(side("y"), "y").join(side("x"), ["x", "part"])
@@ -333,6 +334,7 @@ def _compare_groups(live: DataFrame, classes: DataFrame, threshold: int, first:
                 held.append(row)
         if held:
             yield done()
+        give_back()
 
     return dealt.mapInArrow(work, "key long, x long, y long")
 
@@ -343,7 +345,7 @@ def set_names(text, words: int):
         for batch in batches:
             yield pa.array([set_class(shingle_set(x.as_py(), words)) for x in batch], pa.int64())
         _NAMES.clear()  # the worker lives on
-        pa.default_memory_pool().release_unused()
+        give_back()
     return arrow_udf(work, "long")(text)
 
 
