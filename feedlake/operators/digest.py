@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedlake.functions.text import join_names, or_default
+from feedlake.operators import summarize as sm
 
 # Section headers and empty-section notes, in section order.
 SECTIONS = {
@@ -250,30 +251,52 @@ def render_digests(items: DataFrame, title: str = DEFAULT_TITLE, footer: str = D
     return agg.select("digest_key", F.array_join(lines, "\n").alias("md"))
 
 
-def build_digest_items(papers: DataFrame | None, articles: DataFrame | None, web: DataFrame | None,
-                       papers_per_digest: int | None = 5, articles_per_feed: int | None = 15,
-                       web_per_digest: int | None = 5) -> DataFrame:
-    """Union the three summarised item kinds into digest items, applying the caps.
+def capped_items(kind: str, items: DataFrame, n: int | None) -> tuple[DataFrame, str | None]:
+    """(items of one kind within their cap, the column that ranks them in a digest).
 
-    Inputs carry ``digest_key`` and ``summary_s``. Papers: newest first
-    (published, arXiv id), first ``papers_per_digest``. Articles: registry then
-    feed order, first ``articles_per_feed`` of each fetched payload. Web hits: page order,
-    first ``web_per_digest``.
+    Papers: newest first (published, arXiv id), first ``n`` of a digest. Articles: feed order,
+    first ``n`` of each fetched payload. Web hits: page order, first ``n`` of a digest.
     """
-    parts = []
-    if papers is not None:
-        ranked = top_per_group(papers, ["digest_key"], [F.col("published").desc(), F.col("arxiv_id").desc()],
-                               papers_per_digest, rank_col="_prank")
-        parts.append(digest_items("paper", ranked, "_prank"))
-    if articles is not None:
-        capped = cap_per_feed(articles, articles_per_feed, group_cols=("digest_key", "payload_id"))
-        parts.append(digest_items("article", capped, "registry_pos" if "registry_pos" in capped.columns else None))
-    if web is not None:
-        top = top_per_group(web, ["digest_key"], ["fetched_at", "payload_id", "pos"], web_per_digest)
-        parts.append(digest_items("web", top))
+    if kind == "paper":
+        return top_per_group(items, ["digest_key"], [F.col("published").desc(), F.col("arxiv_id").desc()], n, rank_col="_prank"), "_prank"
+    if kind == "article":
+        capped = cap_per_feed(items, n, group_cols=("digest_key", "payload_id"))
+        return capped, "registry_pos" if "registry_pos" in capped.columns else None
+    return top_per_group(items, ["digest_key"], ["fetched_at", "payload_id", "pos"], n), None
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no item kinds given")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _kinds(papers, articles, web, papers_per_digest, articles_per_feed, web_per_digest):
+    given = (("paper", papers, papers_per_digest), ("article", articles, articles_per_feed), ("web", web, web_per_digest))
+    return [k for k in given if k[1] is not None]
+
+
+def build_digest_items(papers: DataFrame | None, articles: DataFrame | None, web: DataFrame | None,
+                       papers_per_digest: int | None = 5, articles_per_feed: int | None = 15,
+                       web_per_digest: int | None = 5) -> DataFrame:
+    """Union three kinds of items that carry ``digest_key`` and ``summary_s`` into digest items, applying the caps."""
+    return _union([digest_items(kind, *capped_items(kind, items, n)) for kind, items, n in
+                   _kinds(papers, articles, web, papers_per_digest, articles_per_feed, web_per_digest)])
+
+
+def summarized_digest_items(papers: DataFrame | None, articles: DataFrame | None, web: DataFrame | None,
+                            completions: DataFrame | None = None, papers_per_digest: int | None = 5,
+                            articles_per_feed: int | None = 15, web_per_digest: int | None = 5) -> DataFrame:
+    """Extracted items (with ``digest_key``) to digest items: cap first, then summarise what is left.
+
+    Texts are reduced to fallbacks in the extracting stage, caps run on the narrow rows, and
+    completions join survivors alone, so neither bodies nor capped items reach the join.
+    """
+    parts = []
+    for kind, items, n in _kinds(papers, articles, web, papers_per_digest, articles_per_feed, web_per_digest):
+        kept, rank = capped_items(kind, sm.slim(items, kind), n)
+        parts.append(digest_items(kind, sm.summarize_capped(kept, kind, completions), rank))
+    return _union(parts)

@@ -118,10 +118,14 @@ def _rss_items(doc: Column, has_default: Column) -> Column:
         .otherwise(F.coalesce(doc["item"], item_t))
 
 
-def _article_array(df: DataFrame, fmt: str) -> Column:
+def _article_array(df: DataFrame, fmt: str, first_n: int | None = None) -> Column:
+    """Raw articles of a payload; the first ``first_n`` entries are cut out before any is read."""
+    if first_n is not None and first_n < 0:
+        raise ValueError("a cap must be >= 0 or None")
+    cut = (lambda a: a) if first_n is None else (lambda a: F.slice(a, 1, first_n))
     doc = F.col(PARSED)
-    atom = F.transform(_atom_entries(doc, F.col("_has_atom")), _atom_raw)
-    rss = F.transform(_rss_items(doc, F.col("_has_default")), _rss_raw)
+    atom = F.transform(cut(_atom_entries(doc, F.col("_has_atom"))), _atom_raw)
+    rss = F.transform(cut(_rss_items(doc, F.col("_has_default"))), _rss_raw)
     if fmt == "atom":
         return atom
     if fmt == "rss":
@@ -156,10 +160,14 @@ def extract_rss(payloads: DataFrame) -> DataFrame:
     return _explode_articles(df, _article_array(df, "rss"), _feed_name(df))
 
 
-def extract_articles(payloads: DataFrame) -> DataFrame:
-    """Articles of any feed format, chosen by the root element (EXT-3)."""
+def extract_articles(payloads: DataFrame, per_payload: int | None = None) -> DataFrame:
+    """Articles of any feed format, chosen by the root element (EXT-3).
+
+    ``per_payload`` keeps the first so many of each fetched feed (WIN-1): a payload is one
+    row, so the cap is a slice before the explode and needs no exchange.
+    """
     df = _parsed(payloads)
-    return _explode_articles(df, _article_array(df, "auto"), _feed_name(df))
+    return _explode_articles(df, _article_array(df, "auto", per_payload), _feed_name(df))
 
 
 def feed_format(payloads: DataFrame) -> DataFrame:

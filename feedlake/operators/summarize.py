@@ -134,16 +134,45 @@ def fallback_summary(kind: str) -> Column:
     )
 
 
+FALLBACK = "fallback_s"
+
+
+def slim(items: DataFrame, kind: str) -> DataFrame:
+    """Items as caps and joins need them: ``item_id`` and the fallback summary instead of the text.
+
+    The fallback holds at most ``FALLBACK_POINT_CHARS`` of the text, so abstracts and article
+    bodies stay in the scan's stage and never cross an exchange.
+    """
+    df = items if "item_id" in items.columns else with_item_id(items, kind)
+    return df.withColumn(FALLBACK, fallback_summary(kind)).drop(item_text_col(kind))
+
+
+def summarize_capped(survivors: DataFrame, kind: str, completions: DataFrame | None = None) -> DataFrame:
+    """Attach ``summary_s`` to items that a cap has kept (JOIN-3 after the caps, as a run does it).
+
+    ``survivors`` come from ``slim``. Completions join as raw text by ``item_id`` and only
+    those of survivors are parsed; an item without one keeps its fallback.
+    """
+    if completions is None:
+        return survivors.withColumnRenamed(FALLBACK, "summary_s")
+    told = completions.where(F.col("item_kind") == kind).select("item_id", F.coalesce("response", F.lit("")).alias("response_s"))
+    parsed = F.when(F.col("response_s").isNotNull(), parse_completion("response_s"))
+    return (survivors.join(told, "item_id", "left")
+            .withColumn("summary_s", F.coalesce(parsed, F.col(FALLBACK))).drop("response_s", FALLBACK))
+
+
 def with_summaries(items: DataFrame, kind: str, completions: DataFrame | None = None) -> DataFrame:
-    """Attach ``summary`` to every item (JOIN-3): parsed completion, else fallback.
+    """Attach ``summary_s`` to every item (JOIN-3): parsed completion, else fallback.
 
     A left join keyed by ``item_id``: an item without a completion is never
-    dropped. ``completions=None`` is the summarizer-disabled run.
+    dropped. ``completions=None`` is the summarizer-disabled run. All items are
+    summarised; a digest caps first (``slim`` and ``summarize_capped``).
     """
     df = items if "item_id" in items.columns else with_item_id(items, kind)
     if completions is None:
         return df.withColumn("summary_s", fallback_summary(kind))
     comp = (completions.where(F.col("item_kind") == kind)
             .select("item_id", parse_completion("response").alias("_parsed")))
-    joined = df.join(comp, "item_id", "left")
-    return joined.withColumn("summary_s", F.coalesce(F.col("_parsed"), fallback_summary(kind))).drop("_parsed")
+    # the fallback is cut before the join: a text that nobody reads later does not cross it
+    joined = df.withColumn(FALLBACK, fallback_summary(kind)).join(comp, "item_id", "left")
+    return joined.withColumn("summary_s", F.coalesce(F.col("_parsed"), F.col(FALLBACK))).drop("_parsed", FALLBACK)

@@ -45,24 +45,26 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
 
 def digest_sources(spark: SparkSession, sf: str, summarize: bool = True, papers: bool = True,
                    feeds: bool = True, web: bool = True):
-    """Summarised items of the three kinds, keyed by digest day."""
-    comps = completions(spark, sf) if summarize else None
+    """Extracted items of the three kinds, keyed by digest day, and the completions."""
     key = {"digest_key": dg.digest_day()}
     pap = arts = hits = None
     if papers:
-        pap = sm.with_summaries(ex.extract_papers(fx.arxiv_payloads(spark, sf)).withColumns(key), "paper", comps)
+        pap = ex.extract_papers(fx.arxiv_payloads(spark, sf)).withColumns(key)
     if feeds:
-        arts = sm.with_summaries(ex.extract_articles(registered_feed_payloads(spark, sf)).withColumns(key),
-                                 "article", comps)
+        arts = ex.extract_articles(registered_feed_payloads(spark, sf), ARTICLES_PER_FEED).withColumns(key)
     if web:
-        hits = sm.with_summaries(ex.extract_web_results(fx.serp_payloads(spark, sf)).withColumns(key), "web", comps)
-    return pap, arts, hits
+        hits = ex.extract_web_results(fx.serp_payloads(spark, sf)).withColumns(key)
+    return pap, arts, hits, completions(spark, sf) if summarize else None
+
+
+def digest_rows(spark: SparkSession, sf: str, **kw) -> DataFrame:
+    """Digest items: caps, then summaries of what is left. Articles are cut in their payloads already."""
+    return dg.summarized_digest_items(*digest_sources(spark, sf, **kw), articles_per_feed=None)
 
 
 def digests(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    """Full digest job: payloads -> items -> summaries -> one Markdown per day."""
-    items = dg.build_digest_items(*digest_sources(spark, sf, **kw), articles_per_feed=ARTICLES_PER_FEED)
-    return dg.render_digests(items)
+    """Full digest job: payloads -> items -> caps -> summaries -> one Markdown per day."""
+    return dg.render_digests(digest_rows(spark, sf, **kw))
 
 
 def _md_out(df: DataFrame) -> DataFrame:
@@ -79,24 +81,21 @@ def q_digest_render(spark, sf):
 
 def q_digest_items(spark, sf):
     """SET-2, JOIN-1, WIN-2, PRJ-5..8: one row per rendered item."""
-    items = dg.build_digest_items(*digest_sources(spark, sf), articles_per_feed=ARTICLES_PER_FEED)
-    n = dg.number_items(items)
+    n = dg.number_items(digest_rows(spark, sf))
     return n.select("digest_key", _bigint("section").alias("section"), _bigint("rn").alias("rn"), "title",
                     F.md5("block").alias("block_md5"))
 
 
 def q_digest_empty_sections(spark, sf):
     """JOIN-4: feeds-only run without summarizer over every event day (empty digests too)."""
-    _, arts, _ = digest_sources(spark, sf, summarize=False, papers=False, web=False)
-    items = dg.build_digest_items(None, arts, None, articles_per_feed=ARTICLES_PER_FEED)
+    items = digest_rows(spark, sf, summarize=False, papers=False, web=False)
     keys = fx.table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("digest_key"))
     return _md_out(dg.render_digests(items, keys=keys))
 
 
 def q_feed_cap(spark, sf):
     """WIN-1: first 15 articles of every feed in fetch/feed order."""
-    arts = ex.extract_articles(registered_feed_payloads(spark, sf))
-    capped = dg.cap_per_feed(arts, ARTICLES_PER_FEED)
+    capped = ex.extract_articles(registered_feed_payloads(spark, sf), ARTICLES_PER_FEED)
     return capped.select("feed_name", "payload_id", _bigint("pos").alias("pos"), "title")
 
 

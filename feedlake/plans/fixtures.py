@@ -288,16 +288,18 @@ def feed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completion_response(text: Column, doc_id: Column) -> Column:
-    """Four response shapes: plain text, full markers, messy markers, points only."""
+    """Four response shapes (plain text, full markers, messy markers, points only), each of all lines of the text."""
     lines = F.split(text, "\n")
-    ln = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+    first, last = F.get(lines, F.lit(0)), F.element_at(lines, -1)
+    further = F.slice(lines, 2, F.size(lines))
+    bullets = lambda mark, what: F.array_join(F.transform(what, lambda l: F.concat(F.lit(mark), l)), "\n")
     shape = doc_id % 4
     return (F.when(shape == 0, text)
-            .when(shape == 1, F.concat(F.lit("HEADLINE: "), ln(0), F.lit("\nKEY POINTS:\n- "), ln(1),
-                                       F.lit("\n- "), ln(2), F.lit("\nRELEVANCE: "), ln(3)))
-            .when(shape == 2, F.concat(F.lit("Intro "), ln(0), F.lit("\n- stray\nheadline: first\nKey Points:\n-- "),
-                                       ln(1), F.lit("\n-\nRELEVANCE:\n"), ln(2), F.lit("\nHEADLINE: "), ln(3)))
-            .otherwise(F.concat(F.lit("key points:\n  - "), ln(0), F.lit("\n  - "), ln(1))))
+            .when(shape == 1, F.concat(F.lit("HEADLINE: "), first, F.lit("\nKEY POINTS:\n"), bullets("- ", further),
+                                       F.lit("\nRELEVANCE: "), last))
+            .when(shape == 2, F.concat(F.lit("Intro "), first, F.lit("\n- stray\nheadline: first\nKey Points:\n"),
+                                       bullets("-- ", further), F.lit("\n-\nRELEVANCE:\n"), last, F.lit("\nHEADLINE: "), first))
+            .otherwise(F.concat(F.lit("key points:\n"), bullets("  - ", lines))))
 
 
 def article_item_id(source: Column, chunk: Column, pos: Column) -> Column:
@@ -305,19 +307,16 @@ def article_item_id(source: Column, chunk: Column, pos: Column) -> Column:
 
 
 def completion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LLM chat responses (JSON) for the articles of labelled documents."""
+    """LLM chat responses (JSON) for the articles of all documents but those with id % 5 = 3, which get none."""
     b = doc_base(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select("doc_id")
     # Position of the document inside its payload: a window bounded by one chunk.
     pos = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("doc_id")) - 1
-    with_pos = b.select("doc_id", "source", "chunk", "text", pos.alias("pos"))
-    return (with_pos.join(labels, "doc_id", "left_semi")
-            .select(F.lit("article").alias("item_kind"),
-                    article_item_id(F.col("source"), F.col("chunk"), F.col("pos")).alias("item_id"),
-                    F.to_json(F.struct(F.struct(completion_response(F.col("text"), F.col("doc_id"))
-                                                .alias("content")).alias("message"))).alias("body")))
-
-
+    with_pos = b.select("doc_id", "source", "chunk", "text", pos.alias("pos")).where("doc_id % 5 <> 3")
+    return with_pos.select(
+        F.lit("article").alias("item_kind"),
+        article_item_id(F.col("source"), F.col("chunk"), F.col("pos")).alias("item_id"),
+        F.to_json(F.struct(F.struct(completion_response(F.col("text"), F.col("doc_id"))
+                                    .alias("content")).alias("message"))).alias("body"))
 
 
 # Check outcomes by event type: the status a probe saw.

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from feedlake import sinks
 from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
-from feedlake.operators import summarize as sm
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, select_sources
 
@@ -69,12 +68,10 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
     if split_hot_groups is None:
         split_hot_groups = None in (papers_per_digest, articles_per_feed, web_per_digest)
     t = extract_items(spark, payloads, registry, out, papers=papers, feeds=feeds, web=web, web_results=web_results)
-    kinds = {"papers": "paper", "articles": "article", "web": "web"}
-    summarised = {k: sm.with_summaries(v.withColumn("digest_key", F.col("digest_key").cast("string")),
-                                       kinds[k], completions) for k, v in t.items()}
-    items = dg.build_digest_items(summarised.get("papers"), summarised.get("articles"), summarised.get("web"),
-                                  papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
-                                  web_per_digest=web_per_digest)
+    t = {k: v.withColumn("digest_key", F.col("digest_key").cast("string")) for k, v in t.items()}
+    items = dg.summarized_digest_items(t.get("papers"), t.get("articles"), t.get("web"), completions,
+                                       papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
+                                       web_per_digest=web_per_digest)
     digests = dg.render_digests(items, title=title, footer=footer, split_hot_groups=split_hot_groups)
     if out:
         sinks.write_digests(digests, f"{out.rstrip('/')}/digests")

@@ -111,21 +111,24 @@ web AS (
 
 # ---- completions and the EXT-7 parse (window formulation) --------------------
 
+def _bullets(mark: str, what: str) -> str:
+    return f"coalesce(array_to_string(list_transform({what}, lambda x: {_q(mark)} || x), {NL}), '')"
+
+
+# every line of the text is in the response: first, further lines as points, last
 _SHAPES = f"""CASE doc_id % 4
       WHEN 0 THEN text
-      WHEN 1 THEN 'HEADLINE: ' || ln0 || {NL} || 'KEY POINTS:' || {NL} || '- ' || ln1 || {NL} || '- ' || ln2
-                  || {NL} || 'RELEVANCE: ' || ln3
-      WHEN 2 THEN 'Intro ' || ln0 || {NL} || '- stray' || {NL} || 'headline: first' || {NL} || 'Key Points:'
-                  || {NL} || '-- ' || ln1 || {NL} || '-' || {NL} || 'RELEVANCE:' || {NL} || ln2 || {NL}
-                  || 'HEADLINE: ' || ln3
-      ELSE 'key points:' || {NL} || '  - ' || ln0 || {NL} || '  - ' || ln1 END"""
+      WHEN 1 THEN 'HEADLINE: ' || ls[1] || {NL} || 'KEY POINTS:' || {NL} || {_bullets('- ', 'ls[2:]')}
+                  || {NL} || 'RELEVANCE: ' || ls[len(ls)]
+      WHEN 2 THEN 'Intro ' || ls[1] || {NL} || '- stray' || {NL} || 'headline: first' || {NL} || 'Key Points:'
+                  || {NL} || {_bullets('-- ', 'ls[2:]')} || {NL} || '-' || {NL} || 'RELEVANCE:' || {NL} || ls[len(ls)]
+                  || {NL} || 'HEADLINE: ' || ls[1]
+      ELSE 'key points:' || {NL} || {_bullets('  - ', 'ls')} END"""
 
 COMPLETIONS = f"""
 comp0 AS (
-  SELECT d.doc_id, d.payload_id || '#' || CAST(d.pos AS VARCHAR) AS item_id, d.text,
-         coalesce(string_split(d.text, {NL})[1], '') AS ln0, coalesce(string_split(d.text, {NL})[2], '') AS ln1,
-         coalesce(string_split(d.text, {NL})[3], '') AS ln2, coalesce(string_split(d.text, {NL})[4], '') AS ln3
-  FROM docs d SEMI JOIN labels l ON d.doc_id = l.doc_id),
+  SELECT d.doc_id, d.payload_id || '#' || CAST(d.pos AS VARCHAR) AS item_id, d.text, string_split(d.text, {NL}) AS ls
+  FROM docs d WHERE d.doc_id % 5 <> 3),
 completions AS (SELECT 'article' AS item_kind, item_id, {_SHAPES} AS response FROM comp0)"""
 
 _BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"

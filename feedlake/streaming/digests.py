@@ -20,13 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from feedlake import schemas, sinks
 from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
-from feedlake.operators import summarize as sm
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, broadcast_if_small
 
-KINDS = {"papers": ("arxiv", "paper"), "articles": ("feed", "article"), "web": ("serp", "web")}
-
-
 def _table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,14 +55,14 @@ def stream_digests(spark: SparkSession, landing: str, items_dir: str, digests_pa
              .partitionBy("digest_key", "batch_id").parquet(os.path.join(items_dir, name)))
         days = broadcast_if_small(batch.select(dg.digest_day().alias("digest_key")).distinct())
         parts = {}
-        for name, (_, kind) in KINDS.items():
+        for name in extracted:
             path = os.path.join(items_dir, name)
             if _table_exists(spark, path):
                 table = spark.read.schema(extracted[name].schema).parquet(path).drop("batch_id")
-                parts[name] = sm.with_summaries(table.join(days, "digest_key", "left_semi"), kind, completions)
-        items = dg.build_digest_items(parts.get("papers"), parts.get("articles"), parts.get("web"),
-                                      papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
-                                      web_per_digest=web_per_digest)
+                parts[name] = table.join(days, "digest_key", "left_semi")
+        items = dg.summarized_digest_items(parts.get("papers"), parts.get("articles"), parts.get("web"), completions,
+                                           papers_per_digest=papers_per_digest, articles_per_feed=articles_per_feed,
+                                           web_per_digest=web_per_digest)
         sinks.write_digests(dg.render_digests(items), digests_path)
         batch.unpersist()
 

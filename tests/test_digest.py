@@ -98,8 +98,8 @@ def test_numbering_restarts_per_section_and_plan_shares_exchange(spark):
 
 def test_split_numbering_equals_window_numbering(spark, sf_small):
     from feedlake.plans import catalog as C
-    items = dg.build_digest_items(*C.digest_sources(spark, sf_small), articles_per_feed=None,
-                                  papers_per_digest=None, web_per_digest=None)
+    items = dg.summarized_digest_items(*C.digest_sources(spark, sf_small), articles_per_feed=None,
+                                       papers_per_digest=None, web_per_digest=None)
     cols = ["digest_key", "section", "rn", "title", "block"]
     a = dg.number_items(items).select(*cols)
     b = dg.number_items_split(items, partitions=7).select(*cols)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import payloads_df
 from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
+from feedlake.operators import summarize as sm
 from feedlake.sources import attach_feed, broadcast_if_small
 
 
@@ -36,3 +37,54 @@ def test_registry_broadcast_is_size_checked(spark):
     # over the bound the hint is not given (AQE may still choose from runtime sizes)
     assert "ResolvedHint" not in broadcast_if_small(reg, max_rows=2)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in broadcast_if_small(reg, max_rows=10)._jdf.queryExecution().analyzed().toString()
+
+
+def _item_tables(spark, n=300):
+    day = F.lit("2026-04-02").alias("digest_key")
+    base = [day, F.lit(None).cast("timestamp").alias("fetched_at"), F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("payload_id"),
+            F.floor(F.col("id") / 7).cast("int").alias("pos"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title")]
+    text = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 100)
+    none = F.array().cast("array<string>")
+    rows = spark.range(n)
+    papers = rows.select(*base, text.alias("summary"), none.alias("authors"), F.lit("2026-04-01").alias("published"),
+                         F.col("id").cast("string").alias("arxiv_id"), *[F.lit("").alias(c) for c in ("pdf_url", "comment", "primary_category")])
+    articles = rows.select(*base, text.alias("summary"), none.alias("authors"), F.lit("F").alias("feed_name"),
+                           *[F.lit("").alias(c) for c in ("link", "published")])
+    web = rows.select(*base, text.alias("body"), *[F.lit("").alias(c) for c in ("href", "source")])
+    comps = rows.select(F.element_at(F.array(F.lit("paper"), F.lit("article"), F.lit("web")), (F.col("id") % 3 + 1).cast("int")).alias("item_kind"),
+                        F.concat(F.lit("p"), (F.col("id") % 7).cast("string"), F.lit("#"), F.floor(F.col("id") / 7).cast("string")).alias("item_id"),
+                        F.concat(F.lit("HEADLINE: h"), F.col("id").cast("string")).alias("response"))
+    return papers, articles, web, comps
+
+
+def test_texts_never_cross_an_exchange(spark, tmp_path):
+    """Cap first, then summaries: exchanges carry keys, metadata and at most 200 characters of a text."""
+    tables = []
+    for i, t in enumerate(_item_tables(spark)):
+        t.write.parquet(str(tmp_path / str(i)))
+        tables.append(spark.read.parquet(str(tmp_path / str(i))))
+    papers, articles, web, comps = tables
+    items = dg.summarized_digest_items(papers, articles, web, comps)
+    plan = dg.render_digests(items)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = [part.split("\n")[1] for part in plan.split("\n\n") if part.startswith("(") and "Exchange" in part.split("\n")[0]]
+    carried = [e for e in exchanges if "fallback_s#" in e]
+    assert len(exchanges) >= 5 and carried, plan
+    assert not any(f"{c}#" in e for e in exchanges for c in ("summary", "body")), exchanges
+    # nothing is lost by the order: the same digest as summarising everything first
+    every = dg.build_digest_items(*(sm.with_summaries(t, k, comps) for t, k in ((papers, "paper"), (articles, "article"), (web, "web"))))
+    assert dg.render_digests(items).collect() == dg.render_digests(every).collect()
+
+
+def test_slice_cap_needs_no_exchange_and_equals_the_window(spark):
+    entry = "<entry><title>t{}</title></entry>"
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>'
+    item = "<item><title>t{}</title></item>"
+    bodies = [feed.format("".join(entry.format(i) for i in range(n))) for n in (0, 1, 14, 15, 16, 40)]
+    bodies += [f"<rss><channel>{''.join(item.format(i) for i in range(n))}</channel></rss>" for n in (0, 15, 16, 33)]
+    df = payloads_df(spark, bodies)
+    for n in (0, 1, 15, None):
+        sliced = ex.extract_articles(df, n)
+        assert "Exchange" not in _plan(sliced)
+        same = dg.cap_per_feed(ex.extract_articles(df), n)
+        assert sorted(map(tuple, sliced.select("payload_id", "pos").collect())) == sorted(map(tuple, same.select("payload_id", "pos").collect()))
