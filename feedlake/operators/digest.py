@@ -213,6 +213,38 @@ def number_items_split(items: DataFrame, partitions: int | None = None) -> DataF
             .drop("_pid", "_i", "_off", "_i0"))
 
 
+def digest_blocks(items: DataFrame, title: str = DEFAULT_TITLE, footer: str = DEFAULT_FOOTER,
+                  keys: DataFrame | None = None, show_date: bool = True, partitions: int | None = None) -> DataFrame:
+    """The rows of all digests: (digest_key, section, rn, block); a digest's rows in order, joined by line ends, are its text.
+
+    A digest of any size is numbered and rendered as rows by many tasks and is never one value.
+    Row 0 of a section holds its heading (of the first one also title and date) and, if the
+    section is empty, its note; section ``len(SECTIONS) + 1`` is the footer. Headings come from
+    one small aggregate: a row per digest and section.
+    """
+    # written once by the numbering; everything below reads that
+    blocks = number_items_split(items, partitions).select("digest_key", "section", "rn", "block")
+    counts = blocks.groupBy("digest_key", "section").agg(F.count(F.lit(1)).alias("n"))
+    days = counts.select("digest_key").distinct()
+    if keys is not None:
+        days = days.unionByName(keys.select("digest_key")).distinct()
+    spine = days.withColumn("section", F.explode(F.array(*[F.lit(s) for s in SECTIONS])))
+    dated = F.col("digest_key") != "" if show_date else F.lit(False)
+    first = F.when(F.col("section") == min(SECTIONS), F.concat(
+        F.lit(DIGEST_FORMATS["title"] % title), F.lit("\n\n"),
+        F.when(dated, F.concat(_fmt("date", F.col("digest_key")), F.lit("\n\n"))).otherwise(F.lit("")))).otherwise(F.lit(""))
+    heading, note = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for s, (header, empty) in SECTIONS.items():
+        heading = F.when(F.col("section") == s, F.lit(header)).otherwise(heading)
+        note = F.when(F.col("section") == s, F.lit(empty)).otherwise(note)
+    heads = (spine.join(counts, ["digest_key", "section"], "left")
+             .select("digest_key", "section", F.lit(0).alias("rn"),
+                     F.concat(first, heading, F.lit("\n"), F.when(F.col("n").isNull(), F.concat(F.lit("\n"), note, F.lit("\n"))).otherwise(F.lit("")))
+                     .alias("block")))
+    foot = days.select("digest_key", F.lit(len(SECTIONS) + 1).alias("section"), F.lit(0).alias("rn"), F.lit(footer).alias("block"))
+    return blocks.unionByName(heads).unionByName(foot)
+
+
 def _section_lines(sorted_items: Column, section: int) -> Column:
     header, empty = SECTIONS[section]
     blocks = F.transform(F.filter(sorted_items, lambda x: x["section"] == section), lambda x: x["block"])

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake import sinks
 from feedlake.functions.dates import norm_date
 from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
@@ -19,7 +20,7 @@ from feedlake.operators import search as se
 from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
 from feedlake.session import ensure_checkpoint_dir
-from feedlake.sources import attach_feed, completions_from_json, select_sources
+from feedlake.sources import attach_feed, completions_from_json, read_digests, read_file_inventory, select_sources
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
 from feedlake.streaming.scorecard import run_probe_outcomes
 
@@ -44,14 +45,14 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digest_sources(spark: SparkSession, sf: str, summarize: bool = True, papers: bool = True,
-                   feeds: bool = True, web: bool = True):
+                   feeds: bool = True, web: bool = True, cap: int | None = ARTICLES_PER_FEED):
     """Extracted items of the three kinds, keyed by digest day, and the completions."""
     key = {"digest_key": dg.digest_day()}
     pap = arts = hits = None
     if papers:
         pap = ex.extract_papers(fx.arxiv_payloads(spark, sf)).withColumns(key)
     if feeds:
-        arts = ex.extract_articles(registered_feed_payloads(spark, sf), ARTICLES_PER_FEED).withColumns(key)
+        arts = ex.extract_articles(registered_feed_payloads(spark, sf), cap).withColumns(key)
     if web:
         hits = ex.extract_web_results(fx.serp_payloads(spark, sf)).withColumns(key)
     return pap, arts, hits, completions(spark, sf) if summarize else None
@@ -86,6 +87,15 @@ def q_digest_items(spark, sf):
                     F.md5("block").alias("block_md5"))
 
 
+def q_digest_files(spark, sf):
+    """AGG-1, WIN-2, SNK-1: every day's digest without a cap, written as ordered files and read back."""
+    out = _scratch(spark, "digests")
+    pap, arts, hits, comps = digest_sources(spark, sf, cap=None)
+    items = dg.summarized_digest_items(pap, arts, hits, comps, None, None, None)
+    sinks.write_digest_blocks(dg.digest_blocks(items, partitions=32), out, partitions=32)
+    return _md_out(read_digests(spark, out))
+
+
 def q_digest_empty_sections(spark, sf):
     """JOIN-4: feeds-only run without summarizer over every event day (empty digests too)."""
     items = digest_rows(spark, sf, summarize=False, papers=False, web=False)
@@ -250,6 +260,17 @@ def q_retention_by_mtime(spark, sf):
     return rt.retention_plan(m, "delete")
 
 
+def q_retention_apply(spark, sf):
+    """SNK-1, SNK-3: digests written as text files, then archived and deleted from their manifest; what is left is read again."""
+    live, archive = _scratch(spark, "live"), _scratch(spark, "archive")
+    sinks.write_digests(fx.digest_texts(spark, sf).repartition("digest_key"), live)
+    done = rt.apply_retention(spark, live, AS_OF, KEEP_DAYS, archive_path=archive)
+    held = rt.read_archive(spark, archive).agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes_archived"))
+    left = (read_file_inventory(spark, live, recursive=True)
+            .agg(F.count("*").alias("files_left"), F.sum("length").cast("bigint").alias("bytes_left")))
+    return done.crossJoin(held).crossJoin(left)  # one row each
+
+
 # ---- quality -------------------------------------------------------------------
 
 def q_error_scan(spark, sf):

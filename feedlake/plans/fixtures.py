@@ -387,3 +387,9 @@ def digest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         (day.cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") % 24).cast("int"))).alias("modificationTime"),
         F.col("n_chars").cast("bigint").alias("length"),
         F.col("source").alias("folder"))
+
+
+def digest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written digests: the texts of sixty days, many a day."""
+    return table(spark, sf_dir, "documents").select(
+        F.date_format(_day(F.col("doc_id") % 60), "yyyy-MM-dd").alias("digest_key"), F.col("text").alias("md"))

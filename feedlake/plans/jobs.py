@@ -58,15 +58,13 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
                footer: str = dg.DEFAULT_FOOTER, papers_per_digest: int | None = 5,
                articles_per_feed: int | None = 15, web_per_digest: int | None = 5,
                papers: bool = True, feeds: bool = True, web: bool = False,
-               split_hot_groups: bool | None = None, web_results: int | None = 5) -> DataFrame:
+               split_hot_groups: bool = False, web_results: int | None = 5) -> DataFrame:
     """payloads -> item tables (written) -> summaries -> one digest per day (written when ``out``).
 
-    ``split_hot_groups`` (default: on when any cap is None) numbers items with
-    the range-partitioned split numbering, so an uncapped hot day is numbered
-    by many tasks. ``web_results``: hits kept per search page (None: all).
+    Written digests are ordered files per day (``sinks.write_digest_blocks``): a day of any size is numbered
+    and written by many tasks. The returned frame has one string per digest; ``split_hot_groups`` numbers
+    it in the same way (for runs without caps). ``web_results``: hits kept per search page (None: all).
     """
-    if split_hot_groups is None:
-        split_hot_groups = None in (papers_per_digest, articles_per_feed, web_per_digest)
     t = extract_items(spark, payloads, registry, out, papers=papers, feeds=feeds, web=web, web_results=web_results)
     t = {k: v.withColumn("digest_key", F.col("digest_key").cast("string")) for k, v in t.items()}
     items = dg.summarized_digest_items(t.get("papers"), t.get("articles"), t.get("web"), completions,
@@ -74,5 +72,5 @@ def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | N
                                        web_per_digest=web_per_digest)
     digests = dg.render_digests(items, title=title, footer=footer, split_hot_groups=split_hot_groups)
     if out:
-        sinks.write_digests(digests, f"{out.rstrip('/')}/digests")
+        sinks.write_digest_blocks(dg.digest_blocks(items, title=title, footer=footer), f"{out.rstrip('/')}/digests")
     return digests

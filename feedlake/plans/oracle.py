@@ -182,7 +182,7 @@ def _body(headline: str, points: str, relevance: str) -> str:
             f" || '_Relevance:_ ' || {relevance} || {NL} || '' || {NL} || '---' || {NL} || ''")
 
 
-def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = True) -> str:
+def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = True, capped: bool = True) -> str:
     """CTE chain ending in ``items(digest_key, section, rn, title, block)``."""
     ctes = [ARTICLES.strip(), REGISTRY.strip()]
     if summarize:
@@ -203,7 +203,7 @@ def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = Tr
                      "coalesce(p.relevance, 'See article.')")} AS rest
   FROM articles a JOIN registry g USING (source)
   LEFT JOIN parsed p ON p.item_id = a.payload_id || '#' || CAST(a.pos AS VARCHAR)
-  QUALIFY row_number() OVER (PARTITION BY a.fetch_day, a.payload_id ORDER BY a.pos) <= 15)""")
+  {'QUALIFY row_number() OVER (PARTITION BY a.fetch_day, a.payload_id ORDER BY a.pos) <= 15' if capped else ''})""")
     parts = ["SELECT digest_key, section, rn, title, rest FROM a_items"]
     if papers:
         ctes += [s.strip() for s in PAPERS.replace(DOCS + ",", "").split("\n,\n")]
@@ -216,7 +216,7 @@ def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = Tr
            || '- **arXiv ID:** [' || arxiv_id || '](https://arxiv.org/abs/' || arxiv_id || ')' || {NL}
            || CASE WHEN comment <> '' THEN '- **Comment:** ' || comment || {NL} ELSE '' END
            || {_body('title', "'- ' || left(summary, 200)", "'See abstract.'")} AS rest
-  FROM papers QUALIFY rn <= 5)""")
+  FROM papers {'QUALIFY rn <= 5' if capped else ''})""")
         parts.append("SELECT digest_key, section, rn, title, rest FROM p_items")
     if web:
         ctes += [s.strip() for s in WEB.strip().split("\n),\n")]
@@ -225,7 +225,7 @@ def digest_items_sql(summarize: bool = True, papers: bool = True, web: bool = Tr
          row_number() OVER (PARTITION BY fetch_day ORDER BY payload_id, pos) AS rn, title,
          '- **Link:** [' || href || '](' || href || ')' || {NL} || '- **Source:** ' || source || {NL}
            || {_body('title', "'- ' || left(body, 200)", "'See source.'")} AS rest
-  FROM web QUALIFY rn <= 5)""")
+  FROM web {'QUALIFY rn <= 5' if capped else ''})""")
         parts.append("SELECT digest_key, section, rn, title, rest FROM w_items")
     ctes.append("items AS (SELECT *, '### ' || CAST(rn AS VARCHAR) || '. ' || title || " + NL +
                 " || rest AS block FROM (" + " UNION ALL ".join(parts) + "))")
@@ -264,6 +264,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["q_digest_render"] = render_sql()
 
+ORACLE_SQL["q_digest_files"] = render_sql(capped=False)
+
 ORACLE_SQL["q_digest_items"] = digest_items_sql() + """
 SELECT digest_key, CAST(section AS BIGINT) AS section, CAST(rn AS BIGINT) AS rn, title, md5(block) AS block_md5
 FROM items"""
@@ -416,6 +418,18 @@ FROM marked GROUP BY folder"""
 ORACLE_SQL["q_retention_kept"] = "WITH " + INVENTORY.strip() + """
 SELECT path, strftime(file_date, '%Y-%m-%d') AS file_date, status FROM marked WHERE status <> 'expired'"""
 
+ORACLE_SQL["q_retention_apply"] = """
+WITH f AS (SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS DATE) AS day, sum(strlen(text) + 1) AS length
+           FROM documents GROUP BY 1),
+m AS (SELECT *, CAST(day AS TIMESTAMP) < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAY AS gone FROM f)
+SELECT count(*) FILTER (WHERE gone) AS archived, CAST(0 AS BIGINT) AS deleted,
+       CAST(coalesce(sum(length) FILTER (WHERE gone), 0) AS BIGINT) AS bytes_freed,
+       count(*) FILTER (WHERE gone) AS partitions_removed,
+       CAST(coalesce(sum(length) FILTER (WHERE gone), 0) AS BIGINT) AS bytes_archived,
+       count(*) FILTER (WHERE NOT gone) AS files_left,
+       CAST(coalesce(sum(length) FILTER (WHERE NOT gone), 0) AS BIGINT) AS bytes_left
+FROM m"""
+
 _LINE = """'step ' || CAST(event_id AS VARCHAR) || ': ' ||
     CASE WHEN event_type = 'error' AND value < 10 THEN 'retry done, no error left ' || props
          WHEN event_type = 'error' AND value < 20 THEN 'terror alert ' || props

@@ -21,6 +21,20 @@ def write_digests(digests: DataFrame, path: str, partition_cols: Sequence[str] =
        .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).text(path))
 
 
+def write_digest_blocks(blocks: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Digests as ordered text files under ``digest_date=<day>/`` (SNK-1 without one string per digest).
+
+    ``blocks`` are the rows of ``operators.digest.digest_blocks``. They are range-partitioned and
+    sorted by their place, so a large digest is written by many tasks; its files in name order, one
+    after the other, are the same text that ``write_digests`` puts into one file.
+    """
+    n = partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["digest_date", "section", "rn"]
+    (blocks.withColumnRenamed("digest_key", "digest_date").repartitionByRange(n, *place).sortWithinPartitions(*place)
+     .select("block", "digest_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("digest_date").text(path))
+
+
 def write_scorecard(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Scorecards as JSON lines (SNK-2)."""
     scores.write.mode(mode).json(path)

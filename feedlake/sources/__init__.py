@@ -134,6 +134,17 @@ def read_file_inventory(spark: SparkSession, path: str, glob: str | None = None,
     return r.load(path).select("path", "modificationTime", "length")
 
 
+def read_digests(spark: SparkSession, path: str, date_col: str = "digest_date") -> DataFrame:
+    """Written digests as (digest_key, md): a day's files in name order, without the last line end.
+
+    One string per digest, for readers that want it whole; the files themselves need no such step.
+    """
+    files = spark.read.format("text").option("wholetext", True).load(path)
+    return (files.groupBy(F.col(date_col).cast("string").alias("digest_key"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_metadata.file_name").alias("name"), "value"))).alias("files"))
+            .select("digest_key", F.regexp_replace(F.array_join(F.transform("files", lambda f: f["value"]), ""), r"\n\z", "").alias("md")))
+
+
 def read_report_lines(spark: SparkSession, path: str, glob: str = "cycle_report_*.txt") -> DataFrame:
     """Report text lines with file path, file mtime and line number (SRC-7)."""
     df = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)

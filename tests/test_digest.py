@@ -114,3 +114,42 @@ def test_split_numbering_equals_window_numbering(spark, sf_small):
     assert sorted(r for _, r in got) == list(range(1, 3001))
     assert dict(got)["t0"] == 1 and dict(got)["t2999"] == 3000 and dict(got)["t1234"] == 1235
     assert dg.render_digests(hot_items, split_hot_groups=True).first().md == dg.render_digests(hot_items).first().md
+
+
+def _hot_items(spark, n, extra=()):
+    rows = spark.range(n).select(
+        F.lit("2026-04-02").alias("digest_key"), F.lit(2).alias("section"),
+        F.struct(F.lit(0).cast("bigint").alias("o_rank"), F.lit(None).cast("timestamp").alias("fetched_at"),
+                 F.format_string("p%07d", "id").alias("payload_id"), F.lit(0).alias("pos")).alias("ord"),
+        F.concat(F.lit("title "), F.col("id")).alias("title"), F.concat(F.lit("line\nrest "), F.col("id")).alias("rest"))
+    for key, section in extra:
+        rows = rows.unionByName(rows.limit(1).withColumns({"digest_key": F.lit(key), "section": F.lit(section)}))
+    return rows
+
+
+def test_digest_files_equal_rendered_digests(spark, tmp_path):
+    """Ordered files, one after the other, are the text; sections without items and days without any included."""
+    from feedlake import sinks
+    from feedlake.sources import read_digests
+
+    items = _hot_items(spark, 300, [("2026-04-01", 1), ("2026-04-03", 3)]).cache()
+    keys = spark.createDataFrame([("2026-04-04",), ("2026-04-02",)], "digest_key string")
+    out = str(tmp_path / "d")
+    for _ in range(2):  # writing again replaces
+        sinks.write_digest_blocks(dg.digest_blocks(items, keys=keys, partitions=5), out, partitions=6)
+    want = {r.digest_key: r.md for r in dg.render_digests(items, keys=keys).collect()}
+    assert {r.digest_key: r.md for r in read_digests(spark, out).collect()} == want and len(want) == 4
+    files = sorted(p for p in (tmp_path / "d" / "digest_date=2026-04-02").iterdir() if p.name.startswith("part"))
+    assert len(files) > 1 and "".join(f.read_text() for f in files) == want["2026-04-02"] + "\n"
+
+
+def test_a_day_of_100_000_items_is_spread(spark, tmp_path):
+    from feedlake import sinks
+
+    out = str(tmp_path / "d")
+    sinks.write_digest_blocks(dg.digest_blocks(_hot_items(spark, 100_000), partitions=40), out, partitions=40)
+    lines = spark.read.text(out).where("value like '### %'").groupBy(F.col("_metadata.file_name")).count().collect()
+    assert sum(r["count"] for r in lines) == 100_000 and max(r["count"] for r in lines) < 8_000
+    numbers = spark.read.text(out).where("value like '### %'").select(F.regexp_extract("value", r"### (\d+)\. title (\d+)", 1).cast("int").alias("n"),
+                                                                    F.regexp_extract("value", r"title (\d+)", 1).cast("int").alias("t"))
+    assert numbers.where("n <> t + 1").count() == 0

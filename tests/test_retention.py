@@ -2,6 +2,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from feedlake.operators import retention as rt
 from feedlake.sources import read_file_inventory
 
@@ -56,15 +58,93 @@ def test_reports_by_mtime_from_real_files(spark, tmp_path):
     assert (keep7.archived, keep7.bytes_freed) == (0, 0)
 
 
-def test_apply_retention_on_partitioned_dataset(spark, tmp_path):
+def _digests(spark, live, days, fmt="text"):
+    rows = [(d, f"# {d} é") for d in days]
+    df = spark.createDataFrame(rows, "digest_date string, md string").repartition(2)
+    getattr(df.write.mode("append").partitionBy("digest_date"), fmt)(live)
+
+
+DAYS = ("2026-04-01", "2026-04-10", "2026-04-20", "2026-04-21")
+
+
+@pytest.mark.parametrize("fmt", ["text", "parquet"])
+@pytest.mark.parametrize("mode", ["archive", "delete"])
+def test_apply_equals_the_plan_in_any_format(spark, tmp_path, fmt, mode):
     live, archive = str(tmp_path / "live"), str(tmp_path / "archive")
-    rows = [(d, f"md {d}") for d in ("2026-04-01", "2026-04-10", "2026-04-20", "2026-04-21")]
-    spark.createDataFrame(rows, "digest_date string, md string").write.partitionBy("digest_date").parquet(live)
-    res = rt.apply_retention(spark, live, AS_OF, 7, mode="archive", archive_path=archive).first()
-    assert (res.archived, res.deleted, res.partitions_removed) == (2, 0, 2) and res.bytes_freed > 0
-    assert sorted(r.digest_date.isoformat() if hasattr(r.digest_date, "isoformat") else r.digest_date
-                  for r in spark.read.parquet(live).collect()) == ["2026-04-20", "2026-04-21"]
-    assert spark.read.parquet(archive).count() == 2
+    _digests(spark, live, DAYS, fmt)
+    inv = read_file_inventory(spark, live, recursive=True)
+    before = {r.path: r.length for r in inv.collect()}
+    plan = rt.retention_plan(rt.mark_expired(inv, AS_OF, 7, by="partition"), mode).first()
+    done = rt.apply_retention(spark, live, AS_OF, 7, mode=mode, archive_path=archive).first()
+    assert tuple(done)[:3] == tuple(plan) and done.partitions_removed == 2 and done.archived + done.deleted == 2
+    left = {r.path for r in read_file_inventory(spark, live, recursive=True).collect()}
+    assert left == {p for p in before if "04-2" in p}
+    assert sorted(str(r.digest_date) for r in getattr(spark.read.format(fmt), "load")(live).collect()) == list(DAYS[2:])
+    if mode == "archive":
+        held = {r.path: bytes(r.content) for r in rt.read_archive(spark, archive).collect()}
+        assert {p: len(c) for p, c in held.items()} == {p: n for p, n in before.items() if p not in left}
+        if fmt == "text":
+            assert sorted(c.decode() for c in held.values()) == ["# 2026-04-01 é\n", "# 2026-04-10 é\n"]
+
+
+@pytest.mark.parametrize("crash", ["manifest", "archive", "delete"])
+def test_apply_goes_on_after_a_crash(spark, tmp_path, monkeypatch, crash):
+    """Cut off after any step, with a late file landing meanwhile: the same totals, nothing lost."""
+    live, archive, manifest = (str(tmp_path / x) for x in ("live", "archive", "manifest"))
+    _digests(spark, live, [f"2026-04-{d:02d}" for d in range(1, 22)])
+    inv = read_file_inventory(spark, live, recursive=True)
+    plan = tuple(rt.retention_plan(rt.mark_expired(inv, AS_OF, 7, by="partition")).first())
+    run = lambda: rt.apply_retention(spark, live, AS_OF, 7, archive_path=archive, manifest=manifest).first()
+    monkeypatch.setattr(rt, "BATCH_FILES", 4)
+    if crash == "manifest":
+        rt.write_manifest(rt.mark_expired(inv, AS_OF, 7, by="partition"), manifest, 4)
+    else:
+        real, calls = getattr(rt, "archive_batch" if crash == "archive" else "_delete"), []
+
+        def fails(spark, files, *more):
+            calls.append(1)
+            out = real(spark, files.limit(1) if crash == "delete" and len(calls) == 2 else files, *more)
+            if len(calls) == 2:
+                raise RuntimeError("executor lost")
+            return out
+        monkeypatch.setattr(rt, "archive_batch" if crash == "archive" else "_delete", fails)
+        rt.write_manifest(rt.mark_expired(inv, AS_OF, 7, by="partition"), manifest, 4)
+        with pytest.raises(RuntimeError):
+            run()
+        monkeypatch.setattr(rt, "archive_batch" if crash == "archive" else "_delete", real)
+    _digests(spark, live, ["2026-04-02"])  # lands late, in a folder that goes
+    assert tuple(run())[:3] == plan and tuple(run())[:3] == plan
+    days = sorted(str(r.digest_date) for r in spark.read.text(live).collect())
+    assert days == ["2026-04-02", *[f"2026-04-{d}" for d in range(16, 22)]]
+    assert sorted(bytes(r.content).decode() for r in rt.read_archive(spark, archive).collect()) == [f"# 2026-04-{d:02d} é\n" for d in range(1, 16)]
+
+
+def test_a_file_changed_since_the_manifest_stays(spark, tmp_path):
+    live, manifest = str(tmp_path / "live"), str(tmp_path / "m")
+    _digests(spark, live, DAYS)
+    inv = read_file_inventory(spark, live, recursive=True)
+    rt.write_manifest(rt.mark_expired(inv, AS_OF, 7, by="partition"), manifest)
+    changed = next((tmp_path / "live" / "digest_date=2026-04-01").glob("part*"))
+    (changed.parent / f".{changed.name}.crc").unlink()
+    changed.write_text("longer than it was before")
+    rt.apply_manifest(spark, manifest, "archive", str(tmp_path / "archive")).collect()
+    assert changed.exists() and not (tmp_path / "live" / "digest_date=2026-04-10").exists()
+
+
+def test_reports_by_mtime_and_odd_names(spark, tmp_path):
+    out = tmp_path / "output"
+    out.mkdir()
+    for name, days in (("cycle_report_[a].txt", 9), ("cycle_report_b*{1}.txt", 8), ("cycle_report_ c%41.txt", 8), ("cycle_report_d.txt", 1), ("other.txt", 30)):
+        f = out / name
+        f.write_text("x" * days)
+        ts = (dt.datetime(2026, 4, 22, 12, tzinfo=dt.UTC) - dt.timedelta(days=days)).timestamp()
+        os.utime(f, (ts, ts))
+    done = rt.apply_retention(spark, str(out), AS_OF, 7, archive_path=str(tmp_path / "a"), by="mtime", glob="cycle_report_*").first()
+    assert tuple(done) == (3, 0, 25, 0)
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == ["cycle_report_d.txt", "other.txt"]
+    assert rt.read_archive(spark, str(tmp_path / "a")).count() == 3
+    again = rt.apply_retention(spark, str(out), AS_OF, 7, mode="delete", by="mtime", glob="cycle_report_*").first()
+    assert tuple(again) == (0, 0, 0, 0)
 
 
 def test_dry_run_listing_in_name_order(spark):
