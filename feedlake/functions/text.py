@@ -97,6 +97,9 @@ def or_default(c, default: str) -> Column:
 # Line breaks as ``str.splitlines`` knows them.
 LINE_BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
+# Those of them that do not end a line of a text file.
+RARE_BREAKS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
 
 def split_lines(c) -> Column:
     """``str.splitlines()``: no trailing empty line, empty text gives no lines."""

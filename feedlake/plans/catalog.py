@@ -16,11 +16,13 @@ from feedlake.operators import digest as dg
 from feedlake.operators import extract as ex
 from feedlake.operators import quality as qa
 from feedlake.operators import retention as rt
+from feedlake.operators.positions import pair_summaries
 from feedlake.operators import search as se
 from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
 from feedlake.session import ensure_checkpoint_dir
-from feedlake.sources import attach_feed, completions_from_json, read_digests, read_file_inventory, select_sources
+from feedlake.sources import (attach_feed, completions_from_json, read_digests, read_file_inventory, read_payloads,
+                              read_report_lines, read_scorecards, select_sources)
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
 from feedlake.streaming.scorecard import run_probe_outcomes
 
@@ -180,6 +182,20 @@ def q_source_selection(spark, sf):
     return ex.source_counts(items).withColumn("n_items", _bigint("n_items"))
 
 
+def q_landed_files(spark, sf):
+    """SRC-1/2/4: payloads landed as raw files, read back with a manifest of their urls and matched to the registry (JOIN-2)."""
+    landing = _scratch(spark, "landed")
+    payloads = fx.feed_payloads(spark, sf)
+    fx.land_files(payloads, landing)
+    name = F.regexp_extract("path", r"/payload_id=([^/]+)/", 1)
+    manifest = (read_file_inventory(spark, landing, recursive=True).select("path", name.alias("payload_id"))
+                .join(payloads.select("payload_id", "url"), "payload_id").select("path", "url"))
+    landed = read_payloads(spark, landing, "feed", manifest=manifest)
+    arts = ex.extract_articles(attach_feed(landed, fx.feed_registry(spark, sf)))
+    return (arts.groupBy(F.regexp_extract("payload_id", r"/payload_id=([^/]+)/", 1).alias("payload_id"), "feed_name")
+            .agg(F.count(F.lit(1)).alias("n_items")))
+
+
 # ---- search ------------------------------------------------------------------
 
 def q_search_papers(spark, sf):
@@ -239,6 +255,15 @@ def q_summary_fallback(spark, sf):
                     F.col("summary_s.relevance").alias("relevance"))
 
 
+def q_pair_summaries(spark, sf):
+    """JOIN-1: the list of papers (newest first by id) and the list of parsed completions paired by position, the longer one cut."""
+    papers = ex.extract_papers(fx.arxiv_payloads(spark, sf)).select("arxiv_id", "title", F.length("arxiv_id").alias("digits"))
+    parsed = sm.structure_completions(completions(spark, sf)).select("item_id", "headline")
+    paired = pair_summaries(papers, parsed, ["digits", "arxiv_id"], ["item_id"], partitions=16)
+    return paired.select("position", "arxiv_id", "title", F.col("summary_s.item_id").alias("item_id"),
+                         F.md5("summary_s.headline").alias("headline_md5"))
+
+
 # ---- retention -----------------------------------------------------------------
 
 def q_retention_plan(spark, sf):
@@ -271,6 +296,16 @@ def q_retention_apply(spark, sf):
     return done.crossJoin(held).crossJoin(left)  # one row each
 
 
+def q_file_inventory(spark, sf):
+    """SRC-5/6, TOP-4: a metadata-only listing of written digests with the action that a dry run names for each file."""
+    live = _scratch(spark, "inventory")
+    sinks.write_digests(fx.digest_texts(spark, sf).repartition("digest_key"), live)
+    marked = rt.mark_expired(read_file_inventory(spark, live, recursive=True), AS_OF, KEEP_DAYS, by="partition")
+    plan = rt.dry_run_listing(marked, "delete")
+    return (marked.join(plan, "path", "left")
+            .select(F.date_format("file_date", "yyyy-MM-dd").alias("file_date"), _bigint("length").alias("length"), "status", "action"))
+
+
 # ---- quality -------------------------------------------------------------------
 
 def q_error_scan(spark, sf):
@@ -280,6 +315,14 @@ def q_error_scan(spark, sf):
     return s.select("path", _bigint("n_lines").alias("n_lines"), _bigint("n_errors").alias("n_errors"))
 
 
+def q_report_lines(spark, sf):
+    """SRC-7: report files read back by splits, with line numbers."""
+    out = _scratch(spark, "reports")
+    fx.write_reports(spark, sf, out)
+    lines = read_report_lines(spark, out, glob="*.txt")
+    return lines.select(F.regexp_extract("path", r"/day=([^/]+)/", 1).alias("day"), "line_no", F.md5("line").alias("line_md5"))
+
+
 def q_latest_artifact(spark, sf):
     """AGG-5: newest digest file per folder and its size gate."""
     l = qa.latest_artifact(fx.digest_inventory(spark, sf), group_cols=["folder"])
@@ -316,6 +359,14 @@ def q_scorecard(spark, sf):
                     "grade", "passed")
 
 
+def q_scorecard_files(spark, sf):
+    """SNK-2, SRC-9, MATH-1: scorecards written as JSON reports, one per cycle, and their rounded scores read back."""
+    out = _scratch(spark, "scorecards")
+    s = qa.scorecard(_outcomes(spark, sf)).select(_day_str(), F.col("score_2dp").alias("score"), "grade")
+    sinks.write_scorecard(s, out, partition_cols=["cycle"])
+    return read_scorecards(spark, out).select(F.regexp_extract("path", r"/cycle=([^/]+)/", 1).alias("cycle"), "score")
+
+
 def release_gates(spark, sf) -> DataFrame:
     """Gate rows per cycle: health score, report errors of the day, digest size."""
     health = qa.scorecard(_outcomes(spark, sf)).select(_day_str(), F.lit("health").alias("gate"),

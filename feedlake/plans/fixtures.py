@@ -393,3 +393,14 @@ def digest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written digests: the texts of sixty days, many a day."""
     return table(spark, sf_dir, "documents").select(
         F.date_format(_day(F.col("doc_id") % 60), "yyyy-MM-dd").alias("digest_key"), F.col("text").alias("md"))
+
+
+def land_files(payloads: DataFrame, path: str) -> None:
+    """Payload bodies as raw files, one per payload, under ``payload_id=<id>/``."""
+    payloads.select("body", "payload_id").write.partitionBy("payload_id").text(path)
+
+
+def write_reports(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Report lines as one text file per day under ``day=<day>/``, in the order of their numbers."""
+    lines = report_lines(spark, sf_dir).withColumn("day", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})", 1))
+    lines.repartition("day").sortWithinPartitions("day", "line_no").select("line", "day").write.partitionBy("day").text(path)

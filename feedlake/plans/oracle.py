@@ -528,3 +528,29 @@ FROM articles"""
 # Append mode emits a day window once the watermark (max event time - 1 hour) passes its end.
 # no late rows in one drain of the table: the streamed outcomes give the batch scores of every day
 ORACLE_SQL["q_stream_scorecard"] = ORACLE_SQL["q_scorecard"]
+
+# ---- files written and read back ---------------------------------------------------
+
+ORACLE_SQL["q_landed_files"] = "WITH " + ARTICLES.strip() + """
+SELECT payload_id, feed_name, count(*) AS n_items FROM articles JOIN
+  (SELECT source AS src, 'Feed ' || upper(source) AS reg_name FROM (SELECT DISTINCT source FROM documents)) r ON source = src
+GROUP BY ALL"""
+
+ORACLE_SQL["q_pair_summaries"] = "WITH " + PAPERS.strip() + "," + COMPLETIONS + "," + PARSED + """,
+p AS (SELECT arxiv_id, title, row_number() OVER (ORDER BY length(arxiv_id), arxiv_id) - 1 AS position FROM papers),
+s AS (SELECT item_id, headline, row_number() OVER (ORDER BY item_id) - 1 AS position FROM parsed)
+SELECT position, arxiv_id, title, item_id, md5(headline) AS headline_md5 FROM p JOIN s USING (position)"""
+
+ORACLE_SQL["q_file_inventory"] = """
+WITH f AS (SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS DATE) AS day, CAST(sum(strlen(text) + 1) AS BIGINT) AS length
+           FROM documents GROUP BY 1),
+m AS (SELECT *, CAST(day AS TIMESTAMP) < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAY AS gone FROM f)
+SELECT strftime(day, '%Y-%m-%d') AS file_date, length, CASE WHEN gone THEN 'expired' ELSE 'kept' END AS status,
+       CASE WHEN gone THEN 'delete' END AS action FROM m"""
+
+ORACLE_SQL["q_report_lines"] = f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS line_no,
+       md5({_LINE}) AS line_md5 FROM events"""
+
+ORACLE_SQL["q_scorecard_files"] = "WITH " + CHECKS.strip() + "," + SCORES + """
+SELECT cycle, CAST(printf('%.2f', score) AS DOUBLE) AS score FROM scores"""

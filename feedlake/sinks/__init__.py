@@ -35,9 +35,9 @@ def write_digest_blocks(blocks: DataFrame, path: str, partitions: int | None = N
      .partitionBy("digest_date").text(path))
 
 
-def write_scorecard(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Scorecards as JSON lines (SNK-2)."""
-    scores.write.mode(mode).json(path)
+def write_scorecard(scores: DataFrame, path: str, mode: str = "overwrite", partition_cols: Sequence[str] = ()) -> None:
+    """Scorecards as JSON lines (SNK-2), in a folder per value of ``partition_cols`` if given."""
+    scores.write.mode(mode).partitionBy(*partition_cols).json(path)
 
 
 def write_items(items: DataFrame, path: str, partition_cols: Sequence[str] = ("digest_key",),

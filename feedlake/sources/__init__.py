@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from feedlake import schemas
-from feedlake.functions.text import json_get, split_lines
+from feedlake.functions.text import RARE_BREAKS, json_get, split_lines
 
 # Feed name when the config gives none; title of a search hit without one.
 DEFAULT_FEED_NAME = "RSS"
@@ -39,7 +40,8 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
 
     ``manifest`` (file, url; one row per landed file name) gives each payload the url it was
     fetched from, which the feed registry is matched by; without it, or for a file
-    that it does not list, ``url`` is the file's path.
+    that it does not list, ``url`` is the file's path. A manifest with a column ``path``
+    (as in a file inventory) is matched by the whole path instead of the name.
     """
     reader = spark.readStream if stream else spark.read
     r = reader.format("text").option("wholetext", True)
@@ -55,8 +57,10 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
     )
     if manifest is None:
         return out
-    told = manifest.select(F.col("file").alias("_file"), F.col("url").alias("_url"))
-    name = F.try_url_decode(F.replace(F.substring_index("payload_id", "/", -1), F.lit("+"), F.lit("%2B")))
+    by = "path" if "path" in manifest.columns else "file"
+    told = manifest.select(F.col(by).alias("_file"), F.col("url").alias("_url"))
+    whole = F.col("payload_id") if by == "path" else F.substring_index("payload_id", "/", -1)
+    name = F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
     return (out.join(told, name == F.col("_file"), "left")
             .withColumn("url", F.coalesce("_url", "url")).drop("_file", "_url"))
 
@@ -145,15 +149,38 @@ def read_digests(spark: SparkSession, path: str, date_col: str = "digest_date")
             .select("digest_key", F.regexp_replace(F.array_join(F.transform("files", lambda f: f["value"]), ""), r"\n\z", "").alias("md")))
 
 
+def file_path_as_listed(metadata_path: str = "_metadata.file_path"):
+    """A scan's file path in the spelling of a file inventory (not URL-encoded)."""
+    return F.url_decode(F.replace(F.col(metadata_path), F.lit("+"), F.lit("%2B")))
+
+
 def read_report_lines(spark: SparkSession, path: str, glob: str = "cycle_report_*.txt") -> DataFrame:
-    """Report text lines with file path, file mtime and line number (SRC-7)."""
-    df = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)
-          # the file inventory's spelling: not URL-encoded
-          .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
-                  F.col("_metadata.file_modification_time").alias("mtime"),
-                  drop_invalid_utf8(F.col("value")).alias("value")))
-    return df.select("path", "mtime", F.posexplode(split_lines("value")).alias("line_no", "line")) \
-        .withColumn("line_no", F.col("line_no").cast("bigint"))
+    """Report text lines with file path, file mtime and line number (SRC-7).
+
+    A large report is read by many tasks: lines are counted per split, and a line's number is the
+    count of the splits before it plus its place in its own. That table has one row per split. Breaks
+    that only ``str.splitlines`` knows (form feed, U+2028, ...) cut a line further; splits that have
+    some are numbered by a window over the split, all others without an exchange of lines. One case
+    cannot be seen line by line: such a break at the very end of a file counts an empty line after it.
+    """
+    source = spark.read.format("text").option("pathGlobFilter", glob).load(path)
+    lines = (source.select(file_path_as_listed().alias("path"), F.col("_metadata.file_modification_time").alias("mtime"),
+                           F.col("_metadata.file_block_start").alias("split"), drop_invalid_utf8(F.col("value")).alias("line"))
+             .withColumn("_i", F.monotonically_increasing_id()))
+    # a line of the file as its parts; the line end that the reader took off is put back first
+    parts = F.when(F.col("line").rlike(RARE_BREAKS), split_lines(F.concat("line", F.lit("\n")))).otherwise(F.array("line"))
+    splits = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size(parts)).alias("_total"), F.min("_i").alias("_first"))
+    upto = Window.partitionBy("path").orderBy("split")
+    splits = splits.select("path", "split", "_n", "_total", "_first", (F.sum("_total").over(upto) - F.col("_total")).alias("_before"))
+    bound = len(source.inputFiles()) + source._jdf.queryExecution().toRdd().getNumPartitions()  # splits there can be
+    placed = lines.join(F.broadcast(splits) if bound <= BROADCAST_MAX_ROWS else splits, ["path", "split"])
+    plain = placed.where("_n = _total").select("path", "mtime", (F.col("_before") + F.col("_i") - F.col("_first")).alias("line_no"), "line")
+    inside = Window.partitionBy("path", "split").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (placed.where("_n < _total").withColumn("_parts", parts)
+           .withColumn("_at", F.col("_before") + F.coalesce(F.sum(F.size("_parts")).over(inside), F.lit(0)))
+           .select("path", "mtime", "_at", F.posexplode("_parts").alias("_k", "line"))
+           .select("path", "mtime", (F.col("_at") + F.col("_k")).alias("line_no"), "line"))
+    return plain.unionByName(cut).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def completions_from_json(df: DataFrame, body_col: str = "body") -> DataFrame:
