@@ -12,10 +12,13 @@ from feedlake.functions.text import _col
 ATOM_NS = "http://www.w3.org/2005/Atom"
 ARXIV_NS = "http://arxiv.org/schemas/atom"
 
+# A DOCTYPE; group 1 is its internal subset, whose declarations, comments and quoted values may hold '>' and ']'.
+_QUOTED = r"""\"[^\"]*+\"|'[^']*+'"""
+_DOCTYPE_RE = rf"""(?s)<!DOCTYPE(?:[^\[>"']++|{_QUOTED})*+(?:\[((?:[^\]"'<]++|{_QUOTED}|<!--.*?-->|<)*+)\]\s*+)?+>"""
 # Local name (and prefix) of the root element, skipping a byte-order mark, the
 # XML declaration, comments, DOCTYPE and white space (possessive: the matcher
 # never recurses per blank, whatever the length of the prolog).
-_PROLOG_RE = r"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>|\s++)*+"
+_PROLOG_RE = rf"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|{_DOCTYPE_RE.removeprefix('(?s)').replace('((?:', '(?:(?:', 1)}|\s++)*+"
 _ROOT_RE = _PROLOG_RE + r"<(?:([\w.-]+):)?([\w.-]+)"
 # The root's start tag; a quoted attribute value may hold '>'.
 _ROOT_TAG_RE = _PROLOG_RE + r"""(<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
@@ -87,3 +90,42 @@ def canonical(body) -> Column:
          .otherwise(_rename_prefix(b, atom_p, "atom:")))
     arx_p = ns_prefix(b, ARXIV_NS)
     return F.when((arx_p == "") | (arx_p == "arxiv"), b).otherwise(_rename_prefix(b, arx_p, "arxiv:"))
+
+
+MAX_ENTITIES, MAX_ENTITY_CHARS = 16, 1000
+_ENTITY_RE = rf"""<!ENTITY\s++([\w.-]++)\s++({_QUOTED})\s*+>"""
+
+
+def without_doctype(body) -> Column:
+    """The document with the entities of its internal subset expanded and its DOCTYPE taken out.
+
+    General entities with literal values, in content and attributes, also if they name one another
+    once. A subset with more than ``MAX_ENTITIES`` of them, or with a value of over ``MAX_ENTITY_CHARS``
+    characters, gives null (a reject): a payload cannot grow without bound. CDATA sections are not told apart.
+    """
+    b = _col(body)
+    found = F.regexp_extract_all(F.regexp_extract(b, _DOCTYPE_RE, 1), F.lit(_ENTITY_RE), 0)
+    value = lambda e: F.regexp_replace(F.regexp_extract(e, _ENTITY_RE, 2), r"^.|.$", "")
+    expand = lambda acc, e: F.replace(acc, F.concat(F.lit("&"), F.regexp_extract(e, _ENTITY_RE, 1), F.lit(";")), value(e))
+    bounded = (F.size(found) <= MAX_ENTITIES) & ~F.exists(found, lambda e: F.length(value(e)) > MAX_ENTITY_CHARS)
+    bare = F.regexp_replace(b, _DOCTYPE_RE, "")
+    expanded = F.when(bounded, F.aggregate(F.concat(found, found), bare, expand))
+    return F.when(b.contains("<!DOCTYPE"), expanded).otherwise(b)
+
+
+# Elements whose text is read.
+LEAVES = ("id", "title", "summary", "content", "published", "updated", "name", "link", "description", "pubDate",
+          "atom:updated", "arxiv:comment")
+# group 1: a CDATA section or comment, kept; 2: start tag and text of a leaf with a child; 4: its end tag
+_LEAF_RE = (r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)"
+            rf"""|(<({'|'.join(LEAVES)})(?:\s(?:[^<>"'/]++|{_QUOTED}|/(?!>))*+)?+>"""
+            r"(?:[^<]++|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>)*+)<(?![/!?]).*?(</\3\s*+>)")
+
+
+def cut_leaves(body) -> Column:
+    """Elements that are read as text, cut at their first child: mixed and XHTML content keeps the text before it.
+
+    That is an element's text as a standard tree parser has it. ``body`` is canonical. (A leaf within a
+    leaf of the same name is not told apart.)
+    """
+    return F.regexp_replace(_col(body), _LEAF_RE, "$1$2$4")

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from feedlake import schemas
 from feedlake.functions.dates import norm_date
 from feedlake.functions.text import after_abs, first, first_match, left_n, one_line, strip, strip_tags
-from feedlake.functions.xml import ATOM_NS, canonical, children_in, has_default_namespace, root_name
+from feedlake.functions.xml import (ATOM_NS, canonical, children_in, cut_leaves, has_default_namespace, root_name,
+                                    without_doctype)
 
 # Title of an item without one, the link relation kept besides none,
 # the PDF link around an arXiv id, and the source name of search hits.
@@ -47,7 +48,8 @@ def _title(raw: Column, missing: str | None = UNTITLED) -> Column:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Add the parsed document (``_doc``), its root name and Atom-namespace flag."""
-    body, plain = canonical("body"), F.regexp_replace("body", "^\ufeff", "")
+    plain = F.regexp_replace("body", "^\ufeff", "")
+    body = cut_leaves(canonical(without_doctype(plain)))
     return payloads.select(
         "*",
         root_name(plain).alias("_root"),

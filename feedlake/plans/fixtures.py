@@ -81,6 +81,12 @@ def _authors_xml(p: str, doc_id: Column, n: Column, empty_fifth: bool) -> Column
     return F.when(n > 0, F.array_join(xml, "")).otherwise(F.lit(""))
 
 
+def _mixed(every: int) -> Column:
+    """Child elements after the text of one in ``every`` documents' leaves: no reader of the text sees them."""
+    child = '<div xmlns="http://www.w3.org/1999/xhtml" title="a > b">child <i>of</i> it <br/></div> and tail'
+    return F.when(F.col("doc_id") % every == 0, F.lit(child)).otherwise(F.lit(""))
+
+
 def _atom_entry(p: str) -> Column:
     doc_id = F.col("doc_id")
     link = F.concat(F.lit("http://feeds.test/"), F.col("source"), F.lit("/"), doc_id.cast("string"))
@@ -90,10 +96,10 @@ def _atom_entry(p: str) -> Column:
     pub = published_variant(doc_id, F.col("pub_day"))
     pub_tag = F.when(doc_id % 7 == 2, F.lit("updated")).otherwise(F.lit("published"))
     return F.concat(
-        F.lit(f"<{p}entry><{p}title>\n  "), esc(F.col("title_src")), F.lit(f"  </{p}title>"),
+        F.lit(f"<{p}entry><{p}title>\n  "), esc(F.col("title_src")), F.lit("  "), _mixed(11), F.lit(f"</{p}title>"),
         self_link, F.lit(f'<{p}link href="'), link, F.lit('"/>'),
         F.lit("<media:title>decoy "), doc_id.cast("string"), F.lit("</media:title>"),
-        F.lit(f"<{p}summary>"), esc(F.col("text")), F.lit(f"</{p}summary>"),
+        F.lit(f"<{p}summary>"), esc(F.col("text")), _mixed(13), F.lit(f"</{p}summary>"),
         F.lit(f"<{p}"), pub_tag, F.lit(">"), pub, F.lit(f"</{p}"), pub_tag, F.lit(">"),
         _authors_xml(p, doc_id, F.col("n_auth"), True),
         F.lit(f"</{p}entry>"))
@@ -106,8 +112,9 @@ def _rss_item(updated_tag: str) -> Column:
     date_xml = F.when(doc_id % 7 == 2, F.concat(F.lit(f"<{updated_tag}>"), pub, F.lit(f"</{updated_tag}>"))) \
         .otherwise(F.concat(F.lit("<pubDate>"), pub, F.lit("</pubDate>")))
     return F.concat(
-        F.lit("<item><title>"), esc(F.col("title_src")), F.lit("</title><link>"), link, F.lit("</link>"),
-        F.lit("<media:title>decoy</media:title><description>"), esc(F.col("text")),
+        F.lit("<item><title>"), esc(F.col("title_src")), _mixed(11), F.lit("</title><link>"), link, F.lit("</link>"),
+        F.lit("<media:title>"), F.when(F.col("fmt") == 2, F.lit("&decoy;")).otherwise(F.lit("decoy")),
+        F.lit("</media:title><description>"), esc(F.col("text")), _mixed(13),
         F.lit("</description>"), date_xml, F.lit("</item>"))
 
 
@@ -115,7 +122,8 @@ _HEAD = {
     0: f'<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="{MEDIA_NS}"><title>',
     1: '\ufeff<?xml version="1.0"?><!-- mirrored --><a:feed xmlns:a="http://www.w3.org/2005/Atom" '
        f'xmlns:media="{MEDIA_NS}"><a:title>',
-    2: f'<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:media="{MEDIA_NS}"><channel><title>',
+    2: '<!DOCTYPE rss [<!-- one entity ] > --><!ENTITY decoy "dec>oy">]>'
+       f'<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:media="{MEDIA_NS}"><channel><title>',
     3: f'<rdf-items xmlns:a10="http://www.w3.org/2005/Atom" xmlns:media="{MEDIA_NS}"><title>',
 }
 _TITLE_END = {0: "</title>", 1: "</a:title>", 2: "</title>", 3: "</title>"}

@@ -112,3 +112,51 @@ def test_search_page_blocks_and_limit(spark):
     rows = ex.extract_web_results(payloads_df(spark, [html], "serp"), 5).orderBy("pos").collect()
     assert [r.href for r in rows] == [f"http://h{i}" for i in range(5)]
     assert rows[0].title == "T0 &amp;" and rows[0].body == "S 0"
+
+
+# ---- mixed content and DOCTYPE -------------------------------------------------------------------
+
+ATOM_HEAD = '<feed xmlns="http://www.w3.org/2005/Atom">'
+
+
+def _tree_text(xml, tag):
+    """What the standard library's tree parser has as an element's text."""
+    import xml.etree.ElementTree as ET
+    return [(e.text or "") for e in ET.fromstring(xml).iter() if e.tag.split("}")[-1] == tag]
+
+
+def test_leaves_stop_at_the_first_child(spark):
+    leaves = ["a <b>x</b> c", "<div>hi <i>y</i></div>", "plain", "", " lead <br/> tail", "a &lt;b&gt;x&lt;/b&gt; c", "1 &lt; 2 &amp; 3",
+              "<![CDATA[<title>a <b>x</b></title>]]>", "a<!-- c <b>d</b> -->b <i>e</i>f", "<![CDATA[x]]> y <![CDATA[<z>]]><q/>w",
+              "x <a title='>' href=\"/title>\">l</a> y", "long " * 3000 + "<b>" + "in " * 3000 + "</b>"]
+    atom = ATOM_HEAD + "".join(f'<entry><title type="xhtml">{t}</title><summary\n>{t}</summary ><link rel="self" href="u"/><link href="/v"/></entry>' for t in leaves) + "</feed>"
+    rss = '<rss><channel>' + "".join(f"<item><title>{t}</title><description>{t}</description><link>u</link></item>" for t in leaves) + "</channel></rss>"
+    df = payloads_df(spark, [atom, rss])
+    for p, xml, body in (("p0", atom, "summary"), ("p1", rss, "description")):
+        got = ex.extract_articles(df).where(f"payload_id = '{p}'").orderBy("pos").collect()
+        assert [r.title for r in got] == [t.strip().replace("\n", " ") if t else "Untitled" for t in _tree_text(xml, "title")]
+        assert [r.summary for r in got] == [t.strip() for t in _tree_text(xml, body)]
+        assert {r.link for r in got} == {"/v" if p == "p0" else "u"}
+
+
+def test_doctype_with_internal_subset(spark):
+    items = "<channel><item><title>&e;x</title><description>&two;</description></item></channel>"
+    subset = '<!-- > ] "odd --><!ENTITY e "E"><!ENTITY two "&e;&#33; &lt;b&gt; ]>"><!ELEMENT rss ANY>'
+    bodies = [f"<!DOCTYPE rss [{subset}]><rss>{items}</rss>",
+              f'﻿<?xml version="1.0"?>\n<!-- c --><!DOCTYPE rss SYSTEM "a>b.dtd" [{subset}] >\n<rss version="2.0">{items}</rss>',
+              '<!DOCTYPE rss><rss><channel><item><title>plain</title></item></channel></rss>',
+              '<!DOCTYPE rss PUBLIC "-//x//>" \'y\'><rss><channel><item><title>public</title></item></channel></rss>']
+    got = {r.payload_id: (r.title, r.summary) for r in ex.extract_articles(payloads_df(spark, bodies)).collect()}
+    assert got == {"p0": ("Ex", "E! <b> ]>"), "p1": ("Ex", "E! <b> ]>"), "p2": ("plain", ""), "p3": ("public", "")}
+    atom = '<!DOCTYPE feed [<!ENTITY e "E">]>' + ATOM_HEAD + "<entry><title>&e;</title></entry></feed>"
+    assert [r.title for r in ex.extract_articles(payloads_df(spark, [atom])).collect()] == ["E"]
+
+
+def test_doctype_beyond_the_limit_is_a_reject(spark):
+    many = "".join(f'<!ENTITY e{i} "x">' for i in range(17))
+    bodies = [f"<!DOCTYPE rss [{many}]><rss><channel><item><title>a</title></item></channel></rss>",
+              f'<!DOCTYPE rss [<!ENTITY e "{"x" * 1001}">]><rss><channel><item><title>a</title></item></channel></rss>',
+              '<rss><channel><item><title>&unknown;</title></item></channel></rss>']
+    df = payloads_df(spark, bodies)
+    assert ex.extract_articles(df).count() == 0
+    assert {r.payload_id for r in ex.rejects(df).collect()} == {"p0", "p1", "p2"}
