@@ -48,7 +48,7 @@ class _Codes(dict):
     """word -> word bucket * SHAPES + shape bucket, remembered for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         shape = _RUN.sub(r"\1", re.sub(r"[^\x00-\x7f]", "a", word.translate(_SHAPE)))
         value = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS * SHAPES + zlib.crc32(shape.encode()) % SHAPES

@@ -48,19 +48,23 @@ from pyspark.sql.functions import arrow_udf
 
 from feedlake.llm.common import give_back, materialize, remove, scratch, slices, write
 from feedlake.llm.components import components
-from feedlake.llm.repeats import _NAMES, _mix
+from feedlake.llm.repeats import _WordNames, _mix
 
 ROUNDS = 3     # rounds with one partner per member, before the rest is verified at once
 TURNS = ((0, 1), (1, 9), (9, 73), (73, 585), (585, None))  # a member's possible partners [first, last) of each round
 PARTS = 4      # vertical fragments in which overlaps are counted
 BLOCK = 2048   # members of a group whose sketches one task compares
 SKETCH = 4096  # most bits of an odd sketch
+_NAMES = _WordNames()
+REMEMBERED = 50_000  # words whose names a worker keeps between texts
 SLACK = 1     # identical fragments beyond the first that the cut guarantees
 BITS = 25     # log2 of the bits of the filter on wanted ids: at most 2^(BITS - 6) words of 64 bits are broadcast
 
 
 def shingle_set(text: str | None, words: int = 3) -> np.ndarray:
     """Sorted distinct names of the shingles of a whole text, A-Z lower-cased."""
+    if len(_NAMES) > REMEMBERED:
+        _NAMES.clear()
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     names = np.fromiter(map(_NAMES.__getitem__, found), dtype=np.uint64, count=len(found))
     if not len(names):
