@@ -13,11 +13,18 @@ from feedlake.llm import bpe, mixing, quality, suffix_dedup, vertical_join
 from feedlake.llm.common import WORD, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ARROW_ROWS = 2000  # rows of a batch between the JVM and Python: some ten MB of texts at a time
 REPEAT = 250  # bytes: about fifty words of short ones
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Batches of few rows for the session: texts wait outside the heap on their way to and from Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; labels of ``sf_dir`` train it, held-out fold left out."""
+    _bounded(spark)
     docs = docs.select(*COLUMNS)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
@@ -29,6 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without id or words link with nothing and stay. Rows that share an id are told apart by
     their sets: unlike texts stay, of rows with one id and one set the least one stays.
     """
+    _bounded(spark)
     docs = docs.select(*COLUMNS)
     found = vertical_join.jaccard_groups(docs, threshold=80, words=5).where("component is not null")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
@@ -44,6 +52,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of ``REPEAT`` bytes that occur elsewhere; a document goes if nothing of it is left."""
+    _bounded(spark)
     cut = suffix_dedup.dedup_suffixes(docs.select(*COLUMNS), length=REPEAT)
     text = F.when(F.size("spans") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
     return (cut.where("size(spans) = 0 or octet_length(kept) > 0")
@@ -60,6 +69,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) and the digests of a round trip."""
     import public_tokenizers
 
+    _bounded(spark)
     coded = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return bpe.digests(coded, "doc_id", "ids")
 
