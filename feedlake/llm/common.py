@@ -29,20 +29,30 @@ def ascii_lower(c):
 
 
 _WRITTEN: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a query's shuffle files go when it ends
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside are removed at the end, but for those of ``kept`` that the block fills."""
+    """Tables written inside are removed at the end, but for those of ``kept`` that the block fills.
+
+    Shuffle files of a query go when the query ends: its result is in a table by then and is
+    read from there, also after the loss of an executor. An outer block removes what an inner one kept.
+    """
     kept: list[DataFrame] = []
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     _WRITTEN.append([])
     try:
         yield kept
     finally:
+        spark.conf.set(CLEANUP, before)
         paths, stay = _WRITTEN.pop(), {f for df in kept for f in df.inputFiles()}
         for path in paths:
             if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in stay):
                 remove(spark, path)
+            elif _WRITTEN:
+                _WRITTEN[-1].append(path)
 
 
 def write(df: DataFrame, name: str) -> str:

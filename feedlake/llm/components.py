@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import materialize
+from feedlake.llm.common import remove, write
 
 
 def union_find(a, b) -> dict:
@@ -58,8 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
             out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    now = materialize(_forest(edges.where("u <> v")).distinct(), "edges")
-    state = None
+    spark, state = edges.sparkSession, None
+    path = write(_forest(edges.where("u <> v")).distinct(), "edges")
+    now = spark.read.schema("u long, v long").parquet(path)
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if new == state:
@@ -67,5 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
         if not state[0]:
             break
-        now = materialize(star(star(now, True), False), "edges")
+        last, path = path, write(star(star(now, True), False), "edges")
+        now = spark.read.schema("u long, v long").parquet(path)
+        remove(spark, last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import materialize, slices
+from feedlake.llm.common import materialize, scratch, slices
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _POSITION = np.uint64((1 << 24) - 1)
@@ -295,18 +295,28 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def with_covered(docs: DataFrame, key: str, text: str, kind: str, window: int, gram: int, blocks: tuple[int, ...], later_only: bool) -> DataFrame:
-    """``docs`` with ``_covered``, the ranges that ``repeated_windows`` finds (null: none, or a null id)."""
-    marked = docs.withColumn("_h", F.xxhash64(text))
-    given = marked.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col("_h").alias("h"), F.col(text).alias("text"))
-    covered = repeated_windows(given, kind, window, gram, blocks, later_only).select(
-        F.col("doc").alias("_doc"), F.col("h").alias("_h2"), F.col("covered").alias("_covered"))
-    return marked.join(covered, (F.col(key).cast("long") == F.col("_doc")) & (F.col("_h") == F.col("_h2")), "left").drop("_doc", "_h", "_h2")
+    """(row, text, ranges): the other columns of ``docs`` as one struct, the text, and the ranges that ``repeated_windows`` finds (null: none, or a null id).
 
-
-def cut(docs: DataFrame, text: str, kind: str) -> DataFrame:
-    """``docs`` with ``_covered`` replaced by kept (binary), spans array<struct<a,b>> and n_symbols long."""
-    keep = [c for c in docs.columns if c not in ("_covered", "kept", "spans", "n_symbols")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    The ranges are written before it returns; the tables of the levels are removed.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    marked = docs.select(rest.alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("name"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession) as stay:
+        given = marked.where("id is not null").select(F.col("id").alias("doc"), F.col("name").alias("h"), "text")
+        covered = materialize(repeated_windows(given, kind, window, gram, blocks, later_only), "covered")
+        stay.append(covered)
+    return (marked.join(covered, (F.col("id") == F.col("doc")) & (F.col("name") == F.col("h")), "left")
+            .select("row", "text", F.col("covered").cast("array<struct<a:int,b:int>>").alias("ranges")))
+
+
+def cut(docs: DataFrame, key: str, text: str, kind: str, window: int, gram: int, blocks: tuple[int, ...], later_only: bool) -> DataFrame:
+    """``docs`` with kept (binary), spans array<struct<a,b>> and n_symbols long (columns of those names are replaced): what ``with_covered`` finds is cut out."""
+    found = with_covered(docs, key, text, kind, window, gram, blocks, later_only)
+    rest = [c for c in docs.columns if c != text and c not in ("kept", "spans", "n_symbols")]
+    inner = {c: f"c{i}" for i, c in enumerate(rest)} | {text: "text"}  # no given name meets one of ours
+    wide = found.select("text", "ranges", *[F.col("row").getField(c).alias(inner[c]) for c in rest])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields if f.name != "ranges")
+    names = [*(c for c in wide.columns if c != "ranges"), "kept", "spans", "n_symbols"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,8 +333,8 @@ def cut(docs: DataFrame, text: str, kind: str) -> DataFrame:
                     spans.append([{"a": a, "b": b} for a, b in ranges])
                     n.append(len(symbols))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n, pa.int64())],
-                    names=[*keep, "kept", "spans", "n_symbols"])
+                    [part.column(0), *part.columns[2:], pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n, pa.int64())],
+                    names=names)
 
-    wide = docs.select(F.col(text).alias("_text"), F.col("_covered").cast("array<struct<a:int,b:int>>").alias("_ranges"), *keep)
-    return wide.mapInArrow(work, f"{fields}, kept binary, spans array<struct<a:int,b:int>>, n_symbols long")
+    done = wide.mapInArrow(work, f"{fields}, kept binary, spans array<struct<a:int,b:int>>, n_symbols long")
+    return done.select(*[F.col(inner[c]).alias(c) for c in docs.columns if c in inner], "kept", "spans", "n_symbols")

@@ -20,4 +20,4 @@ from feedlake.llm import repeats
 def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 8, blocks: tuple[int, ...] = (24, 6, 1),
                      key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with kept (remaining words, one blank between), spans (removed word ranges) and n_symbols (words)."""
-    return repeats.cut(repeats.with_covered(docs, key, text, "words", window, gram, blocks, later_only=True), text, "words")
+    return repeats.cut(docs, key, text, "words", window, gram, blocks, later_only=True)

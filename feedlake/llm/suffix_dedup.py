@@ -23,4 +23,4 @@ from feedlake.llm import repeats
 def dedup_suffixes(docs: DataFrame, length: int = 400, gram: int = 32, blocks: tuple[int, ...] = (128, 16, 1),
                    key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with kept (remaining bytes), spans (removed byte ranges, maximal) and n_symbols (bytes)."""
-    return repeats.cut(repeats.with_covered(docs, key, text, "bytes", length, gram, blocks, later_only=False), text, "bytes")
+    return repeats.cut(docs, key, text, "bytes", length, gram, blocks, later_only=False)

@@ -405,19 +405,21 @@ def _groups(docs: DataFrame, threshold: int, words: int, key: str, text: str) ->
     near = state.join(mixed(state), "key").where("cls <> centre").select(F.col("centre").alias("x"), F.col("cls").alias("y")).distinct()
     left = named(_possible(near.join(told("x"), "x").join(told("y"), "y"), threshold))
     if not left.isEmpty():
-        segments = sets_of(left)
-        for turn in range(ROUNDS + 1):
-            now = left
-            if turn < ROUNDS:  # one partner per member
-                now = materialize(left.groupBy("y").agg(F.min_by(F.struct("x", "dx", "dy"), "x").alias("p")).select("p.x", "y", "p.dx", "p.dy"), "turn")
-            edges = verified(now, segments)
-            reached = components(edges)
-            if turn == ROUNDS:
-                break
-            left = left.join(now.select("x", "y"), ["x", "y"], "left_anti")
-            left = materialize(of(of(left, "x", "cx", reached), "y", "cy", reached).where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
-            if left.isEmpty():
-                break
+        with scratch(spark) as stay:
+            segments = sets_of(left)
+            for turn in range(ROUNDS + 1):
+                now = left
+                if turn < ROUNDS:  # one partner per member
+                    now = materialize(left.groupBy("y").agg(F.min_by(F.struct("x", "dx", "dy"), "x").alias("p")).select("p.x", "y", "p.dx", "p.dy"), "turn")
+                edges = verified(now, segments)
+                reached = components(edges)
+                if turn == ROUNDS:
+                    break
+                left = left.join(now.select("x", "y"), ["x", "y"], "left_anti")
+                left = materialize(of(of(left, "x", "cx", reached), "y", "cy", reached).where("cx <> cy").select("x", "y", "dx", "dy"), "pairs")
+                if left.isEmpty():
+                    break
+            stay += [edges, reached]
 
     # members with each other, in the groups that still hold several components
     base, open_groups = reached, None
@@ -428,10 +430,12 @@ def _groups(docs: DataFrame, threshold: int, words: int, key: str, text: str) ->
             live = live.join(open_groups, "key")
         live = of(live, "cls", "base", base).select("key", "cls", "base", "component")
         compared = materialize(_compare_groups(live, classes, threshold, first, last), "compared")
-        left = named(compared.where("x is not null").select("x", "y").distinct())
-        if not left.isEmpty():
-            edges = verified(left, sets_of(left))
-            reached = components(edges)
+        with scratch(spark) as stay:
+            left = named(compared.where("x is not null").select("x", "y").distinct())
+            if not left.isEmpty():
+                edges = verified(left, sets_of(left))
+                reached = components(edges)
+                stay += [edges, reached]
         open_groups = compared.where("x is null").select("key").distinct()
         if open_groups.isEmpty():
             break
