@@ -91,14 +91,15 @@ def realise(docs: DataFrame, budgets: DataFrame, blocks: int = 1024, doc_id: str
             source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs``, once per pass that takes them, with epoch, block and n_tokens."""
     keep = [c for c in docs.columns if c not in ("epoch", "block", "n_tokens")]
-    marked = docs.select(*keep).withColumns({
-        "block": block_of(F.col(doc_id), blocks),
-        "n_tokens": F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")})
+    marked = docs.select(  # given columns stay in one struct, so that no name of theirs meets one of ours
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(source).alias("of"), F.col(doc_id).alias("id"),
+        block_of(F.col(doc_id), blocks).alias("block"),
+        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
     plan = budgets.where("tokens > 0").select(
         F.col("source").alias("_s"), F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("_full"),
         (F.col("budget") % F.col("tokens")).alias("_rest"))
     plan = small(materialize(plan, "mix-plan"), 100_000)
-    narrow = marked.select(F.col(source).alias("_s"), "block", "n_tokens")
+    narrow = marked.select(F.col("of").alias("_s"), "block", "n_tokens")
     totals = narrow.groupBy("_s", "block").agg(F.sum("n_tokens").alias("_n"))
     order = _hex(F.concat_ws(":", F.col("_full").cast("string"), F.lit("block"), F.col("block").cast("string")))
     along = Window.partitionBy("_s").orderBy("_order", "block")
@@ -108,14 +109,14 @@ def realise(docs: DataFrame, budgets: DataFrame, blocks: int = 1024, doc_id: str
     edges = edges.select("_s", "block", "_full", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_room"),
                          (F.col("_upto") <= F.col("_rest")).alias("_whole"))
     edges = small(materialize(edges, "mix-blocks"), 200_000).withColumnRenamed("block", "_b")
-    wide = marked.join(edges, F.col(source).eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    key = _hex(F.concat_ws(":", F.col("_full").cast("string"), F.lit("doc"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    wide = marked.join(edges, F.col("of").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    key = _hex(F.concat_ws(":", F.col("_full").cast("string"), F.lit("doc"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     passes = wide.where("_full > 0 or _whole").withColumn("epoch", F.explode(F.expr(
-        "sequence(0, _full - 1 + cast(_whole as int))"))).select(*keep, "epoch", "block", "n_tokens")
-    inside = Window.partitionBy("_s", "_b").orderBy("_key", F.col(doc_id), "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+        "sequence(0, _full - 1 + cast(_whole as int))"))).select("row.*", "epoch", "block", "n_tokens")
+    inside = Window.partitionBy("_s", "_b").orderBy("_key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     partial = (wide.where("not _whole and _room > 0").withColumn("_key", key)
                .withColumn("_upto", F.sum("n_tokens").over(inside)).where("_upto <= _room")
-               .select(*keep, F.col("_full").alias("epoch"), "block", "n_tokens"))
+               .select("row.*", F.col("_full").alias("epoch"), "block", "n_tokens"))
     return passes.unionByName(partial)
 
 

@@ -72,9 +72,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
                .join(rule_index(rules, urls), "token")
                .where(F.expr("rlike(concat(host, path), pattern)")))
     best = (fetched.groupBy("host", "path")
-            .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")))
-    return (split.join(best, ["host", "path"], "left")
-            .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best"))
+            .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select("host", "path", "best.rule", "best.verdict"))
+    return split.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def rules_frame(spark, rules=RULES) -> DataFrame:

@@ -338,3 +338,22 @@ def test_pipeline_stages(spark, sf_small):
     out = pipe.run(spark, sf_small)
     one = out.first()
     assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and hashlib.sha256(one.ids).hexdigest() == one.ids_sha256
+
+
+CLASHING = ["_doc", "_h", "_h2", "_covered", "_ranges", "_text", "row", "id", "name", "ranges", "doc", "h", "c0", "covered", "p",
+            "_s", "_n", "_k", "_b", "_key", "_full", "_rest", "_upto", "_order", "_room", "_whole", "tokens", "weight", "budget",
+            "best", "token", "n", "pattern", "count"]
+
+
+@pytest.mark.parametrize("op", ["substrings", "suffixes", "mixing", "urls"])
+def test_extra_columns_with_helper_names_pass_through(spark, op):
+    docs = documents(spark, ["x y " * 60, "x y " * 60, "one two", None])
+    pages = spark.createDataFrame([(1, "http://b.com/de/1"), (2, "http://a.org/"), (3, None)], "page_id long, url string")
+    apply, given = {
+        "substrings": (substring_dedup.dedup_substrings, docs), "suffixes": (lambda d: suffix_dedup.dedup_suffixes(d, length=64), docs),
+        "mixing": (mixing.mix, docs), "urls": (lambda d: url_filter.filter_urls(d, url_filter.rules_frame(spark)), pages)}[op]
+    odd = given.selectExpr("*", *[f"'{c}' as `{c}`" for c in CLASHING])
+    got, plain = apply(odd), apply(given)
+    assert sorted(got.columns) == sorted([*plain.columns, *CLASHING])
+    assert rows(got, *plain.columns) == rows(plain, *plain.columns) and got.count() > 0
+    assert {tuple(r) for r in got.select(*CLASHING).distinct().collect()} == {tuple(CLASHING)}
