@@ -70,7 +70,7 @@ def search_papers(papers: DataFrame, category: str | Sequence[str] | None = None
                                               F.array_join("authors", " ")]))
     key = SORT_COLUMNS[sort_by]
     if key not in df.columns:
-        key = "published"
+        raise ValueError(f"sort_by={sort_by!r} needs the column {key!r}")
     asc = sort_order == "ascending"
     order = [F.col(key).asc() if asc else F.col(key).desc(),
              F.col("arxiv_id").asc() if asc else F.col("arxiv_id").desc()]

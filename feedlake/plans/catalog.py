@@ -6,6 +6,7 @@ Outputs are compact and comparison-friendly: long texts are returned as
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from feedlake.operators.positions import pair_summaries
 from feedlake.operators import search as se
 from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
+from feedlake.plans.jobs import extract_items
 from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import (attach_feed, completions_from_json, read_digests, read_file_inventory, read_payloads,
-                              read_report_lines, read_scorecards, select_sources)
+                              read_report_lines, read_scorecards, read_search_hits, select_sources)
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
 from feedlake.streaming.scorecard import run_probe_outcomes
 
@@ -154,11 +156,12 @@ def q_paper_listing(spark, sf):
 
 
 def q_date_normalize(spark, sf):
-    """DATE-1 over seven spellings of every document's day."""
+    """DATE-1 over seven feed spellings and five old mail spellings of every document's day."""
     d = fx.table(spark, sf, "documents").select("doc_id")
     raw = fx.published_variant(F.col("doc_id"), F.date_add(F.lit(fx.BASE_DAY).cast("date"),
                                                            (F.col("doc_id") % 30).cast("int")))
-    return d.select("doc_id", raw.alias("raw"), norm_date(raw).alias("published"))
+    mail = fx.mail_variant(F.col("doc_id"), F.date_add(F.lit(fx.BASE_DAY).cast("date"), (F.col("doc_id") % 30).cast("int")))
+    return d.select("doc_id", raw.alias("raw"), norm_date(raw).alias("published"), mail.alias("raw_mail"), norm_date(mail).alias("mail_day"))
 
 
 def q_web_results(spark, sf):
@@ -306,6 +309,26 @@ def q_file_inventory(spark, sf):
             .select(F.date_format("file_date", "yyyy-MM-dd").alias("file_date"), _bigint("length").alias("length"), "status", "action"))
 
 
+def q_search_hits(spark, sf):
+    """SRC-10: structured hits written as JSON lines, read back with their response id and place."""
+    out = _scratch(spark, "hits")
+    fx.search_hits(spark, sf).write.json(out)
+    hits = read_search_hits(spark, out)
+    return hits.select("payload_id", _bigint("pos").alias("pos"), "title", "href", F.md5("body").alias("body_md5"), "source")
+
+
+def q_item_tables(spark, sf):
+    """SNK-4: item tables of two runs, the second never committed; what a reader sees is the first."""
+    out = _scratch(spark, "items")
+    extract_items(spark, fx.all_payloads(spark, sf), fx.feed_registry(spark, sf), out, web=True)
+    half = sinks.run_path(out, "papers")
+    sinks.write_items(sinks.read_run(spark, out, "papers").withColumn("run_id", F.lit("half")), half, ["run_id", "digest_key"])
+    return reduce(DataFrame.unionByName, [
+        sinks.read_run(spark, out, t).groupBy(F.col("digest_key").cast("string").alias("digest_key"))
+        .agg(F.count("*").alias("n_items"), F.sum(F.length("title")).alias("title_chars"))
+        .select(F.lit(t).alias("kind"), "digest_key", "n_items", "title_chars") for t in ("papers", "articles", "web")])
+
+
 # ---- quality -------------------------------------------------------------------
 
 def q_error_scan(spark, sf):
@@ -368,7 +391,7 @@ def q_scorecard_files(spark, sf):
 
 
 def release_gates(spark, sf) -> DataFrame:
-    """Gate rows per cycle: health score, report errors of the day, digest size."""
+    """Rows of the five gates per cycle: last test run, working tree, report errors of the day, digest size, saved health score."""
     health = qa.scorecard(_outcomes(spark, sf)).select(_day_str(), F.lit("health").alias("gate"),
                                                        F.col("passed").alias("ok"))
     lines = fx.report_lines(spark, sf)
@@ -377,12 +400,14 @@ def release_gates(spark, sf) -> DataFrame:
             .select("cycle", F.lit("report_errors").alias("gate"), "ok"))
     inv = fx.digest_inventory(spark, sf).withColumn("cycle", F.date_format("modificationTime", "yyyy-MM-dd"))
     size = qa.latest_artifact(inv, group_cols=["cycle"]).select("cycle", F.lit("digest_size").alias("gate"), "ok")
-    return health.unionByName(errs).unionByName(size)
+    tests = qa.test_run_gate(fx.test_runs(spark, sf), ["cycle"])
+    tree = qa.clean_tree_gate(fx.tree_status(spark, sf), ["cycle"])
+    return health.unionByName(errs).unionByName(size).unionByName(tests).unionByName(tree)
 
 
 def q_release_gate(spark, sf):
-    """AGG-9: FAST-FORWARD / INVESTIGATE per cycle."""
-    g = qa.release_gate(release_gates(spark, sf), ["cycle"])
+    """AGG-9: FAST-FORWARD / INVESTIGATE per cycle from all five gates; a cycle without a test run or tree status fails."""
+    g = qa.release_gate(release_gates(spark, sf), ["cycle"], required=["tests", "clean_tree"])
     return g.select("cycle", "ok", _bigint("n_gates").alias("n_gates"), _bigint("n_failed").alias("n_failed"),
                     "action")
 

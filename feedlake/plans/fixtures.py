@@ -57,6 +57,17 @@ def published_variant(doc_id: Column, day: Column) -> Column:
             .otherwise(F.lit("not a date")))
 
 
+def mail_variant(doc_id: Column, day: Column) -> Column:
+    """Five spellings that mail dates had: dotted time, ``asctime`` order, three-digit year, an offset beyond a day, RFC 850."""
+    v = doc_id % 5
+    text = lambda form, rest: F.concat(F.date_format(day, form), F.lit(rest))
+    return (F.when(v == 0, text("EEE, dd MMM yyyy", " 10.30.00 GMT"))
+            .when(v == 1, F.concat(F.date_format(day, "EEE MMM dd"), F.lit(" 10:00:00 "), F.date_format(day, "yyyy")))
+            .when(v == 2, text("dd MMM", " 126 10:00:00 GMT"))
+            .when(v == 3, text("dd MMM yyyy", " 10:00:00 +9999"))
+            .otherwise(text("EEEE, dd-MMM-yy", " 10:00:00 GMT")))
+
+
 def doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: fetch day, publish day, title sentence, feed format."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -378,6 +389,30 @@ def report_files(lines: DataFrame) -> DataFrame:
                  F.sum(F.octet_length("line") + 1).cast("bigint").alias("length")))
 
 
+def test_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last test run of every cycle (day): passed or not, and its duration if one was measured."""
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    run = F.struct((F.col("value") >= 2).alias("ok"), F.when(F.col("user_id") % 11 != 0, F.col("value") / 8).alias("duration_sec"))
+    return (e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("cycle")).agg(F.max_by(run, "event_id").alias("run"))
+            .select("cycle", "run.ok", "run.duration_sec"))
+
+
+def tree_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Working-tree status lines per cycle: tracked changes, untracked files, and blank lines of clean looks."""
+    line = (F.when((F.col("event_type") == "view") & (F.col("value") < 0.2), F.concat(F.lit(" M file"), F.col("user_id").cast("string")))
+            .when(F.col("event_type") == "view", F.concat(F.lit("?? note"), F.col("user_id").cast("string"))).otherwise(F.lit("")))
+    return table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("cycle"), line.alias("line"))
+
+
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured search hits, one per page: five to a response, some without title or body."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(
+        F.concat(F.lit("hits-"), F.floor(F.col("page_id") / 5).cast("string")).alias("payload_id"), (F.col("page_id") % 5).cast("int").alias("pos"),
+        F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("Page "), F.col("page_id").cast("string"))).alias("title"), F.col("url").alias("href"),
+        F.when(F.col("page_id") % 7 != 0, F.col("html")).alias("body"))
+
+
 def digest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File listing of a digest folder: one file per document, some bad names."""
     d = table(spark, sf_dir, "documents")

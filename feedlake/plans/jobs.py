@@ -19,22 +19,18 @@ from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources import attach_feed, select_sources
 
 
-def _table_dir(spark: SparkSession, out: str | None, name: str) -> str:
-    base = out or f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-job-{uuid.uuid4().hex}"
-    return f"{base.rstrip('/')}/{name}"
-
-
 def extract_items(spark: SparkSession, payloads: DataFrame, registry: DataFrame | None = None,
                   out: str | None = None, papers: bool = True, feeds: bool = True,
                   web: bool = False, web_results: int | None = 5) -> dict[str, DataFrame]:
     """Parse payloads into the three item tables, written partitioned by digest day.
 
-    Returns this run's rows read back from storage (lineage starts there). Rows carry the
-    run's id (``run_id``) in the tables, so items that an earlier run left for a day or a
-    kind without rows now, and days of earlier runs, take no part.
+    Returns this run's rows read back from storage (lineage starts there). A run is a folder of
+    its own in every table (``run_id``) and is committed after all its tables are written
+    (``sinks.commit_run``): readers see whole runs only, and items of earlier runs take no part.
     """
     chosen = select_sources(payloads, papers=papers, feeds=feeds, web=web)
     key = {"digest_key": dg.digest_day()}
+    base = out or f"{ensure_checkpoint_dir(spark).rstrip('/')}/feedlake-job-{uuid.uuid4().hex}"
     parts = {}
     if papers:
         parts["papers"] = ex.extract_papers(chosen.where(F.col("kind") == "arxiv"))
@@ -43,14 +39,13 @@ def extract_items(spark: SparkSession, payloads: DataFrame, registry: DataFrame
         parts["articles"] = ex.extract_articles(attach_feed(fp, registry) if registry is not None else fp)
     if web:
         parts["web"] = ex.extract_web_results(chosen.where(F.col("kind") == "serp"), web_results)
-    tables, run = {}, uuid.uuid4().hex
+    schemas, run = {}, uuid.uuid4().hex
     for name, df in parts.items():
-        path = _table_dir(spark, out, name)
         keyed = df.withColumns(key).withColumn("run_id", F.lit(run))
-        sinks.write_items(keyed, path)
-        # declared schema: a kind without rows reads back as an empty table
-        tables[name] = spark.read.schema(keyed.schema).parquet(path).where(F.col("run_id") == run).drop("run_id")
-    return tables
+        sinks.write_items(keyed, sinks.run_path(base, name), ["run_id", "digest_key"])
+        schemas[name] = keyed.schema
+    sinks.commit_run(spark, base, run, schemas)
+    return {name: sinks.read_run(spark, base, name, run) for name in parts}
 
 
 def digest_job(spark: SparkSession, payloads: DataFrame, registry: DataFrame | None = None,

@@ -311,7 +311,12 @@ SELECT doc_id,
          WHEN 4 THEN strftime(day, '%-d %b %Y') || ' 06:00:00 +0000'
          WHEN 5 THEN strftime(day, '%Y-%-m-%-d')
          ELSE 'not a date' END AS raw,
-       CASE WHEN doc_id % 7 = 6 THEN 'not a date' ELSE strftime(day, '%Y-%m-%d') END AS published
+       CASE WHEN doc_id % 7 = 6 THEN 'not a date' ELSE strftime(day, '%Y-%m-%d') END AS published,
+       CASE doc_id % 5 WHEN 0 THEN strftime(day, '%a, %d %b %Y 10.30.00 GMT') WHEN 1 THEN strftime(day, '%a %b %d 10:00:00 %Y')
+         WHEN 2 THEN strftime(day, '%d %b') || ' 126 10:00:00 GMT' WHEN 3 THEN strftime(day, '%d %b %Y 10:00:00 +9999')
+         ELSE strftime(day, '%A, %d-%b-%y 10:00:00 GMT') END AS raw_mail,
+       CASE doc_id % 5 WHEN 2 THEN '0126-' || strftime(day, '%m-%d') WHEN 3 THEN left(strftime(day, '%d %b %Y'), 10)
+         ELSE strftime(day, '%Y-%m-%d') END AS mail_day
 FROM d"""
 
 ORACLE_SQL["q_web_results"] = "WITH " + WEB.strip() + """
@@ -509,15 +514,34 @@ SELECT cycle, CAST(n_checks AS BIGINT) AS n_checks, CAST(n_passed AS BIGINT) AS
 FROM scores"""
 
 ORACLE_SQL["q_release_gate"] = "WITH " + CHECKS.strip() + "," + SCORES + "," + REPORTS + "," + INVENTORY + f""",
+runs AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS cycle, arg_max({{'ok': value >= 2, 'sec': CASE WHEN user_id % 11 <> 0 THEN value / 8 END}}, event_id) AS run
+  FROM events WHERE event_type = 'signup' GROUP BY 1),
 gates AS (
-  SELECT cycle, score >= 0.8 AS ok FROM scores
-  UNION ALL SELECT cycle, count(*) FILTER (WHERE {IS_ERROR}) = 0 FROM lines GROUP BY cycle
-  UNION ALL SELECT strftime(mtime, '%Y-%m-%d'), length >= 1000 FROM inventory WHERE {_DIGEST_FILE}
-    QUALIFY row_number() OVER (PARTITION BY strftime(mtime, '%Y-%m-%d') ORDER BY mtime DESC, path DESC) = 1)
-SELECT cycle, bool_and(ok) AS ok, CAST(count(*) AS BIGINT) AS n_gates,
-       CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_failed,
-       CASE WHEN bool_and(ok) THEN 'FAST-FORWARD' ELSE 'INVESTIGATE' END AS action
-FROM gates GROUP BY cycle"""
+  SELECT 'health' AS gate, cycle, score >= 0.8 AS ok FROM scores
+  UNION ALL SELECT 'errors', cycle, count(*) FILTER (WHERE {IS_ERROR}) = 0 FROM lines GROUP BY cycle
+  UNION ALL SELECT 'size', strftime(mtime, '%Y-%m-%d'), length >= 1000 FROM inventory WHERE {_DIGEST_FILE}
+    QUALIFY row_number() OVER (PARTITION BY strftime(mtime, '%Y-%m-%d') ORDER BY mtime DESC, path DESC) = 1
+  UNION ALL SELECT 'tests', cycle, run.ok AND coalesce(run.sec <= 5.0, false) FROM runs
+  UNION ALL SELECT 'tree', strftime(ts, '%Y-%m-%d'), count(*) FILTER (WHERE event_type = 'view' AND value < 0.2) = 0 FROM events GROUP BY ALL),
+seen AS (
+  SELECT cycle, bool_and(ok) AS ok, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad,
+         2 - count(*) FILTER (WHERE gate IN ('tests', 'tree')) AS absent FROM gates GROUP BY cycle)
+SELECT cycle, ok AND absent = 0 AS ok, CAST(n + absent AS BIGINT) AS n_gates, CAST(bad + absent AS BIGINT) AS n_failed,
+       CASE WHEN ok AND absent = 0 THEN 'FAST-FORWARD' ELSE 'INVESTIGATE' END AS action
+FROM seen"""
+
+ORACLE_SQL["q_search_hits"] = """
+SELECT 'hits-' || CAST(page_id // 5 AS VARCHAR) AS payload_id, page_id % 5 AS pos,
+       CASE WHEN page_id % 4 <> 0 THEN 'Page ' || page_id ELSE 'Untitled' END AS title, coalesce(url, '') AS href,
+       md5(CASE WHEN page_id % 7 <> 0 THEN coalesce(html, '') ELSE '' END) AS body_md5, 'web' AS source FROM pages"""
+
+_COUNTS = "count(*) AS n_items, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM"
+ORACLE_SQL["q_item_tables"] = f"""
+WITH a AS (WITH {ARTICLES.strip()} SELECT * FROM articles), p AS (WITH {PAPERS.strip()} SELECT * FROM papers), w AS (WITH {WEB.strip()} SELECT * FROM web)
+SELECT 'articles' AS kind, strftime(fetch_day, '%Y-%m-%d') AS digest_key, {_COUNTS} a GROUP BY ALL
+UNION ALL SELECT 'papers', strftime(fetch_day, '%Y-%m-%d'), {_COUNTS} p GROUP BY ALL
+UNION ALL SELECT 'web', strftime(fetch_day, '%Y-%m-%d'), {_COUNTS} w GROUP BY ALL"""
 
 ORACLE_SQL["q_stream_ingest"] = "WITH " + ARTICLES.strip() + """
 SELECT payload_id, CAST(pos AS BIGINT) AS pos, title, link, md5(summary) AS summary_md5,

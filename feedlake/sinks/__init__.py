@@ -1,10 +1,12 @@
 """Sinks: digests, scorecards and item tables."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_digests(digests: DataFrame, path: str, partition_cols: Sequence[str] = ("digest_date",)) -> None:
@@ -42,11 +44,46 @@ def write_scorecard(scores: DataFrame, path: str, mode: str = "overwrite", parti
 
 def write_items(items: DataFrame, path: str, partition_cols: Sequence[str] = ("digest_key",),
                 mode: str = "overwrite") -> None:
-    """Item tables as Parquet partitioned by day (SNK-4), dynamic overwrite."""
-    (items.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    """Item tables as Parquet partitioned by day (SNK-4), dynamic overwrite.
+
+    Rows are clustered by folder before the write: adaptive execution splits a large folder over
+    several tasks and packs small ones, so files follow bytes and not tasks times days.
+    """
+    (items.hint("rebalance", *[F.col(c) for c in partition_cols]).write.mode(mode).option("partitionOverwriteMode", "dynamic")
           .partitionBy(*partition_cols).parquet(path))
 
 
+def run_path(out: str, table: str) -> str:
+    return f"{out.rstrip('/')}/{table}"
+
+
+def commit_run(spark: SparkSession, out: str, run_id: str, tables: dict[str, T.StructType]) -> None:
+    """Name ``run_id`` as a whole run of ``out``, after all its ``tables`` (name -> schema) are written (SNK-4).
+
+    One file per run; it appears at once, when its job commits. Until then no reader of ``read_run`` sees a row of the run.
+    """
+    named = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v.json()).alias("schema")) for k, v in sorted(tables.items())])
+    (spark.range(1, numPartitions=1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("committed_at"), named.alias("tables"))
+     .write.mode("append").json(run_path(out, "runs")))
+
+
+def committed_runs(spark: SparkSession, out: str) -> DataFrame:
+    """(run_id, committed_at, tables) of the whole runs under ``out``."""
+    return spark.read.schema("run_id string, committed_at timestamp, tables array<struct<name:string,schema:string>>").json(run_path(out, "runs"))
+
+
+def read_run(spark: SparkSession, out: str, table: str, run_id: str | None = None) -> DataFrame:
+    """Rows of one table of a committed run, the newest if ``run_id`` is null; a run that is not committed raises."""
+    runs = committed_runs(spark, out)
+    last = (runs if run_id is None else runs.where(F.col("run_id") == run_id)).orderBy(F.col("committed_at").desc(), F.col("run_id").desc()).first()
+    if last is None:
+        raise ValueError(f"no committed run {run_id or ''} under {out}")
+    schema = {t["name"]: t["schema"] for t in last["tables"]}[table]
+    # declared schema: a table without rows in this run reads back empty
+    df = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(run_path(out, table))
+    return df.where(F.col("run_id") == last["run_id"]).drop("run_id")
+
+
 def compact_payloads(spark, landing: str, table: str, kind: str, glob: str | None = None,
                      target_files: int | None = None) -> int:
     """Fold one-file-per-payload landings into the Parquet payload table (append).

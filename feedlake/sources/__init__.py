@@ -210,9 +210,25 @@ def read_scorecards(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+SEARCH_HITS = T.StructType([
+    T.StructField("payload_id", T.StringType()), T.StructField("fetched_at", T.TimestampType()), T.StructField("pos", T.IntegerType()),
+    T.StructField("title", T.StringType()), T.StructField("href", T.StringType()), T.StructField("body", T.StringType())])
+
+
+def read_search_hits(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of structured hits with the id, the fetch time and the place of their response (SRC-10)."""
+    return normalize_search_hits(spark.read.schema(SEARCH_HITS).json(path))
+
+
 def normalize_search_hits(hits: DataFrame) -> DataFrame:
-    """Structured search hits -> ``web_results`` columns (SRC-10)."""
+    """Structured search hits -> ``web_results`` columns (SRC-10).
+
+    ``payload_id``, ``fetched_at`` and ``pos`` pass through where the hits have them: such
+    rows enter a digest like the hits of a search page.
+    """
+    keep = [c for c in ("payload_id", "fetched_at", "pos") if c in hits.columns]
     return hits.select(
+        *keep,
         F.coalesce(F.col("title"), F.lit(UNTITLED_HIT)).alias("title"),
         F.coalesce(F.col("href"), F.lit("")).alias("href"),
         F.coalesce(F.col("body"), F.lit("")).alias("body"),

@@ -1,7 +1,7 @@
 """Scalar helpers: whitespace, dates, file-name dates, bullets."""
 from datetime import datetime
 import re
-from email.utils import parsedate_tz
+from email.utils import parsedate_to_datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,13 +21,10 @@ def _expected_date(raw):
             return datetime(*[int(g) for g in m.groups() if g is not None]).date().isoformat()
         except ValueError:
             pass
-    t = parsedate_tz(s)
-    if t is not None:
-        try:
-            return datetime(*t[:6]).date().isoformat()
-        except ValueError:
-            pass
-    return s[:10]
+    try:
+        return parsedate_to_datetime(s).date().isoformat()
+    except (ValueError, OverflowError):
+        return s[:10]
 
 
 DATES = [
@@ -86,3 +83,26 @@ def test_round_matches_python_binary_rounding(spark):
     extra = [0.125, 0.375, 0.295, 2.675, -0.295, 7.125]
     got = spark.createDataFrame([(v,) for v in extra], "x double").select(round_binary_half_even("x").alias("r"))
     assert [r.r for r in got.collect()] == [round(v, 2) for v in extra]
+
+
+def test_mail_dates_match_stdlib_on_generated_stamps(spark):
+    import random
+    rng = random.Random(5)
+    pick = rng.choice
+
+    def stamp():
+        day = pick(["1", "05", "22", "31", "0", "32", "2,", "+3", "1_0", "x"])
+        month = pick(["Apr", "april", "DEC", "Sept", "may", "feb", "13"])
+        year = pick(["2026", "26", "70", "068", "126", "2026,", "0", "99999", "y", "19_99"])
+        time = pick(["10:00:00", "10:00", "10.30.00", "10.30", "10", "24:00:00", "1:2:3", "23:59:60", "10:00:00,", "10:00:00-0700", "10:00+0100", "a:b", "1:2:3:4", "10:0_0:00"])
+        zone = pick(["GMT", "-0700", "+9999", "+2359", "-0000", "EST", "(UTC)", "", "x", "+2400", "99999999999999999999"])
+        order = pick([[day, month, year, time, zone]] * 6 + [[month, day, time, year], [month, day, time, year, zone], [day, month, year, zone, time],
+                     [f"{day}-{month}-{year}", time, zone], [day, month, time, year, zone], [day, month, zone, time, year], [day, month, year]])
+        return pick(["Wed, ", "Wed ", "Wed,", "Wednesday, ", "", "foo ", ", ", "  "]) + pick([" ", "  ", "\t", "　"]).join(order)
+
+    raws = sorted({stamp() for _ in range(6000)}) + ["Wed, 22 Apr 2026 10.30.00 GMT", "Wed Apr 22 10:00:00 2026", "22 Apr 126 10:00:00 GMT", "22 Apr 2026 10:00:00 +9999"]
+    df = spark.createDataFrame([(d,) for d in raws], "raw string").repartition(2)
+    got = {r.raw: r.d for r in df.select("raw", norm_date("raw").alias("d")).collect()}
+    wrong = [(d, got[d], _expected_date(d)) for d in raws if got[d] != _expected_date(d)]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert sum(len(v) == 10 and v[4] == "-" for v in got.values()) > 300

@@ -76,3 +76,12 @@ def test_gate_inputs(spark):
     gates = qa.test_run_gate(runs, ["cycle"]).unionByName(qa.clean_tree_gate(st, ["cycle"]))
     acts = {r.cycle: r.action for r in qa.release_gate(gates, ["cycle"]).collect()}
     assert acts == {"c1": "FAST-FORWARD", "c2": "INVESTIGATE", "c3": "INVESTIGATE", "c4": "INVESTIGATE"}
+
+
+def test_release_gate_query_has_five_gates(spark, sf_small):
+    from feedlake.plans import catalog as C
+    gates = C.release_gates(spark, sf_small)
+    assert {r.gate for r in gates.select("gate").distinct().collect()} == {"health", "report_errors", "digest_size", "tests", "clean_tree"}
+    assert gates.groupBy("cycle", "gate").count().where("count > 1").count() == 0
+    lone = spark.createDataFrame([("c", "health", None)], "cycle string, gate string, ok boolean")
+    assert qa.release_gate(lone, ["cycle"], required=["tests", "clean_tree"]).first().action == "INVESTIGATE"

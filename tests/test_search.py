@@ -41,3 +41,9 @@ def test_listing_text(spark):
     cl = rows["cs.CL"].text
     assert cl.startswith("1. [2401.00003v1] Another\n   Authors: \n") and ("x" * 200 + "...\n") in cl
     assert "2. [2401.00001v1] Attention is all\n   Authors: A, \n" in cl
+
+
+def test_absent_sort_column_raises(spark):
+    p = spark.createDataFrame([("a", "2024-01-01")], "arxiv_id string, published string")
+    with pytest.raises(ValueError):
+        se.search_papers(p, sort_by="lastUpdatedDate")
