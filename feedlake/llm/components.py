@@ -1,4 +1,9 @@
-"""Connected components of an edge table by alternating stars, after a union-find in every task."""
+"""Connected components of an edge table by alternating stars, with union-find in tasks of bounded size.
+
+Every task first reduces the edges it reads to stars. Rounds of a large and a small star over the
+whole table follow until nothing changes, or until the edges left fit one task of ``EDGES``
+rows, which settles them at once. Both ends give the same components.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -11,6 +16,9 @@ from pyspark.sql import functions as F
 from feedlake.llm.common import remove, write
 
 
+EDGES = 1 << 18  # most edges of one task's union-find
+
+
 def union_find(a, b) -> dict:
     """node -> smallest node reachable over the edges (a[i], b[i])."""
     up: dict = {}
@@ -40,12 +48,24 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(work, "u long, v long")
 
 
+def _settle(edges: DataFrame) -> DataFrame:
+    """Stars of all edges, from one task; at most ``EDGES`` rows."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in batches:
+            a += np.asarray(batch.column(0)).tolist()
+            b += np.asarray(batch.column(1)).tolist()
+        star = [(x, r) for x, r in union_find(a, b).items() if x != r]
+        yield pa.RecordBatch.from_arrays([pa.array([s[c] for s in star], pa.int64()) for c in (0, 1)], names=["u", "v"])
+    return edges.select("u", "v").coalesce(1).mapInArrow(work, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (u long, v long) reaches.
 
     Every round replaces edges by stars to smaller neighbours (large star, then small
-    star) and writes them to the shared folder; rounds end when nothing changes. Minima
-    are pre-aggregated before the shuffle, so a hub is not collected anywhere.
+    star) and writes them to the shared folder; rounds end when nothing changes or when one
+    task of bounded size can settle the rest. Minima are pre-aggregated before the shuffle, so a hub is not collected anywhere.
     """
     def star(e: DataFrame, both: bool) -> DataFrame:
         # large star: neighbours on both sides, larger ones move; small star: only smaller ones, all move
@@ -58,17 +78,20 @@ def components(edges: DataFrame) -> DataFrame:
             out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    spark, state = edges.sparkSession, None
-    path = write(_forest(edges.where("u <> v")).distinct(), "edges")
-    now = spark.read.schema("u long, v long").parquet(path)
+    spark, path, state = edges.sparkSession, None, None
+    now = edges.select("u", "v").where("u <> v")
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if new == state:
             break
-        state = new
-        if not state[0]:
-            break
-        last, path = path, write(star(star(now, True), False), "edges")
+        settled = new[0] <= EDGES
+        # the forest of the first round says nothing about edges of different tasks: stars follow it in any case
+        state = None if path is None else new
+        step = _settle(now) if settled else _forest(now).distinct() if path is None else star(star(now, True), False)
+        last, path = path, write(step, "edges")
         now = spark.read.schema("u long, v long").parquet(path)
-        remove(spark, last)
+        if last:
+            remove(spark, last)
+        if settled:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -50,7 +50,7 @@ from feedlake.llm.common import give_back, materialize, remove, scratch, slices,
 from feedlake.llm.components import components
 from feedlake.llm.repeats import _WordNames, _mix
 
-ROUNDS = 3     # rounds with one partner per member, before the rest is verified at once
+ROUNDS = 1     # rounds with one partner per member, before the rest is verified at once
 TURNS = ((0, 1), (1, 9), (9, 73), (73, 585), (585, None))  # a member's possible partners [first, last) of each round
 PARTS = 4      # vertical fragments in which overlaps are counted
 BLOCK = 2048   # members of a group whose sketches one task compares

@@ -357,3 +357,32 @@ def test_extra_columns_with_helper_names_pass_through(spark, op):
     assert sorted(got.columns) == sorted([*plain.columns, *CLASHING])
     assert rows(got, *plain.columns) == rows(plain, *plain.columns) and got.count() > 0
     assert {tuple(r) for r in got.select(*CLASHING).distinct().collect()} == {tuple(CLASHING)}
+
+
+def test_components_by_stars_equal_those_of_one_task(spark, monkeypatch):
+    from feedlake.llm import components as cc
+    edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(100, 7), (100, 100), (50, 60), (60, 50)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    settled = {tuple(r) for r in cc.components(df).collect()}
+    root = cc.union_find(*zip(*[e for e in edges if e[0] != e[1]], strict=True))
+    assert settled == {(x, r) for x, r in root.items() if x != r}
+    monkeypatch.setattr(cc, "EDGES", 0)
+    assert {tuple(r) for r in cc.components(df).collect()} == settled
+    assert cc.components(df.limit(0)).count() == 0
+
+
+def test_blocks_that_meet_many_are_dealt_to_several_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from feedlake.llm import epsilon_grid as eg
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    x = np.concatenate([b + 0.02 * rng.normal(size=(30, 8)) for b in base])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in eg.near_duplicates(df).collect()}
+    monkeypatch.setattr(eg, "BLOCK", 4)
+    monkeypatch.setattr(eg, "PARTNERS", 2)
+    assert {tuple(r) for r in eg.near_duplicates(df).collect()} == whole
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    n = ((u @ u.T) >= 0.95).sum(1) - 1
+    assert {r[0]: r[1] for r in whole} == dict(enumerate(n.tolist()))
