@@ -9,6 +9,10 @@ pairs of intervals whose boxes are provably apart, down to small leaves that are
 by matrix products in double precision. Projection never lengthens a distance, so no
 link is lost.
 
+Pairs of blocks are found by block numbers alone. Vectors join them afterwards: a task gets one block
+once and up to about ``PARTNERS`` of the blocks that it meets, so a block that meets many (a
+hot cell) is dealt to several tasks.
+
 The axes are fitted on at most ``FIT`` vectors (those with the smallest id digests);
 a poor fit costs speed only. Exact copies of a vector are joined once and counted by
 their number. A block pair returns counts of links and a spanning forest, never its
@@ -38,6 +42,7 @@ FIT = 10_000      # vectors that the axes are fitted on
 AXES = 8          # principal axes of the grid
 KEYED = 3         # leading cells by which blocks find each other
 BLOCK = 1024      # vectors of one sequence block
+PARTNERS = 16     # blocks that one block meets in a task
 LEAF = 128        # vectors of one interval that is compared directly
 
 
@@ -175,28 +180,34 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     axes = fit_axes(vectors)
     blocks = sequence_blocks(classes, axes, eps)
     shared = df.sparkSession.sparkContext.broadcast(axes)
-    side = lambda s: blocks.select(F.col("block").alias(s), F.col("dim").alias(f"dim_{s}"),
-                                   *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors")])
-    pairs = block_pairs(blocks, eps).join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "dim_a", "ids_a", "copies_a", "vectors_a", "ids_b", "copies_b", "vectors_b")
+    met = materialize(block_pairs(blocks, eps), "pairs")
+    turns = F.ceil(F.count("*") / PARTNERS)
+    met = met.join(met.groupBy("a").agg(turns.alias("turns")), "a").select("a", F.pmod(F.xxhash64("b"), F.col("turns")).alias("turn"), "b")
+    payload = blocks.select("block", "dim", "ids", "copies", "vectors")
+    own = met.select("a", "turn").distinct().join(payload, F.col("a") == F.col("block")).withColumn("b", F.lit(-1).cast("long"))
+    pairs = (own.unionByName(met.join(payload, F.col("b") == F.col("block"))).select("a", "turn", "b", "dim", "ids", "copies", "vectors")
+             .repartition("a", "turn").sortWithinPartitions("a", "turn", "b"))  # a block comes before those that it meets
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b, dim, ids_a, copies_a, x, ids_b, copies_b, y = (batch.column(c)[row].as_py() for c in range(9))
-                ids_a, copies_a, ids_b, copies_b = (np.frombuffer(v, np.int64) for v in (ids_a, copies_a, ids_b, copies_b))
-                ua, ub = (_unit(np.frombuffer(v).reshape(-1, dim)) for v in (x, y))
-                turn = shared.value.get(dim, np.eye(dim)[:, :AXES])
-                links = join_blocks(ua, ub, ua @ turn, ub @ turn, threshold, eps, a == b)
+                a, _, b, dim, ids, copies, x = (batch.column(c)[row].as_py() for c in range(7))
+                ids, copies = (np.frombuffer(v, np.int64) for v in (ids, copies))
+                unit = _unit(np.frombuffer(x).reshape(-1, dim))
+                place = unit @ shared.value.get(dim, np.eye(dim)[:, :AXES])
+                if b < 0:
+                    ids_a, copies_a, ua, pa_ = ids, copies, unit, place
+                    continue
+                links = join_blocks(ua, unit, pa_, place, threshold, eps, a == b)
                 if not links.any():
                     continue
-                la, lb = _labels(links, ids_a, ids_b)
-                out = [(ids_a, links @ copies_a if a == b else links @ copies_b, la)]
+                la, lb = _labels(links, ids_a, ids)
+                out = [(ids_a, links @ copies, la)]
                 if a != b:
-                    out.append((ids_b, links.T @ copies_a, lb))
-                for ids, n, label in out:
+                    out.append((ids, links.T @ copies_a, lb))
+                for some_ids, n, label in out:
                     some = n > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(label[some])], names=["id", "n", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some_ids[some]), pa.array(n[some].astype(np.int64)), pa.array(label[some])], names=["id", "n", "label"])
 
     found = materialize(pairs.mapInArrow(work, "id long, n long, label long"), "links")
     count = found.groupBy("id").agg(F.sum("n").alias("n"))
