@@ -1,8 +1,8 @@
-"""Operator 4: substring dedup over word windows, by anchors and blocks in place of level-wise doubling.
+"""Operator 4: substring dedup over word windows, by level-wise doubling on sampled windows.
 
-Windows of few words are tested first; only those that repeat at one length are extended,
-at growing lengths that are not doubled (8, 27, 45, 50 words by default), until no candidate
-survives or the full window is reached. Every word that a window covers whose word
+Windows of few words are tested first; only those that repeat at one length are extended to
+about twice that length (1, 2, 4, 8 words by names inside a task, then 17, 34 and the whole
+window of 50 by Spark), until no candidate survives or the full window is reached. Every word that a window covers whose word
 sequence also starts in a document with a smaller id is removed; windows are judged on
 the input. See ``repeats`` for how windows are sampled without loss and reranked.
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from feedlake.llm import repeats
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 8, blocks: tuple[int, ...] = (24, 6, 1),
+def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 8, blocks: tuple[int, ...] = (34, 17, 1),
                      key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with kept (remaining words, one blank between), spans (removed word ranges) and n_symbols (words)."""
     return repeats.cut(docs, key, text, "words", window, gram, blocks, later_only=True)
