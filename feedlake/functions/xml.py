@@ -1,9 +1,13 @@
-"""Payload helpers for XML feeds (``Column -> Column``)."""
+"""Payload helpers for XML feeds (``Column -> Column``; rewrites of whole bodies: ``DataFrame -> DataFrame``).
+
+A rewrite names every intermediate value as a column of a projection of its own: nested in one
+expression, each of them would be computed again wherever it is mentioned, over the whole body.
+"""
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import _col
@@ -20,6 +24,8 @@ _DOCTYPE_RE = rf"""(?s)<!DOCTYPE(?:[^\[>"']++|{_QUOTED})*+(?:\[((?:[^\]"'<]++|{_
 # never recurses per blank, whatever the length of the prolog).
 _PROLOG_RE = rf"(?s)^[^\w<]*+(?:<\?.*?\?>|<!--.*?-->|{_DOCTYPE_RE.removeprefix('(?s)').replace('((?:', '(?:(?:', 1)}|\s++)*+"
 _ROOT_RE = _PROLOG_RE + r"<(?:([\w.-]+):)?([\w.-]+)"
+# All that the start of a document tells: up to the end of the root's start tag (or to where that tag breaks off).
+_HEAD_RE = _PROLOG_RE + r"""<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>?"""
 # The root's start tag; a quoted attribute value may hold '>'.
 _ROOT_TAG_RE = _PROLOG_RE + r"""(<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
 
@@ -28,6 +34,20 @@ def _ns_decl(uri: str) -> str:
     return r"xmlns(?::([\w.-]+))?\s*=\s*[\"']" + re.escape(uri) + r"[\"']"
 
 
+def without_bom(body) -> Column:
+    """The document without a leading byte-order mark."""
+    b = _col(body)
+    return F.when(F.startswith(b, F.lit("\ufeff")), F.substr(b, F.lit(2))).otherwise(b)
+
+
+def head(body) -> Column:
+    """Start of the document up to the end of the root's start tag ('' when there is none).
+
+    What is asked of the root has the same answer on the head, without a look at the whole body.
+    """
+    return F.regexp_extract(_col(body), _HEAD_RE, 0)
+
+
 def root_name(body) -> Column:
     """Local name of the document's root element ('' when there is none)."""
     return F.regexp_extract(_col(body), _ROOT_RE, 2)
@@ -65,7 +85,8 @@ def binds(body, uri: str) -> Column:
 
 def ns_prefix(body, uri: str) -> Column:
     """Prefix bound to ``uri`` ('' for a default namespace or none)."""
-    return F.regexp_extract(_col(body), _ns_decl(uri), 1)
+    b = _col(body)  # a body that does not even hold the uri is not searched by the expression
+    return F.when(~F.contains(b, F.lit(uri)), F.lit("")).otherwise(F.regexp_extract(b, _ns_decl(uri), 1))
 
 
 def _rename_prefix(body: Column, prefix: Column, to: str) -> Column:
@@ -73,7 +94,7 @@ def _rename_prefix(body: Column, prefix: Column, to: str) -> Column:
     return F.regexp_replace(body, pattern, F.lit("$1" + to))
 
 
-def canonical(body) -> Column:
+def canonical(df: DataFrame, body: str) -> DataFrame:
     """Rewrite element prefixes so that field names identify namespaces.
 
     Spark's XML reader keys fields by their written qualified name. Elements of
@@ -82,35 +103,38 @@ def canonical(body) -> Column:
     becomes ``arxiv:``. Other prefixes (``media:``, ``dc:`` ...) stay distinct,
     so they can never shadow a feed field. A leading byte-order mark is dropped.
     """
-    b = F.regexp_replace(_col(body), "^\ufeff", "")
-    atom_p = ns_prefix(b, ATOM_NS)
-    b = (F.when(atom_p == "", b)
-         .when(root_prefix(b) == atom_p, _rename_prefix(b, atom_p, ""))
-         .when(atom_p == "atom", b)
-         .otherwise(_rename_prefix(b, atom_p, "atom:")))
-    arx_p = ns_prefix(b, ARXIV_NS)
-    return F.when((arx_p == "") | (arx_p == "arxiv"), b).otherwise(_rename_prefix(b, arx_p, "arxiv:"))
+    b, p = F.col(body), F.col("_prefix")
+    df = df.withColumn(body, without_bom(b)).withColumn("_prefix", ns_prefix(b, ATOM_NS))
+    df = df.withColumn(body, F.when(p == "", b)
+                       .when(root_prefix(b) == p, _rename_prefix(b, p, ""))
+                       .when(p == "atom", b)
+                       .otherwise(_rename_prefix(b, p, "atom:")))
+    df = df.withColumn("_prefix", ns_prefix(b, ARXIV_NS))
+    return df.withColumn(body, F.when((p == "") | (p == "arxiv"), b).otherwise(_rename_prefix(b, p, "arxiv:"))).drop("_prefix")
 
 
 MAX_ENTITIES, MAX_ENTITY_CHARS = 16, 1000
 _ENTITY_RE = rf"""<!ENTITY\s++([\w.-]++)\s++({_QUOTED})\s*+>"""
 
 
-def without_doctype(body) -> Column:
-    """The document with the entities of its internal subset expanded and its DOCTYPE taken out.
+def without_doctype(df: DataFrame, body: str) -> DataFrame:
+    """The documents with the entities of their internal subset expanded and the DOCTYPE taken out.
 
     General entities with literal values, in content and attributes, also if they name one another
     once. A subset with more than ``MAX_ENTITIES`` of them, or with a value of over ``MAX_ENTITY_CHARS``
     characters, gives null (a reject): a payload cannot grow without bound. CDATA sections are not told apart.
     """
-    b = _col(body)
-    found = F.regexp_extract_all(F.regexp_extract(b, _DOCTYPE_RE, 1), F.lit(_ENTITY_RE), 0)
-    value = lambda e: F.regexp_replace(F.regexp_extract(e, _ENTITY_RE, 2), r"^.|.$", "")
-    expand = lambda acc, e: F.replace(acc, F.concat(F.lit("&"), F.regexp_extract(e, _ENTITY_RE, 1), F.lit(";")), value(e))
-    bounded = (F.size(found) <= MAX_ENTITIES) & ~F.exists(found, lambda e: F.length(value(e)) > MAX_ENTITY_CHARS)
-    bare = F.regexp_replace(b, _DOCTYPE_RE, "")
-    expanded = F.when(bounded, F.aggregate(F.concat(found, found), bare, expand))
-    return F.when(b.contains("<!DOCTYPE"), expanded).otherwise(b)
+    b, found = F.col(body), F.col("_found")
+    subset = F.when(F.contains(b, F.lit("<!DOCTYPE")), F.regexp_extract(b, _DOCTYPE_RE, 1))
+    entity = lambda e: F.struct(
+        F.concat(F.lit("&"), F.regexp_extract(e, _ENTITY_RE, 1), F.lit(";")).alias("ref"),
+        F.regexp_replace(F.regexp_extract(e, _ENTITY_RE, 2), r"^.|.$", "").alias("value"))
+    df = df.withColumn("_subset", subset).withColumn("_found", F.regexp_extract_all("_subset", F.lit(_ENTITY_RE), 0))
+    df = df.withColumn("_found", F.transform(found, entity))
+    bounded = (F.size(found) <= MAX_ENTITIES) & ~F.exists(found, lambda e: F.length(e["value"]) > MAX_ENTITY_CHARS)
+    expand = lambda acc, e: F.replace(acc, e["ref"], e["value"])
+    expanded = F.when(bounded, F.aggregate(F.concat(found, found), F.regexp_replace(b, _DOCTYPE_RE, ""), expand))
+    return df.withColumn(body, F.when(F.col("_subset").isNotNull(), expanded).otherwise(b)).drop("_subset", "_found")
 
 
 # Elements whose text is read.

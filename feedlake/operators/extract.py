@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from feedlake import schemas
 from feedlake.functions.dates import norm_date
 from feedlake.functions.text import after_abs, first, first_match, left_n, one_line, strip, strip_tags
-from feedlake.functions.xml import (ATOM_NS, canonical, children_in, cut_leaves, has_default_namespace, root_name,
-                                    without_doctype)
+from feedlake.functions.xml import (ATOM_NS, canonical, children_in, cut_leaves, has_default_namespace, head, root_name,
+                                    without_bom, without_doctype)
 
 # Title of an item without one, the link relation kept besides none,
 # the PDF link around an arXiv id, and the source name of search hits.
@@ -48,15 +48,13 @@ def _title(raw: Column, missing: str | None = UNTITLED) -> Column:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """Add the parsed document (``_doc``), its root name and Atom-namespace flag."""
-    plain = F.regexp_replace("body", "^\ufeff", "")
-    body = cut_leaves(canonical(without_doctype(plain)))
-    return payloads.select(
-        "*",
-        root_name(plain).alias("_root"),
-        children_in(plain, ATOM_NS).alias("_has_atom"),
-        has_default_namespace(plain).alias("_has_default"),
-        F.when(F.is_valid_utf8("body"), F.from_xml(body, schemas.FEED_DOC, schemas.XML_OPTIONS)).alias(PARSED),
-    )
+    head_ = F.col("_head")
+    df = payloads.withColumn("_body", without_bom("body")).withColumn("_head", head("_body"))
+    df = df.select("*", root_name(head_).alias("_root"), children_in(head_, ATOM_NS).alias("_has_atom"),
+                   has_default_namespace(head_).alias("_has_default"))
+    df = canonical(without_doctype(df, "_body"), "_body")
+    doc = F.from_xml(cut_leaves("_body"), schemas.FEED_DOC, schemas.XML_OPTIONS)
+    return df.withColumn(PARSED, F.when(F.is_valid_utf8("body"), doc)).drop("_head", "_body")
 
 
 def _parsed(df: DataFrame) -> DataFrame:

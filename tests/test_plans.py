@@ -88,3 +88,27 @@ def test_slice_cap_needs_no_exchange_and_equals_the_window(spark):
         assert "Exchange" not in _plan(sliced)
         same = dg.cap_per_feed(ex.extract_articles(df), n)
         assert sorted(map(tuple, sliced.select("payload_id", "pos").collect())) == sorted(map(tuple, same.select("payload_id", "pos").collect()))
+
+
+def _whole_plan(spark, df):
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+
+
+def test_a_body_is_searched_once_for_each_question(spark):
+    """Rewrites of whole bodies are columns of their own: none is repeated inside another expression."""
+    df = payloads_df(spark, ['<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title></entry></feed>'])
+    for items in (ex.extract_papers(df), ex.feed_format(df), ex.rejects(df).select("payload_id")):
+        plan = _whole_plan(spark, items)
+        assert plan.count("regexp_extract(") + plan.count("regexp_replace(") <= 40
+
+
+def test_a_completion_is_read_once(spark):
+    comps = spark.createDataFrame([("article", "a#0", "HEADLINE: h\nKEY POINTS:\n- p\nRELEVANCE: r")], "item_kind string, item_id string, response string")
+    arts = spark.createDataFrame([("a", 0, "t", "s")], "payload_id string, pos int, title string, summary string")
+    for df in (sm.structure_completions(comps), sm.with_summaries(arts, "article", comps), sm.summarize_capped(sm.slim(arts, "article"), "article", comps)):
+        assert _whole_plan(spark, df).count("split(") == 1
