@@ -73,56 +73,69 @@ def build_prompts(items: DataFrame, kind: str) -> DataFrame:
                      F.format_string(PROMPT_TEMPLATES[kind], F.col("title"), text).alias("prompt"))
 
 
-_STATE = "struct<headline:string,points:array<string>,relevance:string,section:string>"
-
-
-def _step(acc: Column, raw: Column) -> Column:
-    line = strip(raw)
-    up = F.upper(line)
-    is_head = up.startswith(HEADLINE_MARKER)
-    is_points = up.startswith(POINTS_MARKER)
-    is_rel = up.startswith(RELEVANCE_MARKER)
-    bullet = ~is_head & ~is_points & ~is_rel & (acc["section"] == "points") & line.startswith("-")
-    rel_line = (~is_head & ~is_points & ~is_rel & (acc["section"] == "relevance")
-                & (line != "") & (acc["relevance"] == ""))
-    after_colon = strip(F.regexp_replace(line, "^[^:]*:", ""))
-    return F.struct(
-        F.when(is_head, after_colon).otherwise(acc["headline"]).alias("headline"),
-        F.when(bullet, F.concat(acc["points"], F.array(strip_bullet(line)))).otherwise(acc["points"]).alias("points"),
-        F.when(is_rel, after_colon).when(rel_line, line).otherwise(acc["relevance"]).alias("relevance"),
-        F.when(is_head, F.lit("headline")).when(is_points, F.lit("points")).when(is_rel, F.lit("relevance"))
-         .otherwise(acc["section"]).alias("section"),
-    )
+_MARKERS = {"headline": HEADLINE_MARKER, "points": POINTS_MARKER, "relevance": RELEVANCE_MARKER}
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _marks(lines: Column) -> Column:
+    """Marker lines of a completion in order: array<struct<kind, at>>."""
+    starts = F.transform(lines, lambda line: F.upper(left_n(line, max(map(len, _MARKERS.values())))))
+    kind = lambda up: F.coalesce(*[F.when(up.startswith(m), F.lit(k)) for k, m in _MARKERS.items()])
+    marks = F.transform(starts, lambda up, i: F.struct(kind(up).alias("kind"), i.alias("at")))
+    return F.filter(marks, lambda m: m["kind"].isNotNull())
+
+
+def _after_colon(line: Column) -> Column:
+    return strip(F.regexp_replace(line, "^[^:]*:", ""))
+
+
+def _parts(lines: Column, marks: Column) -> Column:
+    """struct<headline, points, relevance> of the lines, '' or empty where a part is missing."""
+    ends = F.transform(marks, lambda m, i: F.struct(m["kind"].alias("kind"), m["at"].alias("at"),
+                                                    F.coalesce(F.get(marks, i + 1)["at"], F.size(lines)).alias("end")))
+    inside = lambda m: F.slice(lines, m["at"] + 2, m["end"] - m["at"] - 1)
+    of = lambda sections, kind: F.filter(sections, lambda m: m["kind"] == kind)
+    bullets = lambda m: F.transform(F.filter(inside(m), lambda line: line.startswith("-")), strip_bullet)
+    told = lambda m: F.concat(F.array(_after_colon(F.get(lines, m["at"]))), inside(m))
+    last = lambda sections, kind: F.slice(F.reverse(of(sections, kind)), 1, 1)
+    return _let(ends, lambda sections: F.struct(
+        F.coalesce(F.get(F.transform(last(sections, "headline"), lambda m: _after_colon(F.get(lines, m["at"]))), F.lit(0)),
+                   F.lit("")).alias("headline"),
+        F.flatten(F.transform(of(sections, "points"), bullets)).alias("points"),
+        F.coalesce(F.get(F.filter(F.flatten(F.transform(last(sections, "relevance"), told)), lambda line: line != ""), F.lit(0)),
+                   F.lit("")).alias("relevance")))
 
 
 def parse_completion(response) -> Column:
     """Completion text -> ``struct<headline, key_points, relevance>`` (EXT-7).
 
-    A left fold over the response lines (higher-order ``aggregate``): marker
-    lines are case-insensitive; later HEADLINE/RELEVANCE lines overwrite;
-    bullets count only under KEY POINTS; an empty RELEVANCE takes the next
-    non-empty line. Missing parts fall back to the raw text.
+    Marker lines are case-insensitive; of several HEADLINE or RELEVANCE lines the last
+    counts; bullets count only under KEY POINTS; an empty RELEVANCE takes the next
+    non-empty line of its section. Missing parts fall back to the raw text. Every line is
+    looked at once, and each intermediate value is bound once (``_let``).
     """
     text = F.col(response) if isinstance(response, str) else response
     text = F.coalesce(text, F.lit(""))
-    init = F.struct(F.lit("").alias("headline"), F.array().cast("array<string>").alias("points"),
-                    F.lit("").alias("relevance"), F.lit("").alias("section"))
-    st = F.aggregate(F.split(text, LINE_BREAKS), init, _step)
-    return F.struct(
+    lines = F.transform(F.split(text, LINE_BREAKS), strip)
+    parts = _let(lines, lambda told: _let(_marks(told), lambda marks: _parts(told, marks)))
+    return _let(parts, lambda st: F.struct(
         F.when(st["headline"] != "", st["headline"])
          .otherwise(left_n(F.substring_index(text, "\n", 1), DEFAULT_HEADLINE_CHARS)).alias("headline"),
         F.when(F.size(st["points"]) > 0, st["points"])
          .otherwise(F.array(left_n(text, FALLBACK_POINT_CHARS))).alias("key_points"),
         F.when(st["relevance"] != "", st["relevance"])
          .otherwise(F.lit(PARSED_DEFAULT_RELEVANCE)).alias("relevance"),
-    )
+    ))
 
 
 def structure_completions(completions: DataFrame) -> DataFrame:
     """completions -> summaries; narrow, no UDF, no shuffle."""
-    s = parse_completion("response")
-    return completions.select("item_kind", "item_id", s["headline"].alias("headline"),
-                              s["key_points"].alias("key_points"), s["relevance"].alias("relevance"))
+    parsed = completions.select("item_kind", "item_id", parse_completion("response").alias("_s"))
+    return parsed.select("item_kind", "item_id", "_s.headline", "_s.key_points", "_s.relevance")
 
 
 def fallback_summary(kind: str) -> Column:

@@ -306,9 +306,8 @@ def feed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_from_config_text(feed_config(spark, sf_dir))
 
 
-def completion_response(text: Column, doc_id: Column) -> Column:
+def completion_response(text: Column, lines: Column, doc_id: Column) -> Column:
     """Four response shapes (plain text, full markers, messy markers, points only), each of all lines of the text."""
-    lines = F.split(text, "\n")
     first, last = F.get(lines, F.lit(0)), F.element_at(lines, -1)
     further = F.slice(lines, 2, F.size(lines))
     bullets = lambda mark, what: F.array_join(F.transform(what, lambda l: F.concat(F.lit(mark), l)), "\n")
@@ -331,10 +330,11 @@ def completion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Position of the document inside its payload: a window bounded by one chunk.
     pos = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("doc_id")) - 1
     with_pos = b.select("doc_id", "source", "chunk", "text", pos.alias("pos")).where("doc_id % 5 <> 3")
+    with_pos = with_pos.withColumn("lines", F.split("text", "\n"))  # split once
     return with_pos.select(
         F.lit("article").alias("item_kind"),
         article_item_id(F.col("source"), F.col("chunk"), F.col("pos")).alias("item_id"),
-        F.to_json(F.struct(F.struct(completion_response(F.col("text"), F.col("doc_id"))
+        F.to_json(F.struct(F.struct(completion_response(F.col("text"), F.col("lines"), F.col("doc_id"))
                                     .alias("content")).alias("message"))).alias("body"))
 
 
