@@ -320,9 +320,9 @@ def q_search_hits(spark, sf):
 def q_item_tables(spark, sf):
     """SNK-4: item tables of two runs, the second never committed; what a reader sees is the first."""
     out = _scratch(spark, "items")
-    extract_items(spark, fx.all_payloads(spark, sf), fx.feed_registry(spark, sf), out, web=True)
+    run = extract_items(spark, fx.all_payloads(spark, sf), fx.feed_registry(spark, sf), out, web=True)
     half = sinks.run_path(out, "papers")
-    sinks.write_items(sinks.read_run(spark, out, "papers").withColumn("run_id", F.lit("half")), half, ["run_id", "digest_key"])
+    sinks.write_items(run["papers"].withColumn("run_id", F.lit("half")), half, ["run_id", "digest_key"])
     return reduce(DataFrame.unionByName, [
         sinks.read_run(spark, out, t).groupBy(F.col("digest_key").cast("string").alias("digest_key"))
         .agg(F.count("*").alias("n_items"), F.sum(F.length("title")).alias("title_chars"))

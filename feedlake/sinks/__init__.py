@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,8 +80,14 @@ def read_run(spark: SparkSession, out: str, table: str, run_id: str | None = Non
     if last is None:
         raise ValueError(f"no committed run {run_id or ''} under {out}")
     schema = {t["name"]: t["schema"] for t in last["tables"]}[table]
-    # declared schema: a table without rows in this run reads back empty
-    df = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(run_path(out, table))
+    # only this run's folders are listed, however many runs there are
+    base, declared = run_path(out, table), T.StructType.fromJson(json.loads(schema))
+    try:
+        df = spark.read.schema(declared).option("basePath", base).parquet(f"{base}/run_id={last['run_id']}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], declared)  # a table without rows in this run reads back empty
     return df.where(F.col("run_id") == last["run_id"]).drop("run_id")
 
 

@@ -1,4 +1,6 @@
 """The written-table digest job gives the same digests as the in-memory plan."""
+from pyspark.sql import functions as F
+
 from feedlake.plans import catalog as C
 from feedlake.plans import fixtures as fx
 from feedlake.plans.jobs import digest_job
@@ -64,3 +66,20 @@ def test_item_files_follow_bytes(spark, tmp_path):
     days = spark.range(0, 4000, numPartitions=16).selectExpr("id", "cast(id % 10 as string) digest_key")
     sinks.write_items(days, str(tmp_path / "t"))
     assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 20  # 16 tasks x 10 days before
+
+
+def test_a_run_is_read_without_a_look_at_other_runs(spark, tmp_path):
+    from feedlake import sinks
+    out, schemas = str(tmp_path / "runs-out"), {}
+    for run in ("first", "half", "second"):
+        rows = spark.createDataFrame([(run, 1)], "title string, pos int").withColumns({"run_id": F.lit(run), "digest_key": F.lit("2026-04-02")})
+        sinks.write_items(rows, sinks.run_path(out, "papers"), ["run_id", "digest_key"])
+        schemas = {"papers": rows.schema, "web": rows.schema}
+        if run != "half":
+            sinks.commit_run(spark, out, run, schemas)
+    for run, title in (("first", "first"), (None, "second")):
+        df = sinks.read_run(spark, out, "papers", run)
+        assert [r.title for r in df.collect()] == [title]
+        assert all(f"run_id={title}/" in f for f in df.inputFiles())
+    empty = sinks.read_run(spark, out, "web")
+    assert empty.count() == 0 and sorted(empty.columns) == ["digest_key", "pos", "title"]
