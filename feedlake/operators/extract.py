@@ -190,8 +190,9 @@ def rejects(payloads: DataFrame) -> DataFrame:
     """Payloads that did not parse: ``(payload_id, reason)`` (EXT-8)."""
     df = _parsed(payloads)
     doc = F.col(PARSED)
-    return (df.where(doc.isNull() | doc[schemas.CORRUPT].isNotNull())
-              .select("payload_id", F.lit("malformed XML").alias("reason")))
+    # a filter on the document would be pushed below and repeat the parse: the verdict is generated, then filtered
+    why = F.when(doc.isNull() | doc[schemas.CORRUPT].isNotNull(), F.lit("malformed XML"))
+    return df.select("payload_id", F.explode_outer(F.array(why)).alias("reason")).where("reason is not null")
 
 
 def _paper_raw(e: Column) -> Column:

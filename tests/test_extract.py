@@ -160,3 +160,17 @@ def test_doctype_beyond_the_limit_is_a_reject(spark):
     df = payloads_df(spark, bodies)
     assert ex.extract_articles(df).count() == 0
     assert {r.payload_id for r in ex.rejects(df).collect()} == {"p0", "p1", "p2"}
+
+
+def test_head_answers_as_the_whole_body(spark):
+    from feedlake.functions import xml as X
+    pad, ns = "x" * 3000, 'xmlns="http://www.w3.org/2005/Atom"'
+    tag = f'<a:feed xmlns:a="http://www.w3.org/2005/Atom" q="a > b">'
+    prologs = ["", "\n ", "<!-- a > b -->", f"<!-- {pad} <feed> > -->", f"<?xml {pad}?>", f'<!DOCTYPE feed [<!ENTITY e "{pad}">]>', " " * 5000, "HTTP 503 "]
+    tags = [tag, f"<feed {ns}>", f'<feed p="{pad}>" {ns}>', f'<feed p="{pad}', "<feed", f"<rss p='>'", "<!-- open > ", f"<feed{' ' * 4000}{ns}>"]
+    bodies = [p + t + "<entry/></a:feed>" for p in prologs for t in tags] + ["", None, "<", "plain > text"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string").withColumn("h", X.head("body"))
+    for ask in (X.root_name, X.root_prefix, X.root_tag, X.has_default_namespace, lambda c: X.children_in(c, X.ATOM_NS)):
+        assert df.where(~ask("body").eqNullSafe(ask("h"))).count() == 0
+    long = spark.createDataFrame([(tag + pad * 5,)], "body string")
+    assert long.select(X.head("body")).first()[0] == tag

@@ -102,7 +102,7 @@ def _whole_plan(spark, df):
 def test_a_body_is_searched_once_for_each_question(spark):
     """Rewrites of whole bodies are columns of their own: none is repeated inside another expression."""
     df = payloads_df(spark, ['<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>t</title></entry></feed>'])
-    for items in (ex.extract_papers(df), ex.feed_format(df)):
+    for items in (ex.extract_papers(df), ex.feed_format(df), ex.rejects(df)):
         plan = _whole_plan(spark, items)
         assert plan.count("regexp_extract(") + plan.count("regexp_replace(") <= 40
 
