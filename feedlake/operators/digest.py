@@ -183,24 +183,22 @@ def number_items_split(items: DataFrame, partitions: int | None = None) -> DataF
     Items are range-partitioned on (digest_key, section, ord), so one large
     group spans several partitions; each row gets its position inside its
     partition, and a small table of per-partition counts (one row per
-    partition and group) yields the offsets. That layout is checkpointed to the
+    partition and group) yields the offsets. That layout is written to the
     shared checkpoint folder first, so a recomputation after a lost executor
-    cannot move rows between partitions. Same numbers as ``number_items``.
+    cannot move rows between partitions. The items are written before it: choosing
+    the ranges samples its input, which would run the whole plan of the items a
+    second time. Same numbers as ``number_items``.
     """
-    from feedlake.session import ensure_checkpoint_dir
+    from feedlake.session import write_once
     from feedlake.sources import broadcast_if_small
 
-    spark = items.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["_pid", "digest_key", "section"]
-    layout = (items.repartitionByRange(n, "digest_key", "section", "ord")
+    layout = (write_once(items, "items").repartitionByRange(n, "digest_key", "section", "ord")
               .sortWithinPartitions("digest_key", "section", "ord")
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_i", F.monotonically_increasing_id())
-              .persist())
-    ranged = layout.checkpoint()  # written once from the persisted layout
-    layout.unpersist()
+              .withColumn("_i", F.monotonically_increasing_id()))
+    ranged = write_once(layout, "layout")
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
     # one row per (partition, group): a group spans at most ``n`` rows here
     w = Window.partitionBy("digest_key", "section").orderBy("_pid")

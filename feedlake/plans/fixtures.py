@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedlake import sinks
+from feedlake.session import task_slots
+
 CHUNK = 100          # document ids per fetch day
 BASE_DAY = "2024-01-01"
 MEDIA_NS = "http://search.yahoo.com/mrss/"
@@ -149,6 +152,17 @@ def _by_fmt(mapping: dict) -> Column:
     return out
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in four tasks a slot, and at most as many as the session has shuffle partitions.
+
+    A payload's parse costs far more than its bytes in the exchange: by bytes, adaptive execution packs
+    these stages into a few tasks more than there are slots, and those few then run alone.
+    """
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * task_slots(spark))
+    return df.repartition(n, *keys)
+
+
 def _assemble(entries: DataFrame, key_cols: list[str], head: Column, tail: Column) -> DataFrame:
     """Group entries of one payload (bounded chunk) in document order."""
     return (entries.groupBy(*key_cols)
@@ -173,7 +187,7 @@ def feed_payloads(spark: SparkSession, sf_dir: str, with_rejects: bool = True) -
     head = F.concat(_by_fmt(_HEAD), F.col("source"), _by_fmt(_TITLE_END))
     # Exchange raw documents on the payload key first: the entry text is then
     # built after the shuffle, in parallel, and the grouping reuses the layout.
-    b = b.repartition("source", "chunk")
+    b = _spread(b, "source", "chunk")
     g = _assemble(b.select("source", "chunk", "fmt", "fetch_day", "doc_id", entry.alias("entry")),
                   ["source", "chunk", "fmt", "fetch_day"], head, _by_fmt(_TAIL))
     good = g.select(
@@ -247,7 +261,7 @@ def arxiv_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:'),
         F.when(odd, F.lit("ax")).otherwise(F.lit("arxiv")),
         F.lit('="http://arxiv.org/schemas/atom"><title>arXiv Query: cat:'), F.col("primary"), F.lit("</title>"))
-    b = b.repartition("primary", "chunk")
+    b = _spread(b, "primary", "chunk")
     g = _assemble(b.select("primary", "chunk", "fetch_day", "doc_id", entry.alias("entry"), head.alias("h")),
                   ["primary", "chunk", "fetch_day"], F.col("h"), F.lit("</feed>"))
     return g.select(
@@ -439,8 +453,8 @@ def digest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land_files(payloads: DataFrame, path: str) -> None:
-    """Payload bodies as raw files, one per payload, under ``payload_id=<id>/``."""
-    payloads.select("body", "payload_id").write.partitionBy("payload_id").text(path)
+    """Payload bodies as raw files, one per payload, under ``payload_id=<id>/``: plain ones, as a fetcher leaves them."""
+    payloads.select("body", "payload_id").write.options(**sinks.PLAIN_LOCAL_FILES).partitionBy("payload_id").text(path)
 
 
 def write_reports(spark: SparkSession, sf_dir: str, path: str) -> None:

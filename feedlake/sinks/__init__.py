@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Many small files on a local file system: without checksum files and without a forked chmod for every
+# folder, file and checksum. Options of one write; other file systems do not know them.
+PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def write_digests(digests: DataFrame, path: str, partition_cols: Sequence[str] = ("digest_date",)) -> None:
     """One text file per digest under ``digest_date=<day>/`` (SNK-1).
 
@@ -34,7 +39,7 @@ def write_digest_blocks(blocks: DataFrame, path: str, partitions: int | None = N
     n = partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = ["digest_date", "section", "rn"]
     (blocks.withColumnRenamed("digest_key", "digest_date").repartitionByRange(n, *place).sortWithinPartitions(*place)
-     .select("block", "digest_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .select("block", "digest_date").write.mode("overwrite").options(partitionOverwriteMode="dynamic", **PLAIN_LOCAL_FILES)
      .partitionBy("digest_date").text(path))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from feedlake import schemas
 from feedlake.functions.text import RARE_BREAKS, json_get, split_lines
+from feedlake.session import few_listing_tasks
 
 # Feed name when the config gives none; title of a search hit without one.
 DEFAULT_FEED_NAME = "RSS"
@@ -29,7 +30,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None = None,
-                  stream: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+                  stream: bool = False, manifest: DataFrame | None = None, recursive: bool = False) -> DataFrame:
     """Landed payload files (one document per file) -> ``payloads`` (SRC-1/2/4).
 
     ``wholetext`` keeps each file one row; Spark packs small files into tasks
@@ -40,14 +41,17 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
 
     ``manifest`` (file, url; one row per landed file name) gives each payload the url it was
     fetched from, which the feed registry is matched by; without it, or for a file
-    that it does not list, ``url`` is the file's path. A manifest with a column ``path``
-    (as in a file inventory) is matched by the whole path instead of the name.
+    that it does not list, ``url`` is the file's path (see ``attach_urls``). With ``recursive``
+    files are taken from folders of any name and depth, which are not read as partitions.
     """
     reader = spark.readStream if stream else spark.read
     r = reader.format("text").option("wholetext", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(path)
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    with few_listing_tasks(spark):
+        df = r.load(path)
     out = df.select(
         F.col("_metadata.file_path").alias("payload_id"),
         F.col("_metadata.file_path").alias("url"),
@@ -55,13 +59,22 @@ def read_payloads(spark: SparkSession, path: str, kind: str, glob: str | None =
         F.col("_metadata.file_modification_time").alias("fetched_at"),
         (drop_invalid_utf8(F.col("value")) if kind == "serp" else F.col("value")).alias("body"),
     )
-    if manifest is None:
-        return out
-    by = "path" if "path" in manifest.columns else "file"
+    return out if manifest is None else attach_urls(out, manifest)
+
+
+def attach_urls(landed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of landed files (``payload_id``: the file's path) with the url that ``manifest`` tells, else their own.
+
+    The manifest names files by ``path`` (as in a file inventory), else by ``folder`` (the name of the folder
+    that holds the file; no listing is needed to write one down), else by ``file`` (the file's name). Rows
+    that carry bodies cross the exchange of this join with them: aggregate first where that will do.
+    """
+    by = next(c for c in ("path", "folder", "file") if c in manifest.columns)
     told = manifest.select(F.col(by).alias("_file"), F.col("url").alias("_url"))
-    whole = F.col("payload_id") if by == "path" else F.substring_index("payload_id", "/", -1)
-    name = F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
-    return (out.join(told, name == F.col("_file"), "left")
+    part = {"path": F.col("payload_id"), "folder": F.substring_index(F.substring_index("payload_id", "/", -2), "/", 1),
+            "file": F.substring_index("payload_id", "/", -1)}[by]
+    name = F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+    return (landed.join(told, name == F.col("_file"), "left")
             .withColumn("url", F.coalesce("_url", "url")).drop("_file", "_url"))
 
 
@@ -135,7 +148,8 @@ def read_file_inventory(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    return r.load(path).select("path", "modificationTime", "length")
+    with few_listing_tasks(spark):
+        return r.load(path).select("path", "modificationTime", "length")
 
 
 def read_digests(spark: SparkSession, path: str, date_col: str = "digest_date") -> DataFrame:
@@ -143,7 +157,8 @@ def read_digests(spark: SparkSession, path: str, date_col: str = "digest_date")
 
     One string per digest, for readers that want it whole; the files themselves need no such step.
     """
-    files = spark.read.format("text").option("wholetext", True).load(path)
+    with few_listing_tasks(spark):
+        files = spark.read.format("text").option("wholetext", True).load(path)
     return (files.groupBy(F.col(date_col).cast("string").alias("digest_key"))
             .agg(F.array_sort(F.collect_list(F.struct(F.col("_metadata.file_name").alias("name"), "value"))).alias("files"))
             .select("digest_key", F.regexp_replace(F.array_join(F.transform("files", lambda f: f["value"]), ""), r"\n\z", "").alias("md")))

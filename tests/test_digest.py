@@ -153,3 +153,20 @@ def test_a_day_of_100_000_items_is_spread(spark, tmp_path):
     numbers = spark.read.text(out).where("value like '### %'").select(F.regexp_extract("value", r"### (\d+)\. title (\d+)", 1).cast("int").alias("n"),
                                                                     F.regexp_extract("value", r"title (\d+)", 1).cast("int").alias("t"))
     assert numbers.where("n <> t + 1").count() == 0
+
+
+def test_items_are_computed_once_for_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from feedlake.operators.digest import digest_blocks
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(title):
+        seen.add(1)
+        return title
+    items = spark.range(200, numPartitions=3).select(
+        F.concat(F.lit("2024-01-0"), (F.col("id") % 3 + 1).cast("string")).alias("digest_key"), F.lit(1).alias("section"),
+        F.struct(F.col("id").alias("o_rank")).alias("ord"), F.udf(told, "string").asNondeterministic()(F.col("id").cast("string")).alias("title"),
+        F.lit("rest").alias("rest"))
+    rows = digest_blocks(items, partitions=4).where("rn > 0").collect()
+    assert len(rows) == 200 and seen.value == 200
