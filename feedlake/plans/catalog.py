@@ -23,7 +23,7 @@ from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
 from feedlake.plans.jobs import extract_items
 from feedlake.session import ensure_checkpoint_dir
-from feedlake.sources import (attach_feed, completions_from_json, read_digests, read_file_inventory, read_payloads,
+from feedlake.sources import (attach_feed, attach_urls, completions_from_json, read_digests, read_file_inventory, read_payloads,
                               read_report_lines, read_scorecards, read_search_hits, select_sources)
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
 from feedlake.streaming.scorecard import run_probe_outcomes
@@ -190,13 +190,12 @@ def q_landed_files(spark, sf):
     landing = _scratch(spark, "landed")
     payloads = fx.feed_payloads(spark, sf)
     fx.land_files(payloads, landing)
-    name = F.regexp_extract("path", r"/payload_id=([^/]+)/", 1)
-    manifest = (read_file_inventory(spark, landing, recursive=True).select("path", name.alias("payload_id"))
-                .join(payloads.select("payload_id", "url"), "payload_id").select("path", "url"))
-    landed = read_payloads(spark, landing, "feed", manifest=manifest)
-    arts = ex.extract_articles(attach_feed(landed, fx.feed_registry(spark, sf)))
-    return (arts.groupBy(F.regexp_extract("payload_id", r"/payload_id=([^/]+)/", 1).alias("payload_id"), "feed_name")
-            .agg(F.count(F.lit(1)).alias("n_items")))
+    # one listing; bodies are parsed where they are read, and only counts meet the manifest and the registry
+    items = ex.extract_articles(read_payloads(spark, landing, "feed", recursive=True)).groupBy("payload_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    manifest = payloads.select(F.concat(F.lit("payload_id="), F.col("payload_id")).alias("folder"), "url")
+    known = attach_feed(attach_urls(items, manifest), fx.feed_registry(spark, sf))
+    return (known.groupBy(F.regexp_extract("payload_id", r"/payload_id=([^/]+)/", 1).alias("payload_id"), "feed_name")
+            .agg(F.sum("n").alias("n_items")))
 
 
 # ---- search ------------------------------------------------------------------

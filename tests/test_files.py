@@ -74,3 +74,43 @@ def test_positions_and_pairs(spark):
         by_k = sorted(rows, key=lambda i: rows[i].k)
         assert got == [(i, by_k[i], f"s{n - 1 - i}") for i in range(min(n, 1000))]
     assert pair_summaries(items.limit(0), told, ["k"], ["place"], 5).count() == 0
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from feedlake.session import LISTING_TASKS, task_slots
+    for i in range(60):
+        (tmp_path / f"x={i}").mkdir()
+        (tmp_path / f"x={i}" / "part-0.txt").write_text("a")
+    sc, before = spark.sparkContext, spark.conf.get(LISTING_TASKS)
+    sc.setJobGroup("few-listing-tasks", "")
+    try:
+        listed = read_file_inventory(spark, str(tmp_path), recursive=True)
+    finally:
+        sc.setJobGroup("", "")
+    track = sc.statusTracker()
+    tasks = [track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup("few-listing-tasks") for s in track.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * task_slots(spark) < 60
+    assert listed.count() == 60 and spark.conf.get(LISTING_TASKS) == before
+
+
+def test_manifest_by_folder_over_nested_folders(spark, tmp_path):
+    for at in ("payload_id=a +%41", "day/payload_id=b"):
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "part-0.txt").write_text(at)
+    told = spark.createDataFrame([("payload_id=a +%41", "http://a"), ("payload_id=c", "http://c")], "folder string, url string")
+    got = {r.body: r.url for r in read_payloads(spark, str(tmp_path), "feed", manifest=told, recursive=True).collect()}
+    assert got["payload_id=a +%41"] == "http://a" and got["day/payload_id=b"].endswith("payload_id=b/part-0.txt") and len(got) == 2
+
+
+def test_landed_files_are_plain(spark, tmp_path):
+    from feedlake.plans.fixtures import land_files
+    land_files(spark.createDataFrame([("a", "x"), ("b", "y")], "payload_id string, body string"), str(tmp_path / "in"))
+    names = [p.name for k in "ab" for p in (tmp_path / "in" / f"payload_id={k}").iterdir()]
+    assert len(names) == 2 and not any(n.endswith(".crc") for n in names)
+
+
+def test_bodies_of_landed_files_cross_no_exchange(spark, sf_small):
+    from feedlake.plans import catalog
+    plan = catalog.q_landed_files(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[:plan.index("FileScan text")].split("Exchange")[-1]
+    assert "HashAggregate" in scan and "partial_count" in scan, scan
