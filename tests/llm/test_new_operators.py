@@ -327,3 +327,13 @@ def test_score_keeps_columns_with_clashing_names(spark, sf_small):
     assert got.columns == [*docs.columns, "_text", "_n", "i", "score", "predicted"]
     plain = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert {(r._text, r._n, r.i) for r in got.collect()} == {("a", 2, "y")} and {r.doc_id: r.score for r in got.collect()} == plain
+
+
+def test_repeats_are_decided_by_a_semi_join(spark):
+    from feedlake.llm import repeats
+    rows = [(d, 0, 0, 0, 1, 7, 1, 1) for d in range(300)] + [(d, 0, 9, 0, 1, 7, 2, d) for d in range(40)]
+    entries = spark.createDataFrame(rows, "doc long, h long, p int, lo int, hi int, g long, s1 long, s2 long")
+    decided, _, _ = repeats._level(entries, ["g"], ["s1", "s2"], False, False)
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Inner" not in plan, plan
+    assert sorted(r.doc for r in decided.collect()) == list(range(300))
