@@ -170,6 +170,29 @@ def test_suffix_dedup_equals_brute_force(spark, alphabet):
         assert sum(s.b - s.a for s in got[i].spans) == want[i].sum()
 
 
+def test_runs_of_equal_spans_are_one_row(spark):
+    """Text of a short period: an anchor in every period, one row for all of them, and nothing lost of what repeats."""
+    pick = random.Random(3)
+    own = lambda n: "".join(pick.choice("abcdefgh") for _ in range(n))
+    texts = [own(90) + "xyz " * n + own(90) for n in (700, 11, 10, 9, 3, 200)] + ["q" * 500, own(60) + "q" * 39 + own(60), own(50) + "q" * 40]
+    want = covered(texts, repeats.byte_symbols, 40, False)
+    docs = documents(spark, texts)
+    rows = repeats.span_table(docs.selectExpr("doc_id as doc", "0L as h", "text"), "bytes", 40, 8)
+    assert rows.where("doc = 6").count() == 1
+    assert rows.count() < 200 < 700 < sum(len(repeats.anchors(repeats.gram_names(repeats.byte_symbols(t), 8), 33)[0]) for t in texts)
+    for r in suffix_dedup.dedup_suffixes(docs, 40, 8, (16, 4, 1)).collect():
+        raw = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        assert r.kept == raw[~want[r.doc_id]].tobytes()
+    # words: the run in the first document, parts of it and more after it; then the parts before it
+    word = lambda n: [f"o{pick.randrange(10 ** 9)}" for _ in range(n)]
+    a, b, c = word(20), word(20), word(20)
+    runs = [" ".join(x) for x in (a + ["x", "y"] * 90 + b, c + ["x", "y"] * 40 + a + ["x", "y"] * 9 + word(9), ["z"] * 60 + a, ["y", "x"] * 7, ["z"] * 14, ["x", "y"] * 6)]
+    for texts in (runs, runs[::-1]):
+        want = covered(texts, repeats.word_symbols, 12, True)
+        for r in substring_dedup.dedup_substrings(documents(spark, texts), 12, 2, (8, 4, 1)).collect():
+            assert r.kept == b" ".join(w for w, m in zip(repeats.split_words(texts[r.doc_id]), want[r.doc_id]) if not m)
+
+
 def test_substring_dedup_of_a_document_that_repeats_its_copies(spark):
     """Passage and context several times in one document, the passage alone in an earlier one."""
     pick = random.Random(11)
