@@ -187,7 +187,7 @@ def test_runs_of_equal_spans_are_one_row(spark):
     word = lambda n: [f"o{pick.randrange(10 ** 9)}" for _ in range(n)]
     a, b, c = word(20), word(20), word(20)
     runs = [" ".join(x) for x in (a + ["x", "y"] * 90 + b, c + ["x", "y"] * 40 + a + ["x", "y"] * 9 + word(9), ["z"] * 60 + a, ["y", "x"] * 7, ["z"] * 14, ["x", "y"] * 6)]
-    for texts in (runs, runs[::-1]):
+    for texts in (runs, runs[::-1], [runs[5], runs[1], runs[0]]):  # the last: a run whose windows an earlier document decides at a deeper level
         want = covered(texts, repeats.word_symbols, 12, True)
         for r in substring_dedup.dedup_substrings(documents(spark, texts), 12, 2, (8, 4, 1)).collect():
             assert r.kept == b" ".join(w for w, m in zip(repeats.split_words(texts[r.doc_id]), want[r.doc_id]) if not m)
