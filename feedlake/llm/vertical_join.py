@@ -3,13 +3,15 @@
 Every document is a set of shingles; the global shingle order is the order of their
 64-bit names, which needs no counting pass and is even whatever the words are.
 
-Candidates. The order is cut into F fragments, F two more than the differences that a
-linked pair of a size band can have, so two fragments at least are identical in both
-sets. A set emits one key per fragment (band, fragment, name of the segment); pairs meet
-only in a group of equal keys. An empty segment is a key only for sets with two or more
-of them (a pair whose identical fragments are all empty has as many in both sets). Sets
-smaller than any difference allows link with equal sets only. No n-gram is a key alone:
-a common line or passage makes no group.
+Candidates. The order is cut into F fragments, about a quarter more than the differences that a
+linked pair of a size band can have. A set emits one key per fragment (band, fragment, name of the
+segment); pairs meet only in a group of equal keys. Of its keys a set needs as many as it can have
+differences with a partner of the band, and one more: those that the fewest classes have, in an order
+that is the same for all sets. Of the keys that a linked pair shares, the first in that order comes
+after keys that only one of them has, so both sets keep it. Keys that many classes have (a common line
+or passage, a short segment) are thus left out, and a set with enough keys of its own meets nobody.
+Empty segments come last in the order, and only a set that has too few others emits them. Sets
+smaller than any difference allows link with equal sets only.
 
 Overlaps. For a candidate pair the order is cut into ``PARTS`` vertical fragments; the
 overlap of each is counted separately and summed per pair, and the pair links if
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -57,10 +59,19 @@ BLOCK = 2048   # members of a group whose sketches one task compares
 SKETCH = 4096  # most bits of an odd sketch
 _NAMES = _WordNames()
 REMEMBERED = 50_000  # words whose names a worker keeps between texts
-SLACK = 1     # identical fragments beyond the first that the cut guarantees
+SLACK = 1     # identical fragments beyond the first that the cut guarantees, at least
+SPARE = 4     # and one more for so many differences: as many keys of a set can be left out
+BAND = 63     # bits of a key that name its band
+EMPTY = 64    # bit of the key of an empty segment
 BITS = 25     # log2 of the bits of the filter on wanted ids: at most 2^(BITS - 6) words of 64 bits are broadcast
 
 
+def _distinct(names: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting: a hash table costs more at this size)."""
+    names = np.sort(names)
+    return names[np.concatenate([[True], names[1:] != names[:-1]])]
+
+
 def shingle_set(text: str | None, words: int = 3) -> np.ndarray:
     """Sorted distinct names of the shingles of a whole text, A-Z lower-cased."""
     if len(_NAMES) > REMEMBERED:
@@ -77,7 +88,7 @@ def shingle_set(text: str | None, words: int = 3) -> np.ndarray:
     out = names[: len(names) - words + 1]
     for i in range(1, words):
         out = _mix(out, names[i : len(names) - words + 1 + i])
-    return np.unique(out)
+    return _distinct(out)
 
 
 class Bands:
@@ -89,17 +100,21 @@ class Bands:
             self.high.append(self.high[-1] * 3 // 2 + 1)
 
     def fragments(self, band: int) -> int:
-        """Differences of a linked pair of at most ``high`` shingles each, and two more; 0: equal sets only."""
+        """Differences of a linked pair of at most ``high`` shingles each, and some more; 0: equal sets only."""
         d = 2 * self.high[band] * (100 - self.threshold) // (100 + self.threshold)
-        return d + 1 + SLACK if d else 0
+        return d + 1 + max(SLACK, d // SPARE) if d else 0
+
+    def needed(self, band: int, n: int) -> int:
+        """Keys of which one is shared with any linked set of the band: the most differences from it, and one more."""
+        return most_differences(n, min(self.high[band], n * 100 // self.threshold), self.threshold) + 1
 
     def of(self, n: int) -> range:
         """The set's own band and those of larger partners."""
         return range(bisect_left(self.high, n), bisect_left(self.high, n * 100 // self.threshold) + 1)
 
-    def keys(self, names: np.ndarray) -> np.ndarray:
-        """One key per identical-segment test of a sorted set."""
-        out = []
+    def keys(self, names: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """One key per identical-segment test of a sorted set, and (band, keys beyond those needed)."""
+        out, spare = [], []
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(names, names))])
         for band in self.of(len(names)):
             f = self.fragments(band)
@@ -108,10 +123,15 @@ class Bands:
             fragment = ((names >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32)
             edge = np.searchsorted(fragment, np.arange(f + 1, dtype=np.uint64))
             size = edge[1:] - edge[:-1]
-            use = np.arange(f) if (size == 0).sum() > SLACK else np.flatnonzero(size)
+            need, use = self.needed(band, len(names)), np.flatnonzero(size)
+            if len(use) < need:
+                use = np.arange(f)
             tag = use.astype(np.uint64) | np.uint64(band << 40)
-            out.append(_mix(total[edge[use + 1]] - total[edge[use]], tag))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            key = _mix(total[edge[use + 1]] - total[edge[use]], tag) & np.uint64(~(BAND | EMPTY) & (1 << 64) - 1)
+            key = _distinct(key | np.uint64(band) | np.where(size[use] == 0, np.uint64(EMPTY), np.uint64(0)))
+            out.append(key)
+            spare.append((band, len(key) - need))
+        return np.concatenate(out) if out else np.empty(0, np.uint64), spare
 
 
 def set_class(names: np.ndarray) -> int:
@@ -141,16 +161,16 @@ def most_differences(nx, ny, threshold: int):
 
 
 def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000) -> DataFrame:
-    """(doc, n, cls, sketch, keys array<long>): one pass over the texts.
+    """(doc, n, cls, sketch, keys array<long>, spare map<int, int>): one pass over the texts.
 
-    A task gives sketch and keys of a class once (as far as it remembers), so copies are
-    combined before any shuffle.
+    ``spare`` tells by band how many of the set's keys it does not need. A task gives sketch and
+    keys of a class once (as far as it remembers), so copies are combined before any shuffle.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(threshold), set()
         for batch in batches:
             for part in slices(batch, 1):
-                n, cls, sketch, keys = [], [], [], []
+                n, cls, sketch, keys, spare = [], [], [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     names = shingle_set(text, words)
                     whole = set_class(names)
@@ -158,17 +178,20 @@ def _sets(docs: DataFrame, words: int, threshold: int, remembered: int = 200_000
                     cls.append(whole)
                     again = whole in seen or doc is None or not len(names)
                     sketch.append(None if again else odd_sketch(names, sketch_bits(len(names))))
-                    keys.append(None if again else bands.keys(names).view(np.int64))
+                    own, beyond = (None, None) if again else bands.keys(names)
+                    keys.append(None if again else own.view(np.int64))
+                    spare.append(beyond)
                     if not again:
                         if len(seen) >= remembered:
                             seen.clear()
                         seen.add(whole)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "n", "cls", "sketch", "keys"])
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                     pa.array(spare, pa.map_(pa.int32(), pa.int32()))],
+                    names=["doc", "n", "cls", "sketch", "keys", "spare"])
         _NAMES.clear()  # the worker lives on
         give_back()
-    return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>")
+    return docs.select("doc", "text").mapInArrow(work, "doc long, n long, cls long, sketch binary, keys array<long>, spare map<int, int>")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -211,6 +234,19 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, "key long, cls long").distinct()
 
 
+def _needed_keys(group: DataFrame, spare: DataFrame) -> DataFrame:
+    """``group`` (key, cls) without the keys that a class can spare: those that the most classes have, by band.
+
+    ``spare`` has cls, band, spare. Keys that are not in ``group`` are a class's own and come first
+    in the order, so all that it can spare are taken from its rows here. Empty segments go first.
+    """
+    many = group.groupBy("key").agg(F.count("*").alias("many"))
+    common = Window.partitionBy("cls", "band").orderBy(F.col("key").bitwiseAND(F.lit(EMPTY)).desc(), F.col("many").desc(), F.col("key").desc())
+    return (group.join(many, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(BAND)).cast("int"))
+            .withColumn("at", F.row_number().over(common))
+            .join(spare, ["cls", "band"]).where("at > spare").select("key", "cls"))
+
+
 def _different_groups(group: DataFrame) -> DataFrame:
     """``group`` (key, cls) with one key of those that have the same members.
 
@@ -373,7 +409,9 @@ def _groups(docs: DataFrame, threshold: int, words: int, key: str, text: str) ->
     classes = materialize(sets.where("doc is not null and n > 0").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     keys = sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls")
-    group = materialize(_different_groups(materialize(_shared_keys(keys), "groups")), "groups")
+    spare = sets.where("keys is not null").select("cls", F.explode("spare").alias("band", "spare")).distinct()
+    group = materialize(_needed_keys(materialize(_shared_keys(keys), "groups"), spare), "groups")
+    group = materialize(_different_groups(group), "groups")
     sets = materialize(sets.select("doc", "n", "cls"), "rows")
     remove(spark, path)  # the keys are most of it
     told = lambda c: classes.select(F.col("cls").alias(c), F.col("doc").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))

@@ -409,3 +409,64 @@ def test_blocks_that_meet_many_are_dealt_to_several_tasks(spark, monkeypatch):
     u = x / np.sqrt((x * x).sum(1))[:, None]
     n = ((u @ u.T) >= 0.95).sum(1) - 1
     assert {r[0]: r[1] for r in whole} == dict(enumerate(n.tolist()))
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Pairs of sets that share a passage must not grow with the square of the corpus: their groups are left out."""
+    pick, kept = random.Random(11), []
+    passage = [f"p{i}" for i in range(60)]
+    own = [[f"w{pick.randrange(10**9)}" for _ in range(pick.randint(120, 240))] for _ in range(150)]
+    texts = [" ".join(passage + w) for w in own]
+    for i in range(4):  # near copies, at the edge of the threshold and beyond it
+        w = passage + own[i]
+        n = len(w) * (i + 7) // 100
+        texts.append(" ".join(w[n:] + [f"x{i}.{k}" for k in range(n)]))
+    different = vertical_join._different_groups
+    monkeypatch.setattr(vertical_join, "_different_groups", lambda g: kept.append(different(g)) or kept[-1])
+    sets = [set(t.split()) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = union_find([e[0] for e in edges], [e[1] for e in edges])
+    sizes = []
+    write = vertical_join.materialize
+
+    def written(df, name):
+        out = write(df, name)
+        if kept and df is kept[-1]:
+            sizes.extend(r["count"] for r in out.groupBy("key").count().collect())
+        return out
+
+    monkeypatch.setattr(vertical_join, "materialize", written)
+    got = vertical_join.jaccard_groups(documents(spark, texts), 80, 1).collect()
+    assert edges and {(r.doc_id, r.component_id) for r in got} == {(i, root.get(i, i)) for i in range(len(texts))}
+    assert sizes and sum(n * (n - 1) // 2 for n in sizes) < 1000
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_linked_sets_share_a_needed_key(spark, threshold):
+    """The keys that a set keeps hold one of each set that it links with, also where segments are empty."""
+    pick, bands = random.Random(threshold), vertical_join.Bands(threshold)
+    rng = np.random.default_rng(threshold)
+    sets = []
+    for n in [8, 9, 13, 18, 19, 20, 30, 31, 47, 70, 71, 100]:
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            if pick.random() < 0.3:  # uneven names: many segments stay empty
+                a = np.unique(a >> np.uint64(pick.randint(1, 3)))
+            sets.append(a)
+            for _ in range(5):  # one after the other away from it
+                some = np.delete(a, pick.sample(range(len(a)), pick.randint(0, max(1, len(a) // 8))))
+                sets.append(np.unique(np.concatenate([some, rng.integers(0, 1 << 63, pick.randint(0, max(1, len(a) // 12)), dtype=np.uint64)])))
+    made = [bands.keys(a) for a in sets]
+    keys = spark.createDataFrame([(int(k), i) for i, (own, _) in enumerate(made) for k in own.view(np.int64)], "key long, cls long").repartition(5)
+    spare = spark.createDataFrame([(i, b, n) for i, (_, beyond) in enumerate(made) for b, n in beyond], "cls long, band int, spare int")
+    kept = {}
+    for r in vertical_join._needed_keys(vertical_join._shared_keys(keys).groupBy("key", "cls").count().drop("count"), spare).collect():
+        kept.setdefault(r.cls, set()).add(r.key)
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both * 100 >= threshold * (len(a) + len(sets[j]) - both) and not np.array_equal(a, sets[j]):
+                links += 1
+                assert kept.get(i, set()) & kept.get(j, set())
+    assert links > 300
