@@ -470,3 +470,65 @@ def test_linked_sets_share_a_needed_key(spark, threshold):
                 links += 1
                 assert kept.get(i, set()) & kept.get(j, set())
     assert links > 300
+
+
+def test_epsilon_grid_ships_blocks_in_tiles(spark, monkeypatch, tmp_path):
+    """Where all blocks meet, a round ships few copies of the table, and nothing but the result stays."""
+    monkeypatch.setattr(epsilon_grid, "BLOCK", 8)
+    monkeypatch.setattr(epsilon_grid, "ROUND", 0)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(320, 16)).astype(np.float32)
+    x[300:] = x[:20] + 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(2)
+    sent, names, write, deal = [], [], epsilon_grid.materialize, epsilon_grid.tiles
+
+    def written(frame, name):
+        out = write(frame, name)
+        names.append((name, out))
+        return out
+
+    def dealt(blocks, met):
+        turns = deal(blocks, met)
+        rows = [turn.collect() for turn in turns]
+        sent.append((blocks.count(), [len(r) for r in rows]))
+        pairs = [(a, r.block) for turn in rows for r in turn if r.side for a in r.partners]
+        assert sorted(pairs) == sorted(map(tuple, met.select("a", "b").collect()))
+        for turn in rows:  # a partner is in the tile of the block that it meets
+            own = {(r.tile, r.block) for r in turn if not r.side}
+            assert all((r.tile, a) in own for r in turn if r.side for a in r.partners)
+        return turns
+
+    monkeypatch.setattr(epsilon_grid, "tiles", dealt)
+    monkeypatch.setattr(epsilon_grid, "materialize", written)
+    got = {r.vec_id: r for r in epsilon_grid.near_duplicates(df, 0.95).collect()}
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link.sum() >= 40 and {i: got[i].n_links for i in got} == dict(enumerate(link.sum(1).tolist()))
+    blocks, rounds = sent[0]
+    assert len(rounds) > 1 and all(n <= (epsilon_grid.SHIP + 4) * blocks for n in rounds)
+    from feedlake.session import ensure_checkpoint_dir
+    import os
+    here = os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    for name, out in names:
+        folders = {f.rsplit("/", 2)[1] for f in out.inputFiles()} if name == "near" else set()
+        assert name != "near" or folders <= set(here)
+    assert not [h for h in here if h.startswith("feedlake-grid-")]
+
+
+def test_single_precision_loses_no_link():
+    """Pairs at the very threshold are decided in double precision."""
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(300, 64))
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    w = rng.normal(size=(300, 64))
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.sqrt((w * w).sum(1))[:, None]
+    c = 0.95 + np.concatenate([np.linspace(-1e-7, 1e-7, 299), [1e-15]])
+    v = c[:, None] * u + np.sqrt(1 - c * c)[:, None] * w
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    got = epsilon_grid.join_blocks(u, v, u[:, :8], v[:, :8], 0.95, float(np.sqrt(0.1)), False)
+    assert (got == ((u @ v.T) >= 0.95)).mean() > 0.9999 and 100 < np.diag(got).sum() < 200
+    far = np.abs(c - 0.95) > 1e-12
+    assert (np.diag(got)[far] == (c >= 0.95)[far]).all()
