@@ -22,7 +22,7 @@ from feedlake.operators import search as se
 from feedlake.operators import summarize as sm
 from feedlake.plans import fixtures as fx
 from feedlake.plans.jobs import extract_items
-from feedlake.session import ensure_checkpoint_dir
+from feedlake.session import ensure_checkpoint_dir, write_once
 from feedlake.sources import (attach_feed, attach_urls, completions_from_json, read_digests, read_file_inventory, read_payloads,
                               read_report_lines, read_scorecards, read_search_hits, select_sources)
 from feedlake.streaming.ingest import land_payloads, run_ingest_once
@@ -32,6 +32,7 @@ AS_OF = "2024-02-15 00:00:00"
 KEEP_DAYS = 30
 REPORT_KEEP_DAYS = 7
 ARTICLES_PER_FEED = 15
+LANDED_A_TURN = 20_000  # files that are listed at once
 
 
 def _bigint(c):
@@ -189,9 +190,20 @@ def q_landed_files(spark, sf):
     """SRC-1/2/4: payloads landed as raw files, read back with a manifest of their urls and matched to the registry (JOIN-2)."""
     landing = _scratch(spark, "landed")
     payloads = fx.feed_payloads(spark, sf)
-    fx.land_files(payloads, landing)
-    # one listing; bodies are parsed where they are read, and only counts meet the manifest and the registry
-    items = ex.extract_articles(read_payloads(spark, landing, "feed", recursive=True)).groupBy("payload_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    # the driver keeps the names of what it writes and lists: files land and are read in turns of so many
+    last = max(0, payloads.count() - 1) // LANDED_A_TURN
+    if last:
+        kept = _scratch(spark, "payloads")
+        payloads.withColumn("turn", F.pmod(F.xxhash64("payload_id"), F.lit(last + 1))).write.partitionBy("turn").parquet(kept)
+        payloads = spark.read.parquet(kept)
+    items = None
+    for turn in range(last + 1):
+        fx.land_files(payloads.where(F.col("turn") == turn) if last else payloads, f"{landing}/{turn}")
+        # one listing; bodies are parsed where they are read, and only counts meet the manifest and the registry
+        some = (ex.extract_articles(read_payloads(spark, f"{landing}/{turn}", "feed", recursive=True))
+                .groupBy("payload_id", "url").agg(F.count(F.lit(1)).alias("n")))
+        some = some if turn == last else write_once(some, "landed-items")
+        items = some if items is None else items.unionByName(some)
     manifest = payloads.select(F.concat(F.lit("payload_id="), F.col("payload_id")).alias("folder"), "url")
     known = attach_feed(attach_urls(items, manifest), fx.feed_registry(spark, sf))
     return (known.groupBy(F.regexp_extract("payload_id", r"/payload_id=([^/]+)/", 1).alias("payload_id"), "feed_name")

@@ -114,3 +114,21 @@ def test_bodies_of_landed_files_cross_no_exchange(spark, sf_small):
     plan = catalog.q_landed_files(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     scan = plan[:plan.index("FileScan text")].split("Exchange")[-1]
     assert "HashAggregate" in scan and "partial_count" in scan, scan
+
+
+def test_landed_files_are_listed_in_turns(spark, sf_small, monkeypatch):
+    """However many files land, the driver holds the names of a turn, not of all."""
+    from feedlake.plans import catalog
+    whole = sorted(map(tuple, catalog.q_landed_files(spark, sf_small).collect()))
+    read, listed = catalog.read_payloads, []
+
+    def seen(spark, path, *a, **k):
+        df = read(spark, path, *a, **k)
+        listed.append(set(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(catalog, "read_payloads", seen)
+    monkeypatch.setattr(catalog, "LANDED_A_TURN", 20)
+    assert sorted(map(tuple, catalog.q_landed_files(spark, sf_small).collect())) == whole and whole
+    files = set().union(*listed)
+    assert len(files) > 40 and sum(map(len, listed)) == len(files) and max(map(len, listed)) <= 40
